@@ -1,6 +1,6 @@
 """Queries of this subpackage and the SQL that gives the same rows where SQL can."""
 
-from lectern.llm import bpe, fingerprints, hamming, language, mixing, simhash, suffixes, token_counts
+from lectern.llm import bpe, fingerprints, hamming, language, mixing, simhash, suffixes, token_counts, url_filter
 
 QUERIES = {
     "op1_token_counts": token_counts.query,
@@ -8,6 +8,7 @@ QUERIES = {
     "op4_document_fingerprints": fingerprints.query,
     "op5_suffix_dedup": suffixes.query,
     "op6_byte_bpe": bpe.query,
+    "op7_url_filter": url_filter.query,
     "op8_simhash": simhash.query,
     "op9_topk_search": hamming.query,
     "op10_language_id": language.query,
