@@ -1,9 +1,10 @@
 """Queries of this subpackage and the SQL that gives the same rows where SQL can."""
 
-from lectern.llm import bpe, fingerprints, hamming, language, mixing, simhash, suffixes, token_counts, url_filter
+from lectern.llm import bpe, fingerprints, hamming, html_extraction, language, mixing, simhash, suffixes, token_counts, url_filter
 
 QUERIES = {
     "op1_token_counts": token_counts.query,
+    "op2_html_extraction": html_extraction.query,
     "op3_source_mixing": mixing.query,
     "op4_document_fingerprints": fingerprints.query,
     "op5_suffix_dedup": suffixes.query,
