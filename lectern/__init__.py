@@ -1 +1 @@
-"""Transcript and document analytics as PySpark DataFrame operators."""
+"""Transcript and document analytics on Spark DataFrames."""
