@@ -6,6 +6,7 @@ import zlib
 import pandas as pd
 from pyspark.sql import Column, functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import DoubleType, StringType
 
 from lectern.functions.labels import MARKER_PREFIX, SPEAKER, UNKNOWN, UNKNOWN_SPEAKER
 
@@ -154,7 +155,7 @@ def asset_link(folder: Column, name: Column) -> Column:
     return path
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def nfc(values: pd.Series) -> pd.Series:
     return values.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
 
@@ -182,7 +183,7 @@ def content_tag(content: Column, digits: int = 8) -> Column:
     return F.substring(F.sha2(content.cast("binary"), 256), 1, digits)
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def compression_ratio(values: pd.Series) -> pd.Series:
     """UTF-8 bytes over bytes after zlib's strongest compression."""
     return values.map(lambda t: None if t is None else len(b := t.encode("utf-8", "surrogatepass")) / max(1, len(zlib.compress(b, 9))))

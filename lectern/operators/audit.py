@@ -24,8 +24,14 @@ def gap_notes(gaps: DataFrame, examples: int = 3, chars: int = 20) -> DataFrame:
     return gaps.groupBy("doc_id").agg(F.count("*").alias("missing"), F.transform(first, lambda s: s["f"]).alias("examples"))
 
 
-def absent_everywhere(needles: DataFrame, texts: DataFrame, keys: list[str]) -> DataFrame:
-    """needles (keys, ..., text) of which no text of the same keys (keys, text) contains the text."""
-    pairs = needles.join(texts.select(*keys, F.col("text").alias("_in")), keys)
-    found = pairs.where(F.contains("_in", "text")).select(*needles.columns).distinct()
-    return needles.join(found, needles.columns, "left_anti")
+def absent_everywhere(needles: DataFrame, texts: DataFrame, anchor: int = 8) -> DataFrame:
+    """needles (..., text) of `anchor` characters or more that no text of texts (text) contains; shorter ones are left out.
+
+    Texts meet needles on their first `anchor` characters, at every place of a text, and are compared there only; where
+    the needles are few Spark broadcasts them. Equal needles are looked for once.
+    """
+    wanted = needles.where(F.length("text") >= anchor).select("text").distinct().select(F.substring("text", 1, anchor).alias("_a"), F.col("text").alias("_n"))
+    places = F.transform(F.sequence(F.lit(1), F.length("text") - anchor + 1), lambda i: F.substring("text", i, anchor))
+    grams = texts.where(F.length("text") >= anchor).select("text", F.posexplode(places).alias("_at", "_a"))
+    found = grams.join(wanted, "_a").where(F.expr("substring(text, _at + 1, length(_n)) = _n")).select(F.col("_n").alias("text")).distinct()
+    return needles.where(F.length("text") >= anchor).join(found, "text", "left_anti")

@@ -109,7 +109,7 @@ def speaker_stats(spark, sf_dir):
     return t.speaker_quality(turns(spark, sf_dir)).select("rec_id", "speaker", "segments", F.round("seconds", 3).alias("seconds"), F.round("cohesion", 6).alias("cohesion"))
 
 
-@query(f"with {_SPOKEN} select rec_id, count(*) segments, round(sum(e - s), 3) as "seconds", round(list_sort(list(e - s))[count(*) // 2 + 1], 3) as upper_median from spoken where speaker = -1 group by rec_id")
+@query(f"""with {_SPOKEN} select rec_id, count(*) segments, round(sum(e - s), 3) as "seconds", round(list_sort(list(e - s))[count(*) // 2 + 1], 3) as upper_median from spoken where speaker = -1 group by rec_id""")
 def unknown_stats(spark, sf_dir):
     return t.unknown_stats(spoken(spark, sf_dir)).select("rec_id", "segments", F.round("seconds", 3).alias("seconds"), F.round("upper_median", 3).alias("upper_median"))
 

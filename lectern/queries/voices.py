@@ -9,8 +9,7 @@ from lectern.sources.tables import voices
 QUERIES, ORACLES = {}, {}
 
 _LIB = "lib as (select vec_id seq, 'n' || label as name, embedding::double[] v from embeddings)"
-_SCORES = f"""{_LIB}, q as (select * from lib where seq % 10 = 0), l as (select * from lib where seq % 10 <> 0),
-p as (select q.seq as query, l.name, l.seq, list_inner_product(q.v, l.v) score from q, l),
+_SCORES = f"""{_LIB}, p as (select q.seq as query, l.name, l.seq, list_inner_product(q.v, l.v) score from lib q, lib l where q.seq <> l.seq),
 s as (select query, name, max(score) score, arg_max(seq, score) first_seq from p group by all),
 r as (select *, row_number() over (partition by query order by score desc, first_seq) n, lead(score) over (partition by query order by score desc, first_seq) as nxt from s)"""
 _LOO = f"""{_LIB}, p as (select a.seq as query, a.name own_name, b.name, b.seq, list_inner_product(a.v, b.v) score from lib a, lib b where a.seq <> b.seq),
@@ -28,8 +27,9 @@ def query(sql: str | None = None):
 
 
 def _parts(spark, sf_dir):
+    """Every sample as a query against all others."""
     lib = voices(spark, sf_dir)
-    return lib.where("seq % 10 = 0").select(F.col("seq").alias("query"), "vec"), lib.where("seq % 10 <> 0")
+    return lib.select(F.col("seq").alias("query"), "vec", F.col("seq").alias("own_seq")), lib
 
 
 #: The tables' vectors are further apart than voices are, so queries ask for less than the defaults.
