@@ -270,7 +270,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, max_group: int = MAX_GROUP) -
     text = written(text, "texts")
     found = found.unionByName(_compare(text.where(F.col("kinds") <= max_group), length))
     hot, back = text.where(F.col("kinds") > max_group).select("k", "p", "n", "copies", "shift", "piece"), []
-    for grid in GRIDS:
+    for grid in [g for g in GRIDS if g <= max(1, length // 2)]:  # strings of a cut share bytes
         if hot.isEmpty():
             break
         finer = written(_finer(hot, grid, length), "finer")
