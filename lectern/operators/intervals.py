@@ -68,7 +68,7 @@ def cohesion(blocks: DataFrame, turns: DataFrame, bucket: float = BUCKET) -> Dat
     """blocks (rec_id, seq, start, end, ...) with `cohesion`: the mean conf of turns by overlap; conf 0 is left out, 0 if none is left."""
     pairs = interval_pairs(blocks.select("rec_id", "seq", "start", "end"), turns.select("rec_id", "start", "end", "conf"), bucket).where("r_conf <> 0")
     o = overlap(F.col("l_start"), F.col("l_end"), F.col("r_start"), F.col("r_end"))
-    mean = pairs.groupBy("rec_id", F.col("l_seq").alias("seq")).agg((F.sum(o * F.col("r_conf")) / F.sum(o)).alias("cohesion"))
+    mean = pairs.groupBy("rec_id", F.col("l_seq").alias("seq")).agg(F.try_divide(F.sum(o * F.col("r_conf")), F.sum(o)).alias("cohesion"))
     return blocks.join(mean, ["rec_id", "seq"], "left").select(*blocks.columns, F.coalesce("cohesion", F.lit(0.0)).alias("cohesion"))
 
 

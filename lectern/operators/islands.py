@@ -91,6 +91,6 @@ def trim_zero_runs(pcm: DataFrame, want: DataFrame, keep: int = 160) -> DataFram
 def eta(marks: DataFrame, keys: list[str], least: float = 0.1, least_span: float = 30.0) -> DataFrame:
     """(keys, left): seconds to go at the rate between the first and last mark (t, done); null below `least` done or `least_span` seconds."""
     x = marks.groupBy(*keys).agg(F.min(F.struct("t", "done")).alias("a"), F.max(F.struct("t", "done")).alias("b"))
-    rate = (F.col("b.done") - F.col("a.done")) / (F.col("b.t") - F.col("a.t"))
+    rate = F.try_divide(F.col("b.done") - F.col("a.done"), F.col("b.t") - F.col("a.t"))
     ready = (F.col("b.done") >= least) & (F.col("b.t") - F.col("a.t") >= least_span) & (rate > 0)
     return x.select(*keys, F.when(ready, (1 - F.col("b.done")) / rate).alias("left"))

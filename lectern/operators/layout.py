@@ -78,4 +78,4 @@ def shares(values: DataFrame, keys: list[str], value: str) -> DataFrame:
     """values with `share`: percent of the sum within keys, to a tenth."""
     total = values.groupBy(*keys).agg(F.sum(value).alias("_t")) if keys else values.agg(F.sum(value).alias("_t"))
     x = values.join(total, keys) if keys else values.join(F.broadcast(total), F.lit(True))  # one row
-    return x.withColumn("share", F.round(F.col(value) * 100 / F.col("_t"), 1)).drop("_t")
+    return x.withColumn("share", F.round(F.try_divide(F.col(value) * 100, F.col("_t")), 1)).drop("_t")

@@ -1,0 +1,247 @@
+"""Text functions, Markdown, readers, streaming, the entry module."""
+
+import io
+import json
+import subprocess
+import sys
+import zipfile
+from email.message import EmailMessage
+from pathlib import Path
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from lectern.functions import markdown, text, times
+from lectern.plans import documents as plan
+from lectern.plans import transcripts as talk
+from lectern.sources import archives, audio, html, mail, texts
+from lectern.streaming import live
+
+REPO = Path(__file__).resolve().parents[1]
+
+
+def values(spark, column, *inputs, kind="string"):
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(inputs)], f"i int, x {kind}")
+    return [r[0] for r in df.orderBy("i").select(column(F.col("x"))).collect()]
+
+
+def test_text_functions(spark):
+    assert values(spark, text.one_line, " a \n\t b　c ", None) == ["a b c", ""]
+    assert values(spark, text.norm_text, "Été_ à-B1!漢") == ["étéàb1漢"]
+    assert values(spark, text.squash, r"see [a \[b\]](<http://x y>) <http://z> [註3] c\_d") == ["seea[b]http://zc_d"]
+    assert values(spark, text.cell, "a|b\\c\r\nd", None) == ["a\\|b\\\\c<br>d", ""]
+    assert values(spark, text.yaml_scalar, "plain 1.txt", 'a: "b"', " lead") == ["plain 1.txt", '"a: \\"b\\""', '" lead"']
+    assert values(spark, text.sanitize_name, "..\\..\\evil?.txt", "", "CON.txt", "x" * 80 + ".md", None) == ["evil_.txt", "檔案", "_CON.txt", "x" * 60 + ".md", "檔案"]
+    assert values(spark, lambda c: text.asset_link(F.lit("a b.assets"), c), "i#1%.png") == ["a%20b.assets/i%231%25.png"]
+    assert values(spark, text.paragraphs, "a\r\n\r\n\n b\nc \n \n", None) == [["a", "b\nc"], []]
+    assert values(spark, text.sniff_delimiter, "a;b;c\n1,2;3", "x", "a\tb\tc,d") == [";", ",", "\t"]
+    assert values(spark, text.demote_headings, "# a\n```\n# no\n```\n###### six\n## b") == ["## a\n```\n# no\n```\n###### six\n### b"]
+    assert values(spark, text.reglue, "3 . 5 - a : b") == ["3.5-a:b"]
+    assert values(spark, lambda c: text.rename_at_once(c, {"a": "b", "b": "a", "ab": "X"}), "a b ab c") == ["b a X c"]
+    assert values(spark, lambda c: text.replace_rules(c, [("a", "b"), ("ab", "c"), ("b", "d")]), "ab a") == ["c d"]
+    assert values(spark, text.is_degenerate, "la " * 50, "short", "".join(chr(97 + i * i % 26) + str(i) for i in range(60))) == [True, False, False]
+    df = spark.createDataFrame([(["A", "b", "b"], ["a", "c", "C", "d"])], "x array<string>, y array<string>")
+    assert df.select(text.append_paths(F.col("x"), F.col("y"))).first()[0] == ["A", "b", "b", "c", "d"]
+
+
+def test_times(spark):
+    assert values(spark, times.hms, 3725.9, -5.0, None, 360000.0, kind="double") == ["01:02:05", "00:00:00", "00:00:00", "100:00:00"]
+    assert values(spark, times.mmss, 65.0, 3600.0, kind="double") == ["01:05", "1:00:00"]
+    assert values(spark, times.exif_date, "2024:01:02 03:04:05") == ["2024-01-02 03:04:05"]
+
+
+def block(pos, kind, **more):
+    base = {"doc_id": 1, "pos": pos, "kind": kind, "level": None, "text": None, "rows": None, "has_header": None, "caption": None, "note_kind": None, "lossy": None, "rel_path": None}
+    return tuple((base | more).values())
+
+
+def test_render(spark):
+    wide = [[f"h{i}" for i in range(13)], ["v"] + [""] * 12, [""] * 13]
+    rows = [block(0, "heading", text=" Title ", level=6), block(1, "para", text="  "), block(2, "table", rows=[["a|", "b"], ["c"]], has_header=False, caption="cap"), block(3, "table", rows=wide, has_header=True, caption="S"), block(4, "image", text="", rel_path="x.png"), block(5, "note", text="lost", note_kind="k", lossy=True), block(6, "raw", text="raw \n")]
+    blocks = spark.createDataFrame(rows, markdown.BLOCK_SCHEMA)
+    meta = spark.createDataFrame([(1, "T", "f:1.txt", "txt", "now", False), (2, "E", "e", "txt", "now", True)], "doc_id long, title string, source_file string, source_type string, converted_at string, ocr_used boolean")
+    got = {r["doc_id"]: r["md"] for r in markdown.render(blocks, meta).collect()}
+    assert got[1] == '---\nsource_file: "f:1.txt"\nsource_type: txt\nconverted_at: now\nlossy: 1\nlossy_kinds: [k]\nocr_used: false\n---\n\n# T\n\n###### Title\n\n**cap**\n\n|  |  |\n| --- | --- |\n| a\\| | b |\n| c |  |\n\n### S · 第 1 筆(共 1 筆)\n\n- h0:v\n\n![圖片](x.png)\n\n〔lost〕\n\nraw\n'
+    assert got[2].endswith("---\n\n# E\n") and "lossy: 0\nlossy_kinds: []\nocr_used: true" in got[2]
+
+
+def test_decoding():
+    for name in ("utf-8", "utf-16", "utf-32", "utf-8-sig"):
+        assert texts.decode("漢字 text é".encode(name))[0] == "漢字 text é"
+    assert texts.decode("這是一份會議紀錄,請確認內容。".encode("cp950"))[:2] == ("這是一份會議紀錄,請確認內容。", "cp950")
+    assert texts.decode("这是一份会议记录,请确认内容。".encode("gb18030"))[0] == "这是一份会议记录,请确认内容。"
+    assert texts.decode(b"") == ("", "utf-8", True)
+
+
+def test_delimited_and_rtf(spark):
+    d = spark.createDataFrame([(1, 'a,b\r\n"x, ""y""\nz",2\n\n ,\n'), (2, "a;b;c\n1;2"), (3, "")], "doc_id long, text string")
+    got = {r["doc_id"]: r["rows"] for r in texts.delimited_blocks(d).collect()}
+    assert got == {1: [["a", "b"], ['x, "y"\nz', "2"]], 2: [["a", "b", "c"], ["1", "2"]]}
+    assert texts.rtf_text(r"{\rtf1\ansi{\fonttbl{\f0 Arial;}}Hi \b there\b0\par \'e9\u28450?{\*\x no} end}") == "Hi there\né漢 end"
+
+
+def test_html_blocks():
+    page = "<h2>T &amp; x</h2><p>a <b>b</b> <a href='https://u'>l</a><table><tr><th>h</th><th colspan=2>w</th></tr><tr><td rowspan=2>1</td><td>2</td><td>3</td></tr><tr><td>4</td><td>&#147;5</td></tr></table><ul><li>i</ul><script>no</script><img src='p.png' alt='z'><img src='http://r/x.png'>"
+    got = html.read_blocks(page)
+    assert got[0][:3] == ("heading", 2, "T & x") and got[1][2] == "a **b** [l](https://u)"
+    assert got[2][3] == [["h", "w", "w"], ["1", "2", "3"], ["1", "4", "“5"]] and got[2][4]
+    assert [b[0] for b in got[3:]] == ["para", "image"] and got[4][5] == "p.png"
+
+
+def zipped(**members):
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        for name, body in members.items():
+            z.writestr(name.replace("__", "/"), body)
+    return out.getvalue()
+
+
+def office_files():
+    w = 'xmlns:w="w"'
+    docx = zipped(**{"word__document.xml": f'<w:document {w}><w:body><w:p><w:pPr><w:pStyle w:val="Heading2"/></w:pPr><w:r><w:t>Head</w:t></w:r></w:p><w:p><w:r><w:t xml:space="preserve">One </w:t></w:r><w:r><w:t>&amp; two</w:t></w:r></w:p><w:tbl><w:tr><w:tc><w:p><w:r><w:t>a</w:t></w:r></w:p></w:tc><w:tc><w:p><w:r><w:t>b</w:t></w:r></w:p></w:tc></w:tr></w:tbl><w:p><w:r><w:t>End</w:t></w:r></w:p></w:body></w:document>', "word__footnotes.xml": '<w:footnotes><w:footnote w:type="separator" w:id="-1"><w:p/></w:footnote><w:footnote w:id="2"><w:p><w:r><w:t>Note</w:t></w:r></w:p></w:footnote></w:footnotes>'})
+    pptx = zipped(**{"ppt__slides__slide2.xml": "<p:sld><a:p><a:r><a:t>Second</a:t></a:r></a:p></p:sld>", "ppt__slides__slide1.xml": '<p:sld><a:p><a:pPr lvl="1"/><a:r><a:t>First</a:t></a:r></a:p></p:sld>', "ppt__notesSlides__notesSlide1.xml": "<p:notes><a:p><a:r><a:t>Say</a:t></a:r></a:p></p:notes>"})
+    xlsx = zipped(**{"xl__sharedStrings.xml": "<sst><si><t>Name</t></si><si><r><t>Rich</t></r><r><t>er</t></r></si></sst>", "xl__worksheets__sheet1.xml": '<worksheet><row r="1"><c r="A1" t="s"><v>0</v></c><c r="C1"><v>3.5</v></c></row><row r="3"><c r="A3" t="s"><v>1</v></c><c r="B3" t="inlineStr"><is><t>in</t></is></c><c r="AA3"><f>SUM(A1)</f></c></row></worksheet>'})
+    epub = zipped(**{"META-INF__container.xml": '<rootfile full-path="O/c.opf"/>', "O__c.opf": '<manifest><item id="b" href="b.xhtml"/><item href="a%20x.xhtml" id="a"/></manifest><spine><itemref idref="a"/><itemref idref="b"/></spine>', "O__a x.xhtml": "<p>Alpha</p>", "O__b.xhtml": "<h1>Beta</h1>"})
+    return docx, pptx, xlsx, epub
+
+
+def letter():
+    inner = EmailMessage()
+    inner["Subject"] = "inner"
+    inner.set_content("deep")
+    inner.add_attachment(b"data", maintype="application", subtype="octet-stream", filename="d.bin")
+    m = EmailMessage()
+    m["From"], m["To"], m["Subject"] = "a@b", "c@d", "Hi"
+    m.set_content("Body\n\nMore")
+    m.add_alternative("<p>html</p>", subtype="html")
+    m.add_attachment(b"abc", maintype="application", subtype="octet-stream", filename="x.bin")
+    m.add_attachment(inner.as_bytes(), maintype="application", subtype="octet-stream", filename="in.eml")
+    return m.as_bytes()
+
+
+def test_readers(spark):
+    docx, pptx, xlsx, epub = office_files()
+    one = lambda b: spark.createDataFrame([(1, b)], "doc_id long, content binary")
+    got = [(r["kind"], r["level"], r["text"], r["rows"]) for r in archives.docx_blocks(one(docx)).orderBy("pos").collect()]
+    assert got == [("heading", 2, "Head", None), ("para", None, "One & two", None), ("table", None, None, [["a", "b"]]), ("para", None, "End", None), ("para", None, "[註2] Note", None)]
+    assert [r["text"] for r in archives.pptx_blocks(one(pptx)).orderBy("pos").collect()] == ["第 1 頁", "  First", "Say", "第 2 頁", "Second"]
+    cells = archives.xlsx_cells(one(xlsx))
+    assert sorted((r["row"], r["col"], r["value"]) for r in cells.collect()) == [(0, 0, "Name"), (0, 2, "3.5"), (2, 0, "Richer"), (2, 1, "in"), (2, 26, "")] or cells.where("col = 26").count() == 1
+    assert archives.sheet_blocks(cells).first()["rows"] == [["Name", "", "3.5"], ["Richer", "in", ""]]
+    assert archives.unrecalculated(cells).count() == 1
+    assert [r["html"] for r in archives.epub_chapters(one(epub)).orderBy("pos").collect()] == ["<p>Alpha</p>", "<h1>Beta</h1>"]
+    assert archives.parts(one(b"no zip")).first()["error"]
+
+
+def test_mail(spark):
+    f = spark.createDataFrame([(1, letter())], "doc_id long, content binary")
+    p = mail.mail_parts(f).first()
+    assert p["body"].strip() == "Body\n\nMore" and not p["is_html"] and p["headers"]["subject"] == "Hi"
+    got = sorted((r["name"], r["depth"], r["reason"]) for r in mail.attachments(f).collect())
+    assert got == [("d.bin", 2, None), ("in.eml", 1, None), ("x.bin", 1, None)]
+
+
+def test_files_to_markdown(spark):
+    docx, pptx, xlsx, epub = office_files()
+    files = [(1, "/a/w.docx", docx), (2, "/a/t.txt", "一\n\n二".encode("cp950")), (3, "/a/c.csv", b"x,y\n1,2"), (4, "/a/m.md", b"# H"), (5, "/a/p.html", b"<p>Hi"), (6, "/a/b.epub", epub), (7, "/a/l.eml", letter()), (8, "/a/s.xlsx", xlsx), (9, "/a/q.zip", b""), (10, "/a/r.rtf", rb"{\rtf1 R\par S}"), (11, "/a/bad.docx", b"broken"), (12, "/a/k.pptx", pptx)]
+    md = {r["doc_id"]: r["md"].split("# ", 1)[1] for r in plan.to_markdown(spark.createDataFrame(files, "doc_id long, path string, content binary"), "now").collect()}
+    assert md[1].startswith("w\n\n### Head\n\nOne & two\n\n| a | b |") and md[2] == "t\n\n一\n\n二\n" and md[3] == "c\n\n| x | y |\n| --- | --- |\n| 1 | 2 |\n"
+    assert md[4] == "m\n\n## H\n" and md[5] == "p\n\nHi\n" and md[6] == "b\n\nAlpha\n\n## Beta\n" and "- subject:Hi\n\nBody\n\nMore" in md[7]
+    assert md[9] == "q\n" and md[10] == "r\n\nR\n\nS\n" and md[11] == "bad\n" and len(md) == 12
+
+
+def test_audio(spark):
+    pcm = np.arange(32000, dtype="<i2")
+    df = spark.createDataFrame([(1, b"\0" * 44 + pcm.tobytes())], "rec_id long, content binary").select("rec_id", F.length("content").alias("n"), audio.samples("content").alias("pcm"))
+    assert df.select(audio.available_seconds(F.col("n"))).first()[0] == 2.0
+    assert df.select(F.size(audio.span(F.col("pcm"), F.lit(0.5), F.lit(9.0)))).first()[0] == 24000
+    levels = audio.tumbling_rms(df).orderBy("at").collect()
+    assert [r["at"] for r in levels] == [0.0, 0.5, 1.0, 1.5] and levels[0]["rms"] == pytest.approx(np.sqrt((pcm[:8000].astype(float) ** 2).mean()))
+
+
+def test_cut_policy():
+    at = np.arange(0, 700, 0.5)
+    loud = np.full(len(at), 5000.0)
+    assert live.next_cut(0.0, at[:119], loud[:119]) is None
+    assert live.next_cut(0.0, at[:121], loud[:121]) is None
+    quiet = loud.copy()
+    quiet[90] = 10.0
+    assert live.next_cut(0.0, at[:121], quiet[:121]) == 45.25
+    assert live.next_cut(0.0, at[:720], loud[:720]) == 30.25
+    assert live.next_cut(45.25, at[at >= 45.25][:500], loud[:500]) is None
+
+
+def test_live_cuts_are_the_same_however_rows_arrive(spark, tmp_path):
+    r = np.random.default_rng(3)
+    at = np.arange(0, 1500, 0.5)
+    rms = np.where(r.random(len(at)) < 0.01, 50.0, 4000.0)
+    schema = "track string, at double, rms double"
+    found = []
+    for size in (3000, 1000):
+        src, out = tmp_path / f"in{size}", tmp_path / f"out{size}"
+        src.mkdir()
+        for i in range(0, len(at), size):
+            rows = [json.dumps({"track": "mic", "at": float(a), "rms": float(x)}) for a, x in zip(at[i : i + size], rms[i : i + size])]
+            (src / f"{i:06d}.json").write_text("\n".join(rows))
+            live.drain(live.cuts(spark.readStream.schema(schema).json(str(src))), str(out), str(tmp_path / f"cp{size}"))
+        found.append([tuple(x) for x in spark.read.parquet(str(out)).orderBy("start").collect()])
+    assert found[0] == found[1] and len(found[0]) >= 3
+    assert all(a[2] == b[1] for a, b in zip(found[0], found[0][1:])) and found[0][0][1] == 0.0
+
+
+def test_capture_diagnostics_stream(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    rows = [{"track": "m", "ts": f"2024-01-01T00:00:{s:02d}Z", "ms": float(s)} for s in range(60)] + [{"track": "m", "ts": "2024-01-01T00:02:00Z", "ms": 1.0}]
+    (tmp_path / "in" / "a.json").write_text("\n".join(map(json.dumps, rows)))
+    x = live.capture_diagnostics(spark.readStream.schema("track string, ts timestamp, ms double").json(str(tmp_path / "in")))
+    live.drain(x, str(tmp_path / "out"), str(tmp_path / "cp"))
+    got = spark.read.parquet(str(tmp_path / "out")).orderBy("window").collect()
+    assert [(r["pulls"], r["longest"], r["p95"], r["stalls"]) for r in got[:2]] == [(30, 29.0, 28.0, 0), (30, 59.0, 58.0, 20)]
+
+
+def test_transcribe_plan(spark):
+    seg = spark.createDataFrame([(1, 0, 0.0, 5.0, "hello"), (1, 1, 5.0, 9.0, "ha " * 60), (1, 2, 9.0, 12.0, "bye")], "rec_id long, seq long, start double, end double, text string")
+    turns = spark.createDataFrame([(1, 0, 0.0, 6.0, 0, 0.5), (1, 1, 8.0, 12.0, 1, 0.75)], "rec_id long, idx long, start double, end double, speaker int, conf double")
+    out = talk.transcribe(seg, turns, F.lit("m"))
+    md = out["transcripts"].first()["md"]
+    assert "**講者 1** (00:00:00)\nhello" in md and "**講者 2** (00:00:09)\nbye" in md and "(此段轉錄異常 00:05–00:09,重複「ha」)" in md
+    assert out["blocks"].count() == 3 and out["quality"].count() == 2
+    mic = spark.createDataFrame([(1, 0, 0.0, 2.0, 0, "good morning all"), (1, 1, 8.0, 9.0, 0, "my turn")], "rec_id long, seq long, start double, end double, speaker int, text string")
+    system = spark.createDataFrame([(1, 0, 0.5, 2.5, 0, "Good morning, all!")], "rec_id long, seq long, start double, end double, speaker int, text string")
+    both = talk.transcribe_tracks(mic, system, F.lit("x")).first()["md"]
+    assert both.count("orning") == 1 and "**講者 2** (00:00:08)\nmy turn" in both
+
+
+def test_entry_without_training_data(tmp_path):
+    """The entry module imports, and has its other queries, without the optional subpackage and without a session."""
+    code = "import __spark_entry__ as e; q = e.queries(); assert 'speech_blocks' in q and 'pipeline' not in q and not any(k.startswith('op') and k[2].isdigit() for k in q); assert set(e.oracle_sql()) <= set(q)"
+    import shutil
+
+    shutil.copytree(REPO, tmp_path / "r", ignore=shutil.ignore_patterns(".git", "llm", "corpus_pipeline.py", "__pycache__"))
+    assert subprocess.run([sys.executable, "-c", code], cwd=tmp_path / "r", capture_output=True, text=True).stderr == ""
+
+
+def test_queries_as_sql(spark, sf_dir):
+    import math
+
+    import duckdb
+
+    import __spark_entry__ as entry
+    from lectern.queries import ORACLES, QUERIES
+
+    con = duckdb.connect()
+    for p in Path(sf_dir).glob("*.parquet"):
+        con.execute(f"create view {p.stem} as select * from '{p}'")
+
+    def plain(v):
+        if isinstance(v, float):
+            return None if math.isnan(v) else round(v, 6)
+        if hasattr(v, "tolist"):
+            v = v.tolist()
+        return tuple(plain(x) for x in v) if isinstance(v, (list, tuple)) else v.isoformat() if hasattr(v, "isoformat") else v
+
+    rows = lambda df: sorted((tuple(plain(x) for x in r) for r in df[sorted(df.columns)].itertuples(index=False)), key=str)
+    for name in ("assign_turns", "label_blocks_ffill", "speech_blocks", "md_parse_transcript", "voice_match_unique", "suspects", "md_records", "missing_lines", "missing_audit", "heading_sizes"):
+        assert rows(QUERIES[name](spark, sf_dir).toPandas()) == rows(con.sql(ORACLES[name]).df()), name
+    assert entry.entry(spark).count() > 0
