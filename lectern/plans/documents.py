@@ -27,6 +27,10 @@ def _mail(files: DataFrame) -> DataFrame:
     return texts.text_blocks(p.select("doc_id", F.concat(mail.header_lines(F.col("headers")), F.lit("\n\n"), body).alias("text")))
 
 
+def _web_archive(files: DataFrame) -> DataFrame:
+    return html.html_blocks(mail.web_archives(files).select("doc_id", "html"))
+
+
 #: Readers by ending: (doc_id, content) to blocks.
 ROUTES = {
     ".txt": lambda f: texts.text_blocks(texts.decoded(f)),
@@ -44,6 +48,8 @@ ROUTES = {
     ".xlsm": lambda f: archives.sheet_blocks(archives.xlsx_cells(f)),
     ".epub": _book,
     ".eml": _mail,
+    ".mht": _web_archive,
+    ".mhtml": _web_archive,
 }
 
 

@@ -164,3 +164,50 @@ def epub_chapters(files: DataFrame) -> DataFrame:
 def vba_outline(code: Column) -> Column:
     """Names of the procedures of a module, in order."""
     return F.regexp_extract_all(code, F.lit(r"(?im)^\s*(?:Public |Private |Friend |Static )*(?:Sub|Function|Property (?:Get|Let|Set))\s+(\w+)"), F.lit(1))
+
+
+def is_encrypted(content: Column) -> Column:
+    """Whether a compound file holds the stream names of an encrypted package (in UTF-16)."""
+    names = [F.lit(n.encode("utf-16-le")) for n in ("EncryptedPackage", "EncryptionInfo")]
+    return is_old_office(content) & (F.contains(content, names[0]) | F.contains(content, names[1]))
+
+
+def relations(files: DataFrame, external: bool = True) -> DataFrame:
+    """(doc_id, part, id, target) of the .rels parts; only those to the outside, or only those within."""
+    p = parts(files, r"\.rels$").where("content is not null")
+    x = p.select("doc_id", "part", F.explode(F.regexp_extract_all("content", F.lit(r"<Relationship\s[^>]*>"), F.lit(0))).alias("x"))
+    out = F.contains("x", F.lit('TargetMode="External"'))
+    return x.where(out if external else ~out).select("doc_id", "part", F.regexp_extract("x", r'\bId="([^"]+)"', 1).alias("id"), xml_text(F.regexp_extract("x", r'\bTarget="([^"]+)"', 1)).alias("target"))
+
+
+def is_page_furniture(text: Column) -> Column:
+    """Whether less than two characters are left without digits, page words and marks."""
+    return F.length(F.regexp_replace(text, r"(?iU)page|第|頁|页|共|of|[\d\s\W_]", "")) < 2
+
+
+def header_footer_blocks(files: DataFrame) -> DataFrame:
+    """(doc_id, pos, kind, text) of Word headers and footers, each text once and without page numbers."""
+    p = parts(files, r"^word/(header|footer)\d*\.xml$").where("content is not null")
+    x = p.select("doc_id", "part", F.posexplode(F.regexp_extract_all("content", F.lit(r"(?s)<w:p[ >].*?</w:p>"), F.lit(0))).alias("at", "xml"))
+    x = x.select("doc_id", F.struct("part", "at").alias("at"), F.trim(_texts(F.col("xml"), "w:t", "w:br|w:tab")).alias("text")).where(~is_page_furniture(F.col("text")))
+    first = x.groupBy("doc_id", F.regexp_replace("text", r"(?U)\s+", "").alias("key")).agg(F.min(F.struct("at", "text")).alias("f"))
+    return first.select("doc_id", (F.row_number().over(Window.partitionBy("doc_id").orderBy("f.at")) - 1).alias("pos"), F.lit("para").alias("kind"), "f.text")
+
+
+def diagram_texts(files: DataFrame) -> DataFrame:
+    """(doc_id, part, texts): distinct texts of diagrams and drawings, in order."""
+    p = parts(files, r"(diagrams/data\d+|drawings/drawing\d+)\.xml$").where("content is not null")
+    paras = F.transform(F.regexp_extract_all("content", F.lit(r"(?s)<a:p[ >].*?</a:p>"), F.lit(0)), lambda x: F.trim(_texts(x, "a:t", "a:br")))
+    return p.select("doc_id", "part", F.array_distinct(F.filter(paras, lambda t: t != "")).alias("texts"))
+
+
+def image_ids(xml: Column) -> Column:
+    """Distinct relation ids of images: drawings first, then those of older markup."""
+    return F.array_distinct(F.concat(F.regexp_extract_all(xml, F.lit(r'<a:blip\b[^>]*?\br:embed="([^"]+)"'), F.lit(1)), F.regexp_extract_all(xml, F.lit(r'<v:imagedata\b[^>]*?\br:id="([^"]+)"'), F.lit(1))))
+
+
+def paragraph_texts(files: DataFrame, wanted: str = r"^(word/document|ppt/slides/slide\d+)\.xml$") -> DataFrame:
+    """(doc_id, at, fragment): texts of all paragraphs of the parts, straight from the markup, for audits of what a reader gave."""
+    p = parts(files, wanted).where("content is not null")
+    x = p.select("doc_id", F.posexplode(F.regexp_extract_all("content", F.lit(r"(?s)<([aw]):p[ >].*?</\1:p>"), F.lit(0))).alias("at", "xml"))
+    return x.select("doc_id", "at", _texts(F.regexp_replace("xml", r"<(/?)[aw]:t\b", "<$1t"), "t").alias("fragment")).where("fragment <> ''")

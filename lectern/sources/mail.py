@@ -78,3 +78,26 @@ def header_lines(headers, labels: dict[str, str] | None = None):
     """Markdown list items of the headers that are there, in a fixed order."""
     items = [F.when(F.coalesce(F.try_element_at(headers, F.lit(h)), F.lit("")) != "", F.concat(F.lit(f"- {(labels or {}).get(h, h)}:"), F.try_element_at(headers, F.lit(h)))) for h in HEADERS]
     return F.array_join(F.array_compact(F.array(*items)), "\n")
+
+
+def web_archives(files: DataFrame) -> DataFrame:
+    """(doc_id, html, resources map<string, binary>) of MHTML files: the first HTML part, and the others by location and content id."""
+    schema = pa.schema([("doc_id", pa.int64()), ("html", pa.string()), ("resources", pa.map_(pa.string(), pa.binary()))])
+
+    def run(batches):
+        for batch in batches:
+            for doc_id, content in zip(batch.column("doc_id").to_pylist(), batch.column("content")):
+                page, found = None, {}
+                for part in email.message_from_bytes(content.as_py() or b"", policy=email.policy.default).walk():
+                    if part.is_multipart():
+                        continue
+                    if part.get_content_type() == "text/html" and page is None:
+                        page = part.get_content()
+                        continue
+                    data = part.get_payload(decode=True) or b""
+                    for key in (part["Content-Location"], part["Content-ID"] and f"cid:{str(part['Content-ID']).strip('<>')}"):
+                        if key:
+                            found[str(key)] = data
+                yield pa.RecordBatch.from_arrays([pa.array([doc_id], pa.int64()), pa.array([page], pa.string()), pa.array([list(found.items())], schema.field("resources").type)], schema=schema)
+
+    return files.select(F.col("doc_id").cast("long"), "content").mapInArrow(run, "doc_id long, html string, resources map<string,binary>")

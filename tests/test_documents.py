@@ -245,3 +245,36 @@ def test_queries_as_sql(spark, sf_dir):
     for name in ("assign_turns", "label_blocks_ffill", "speech_blocks", "md_parse_transcript", "voice_match_unique", "suspects", "md_records", "missing_lines", "missing_audit", "heading_sizes"):
         assert rows(QUERIES[name](spark, sf_dir).toPandas()) == rows(con.sql(ORACLES[name]).df()), name
     assert entry.entry(spark).count() > 0
+
+
+def test_parts_of_office_files(spark):
+    files = spark.createDataFrame([(1, zipped(**{"word__header1.xml": "<w:p><w:r><w:t>Secret plan</w:t></w:r></w:p><w:p><w:r><w:t>Page 3 of 9</w:t></w:r></w:p>", "word__footer1.xml": "<w:p ><w:r><w:t>Secret  plan</w:t></w:r></w:p>", "word___rels__document.xml.rels": '<Relationship Id="r1" Target="http://x/?a=1&amp;b" TargetMode="External"/><Relationship Id="r2" Target="media/i.png"/>', "word__diagrams__data1.xml": "<a:p><a:r><a:t>Box</a:t></a:r></a:p><a:p><a:r><a:t>Box</a:t></a:r></a:p>", "word__document.xml": "<w:p><w:r><w:t>A</w:t></w:r><w:r><w:t>B</w:t></w:r></w:p>"}))], "doc_id long, content binary")
+    assert [r["text"] for r in archives.header_footer_blocks(files).collect()] == ["Secret  plan"]
+    assert [tuple(r)[2:] for r in archives.relations(files).collect()] == [("r1", "http://x/?a=1&b")]
+    assert [tuple(r)[2:] for r in archives.relations(files, external=False).collect()] == [("r2", "media/i.png")]
+    assert archives.diagram_texts(files).first()["texts"] == ["Box"]
+    assert [r["fragment"] for r in archives.paragraph_texts(files).collect()] == ["AB"]
+    ole = bytes.fromhex("d0cf11e0a1b11ae1") + "EncryptedPackage".encode("utf-16-le")
+    got = spark.createDataFrame([(ole,), (ole[:8],), (b"PK",)], "c binary").select(archives.is_old_office(F.col("c")).alias("o"), archives.is_encrypted(F.col("c")).alias("e")).collect()
+    assert [tuple(r) for r in got] == [(True, True), (True, False), (False, False)]
+    mht = b'MIME-Version: 1.0\r\nContent-Type: multipart/related; boundary="b"\r\n\r\n--b\r\nContent-Type: text/html; charset=utf-8\r\n\r\n<p>Saved page</p>\r\n--b\r\nContent-Type: image/png\r\nContent-Location: http://x/i.png\r\nContent-Transfer-Encoding: base64\r\n\r\nQUI=\r\n--b--\r\n'
+    r = mail.web_archives(spark.createDataFrame([(1, mht)], "doc_id long, content binary")).first()
+    assert "Saved page" in r["html"] and r["resources"]["http://x/i.png"] == b"AB"
+
+
+def test_rosters(spark):
+    from lectern.operators import rosters
+
+    make = lambda *names: spark.createDataFrame(list(enumerate(names)), "pos int, name string")
+    listed = lambda df: [r["name"] for r in df.orderBy("pos").collect()]
+    roster = rosters.first_kept(make(" Ann", "Bo", "", "Ann ", "Cy"))
+    assert listed(roster) == ["Ann", "Bo", "Cy"]
+    assert listed(rosters.add(roster, make("Di", "Bo", "Di", " "))) == ["Ann", "Bo", "Cy", "Di"]
+    assert listed(rosters.remove(roster, "Bo")) == ["Ann", "Cy"]
+    assert listed(rosters.rename(roster, "Cy", "Ann")) == ["Ann", "Bo"]
+    assert [r["name"] for r in rosters.in_roster_order(make("Zed", "Cy", "Ann", "Cy"), roster).orderBy("place").collect()] == ["Ann", "Cy", "Zed"]
+    filled = spark.createDataFrame([(0, 0, "Bo"), (1, 0, "")], "speaker int, pos int, name string")
+    rivals = spark.createDataFrame([(0, 0, "Cy"), (1, 0, "Cy")], "speaker int, pos int, name string")
+    got = rosters.choices(filled, rivals, roster).orderBy("speaker", "place").collect()
+    assert [(r["speaker"], r["name"]) for r in got] == [(0, "Bo"), (0, "Cy"), (0, "Ann"), (1, "Cy"), (1, "Ann"), (1, "Bo")]
+    assert tuple(rosters.library_summary(make("Ann", "Ann", "Xy", "Wu"), roster).first()) == (4, 3, 2, ["Wu", "Xy"])
