@@ -11,16 +11,41 @@ def islands(rows: DataFrame, keys: list[str], order: list, starts: Column, name:
     return rows.withColumn("_new", F.coalesce(starts, F.lit(True)).cast("int")).withColumn(name, F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))).drop("_new")
 
 
-def speech_blocks(spoken: DataFrame) -> DataFrame:
+def sliced_islands(rows: DataFrame, keys: list[str], order: list[str], compare: list[str], starts, part: Column, name: str = "island") -> DataFrame:
+    """As islands(), with the rows of a key spread over parts, for keys that hold a large share of all rows.
+
+    part must rise with order within a key (a day, a chunk number). starts(previous) makes the condition from a struct of
+    the row before with the columns `compare`, null for the first row of a key. Parts are numbered side by side; what a
+    part needs from the ones before it, its last row and its count, comes from a table with a row for each part.
+    """
+    x = rows.withColumn("_part", part)
+    within = Window.partitionBy(*keys, "_part").orderBy(*order)
+    over_parts = Window.partitionBy(*keys).orderBy("_part")
+    last = x.groupBy(*keys, "_part").agg(F.max_by(F.struct(*compare), F.struct(*order)).alias("_last"))
+    x = x.join(last.select(*keys, "_part", F.lag("_last").over(over_parts).alias("_carry")), [*keys, "_part"])
+    x = x.withColumn("_before", F.coalesce(F.lag(F.struct(*compare)).over(within), "_carry"))
+    x = x.withColumn("_new", F.coalesce(starts(F.col("_before")), F.lit(True)).cast("int")).drop("_before", "_carry")
+    sums = x.groupBy(*keys, "_part").agg(F.sum("_new").alias("_sum"))
+    offsets = sums.select(*keys, "_part", (F.sum("_sum").over(over_parts.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("_sum")).alias("_offset"))
+    x = x.join(offsets, [*keys, "_part"])
+    running = F.sum("_new").over(within.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return x.withColumn(name, running + F.col("_offset")).drop("_new", "_part", "_offset")
+
+
+def speech_blocks(spoken: DataFrame, part: Column | None = None) -> DataFrame:
     """(rec_id, block, speaker, start, end, text, is_marker, segments) from spoken (rec_id, seq, start, end, speaker, text).
 
     Neighbours of one speaker are one block; a marker is a block of its own. A block ends where its last row ends, and
-    its text is that of its rows without a separator.
+    its text is that of its rows without a separator. With part, which rises with seq, long recordings are spread over
+    several tasks (see sliced_islands).
     """
     w = Window.partitionBy("rec_id").orderBy("seq")
     x = spoken.withColumn("is_marker", is_marker(F.col("text")))
-    same = F.col("speaker").eqNullSafe(F.lag("speaker").over(w)) & ~F.col("is_marker") & ~F.lag("is_marker").over(w)
-    x = islands(x, ["rec_id"], ["seq"], ~F.coalesce(same, F.lit(False)), "block")
+    same = lambda speaker, marker: F.coalesce(F.col("speaker").eqNullSafe(speaker) & ~F.col("is_marker") & ~marker, F.lit(False))
+    if part is None:
+        x = islands(x, ["rec_id"], ["seq"], ~same(F.lag("speaker").over(w), F.lag("is_marker").over(w)), "block")
+    else:
+        x = sliced_islands(x, ["rec_id"], ["seq"], ["speaker", "is_marker"], lambda before: ~same(before["speaker"], before["is_marker"]), part, "block")
     rows = F.array_sort(F.collect_list(F.struct("seq", "start", "end", F.coalesce("text", F.lit("")).alias("text"))))
     x = x.groupBy("rec_id", "block").agg(F.first("speaker").alias("speaker"), F.first("is_marker").alias("is_marker"), rows.alias("r"))
     return x.select("rec_id", "block", "speaker", F.get("r", F.lit(0))["start"].alias("start"), F.element_at("r", -1)["end"].alias("end"), F.array_join(F.col("r.text"), "").alias("text"), "is_marker", F.size("r").alias("segments"))
@@ -43,8 +68,11 @@ def chunk_number(middle: Column, total: Column, window: float, overlap: float) -
     return F.least(count - 1, F.greatest(F.lit(0), F.floor((middle - overlap / 2) / step))).cast("int")
 
 
-def sessions(rows: DataFrame, keys: list[str], time: Column, order: list, gap: float, name: str = "session") -> DataFrame:
-    """rows numbered by session; one starts where more than `gap` seconds have passed."""
+def sessions(rows: DataFrame, keys: list[str], time: Column, order: list, gap: float, name: str = "session", part: Column | None = None) -> DataFrame:
+    """rows numbered by session; one starts where more than `gap` seconds have passed. With part, see sliced_islands."""
+    if part is not None:
+        timed = rows.withColumn("_time", time)
+        return sliced_islands(timed, keys, order, ["_time"], lambda before: F.col("_time") - before["_time"] > gap, part, name).drop("_time")
     w = Window.partitionBy(*keys).orderBy(*order)
     return islands(rows, keys, order, time - F.lag(time).over(w) > gap, name)
 

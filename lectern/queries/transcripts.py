@@ -74,7 +74,7 @@ blocks as (select rec_id, block, min(speaker)::int speaker, arg_min(s, seq) as s
 
 @query(f'with {_BLOCKS} select rec_id, block, speaker, round(start, 6) as start, round("end", 6) as "end", text, is_marker, segments from blocks')
 def speech_blocks(spark, sf_dir):
-    return islands.speech_blocks(spoken(spark, sf_dir)).withColumns({"start": F.round("start", 6), "end": F.round("end", 6)})
+    return islands.speech_blocks(spoken(spark, sf_dir), F.floor(F.col("start") / 604800)).withColumns({"start": F.round("start", 6), "end": F.round("end", 6)})
 
 
 @query("""with f as (select user_id rec_id, event_type, min(event_id) i from events group by all)
@@ -94,7 +94,7 @@ def chunk_ownership(spark, sf_dir):
 @query("""with g as (select user_id, event_id, case when epoch_us(ts) - lag(epoch_us(ts)) over (partition by user_id order by event_id) <= 1800000000 then 0 else 1 end n from events)
 select user_id, event_id, sum(n) over (partition by user_id order by event_id rows unbounded preceding)::bigint as session from g""")
 def session_gap(spark, sf_dir):
-    return islands.sessions(table(spark, sf_dir, "events"), ["user_id"], seconds(), ["event_id"], 1800.0).select("user_id", "event_id", "session")
+    return islands.sessions(table(spark, sf_dir, "events"), ["user_id"], seconds(), ["event_id"], 1800.0, part=F.floor(seconds() / 604800)).select("user_id", "event_id", "session")
 
 
 @query(f"""with {_SPOKEN},

@@ -90,6 +90,19 @@ def test_speech_blocks(spark):
     assert [(g[2], g[3], g[4], g[5], g[6]) for g in got] == [(0, 0.0, 2.0, "ab", False), (0, 2.0, 3.0, "(此段轉錄異常 x", True), (0, 3.0, 4.0, "c", False), (-1, 4.0, 6.0, "d", False)]
 
 
+def test_sliced_islands_are_islands(spark):
+    r = random.Random(4)
+    rows = [(rec, seq, float(seq), float(seq + 1), r.choice([0, 0, 1, None]), r.choice(["a", "b", "(此段轉錄異常 x"])) for rec in range(3) for seq in range(80)]
+    df = spark.createDataFrame(rows, "rec_id long, seq long, start double, end double, speaker int, text string")
+    whole = sorted(map(str, islands.speech_blocks(df).collect()))
+    for width in (1, 7, 1000):
+        assert sorted(map(str, islands.speech_blocks(df, F.floor(F.col("seq") / width)).collect())) == whole
+    sparse = df.where("seq % 13 < 5")
+    a = islands.sessions(sparse, ["rec_id"], F.col("start"), ["seq"], 2.0)
+    b = islands.sessions(sparse, ["rec_id"], F.col("start"), ["seq"], 2.0, part=F.floor(F.col("seq") / 10))
+    assert sorted((x["rec_id"], x["seq"], x["session"]) for x in a.collect()) == sorted((x["rec_id"], x["seq"], x["session"]) for x in b.collect())
+
+
 def test_first_appearance_keeps_unknown(spark):
     rows = spark.createDataFrame([(1, i, s) for i, s in enumerate([5, -1, 2, 5, 9])], "rec_id long, seq long, label int")
     got = [r["number"] for r in islands.first_appearance(rows, ["rec_id"], F.col("seq"), "label", unknown=-1).orderBy("seq").collect()]
