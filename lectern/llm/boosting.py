@@ -6,7 +6,7 @@ BINS = 32
 
 
 class BoostedTrees:
-    """Trees of one depth stored as arrays; leaves hold log-odds."""
+    """Trees of one depth stored as arrays; leaves hold log-odds. Each tree draws its share of the features from a fixed seed."""
 
     def __init__(self, cuts: list[np.ndarray], feature: np.ndarray, bound: np.ndarray, leaf: np.ndarray, start: float):
         self.cuts, self.feature, self.bound, self.leaf, self.start = cuts, feature, bound, leaf, start
@@ -16,25 +16,27 @@ class BoostedTrees:
         return np.stack([np.searchsorted(c, x[:, j], side="left") for j, c in enumerate(cuts)], axis=1).astype(np.uint8)
 
     @classmethod
-    def fit(cls, x: np.ndarray, y: np.ndarray, weight: np.ndarray, trees: int = 60, depth: int = 4, rate: float = 0.25, least: float = 5.0, penalty: float = 1.0) -> "BoostedTrees":
+    def fit(cls, x: np.ndarray, y: np.ndarray, weight: np.ndarray, trees: int = 80, depth: int = 5, rate: float = 0.2, least: float = 5.0, penalty: float = 1.0, share: float = 1.0, seed: int = 1) -> "BoostedTrees":
         cuts = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, BINS + 1)[1:-1])) for j in range(x.shape[1])]
         b = cls._binned(x, cuts)
         n, width = b.shape
         inner = (1 << depth) - 1
         feature, bound, leaf = np.zeros((trees, inner), np.int64), np.full((trees, inner), 255, np.uint8), np.zeros((trees, inner + 1))
-        share = np.clip((weight * y).sum() / weight.sum(), 1e-3, 1 - 1e-3)
-        start = float(np.log(share / (1 - share)))
+        mean = np.clip((weight * y).sum() / weight.sum(), 1e-3, 1 - 1e-3)
+        start = float(np.log(mean / (1 - mean)))
+        draw = np.random.default_rng(seed)
         f = np.full(n, start)
         for t in range(trees):
             p = 1 / (1 + np.exp(-f))
             g, h = weight * (y - p), weight * p * (1 - p)
             at = np.zeros(n, np.int64)  # node within the level
+            use = np.sort(draw.choice(width, max(1, int(width * share)), replace=False))  # features of this tree
             for d in range(depth):
                 size, base = 1 << d, (1 << d) - 1
                 best, best_f, best_b = np.zeros(size), np.zeros(size, np.int64), np.full(size, 255, np.int64)
                 total_g, total_h = np.bincount(at, g, size), np.bincount(at, h, size)
                 whole = total_g**2 / (total_h + penalty)
-                for j in range(width):
+                for j in use:
                     key = at * BINS + b[:, j]
                     gl = np.cumsum(np.bincount(key, g, size * BINS).reshape(size, BINS), axis=1)[:, :-1]
                     hl = np.cumsum(np.bincount(key, h, size * BINS).reshape(size, BINS), axis=1)[:, :-1]

@@ -102,8 +102,10 @@ class Writer:
             elif r < 0.72:
                 text = self.prose(self.r.choice([1, 1, 2, 3, 5, 8, 15]))
                 out.append(f'<p {MARK}="1"><b>{text}<br>' if loose and self.r.random() < 0.3 else f'<p {MARK}="1">{text}' + ("" if loose and self.r.random() < 0.3 else "</p>"))
+            elif r < 0.76:
+                out.append(f'<p {MARK}="1">{self.phrase(1, 3, ".")}</p>')
             elif r < 0.78:
-                out.append(f'<p {MARK}="1">{self.phrase(1, 2, ".")}</p>')
+                out.append(f'<p {MARK}="1"><a href="/{self.r.choice(self.words)}">{self.phrase(1, 9, self.r.choice(["", "."]))}</a></p>')
             elif r < 0.84:
                 h = self.r.choice(["h2", "h2", "h3"])
                 out.append(f'<{h} {MARK}="1">{self.phrase(1, 8)}</{h}>')
@@ -121,7 +123,7 @@ class Writer:
         return out
 
     def page(self) -> str:
-        blocks = self.content(self.r.choice([1, 2, 3, 5, 8, 13, 20, 30]))
+        blocks = self.content(self.r.choice([1, 2, 2, 2, 3, 3, 4, 5, 8, 13, 25]))
         inside = [k for k in ("ad", "share", "notice", "sidebar", "form") if self.r.random() < 0.15]
         for k in inside:
             blocks.insert(self.r.randint(1, len(blocks)), self.boiler(k))
@@ -129,6 +131,8 @@ class Writer:
             blocks.append(self.boiler("comments"))
         tag = self.r.choice(["article", "article", "article", "main", "div", "section", "div"])
         text = f'<{tag}{self.attrs("article", always=tag == "div" and self.r.random() < 0.8)} {MARK}="1">{"".join(blocks)}</{tag}>'
+        if self.r.random() < 0.1:  # blocks right in the body
+            text = "".join(blocks)
         for _ in range(self.r.choice([0, 0, 1, 2])):
             wrap = self.r.choice(["div", "main", "section", "div"])
             text = f'<{wrap}{self.attrs(self.r.choice(["article", "wrap", "wrap"]))} {MARK}="1">{text}</{wrap}>'
