@@ -50,7 +50,7 @@ def cohesion_weighted(spark, sf_dir):
     return intervals.cohesion(segments(spark, sf_dir), turns(spark, sf_dir)).select("rec_id", "seq", F.round("cohesion", 6).alias("cohesion"))
 
 
-@query("select conv_id rec_id, turn seq, turn * 12.5 as start, coalesce(lead(turn * 12.5) over (partition by conv_id order by turn), turn * 12.5 + 30) as \"end\" from conversations")
+@query("select conv_id rec_id, turn seq, (turn * 12.5)::double as start, coalesce(lead(turn * 12.5) over (partition by conv_id order by turn), turn * 12.5 + 30)::double as \"end\" from conversations")
 def block_bounds(spark, sf_dir):
     x = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("rec_id"), F.col("turn").alias("seq"), (F.col("turn") * 12.5).alias("start"))
     return intervals.block_bounds(x)
