@@ -27,8 +27,8 @@ def near_dedup(spark, docs, sf_dir):
 
 def suffix_dedup(spark, docs, sf_dir):
     """Texts without the passages that repeat; documents of which nothing is left go."""
-    left = suffixes.remove_repeats(docs).withColumn("text", F.expr("validate_utf8(string(kept))"))
-    return left.where("n_bytes > n_removed").withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+    left = suffixes.remove_repeats(docs, text=True).withColumn("text", F.col("kept_text"))
+    return left.where("text <> ''").withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def mix_sources(spark, docs, sf_dir):

@@ -17,7 +17,7 @@ a single string, whose group has a single piece.
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.types import BinaryType, LongType, StructField, StructType
+from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
 from lectern.llm.common import flat_bytes, mix64, partitions, record_batch, slices, table, written
 
@@ -295,19 +295,21 @@ def repeats(docs: DataFrame, length: int = LENGTH, max_group: int = MAX_GROUP) -
     return spans.groupBy("rid").agg(F.flatten(F.collect_list("runs")).alias("spans"))
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, max_group: int = MAX_GROUP) -> DataFrame:
-    """docs with columns kept (binary: the bytes that stay), n_bytes, n_removed, n_spans.
+def remove_repeats(docs: DataFrame, length: int = LENGTH, max_group: int = MAX_GROUP, text: bool = False) -> DataFrame:
+    """docs with columns kept (binary: the bytes that stay), n_bytes, n_removed, n_spans; with text, kept_text too.
+
+    kept_text is kept as text: where a removed string begins or ends within a character, the rest of it goes too.
 
     A byte goes if a `length`-byte string that covers it also starts anywhere else in the table, the same text
     included. Null texts count as empty. docs must be read from files, so that a second scan numbers its rows
     alike. Columns of these names in docs are replaced.
     """
-    names = ["kept", "n_bytes", "n_removed", "n_spans"]
+    names = ["kept", "n_bytes", "n_removed", "n_spans", *(["kept_text"] if text else [])]
     docs = docs.drop(*names, "rid").withColumn("rid", F.monotonically_increasing_id())
     spans = repeats(docs.select("rid", "text"), length, max_group)
     x = docs.join(spans.hint("shuffle_hash"), "rid", "left").drop("rid").withColumn("_raw", F.coalesce(F.col("text").cast("binary"), F.lit(b"")))
     keep = [f for f in x.schema.fields if f.name not in ("spans", "_raw")]
-    kinds = [pa.binary(), pa.int64(), pa.int64(), pa.int64()]
+    kinds = [pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
 
     def run(batches):
         for batch in slices(batches, "_raw"):
@@ -328,9 +330,12 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, max_group: int = MAX_G
                         last = hi
                 kept.append(raw[last:])
                 rows.append((b"".join(kept), len(raw), gone, count))
-            yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in keep), *(pa.array(c, t) for c, t in zip(zip(*rows), kinds))], names=[f.name for f in keep] + names)
+            columns = list(zip(*rows))
+            if text:
+                columns.append([b.decode("utf-8", "ignore") for b in columns[0]])
+            yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in keep), *(pa.array(c, t) for c, t in zip(columns, kinds))], names=[f.name for f in keep] + names)
 
-    return x.mapInArrow(run, StructType([*keep, StructField("kept", BinaryType()), *(StructField(n, LongType()) for n in names[1:])]))
+    return x.mapInArrow(run, StructType([*keep, StructField("kept", BinaryType()), *(StructField(n, LongType()) for n in names[1:4]), *(StructField(n, StringType()) for n in names[4:])]))
 
 
 def query(spark, sf_dir):

@@ -72,6 +72,14 @@ def test_repeats_of_the_query(spark, sf_dir):
         assert (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) == (n, gone, spans, hashlib.sha256(kept).hexdigest())
 
 
+def test_text_without_broken_characters(stored):
+    """Equal first bytes of different characters are cut off with what repeats before them."""
+    shared = "x" * 40
+    docs = stored([(1, shared + "é one"), (2, shared + "è two"), (3, None)], "doc_id long, text string")
+    got = {r["doc_id"]: (bytes(r["kept"]), r["kept_text"]) for r in suffixes.remove_repeats(docs, 32, text=True).collect()}
+    assert got == {1: (b"\xa9 one", " one"), 2: (b"\xa8 two", " two"), 3: (b"", "")}
+
+
 def test_repeats_of_nothing(stored):
     assert suffixes.remove_repeats(stored([], "doc_id long, text string")).count() == 0
 

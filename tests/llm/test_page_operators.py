@@ -174,10 +174,10 @@ def test_pipeline_stages(spark, tmp_path):
             roots = plain_components(ids, [plain_fingerprint(r["text"]) for r in before])
             assert sorted(r["doc_id"] for r in after) == sorted(set(roots))
         elif name == "suffix_dedup":
-            want = {r["doc_id"]: w[3] for r, w in zip(before, removed_plainly([r["text"] for r in before], 400)) if w[3]}
+            want = {r["doc_id"]: w[3] for r, w in zip(before, removed_plainly([r["text"] for r in before], 400)) if w[3].decode("utf-8", "ignore")}
             assert {r["doc_id"] for r in after} == set(want)
             for r in after:
-                assert r["text"] == want[r["doc_id"]].decode("utf-8", "replace") and r["n_chars"] == len(r["text"])
+                assert r["text"] == want[r["doc_id"]].decode("utf-8", "ignore") and r["n_chars"] == len(r["text"])
         elif name == "mix_sources":
             copies = Counter(r["doc_id"] for r in after)
             assert max(copies.values()) <= 2
