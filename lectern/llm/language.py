@@ -15,8 +15,10 @@ from lectern.llm.common import flat_bytes, mix64, record_batch, slices, table, t
 
 ORDERS = (1, 2, 3, 4)
 DIMS = 1 << 15
-#: Bounds of what is fitted: labelled rows for each language, landmarks in all, languages, code points of a labelled text.
-TRAIN_PER_LANGUAGE, LANDMARKS, MAX_LANGUAGES = 400, 160, 200
+#: Bounds of what is fitted: labelled rows for each language and in all, landmarks in all, languages.
+TRAIN_PER_LANGUAGE, TRAIN_ROWS, LANDMARKS, MAX_LANGUAGES = 400, 4000, 160, 200
+#: Texts whose n-grams are held at once while fitting.
+_BLOCK = 128
 RIDGE = 0.02
 UNKNOWN = "und"
 #: Scores go through a softmax of this steepness.
@@ -76,11 +78,21 @@ class Classifier:
         if not languages:
             return cls([], np.zeros((DIMS, 0), np.float32))
         y = np.array([languages.index(lang) for _, lang in rows])
-        x, _ = presence([t for t, _ in rows])
-        x /= np.sqrt(np.maximum(x.sum(axis=1, keepdims=True), 1.0))
-        turns = sorted(range(len(rows)), key=lambda i: (int((y[:i] == y[i]).sum()), y[i]))
-        at = turns[:landmarks]
-        knm = x @ x[at].T
+        texts_ = [t for t, _ in rows]
+
+        def unit(values: list[str]) -> np.ndarray:
+            x, _ = presence(values)
+            x /= np.sqrt(np.maximum(x.sum(axis=1, keepdims=True), 1.0))
+            return x
+
+        seen: dict[int, int] = {}
+        turn = []
+        for k in y.tolist():
+            turn.append(seen.get(k, 0))
+            seen[k] = turn[-1] + 1
+        at = sorted(range(len(rows)), key=lambda i: (turn[i], y[i]))[: max(landmarks, len(languages))]
+        marks = unit([texts_[i] for i in at])
+        knm = np.concatenate([unit(texts_[a : a + _BLOCK]) @ marks.T for a in range(0, len(rows), _BLOCK)])
         val, vec = np.linalg.eigh(knm[at].astype(np.float64))
         keep = val > 1e-6 * max(val.max(), 1e-12)
         half = vec[:, keep] / np.sqrt(val[keep])  # Nyström: K_mm^(-1/2)
@@ -92,7 +104,7 @@ class Classifier:
         penalty = ridge * len(rows) * np.eye(phi.shape[1]) / phi.shape[1]
         penalty[-1, -1] = 1e-6
         beta = np.linalg.solve(phi.T @ (w * phi) + penalty, phi.T @ (w * goal))
-        model = cls(languages, (x[at].T @ (half @ beta[:-1])).astype(np.float32))
+        model = cls(languages, (marks.T @ (half @ beta[:-1])).astype(np.float32))
         model.bias = beta[-1]
         return model
 
@@ -118,14 +130,19 @@ def held_out():
     return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
 
 
-def labelled_sample(docs: DataFrame, per_language: int = TRAIN_PER_LANGUAGE, max_languages: int = MAX_LANGUAGES) -> list[tuple[str, str]]:
-    """At most per_language labelled texts of each language, chosen by a hash of doc_id, for the driver.
+def labelled_sample(docs: DataFrame, per_language: int = TRAIN_PER_LANGUAGE, max_languages: int = MAX_LANGUAGES, max_rows: int = TRAIN_ROWS) -> list[tuple[str, str]]:
+    """At most per_language labelled texts of each language, and about max_rows in all, chosen by a hash of doc_id, for the driver.
 
     Languages are ranked by their number of rows; past max_languages they are not learned.
     """
     rows = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") > 0))
     h = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(1 << 40))
     sizes = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_languages)
+    counted = sizes.collect()  # a row for each language
+    if not counted:
+        return []
+    per_language = min(per_language, max(1, max_rows // len(counted)))
+    sizes = docs.sparkSession.createDataFrame([(r["lang"], r["n"]) for r in counted], "lang string, n long")
     near = sizes.select(F.col("lang").alias("l"), F.least(F.lit(float(1 << 40)), F.lit(float(1 << 40)) * (1.5 * per_language + 50) / F.col("n")).alias("below"))
     ids = rows.select("doc_id", "lang", h.alias("h")).join(F.broadcast(near), F.col("lang") == F.col("l")).where("h < below")
     nth = Window.partitionBy("lang").orderBy("h", "doc_id")
