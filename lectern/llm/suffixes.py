@@ -261,7 +261,9 @@ def repeats(docs: DataFrame, length: int = LENGTH, max_group: int = MAX_GROUP) -
     cuts = written(raw.mapInArrow(cut, "rid long, start int, n int, k long, p long, shift int"), "pieces")
     kinds = cuts.groupBy("k", "p").agg(F.count("*").alias("copies"))
     keys = kinds.groupBy("k").agg(F.count("*").alias("kinds"), F.sum("copies").alias("total")).where("total > 1")
-    members = written(cuts.join(kinds, ["k", "p"]).join(keys, "k").select("rid", "start", "n", "k", "p", "shift", "kinds", "copies"), "members")
+    # one join on (k, p), whose large groups can be split; a join on k alone would meet a frequent anchor's pieces in one task
+    live = written(kinds.join(keys, "k").select("k", "p", "kinds", "copies"), "live")
+    members = written(cuts.join(live, ["k", "p"]).select("rid", "start", "n", "k", "p", "shift", "kinds", "copies"), "members")
     # equal wholes of an anchor with no other piece: every start repeats
     found = members.where("kinds = 1").groupBy("k", "p").agg(F.lit(0).alias("lo"), (F.max("n") - 1).alias("hi"))
     one = members.where("kinds > 1").groupBy("k", "p").agg(F.min(F.struct("rid", "start", "n", "shift")).alias("one"), F.first("kinds").alias("kinds"), F.first("copies").alias("copies"))
@@ -276,8 +278,8 @@ def repeats(docs: DataFrame, length: int = LENGTH, max_group: int = MAX_GROUP) -
         finer = written(_finer(hot, grid, length), "finer")
         kinds = finer.groupBy("k", "p").agg(F.sum("copies").alias("copies"), F.min(F.struct("k0", "p0", "off")).alias("one"))
         keys = kinds.groupBy("k").agg(F.count("*").alias("kinds"), F.sum("copies").alias("total")).where("total > 1")
-        live = written(kinds.join(keys, "k"), "live")
-        chosen = live.select("k", "p", "kinds", F.col("copies").alias("sum"), "one.*").hint("shuffle_hash")
+        live_cuts = written(kinds.join(keys, "k"), "live")
+        chosen = live_cuts.select("k", "p", "kinds", F.col("copies").alias("sum"), "one.*").hint("shuffle_hash")
         ones = finer.drop("copies").join(chosen, ["k", "p", "k0", "p0", "off"]).withColumnRenamed("sum", "copies")
         ones = written(ones.select("k", "p", "n", "copies", "shift", "kinds", "piece"), "ones")
         last = grid == GRIDS[-1]
@@ -290,7 +292,8 @@ def repeats(docs: DataFrame, length: int = LENGTH, max_group: int = MAX_GROUP) -
         up = names.join(small, ["k", "p"]).select(F.col("k0").alias("k"), F.col("p0").alias("p"), (F.col("off") + F.col("lo")).alias("lo"), (F.col("off") + F.col("hi")).alias("hi"))
     if up is not None:
         found = found.unionByName(up)
-    found = found.groupBy("k", "p").agg(F.collect_list(F.struct("lo", "hi")).alias("runs"))
+    # written, so that the join has an exchange on both sides and large groups of equal pieces can be split
+    found = written(found.groupBy("k", "p").agg(F.collect_list(F.struct("lo", "hi")).alias("runs")), "found")
     spans = members.select("rid", "start", "k", "p").join(found, ["k", "p"]).select("rid", F.expr("transform(runs, r -> struct(start + r.lo as lo, start + r.hi as hi))").alias("runs"))
     return spans.groupBy("rid").agg(F.flatten(F.collect_list("runs")).alias("spans"))
 
