@@ -103,15 +103,26 @@ def repeated_phrase_turned(spark, sf_dir):
     return repeats.repeated_phrases(_chants(spark, sf_dir)).where("phrase in ('view', 'signup', 'error', 'click')")
 
 
+def _tracks(spark, sf_dir):
+    """Views as the microphone's segments and clicks as the system's, a day long each."""
+    s = seconds()
+    said = F.concat(F.replace("event_type", F.lit("click"), F.lit("view")), "props")
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("rec_id"), F.col("event_id").alias("seq"), s.alias("start"), (s + 86400).alias("end"), "event_type", said.alias("text"))
+    return e.where("event_type = 'view'"), e.where("event_type = 'click'")
+
+
 @query("""with s as (select user_id rec_id, event_id seq, epoch_us(ts) / 1e6 s, epoch_us(ts) / 1e6 + 86400 e, event_type, lower(regexp_replace(replace(event_type, 'click', 'view') || props, '[\\W_]+', '', 'g')) t from events),
 n as (select a.rec_id, a.seq, any_value(a.t) mine, string_agg(b.t, '' order by b.s, b.seq) said from s a join s b on a.rec_id = b.rec_id and a.s - 2 <= b.e and b.s <= a.e + 2 where a.event_type = 'view' and b.event_type = 'click' group by a.rec_id, a.seq)
 select rec_id, seq from n where contains(said, mine)""")
 def echo_inside(spark, sf_dir):
-    """Views that the clicks of the same day repeat."""
-    s = seconds()
-    said = F.concat(F.replace("event_type", F.lit("click"), F.lit("view")), "props")
-    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("rec_id"), F.col("event_id").alias("seq"), s.alias("start"), (s + 86400).alias("end"), "event_type", said.alias("text"))
-    return repeats.echoes(e.where("event_type = 'view'"), e.where("event_type = 'click'"), ratio=1.0, bucket=86400.0)
+    """Views whose text is within what the clicks of the same day say: the half of the method that SQL can express."""
+    return repeats.echoes(*_tracks(spark, sf_dir), ratio=1.0, bucket=86400.0)
+
+
+@query()
+def echo_near(spark, sf_dir):
+    """Views that the clicks of the same day repeat, alike or within; SQL has no Ratcliff-Obershelp ratio."""
+    return repeats.echoes(*_tracks(spark, sf_dir), bucket=86400.0)
 
 
 @query("""with n as (select item_id, regexp_replace(text, '[\\s\\\\]+', '', 'g') s from benchmark), d as (select regexp_replace(text, '[\\s\\\\]+', '', 'g') s from documents)
