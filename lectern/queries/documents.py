@@ -89,18 +89,26 @@ b as (select *, row_number() over (partition by doc_id, n order by cnt desc, p)
 s as (select *, row_number() over (partition by doc_id order by cnt * n desc, n) w from b where r = 1 and cnt >= 8)"""
 
 
-def _chants(spark, sf_dir):
-    return table(spark, sf_dir, "events").select(F.col("event_id").alias("doc_id"), F.concat(F.repeat(F.col("event_type"), F.lit(9)), (F.col("event_id") % 10).cast("string")).alias("text"))
+def _chants(events):
+    return events.select(F.col("event_id").alias("doc_id"), F.concat(F.repeat(F.col("event_type"), F.lit(9)), (F.col("event_id") % 10).cast("string")).alias("text"))
 
 
 @query(f"with {_GRAMS} select doc_id, phrase, cnt as count from s where w = 1")
 def repeated_phrase_top(spark, sf_dir):
-    return repeats.best_phrase(repeats.ngram_coverage(_chants(spark, sf_dir), F.col("text")))
+    return repeats.best_phrase(repeats.ngram_coverage(_chants(table(spark, sf_dir, "events")), F.col("text")))
 
 
 @query("select event_id as doc_id, event_type as phrase from events where length(event_type) <= 6")
 def repeated_phrase_turned(spark, sf_dir):
-    return repeats.repeated_phrases(_chants(spark, sf_dir)).where("phrase in ('view', 'signup', 'error', 'click')")
+    """Phrases of the short texts, whose period fits an n-gram."""
+    e = table(spark, sf_dir, "events").where(F.length("event_type") <= 6)
+    return repeats.repeated_phrases(_chants(e))
+
+
+@query()
+def repeated_phrase_all(spark, sf_dir):
+    """Phrases of all texts; the SQL of long ones would be the operator's steps again."""
+    return repeats.repeated_phrases(_chants(table(spark, sf_dir, "events")))
 
 
 def _tracks(spark, sf_dir):

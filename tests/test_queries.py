@@ -36,3 +36,32 @@ def test_echo_near(spark, tmp_path):
     assert {tuple(r) for r in documents.QUERIES["echo_near"](spark, sf).collect()} == want | inside_only
     assert {tuple(r) for r in documents.QUERIES["echo_inside"](spark, sf).collect()} == inside_only
     assert want - inside_only and (50, len(rows) - 6) in want and {u for u, _ in want}.isdisjoint({51, 52})
+
+
+def plain_phrase(text):
+    """The n-gram of 2 to 6 with the greatest count * n, at its shortest period, turned to where it comes doubled; None if it comes under 8 times."""
+    marks, best = ",。、?!;:.!?;: ", None
+    for n in range(2, 7):
+        grams = [text[i : i + n] for i in range(len(text) - n + 1)]
+        counts = {g: sum(x == g for x in grams) for g in grams}
+        if grams:
+            g = max(counts, key=lambda g: (counts[g], -grams.index(g)))
+            if counts[g] >= 8 and (best is None or counts[g] * n > best[0]):
+                best = (counts[g] * n, g)
+    if best is None:
+        return None
+    p = best[1]
+    n = min(k for k in range(1, len(p) + 1) if (p[:k] * len(p))[: len(p)] == p)
+    fit = [r for r in (p[i:n] + p[:n][:i] for i in range(n)) if r[0] not in marks and r * 2 in text]
+    fit = [r for r in fit if r[-1] in marks] or fit
+    return (min(fit, key=lambda r: text.find(r * 2)) if fit else p[:n]).strip(marks)
+
+
+def test_repeated_phrase_all(spark, tmp_path):
+    kinds = ["view", "purchase", "signup", "a", "no, ", "error", "purchase", "annotation", "x"]
+    sf, all_ = events(spark, tmp_path, [(i, i, k, "") for i, k in enumerate(kinds * 3)])
+    want = {i: p for i, _, _, k, *_ in all_ if (p := plain_phrase(k * 9 + str(i % 10))) is not None}
+    assert {tuple(r) for r in documents.QUERIES["repeated_phrase_all"](spark, sf).collect()} == set(want.items())
+    assert all(i in want for i, k in enumerate(kinds * 3) if k == "purchase") and want[1] == "purcha"
+    turned = {tuple(r) for r in documents.QUERIES["repeated_phrase_turned"](spark, sf).collect()}
+    assert turned == {(i, p) for i, p in want.items() if len(all_[i][3]) <= 6}
