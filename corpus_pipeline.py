@@ -18,11 +18,19 @@ def language_id(spark, docs, sf_dir):
 
 
 def near_dedup(spark, docs, sf_dir):
-    """One document of each SimHash component: the one with the smallest doc_id (of its rows, one)."""
-    found = simhash.near_duplicates(docs)
-    keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
-    first = docs.join(keep, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    return first.dropDuplicates(["doc_id"]).select(*COLUMNS)
+    """One document of each SimHash component: the one with the smallest doc_id, by digest of equal ids; null ids come last.
+
+    A document is told by its id, the digest of its text and a hash of its other columns, so that one of several with a
+    null or repeated id neither brings others along nor takes their place.
+    """
+    key = ["_none", "_id", "_digest", "_rest"]
+    none = F.col("doc_id").isNull()
+    told = docs.select(*COLUMNS, none.alias("_none"), F.when(none, 0).otherwise(F.col("doc_id")).cast("long").alias("_id"), F.md5(F.coalesce("text", F.lit(""))).alias("_digest"), F.xxhash64(F.col("text").isNull(), "lang", "source", "n_chars").alias("_rest"))
+    found = simhash.near_duplicates(told, carry=("_digest", "_rest"))
+    lost = F.col("doc_id").isNull()
+    first = found.groupBy("root").agg(F.min(F.struct(lost.alias("_none"), F.when(lost, 0).otherwise(F.col("doc_id")).cast("long").alias("_id"), "_digest", "_rest")).alias("k"))
+    # equal rows meet before the join, so that a hot one is one row for each task
+    return told.dropDuplicates(key).join(first.select("k.*"), key, "left_semi").select(*COLUMNS)
 
 
 def suffix_dedup(spark, docs, sf_dir):

@@ -65,16 +65,18 @@ def fingerprint_all(values: list[str], shingle: int = SHINGLE, seed: int = 42) -
     return out
 
 
-def fingerprints(docs: DataFrame, text: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, fp (64 bits as a signed long) for each row; a null text has no words."""
-    schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
+def fingerprints(docs: DataFrame, text: str = "text", shingle: int = SHINGLE, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, fp (64 bits as a signed long) and the columns `carry` for each row; a null text has no words."""
+    fixed = [("doc_id", pa.int64()), ("fp", pa.int64())]
 
     def run(batches):
         for b in slices(batches, "text"):
             fps = fingerprint_all(texts(b), shingle).view(np.int64)
-            yield record_batch(schema, b.column("doc_id").cast(pa.int64()), pa.array(fps))
+            schema = pa.schema([*fixed, *[b.schema.field(c) for c in carry]])
+            yield record_batch(schema, b.column("doc_id").cast(pa.int64()), pa.array(fps), *[b.column(c) for c in carry])
 
-    return docs.select("doc_id", F.col(text).alias("text")).mapInArrow(run, "doc_id long, fp long")
+    rest = docs.select(*carry)
+    return docs.select("doc_id", F.col(text).alias("text"), *carry).mapInArrow(run, ", ".join(["doc_id long, fp long", *[f"{c} {kind}" for c, kind in rest.dtypes]]))
 
 
 class Forest:
@@ -236,20 +238,21 @@ def links(fps: DataFrame, radius: int = RADIUS, max_shard: int = MAX_SHARD) -> D
     return dealt.mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, max_shard: int = MAX_SHARD) -> DataFrame:
-    """doc_id, fp, component_id for each row of docs; component_id is the smallest doc_id that the row reaches.
+def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, max_shard: int = MAX_SHARD, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, fp, component_id, root and `carry` for each row of docs; component_id is the smallest doc_id that the row reaches.
 
     Rows link if their fingerprints differ in at most `radius` bits; equal texts always do. Null texts and texts
     without words have fingerprint zero. Null ids are left out of the minimum (a component of null ids alone has a
-    null component_id). Columns other than doc_id and text are left out.
+    null component_id); root, the smallest fingerprint of a component, tells all components apart. Columns other than
+    doc_id, text and those in `carry` are left out.
     """
-    rows = written(fingerprints(docs, shingle=shingle), "fp")
+    rows = written(fingerprints(docs, shingle=shingle, carry=carry), "fp")
     fps = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
     tree = components(links(fps.select("fp"), radius, max_shard))
     reached = fps.join(tree, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     lowest = reached.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = written(reached.join(lowest, "root").select(F.col("fp").alias("k"), "component_id"), "named")
-    return rows.join(named, F.col("fp") == F.col("k")).select("doc_id", "fp", "component_id")
+    named = written(reached.join(lowest, "root").select(F.col("fp").alias("k"), "component_id", "root"), "named")
+    return rows.join(named, F.col("fp") == F.col("k")).select("doc_id", "fp", "component_id", "root", *carry)
 
 
 def query(spark, sf_dir):

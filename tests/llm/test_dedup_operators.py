@@ -1,11 +1,13 @@
 """Suffix arrays, SimHash and Hamming search against brute force."""
 
+import hashlib
 import random
 
 import numpy as np
 import pytest
 import xxhash
 
+import corpus_pipeline
 from lectern.llm import hamming, simhash, suffixes
 from lectern.llm.common import table
 from lectern.llm.components import components
@@ -185,3 +187,22 @@ def test_search_finds_fewer_rows_than_asked_for(spark):
 def test_sign_codes_edges(spark):
     v = spark.createDataFrame([([1.0, -1.0, float("nan"), None, 2.0],), ([],), (None,), ([1.0] * 64,)], "embedding array<float>")
     assert [r["code"] for r in hamming.sign_codes(v).collect()] == [0b10001, None, None, -1]
+
+
+def test_near_dedup_null_and_repeated_ids(spark, tmp_path):
+    """A null or repeated id drops no other component's document, and each component keeps one row."""
+    r = random.Random(7)
+    word = lambda: "".join(r.choices("abcdefgh", k=7))
+    base = [" ".join(word() for _ in range(60)) for _ in range(14)]
+    rows = [(None, t, "en", "s", 1) for t in base[:6]] * 2 + [(None, base[0], "en", "t", 1), (None, None, "en", "s", 0), (None, "", "en", "s", 0)]
+    rows += [(7, t, "en", "s", 1) for t in base[6:9]] + [(7, base[6], "de", "s", 1), (3, base[9], "en", "s", 1), (7, base[9], "en", "s", 1)]
+    rows += [(None, base[10], "en", "s", 1), (0, base[10], "en", "s", 1), (0, base[11], "en", "s", 1), (None, base[11] + " tail", "en", "s", 1)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "d"))
+    got = [tuple(x) for x in corpus_pipeline.near_dedup(spark, spark.read.parquet(str(tmp_path / "d")), str(tmp_path)).collect()]
+    roots = plain_components(range(len(rows)), [plain_fingerprint(x[1] or "") for x in rows])
+    groups = {}
+    for x, root in zip(rows, roots):
+        groups.setdefault(root, []).append(x)
+    assert len(got) == len(groups) and len({x[1] or "" for x in got}) == len(got)
+    rank = lambda x: (x[0] is None, x[0] or 0, hashlib.md5((x[1] or "").encode()).hexdigest())
+    assert {rank(x) for x in got} == {min(map(rank, g)) for g in groups.values()} and set(got) <= set(rows)
