@@ -1,8 +1,9 @@
 """Voices by name: nearest samples with margins, suspects, duplicates, retention.
 
 A library is (seq, name, vec) with seq as age. Vectors have unit length. Queries and
-library meet in shards of the library, dealt by name; each task multiplies matrices
-and returns the names near the top, so that rows do not grow with all pairs.
+library meet in shards of the library, dealt by sample so that a name of any size is
+spread; each task multiplies matrices and returns the names near the top, so that rows
+do not grow with all pairs.
 """
 
 import numpy as np
@@ -20,13 +21,14 @@ def name_scores(queries: DataFrame, library: DataFrame, margin: float = MARGIN,
     """(query, name, score, first_seq): the best cosine of each query (query, vec[, own_seq, own_name]) with a name's samples.
 
     Each shard returns the names within `margin` of its best one for the query, at least `least_names` of them and the
-    query's own name, so that what is within the margin of the best of all is complete. A sample with seq own_seq is
+    query's own name, so that what is within the margin of the best of all is complete; a name's shards are then put
+    together. A name that comes back from some of its shards only is neither near the best nor among the first. A sample with seq own_seq is
     skipped. Vectors of other lengths than the query's, and null vectors, are left out.
     """
     own = [c for c in ("own_seq", "own_name") if c in queries.columns]
     shards = max(1, -(-library.count() // shard))
     null = lambda kind: F.lit(None).cast(kind)
-    deal = F.pmod(F.xxhash64("name"), F.lit(shards)).cast("int")
+    deal = F.pmod(F.xxhash64("name", "seq"), F.lit(shards)).cast("int")
     held = library.where("vec is not null").select(deal.alias("shard"), null("long").alias("query"), null("long").alias("own_seq"), null("string").alias("own_name"), "name", "seq", F.transform("vec", lambda x: x.cast("double")).alias("vec"))
     sent = queries.where("vec is not null").select(
         F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.col("query").cast("long"), F.col("own_seq").cast("long") if "own_seq" in own else null("long").alias("own_seq"), F.col("own_name") if "own_name" in own else null("string").alias("own_name"), null("string").alias("name"), null("long").alias("seq"), F.transform("vec", lambda x: x.cast("double")).alias("vec")
@@ -64,7 +66,9 @@ def name_scores(queries: DataFrame, library: DataFrame, margin: float = MARGIN,
                 out.append(pd.DataFrame({"query": g["query"].to_numpy(np.int64)[q], "name": names[c], "score": best[q, c], "first_seq": first[q, c]}))
         return pd.concat(out) if out else pd.DataFrame({"query": pd.Series(dtype="int64"), "name": pd.Series(dtype=str), "score": pd.Series(dtype=float), "first_seq": pd.Series(dtype="int64")})
 
-    return both.groupBy("shard", "part").applyInPandas(task, "query long, name string, score double, first_seq long")
+    found = both.groupBy("shard", "part").applyInPandas(task, "query long, name string, score double, first_seq long")
+    best = F.max(F.struct("score", (-F.col("first_seq")).alias("at"))).alias("b")
+    return found.groupBy("query", "name").agg(best).select("query", "name", "b.score", (-F.col("b.at")).alias("first_seq"))
 
 
 def ranked(scores: DataFrame) -> DataFrame:

@@ -177,6 +177,21 @@ def test_matching(spark, shard, monkeypatch):
         assert calls.get(s, []) == ([n for x, _, n in r if r[0][0] - x < 0.1 and n != "p1"][:3] if near else [])
 
 
+def test_hot_name_is_spread(spark):
+    """A name with most samples goes to several tasks, and its score is the best of them all."""
+    lib = [(s, "hot" if s % 8 else n, v) for s, n, v in voice_library(3)]
+    asked = voice_library(4, 12)
+    q, l = spark.createDataFrame([(s, v) for s, _, v in asked], "query long, vec array<double>"), spark.createDataFrame(lib, LIB)
+    got = {(r["query"], r["name"]): (r["score"], r["first_seq"]) for r in identity.name_scores(q, l, shard=10).collect()}
+    for s, _, v in asked:
+        ranks = plain_ranked(v, lib)
+        for i, (score, seq, name) in enumerate(ranks):
+            if i < 3 or score >= ranks[0][0] - 0.1:
+                assert got[s, name] == (pytest.approx(score), seq)
+    plan = identity.name_scores(q, l, shard=10)._jdf.queryExecution().toString()
+    assert "xxhash64(name#" in plan and ", seq#" in plan.split("xxhash64(name#", 1)[1][:30]
+
+
 def test_suspects_and_sweep(spark):
     lib = voice_library(5)
     l = spark.createDataFrame(lib, LIB)
