@@ -304,11 +304,12 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, max_group: int = MAX_G
     kept_text is kept as text: where a removed string begins or ends within a character, the rest of it goes too.
 
     A byte goes if a `length`-byte string that covers it also starts anywhere else in the table, the same text
-    included. Null texts count as empty. docs must be read from files, so that a second scan numbers its rows
-    alike. Columns of these names in docs are replaced.
+    included. Null texts count as empty. Rows are numbered once, in a table that all later steps read, so that
+    neither a lost executor nor another split of the input shifts the numbers. Columns of these names in docs are
+    replaced.
     """
     names = ["kept", "n_bytes", "n_removed", "n_spans", *(["kept_text"] if text else [])]
-    docs = docs.drop(*names, "rid").withColumn("rid", F.monotonically_increasing_id())
+    docs = written(docs.drop(*names, "rid").withColumn("rid", F.monotonically_increasing_id()), "numbered")
     spans = repeats(docs.select("rid", "text"), length, max_group)
     x = docs.join(spans.hint("shuffle_hash"), "rid", "left").drop("rid").withColumn("_raw", F.coalesce(F.col("text").cast("binary"), F.lit(b"")))
     keep = [f for f in x.schema.fields if f.name not in ("spans", "_raw")]

@@ -82,6 +82,32 @@ def test_text_without_broken_characters(stored):
     assert got == {1: (b"\xa9 one", " one"), 2: (b"\xa8 two", " two"), 3: (b"", "")}
 
 
+def test_repeats_when_scans_are_split_anew(spark, tmp_path, monkeypatch):
+    """Each later scan is split in another way, as when executors come and go."""
+    texts = planted(13, 60)
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows.repartition(9).write.parquet(str(tmp_path / "d"))
+    plain, n = suffixes.written, 0
+
+    def other_split(df, name):
+        nonlocal n
+        n += 1
+        out = plain(df, name)
+        spark.conf.set("spark.sql.leafNodeDefaultParallelism", str(1 + n % 5))
+        spark.conf.set("spark.sql.files.maxPartitionBytes", str(20_000 * (1 + n % 3)))
+        return out
+
+    monkeypatch.setattr(suffixes, "written", other_split)
+    try:
+        got = {r["doc_id"]: r for r in suffixes.remove_repeats(spark.read.parquet(str(tmp_path / "d")), 32).collect()}
+    finally:
+        spark.conf.unset("spark.sql.leafNodeDefaultParallelism")
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    want = removed_plainly(texts, 32)
+    for i, (size, gone, spans, kept) in enumerate(want):
+        assert (got[i]["n_bytes"], got[i]["n_removed"], got[i]["n_spans"], bytes(got[i]["kept"])) == (size, gone, spans, kept)
+
+
 def test_repeats_of_nothing(stored):
     assert suffixes.remove_repeats(stored([], "doc_id long, text string")).count() == 0
 
