@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from lectern.llm import bpe, language, mixing, simhash, suffixes
 from lectern.llm.common import table, written
 
+#: Bytes of a repeated passage: over 50 words have more, unless they are of two or three letters on average.
+PASSAGE = 200
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
@@ -35,7 +37,7 @@ def near_dedup(spark, docs, sf_dir):
 
 def suffix_dedup(spark, docs, sf_dir):
     """Texts without the passages that repeat; documents of which nothing is left go."""
-    left = suffixes.remove_repeats(docs, text=True).withColumn("text", F.col("kept_text"))
+    left = suffixes.remove_repeats(docs, PASSAGE, text=True).withColumn("text", F.col("kept_text"))
     return left.where("text <> ''").withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
