@@ -6,6 +6,7 @@ QUERIES = {
     "op1_token_counts": token_counts.query,
     "op2_html_extraction": html_extraction.query,
     "op3_source_mixing": mixing.query,
+    "mix_targets": mixing.targets_query,
     "op4_document_fingerprints": fingerprints.query,
     "op5_suffix_dedup": suffixes.query,
     "op6_byte_bpe": bpe.query,
@@ -15,4 +16,4 @@ QUERIES = {
     "op10_language_id": language.query,
 }
 
-ORACLES: dict[str, str] = {"op9_topk_search": hamming.ORACLE}
+ORACLES: dict[str, str] = {"op9_topk_search": hamming.ORACLE, "mix_targets": mixing.TARGETS_ORACLE}

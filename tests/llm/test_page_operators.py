@@ -1,10 +1,12 @@
 """HTML extraction, URL filters, mixing and the pipeline."""
 
+import math
 import re
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from lectern.llm import html_extraction, language, mixing, practice_pages, url_filter
@@ -152,6 +154,68 @@ def test_mixing(spark):
     assert mixing.mix(docs.limit(0)).count() == 0
 
 
+def plain_copies(units, target, rounds=mixing.ROUNDS, most=2, tilt=0.1):
+    """Copies by (h, nth) for a source's units (size, u, tie, key): whole copies, then what fits, down the ranking."""
+    total, tilted = sum(x[0] for x in units), sum(x[0] ** (1 - tilt) for x in units if x[0])
+    whole, ranking = {}, []
+    for size, u, tie, key in units:
+        rate = 0.0 if not size else float(most) if target >= most * total * (1 - 1e-9) else min(most, target / tilted * size**-tilt)
+        whole[key] = math.floor(rate)
+        if size and whole[key] < most:
+            p = min(1 - 1e-9, max(1e-9, rate - whole[key]))
+            ranking.append((math.log(u / (1 - u)) - math.log(p / (1 - p)), tie, size, key))
+    room, misses, limit = target - sum(x[0] * whole[x[3]] for x in units), 0, math.inf
+    if room < 1:
+        return whole
+    limit = room
+    for _, _, size, key in sorted(ranking):
+        if size > limit:
+            continue
+        if size <= room:
+            whole[key] += 1
+            room -= size
+            continue
+        misses, limit = misses + 1, room
+        if misses == rounds or room < 1:
+            break
+    return whole
+
+
+def test_mixing_as_plain_and_repeated_rows(spark):
+    """The sampling against a plain walk down the ranking; sources of equal rows keep to their target."""
+    r = np.random.default_rng(21)
+    rows = [(1, "w " * 37, "equal")] * 150 + [(2, "v " * 11, "equal too")] * 110 + [(int(i), "x " * int(n), "long") for i, n in enumerate(r.integers(1, 40, 300))] + [(999, "x " * 4000, "long")]
+    rows += [(int(i), "y " * int(n), None) for i, n in enumerate(r.integers(1, 400, 200))] + [(5, "z " * 9, "b")] * 3
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    x = mixing.mix(docs, chunk=40).withColumn("u", mixing.uniform("doc_id", "h", "nth")).withColumn("tie", F.xxhash64(F.lit(1), "doc_id", "h", "nth")).collect()
+    assert len(x) == len(rows)
+    by = defaultdict(list)
+    for row in x:
+        by[row["source"]].append(row)
+    for source, found in by.items():
+        target = found[0]["target"]
+        want = plain_copies([(f["size"], f["u"], f["tie"], (f["doc_id"], f["h"], f["nth"])) for f in found], target)
+        assert {(f["doc_id"], f["h"], f["nth"]): f["copies"] for f in found} == want, source
+        assert target - 40 <= sum(f["size"] * f["copies"] for f in found) <= target
+    out = mixing.mixed(docs, chunk=40).groupBy("doc_id", "source").count().collect()
+    copies = Counter()
+    for row in x:
+        copies[row["doc_id"], row["source"]] += row["copies"]
+    assert {(o["doc_id"], o["source"]): o["count"] for o in out} == {k: n for k, n in copies.items() if n}
+
+
+def test_targets_as_sql(spark, sf_dir):
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{sf_dir}/documents.parquet'")
+    want = {a: (b, c) for a, b, c in con.execute(mixing.TARGETS_ORACLE).fetchall()}
+    got = {r["source"]: (r["source_size"], r["target"]) for r in mixing.targets_query(spark, sf_dir).collect()}
+    assert got.keys() == want.keys()
+    for s, (size, target) in got.items():
+        assert size == want[s][0] and target == pytest.approx(want[s][1], rel=1e-9)
+
+
 def test_pipeline_stages(spark, tmp_path):
     """Each stage on its own input, against plain versions of what it decides."""
     docs = table(spark, "/root/testdata/sf0.001", "documents")
@@ -174,7 +238,7 @@ def test_pipeline_stages(spark, tmp_path):
             roots = plain_components(ids, [plain_fingerprint(r["text"]) for r in before])
             assert sorted(r["doc_id"] for r in after) == sorted(set(roots))
         elif name == "suffix_dedup":
-            want = {r["doc_id"]: w[3] for r, w in zip(before, removed_plainly([r["text"] for r in before], 400)) if w[3].decode("utf-8", "ignore")}
+            want = {r["doc_id"]: w[3] for r, w in zip(before, removed_plainly([r["text"] for r in before], corpus_pipeline.PASSAGE)) if w[3].decode("utf-8", "ignore")}
             assert {r["doc_id"] for r in after} == set(want)
             for r in after:
                 assert r["text"] == want[r["doc_id"]].decode("utf-8", "ignore") and r["n_chars"] == len(r["text"])
