@@ -11,12 +11,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from lectern.llm.common import flat_bytes, mix64, record_batch, slices, table, texts
+from lectern.llm.common import flat_bytes, mix64, record_batch, slices, table, texts, written
 
 ORDERS = (1, 2, 3, 4)
 DIMS = 1 << 15
-#: Bounds of what is fitted: labelled rows for each language and in all, landmarks in all, languages.
-TRAIN_PER_LANGUAGE, TRAIN_ROWS, LANDMARKS, MAX_LANGUAGES = 400, 4000, 160, 200
+#: Bounds of what is fitted: labelled rows for each language and in all, landmarks in all. Every language keeps a row and a landmark.
+TRAIN_PER_LANGUAGE, TRAIN_ROWS, LANDMARKS = 400, 4000, 160
 #: Texts whose n-grams are held at once while fitting.
 _BLOCK = 128
 RIDGE = 0.02
@@ -26,12 +26,7 @@ STEEPNESS = 8.0
 
 
 def _letters() -> np.ndarray:
-    table_ = np.zeros(0x110000, bool)
-    table_[:] = False
-    for c in range(0x30000):
-        if chr(c).isalpha():
-            table_[c] = True
-    return table_
+    return np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
 
 
 _IS_LETTER = None
@@ -67,21 +62,31 @@ def presence(values: list[str], dims: int = DIMS) -> tuple[np.ndarray, np.ndarra
     return x, has
 
 
+def packed(row: np.ndarray) -> bytes:
+    """A presence vector as bits: DIMS / 8 bytes."""
+    return np.packbits(row > 0).tobytes()
+
+
 class Classifier:
     def __init__(self, languages: list[str], weights: np.ndarray):
         self.languages, self.weights = languages, weights
 
     @classmethod
     def fit(cls, rows: list[tuple[str, str]], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> "Classifier":
-        """rows: (text, language). Landmarks are dealt to the languages in turn."""
+        """rows: (text, language)."""
+        return cls.fit_packed([(packed(presence([text])[0][0]), lang) for text, lang in rows], landmarks, ridge)
+
+    @classmethod
+    def fit_packed(cls, rows: list[tuple[bytes, str]], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> "Classifier":
+        """rows: (packed presence vector, language). Landmarks are dealt to the languages in turn."""
         languages = sorted({lang for _, lang in rows})
         if not languages:
             return cls([], np.zeros((DIMS, 0), np.float32))
         y = np.array([languages.index(lang) for _, lang in rows])
-        texts_ = [t for t, _ in rows]
+        vectors = [v for v, _ in rows]
 
-        def unit(values: list[str]) -> np.ndarray:
-            x, _ = presence(values)
+        def unit(values: list[bytes]) -> np.ndarray:
+            x = np.unpackbits(np.frombuffer(b"".join(values), np.uint8).reshape(len(values), -1), axis=1).astype(np.float32)
             x /= np.sqrt(np.maximum(x.sum(axis=1, keepdims=True), 1.0))
             return x
 
@@ -91,8 +96,8 @@ class Classifier:
             turn.append(seen.get(k, 0))
             seen[k] = turn[-1] + 1
         at = sorted(range(len(rows)), key=lambda i: (turn[i], y[i]))[: max(landmarks, len(languages))]
-        marks = unit([texts_[i] for i in at])
-        knm = np.concatenate([unit(texts_[a : a + _BLOCK]) @ marks.T for a in range(0, len(rows), _BLOCK)])
+        marks = unit([vectors[i] for i in at])
+        knm = np.concatenate([unit(vectors[a : a + _BLOCK]) @ marks.T for a in range(0, len(rows), _BLOCK)])
         val, vec = np.linalg.eigh(knm[at].astype(np.float64))
         keep = val > 1e-6 * max(val.max(), 1e-12)
         half = vec[:, keep] / np.sqrt(val[keep])  # Nyström: K_mm^(-1/2)
@@ -130,25 +135,37 @@ def held_out():
     return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
 
 
-def labelled_sample(docs: DataFrame, per_language: int = TRAIN_PER_LANGUAGE, max_languages: int = MAX_LANGUAGES, max_rows: int = TRAIN_ROWS) -> list[tuple[str, str]]:
-    """At most per_language labelled texts of each language, and about max_rows in all, chosen by a hash of doc_id, for the driver.
+def labelled_sample(docs: DataFrame, per_language: int = TRAIN_PER_LANGUAGE, max_rows: int = TRAIN_ROWS) -> list[tuple[bytes, str]]:
+    """(packed presence vector, language) of at most per_language labelled texts of each language, for the driver.
 
-    Languages are ranked by their number of rows; past max_languages they are not learned.
+    In all there are at most max_rows, or one for each language where there are more languages than that. Texts are chosen
+    by a hash of doc_id and text, one for each pair, however often it comes. The driver gets a vector of fixed size for each.
     """
     rows = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") > 0))
-    h = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(1 << 40))
-    sizes = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_languages)
-    counted = sizes.collect()  # a row for each language
-    if not counted:
+    top = 1 << 40
+    rows = rows.select("text", "lang", F.pmod(F.xxhash64(F.lit(1), "doc_id", "text"), F.lit(top)).alias("h"))
+    sizes = rows.groupBy("lang").agg(F.approx_count_distinct("h", 0.02).alias("n"), F.min("h").alias("least"))
+    sizes = written(sizes, "languages")
+    count = sizes.count()
+    if not count:
         return []
-    per_language = min(per_language, max(1, max_rows // len(counted)))
-    sizes = docs.sparkSession.createDataFrame([(r["lang"], r["n"]) for r in counted], "lang string, n long")
-    near = sizes.select(F.col("lang").alias("l"), F.least(F.lit(float(1 << 40)), F.lit(float(1 << 40)) * (1.5 * per_language + 50) / F.col("n")).alias("below"))
-    ids = rows.select("doc_id", "lang", h.alias("h")).join(F.broadcast(near), F.col("lang") == F.col("l")).where("h < below")
-    nth = Window.partitionBy("lang").orderBy("h", "doc_id")
-    ids = ids.withColumn("nth", F.row_number().over(nth)).where(F.col("nth") <= per_language).select(F.col("doc_id").alias("id"), F.col("lang").alias("l"), "nth")
-    found = rows.join(F.broadcast(ids), (F.col("doc_id") == F.col("id")) & (F.col("lang") == F.col("l"))).select("text", "lang", "nth", "doc_id")
-    return [(r["text"], r["lang"]) for r in sorted(found.collect(), key=lambda r: (r["nth"], r["lang"], r["doc_id"]))][: per_language * max_languages]
+    per_language = min(per_language, max(1, max_rows // count))
+    # hashes below this bound: enough for per_language different ones, and the least one always
+    below = F.greatest(F.col("least") + 1, F.least(F.lit(float(top)), F.lit(float(top) * (1.5 * per_language + 50)) / F.col("n")).cast("long"))
+    near = sizes.select(F.col("lang").alias("l"), below.alias("below"))
+    few = rows.join(near, F.col("lang") == F.col("l")).where("h < below").drop("l", "below")
+    nth = Window.partitionBy("lang").orderBy("h")
+    # copies of a text meet as partial minima; then each language has about 1.5 times per_language rows
+    chosen = few.groupBy("lang", "h").agg(F.min("text").alias("text")).withColumn("nth", F.row_number().over(nth)).where(F.col("nth") <= per_language)
+    schema = pa.schema([("lang", pa.string()), ("nth", pa.int32()), ("seen", pa.binary())])
+
+    def run(batches):
+        for batch in slices(batches, "text"):
+            seen = [packed(presence([t])[0][0]) for t in texts(batch)]
+            yield record_batch(schema, batch.column("lang"), batch.column("nth"), pa.array(seen, pa.binary()))
+
+    found = chosen.select("text", "lang", "nth").mapInArrow(run, "lang string, nth int, seen binary").collect()
+    return [(bytes(r["seen"]), r["lang"]) for r in sorted(found, key=lambda r: (r["nth"], r["lang"]))]
 
 
 def identify(docs: DataFrame, sample_from: DataFrame | None = None) -> DataFrame:
@@ -158,7 +175,7 @@ def identify(docs: DataFrame, sample_from: DataFrame | None = None) -> DataFrame
     labelled_sample(sample_from or docs). Columns of these names in docs are replaced.
     """
     sc = docs.sparkSession.sparkContext
-    model = sc.broadcast(Classifier.fit(labelled_sample(sample_from if sample_from is not None else docs)))
+    model = sc.broadcast(Classifier.fit_packed(labelled_sample(sample_from if sample_from is not None else docs)))
     keep = [c for c in docs.columns if c not in ("lang_pred", "score")]
     out = docs.select(*keep)
     schema = pa.schema([("lang_pred", pa.string()), ("score", pa.float64())])

@@ -3,7 +3,11 @@
 import base64
 import hashlib
 import random
+import re
+import zlib
+from collections import Counter
 
+import numpy as np
 import pytest
 import tiktoken
 
@@ -149,3 +153,57 @@ def test_language_edges(spark):
     nothing = language.identify(docs.where("lang is null")).collect()
     assert {r["lang_pred"] for r in nothing} == {"und"}
     assert language.identify(docs.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("copies", [500, 2000])
+def test_language_sample_with_repeated_ids(spark, copies):
+    """Copies of an id neither grow the sample nor push a language out of it."""
+    rows = [(7, "the cat and the dog", "en")] * copies + [(8, "der Hund und die Katze", "de")] * copies + [(i, f"le chat {i} et le chien", "fr") for i in range(100, 1000)]
+    rows = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 4 != 2]
+    got = language.labelled_sample(spark.createDataFrame(rows, "doc_id long, text string, lang string"), per_language=40)
+    by = Counter(lang for _, lang in got)
+    assert by == {lang: min(40, len({r[:2] for r in rows if r[2] == lang})) for lang in {r[2] for r in rows}}
+    assert len(language.labelled_sample(spark.createDataFrame(rows, "doc_id long, text string, lang string"), max_rows=2)) == len(by)
+
+
+def test_letters_of_all_planes(spark):
+    docs = spark.createDataFrame([(1, "the cat", "en"), (3, chr(0x30000) * 5, None), (5, "123", None)], "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r["lang_pred"] for r in language.identify(docs).collect()}
+    assert got == {1: "en", 3: "en", 5: "und"}
+
+
+def plain_ridge(train, ask):
+    """Kernel ridge regression on exact n-gram sets, without landmarks and without hashing."""
+
+    def grams(text):
+        s = re.sub(r"[^\W\d_]+|(.)", lambda m: m[0] if m[1] is None else " ", " " + text.lower() + " ", flags=re.S)
+        s = re.sub(" +", " ", s)
+        return {s[i : i + n] for n in (1, 2, 3, 4) for i in range(len(s) - n + 1)}
+
+    kernel = lambda a, b: np.array([[len(x & y) / (len(x) * len(y)) ** 0.5 for y in b] for x in a])
+    languages = sorted({lang for _, lang in train})
+    a = [grams(t) for t, _ in train]
+    y = np.array([[1.0 if lang == x else -1.0 for x in languages] for _, lang in train])
+    w = np.linalg.solve(kernel(a, a) + 0.02 * len(a) / 20 * np.eye(len(a)), y - y.mean(axis=0))
+    return [languages[i] for i in (kernel([grams(t) for t in ask], a) @ w + y.mean(axis=0)).argmax(axis=1)]
+
+
+def test_language_as_plain_kernel_machine(spark):
+    docs = [(r["text"], r["lang"]) for r in table(spark, "/root/testdata/sf0.001", "documents").where("lang is not null and length(text) > 40").orderBy("doc_id").limit(160).collect()]
+    train, ask = docs[:100], [t[:3000] for t, _ in docs[100:]]
+    train = [(t[:3000], lang) for t, lang in train]
+    got, _ = language.Classifier.fit(train, landmarks=100).predict(ask)
+    assert sum(a == b for a, b in zip(got, plain_ridge(train, ask))) >= 0.95 * len(ask)
+
+
+def test_language_of_long_texts(spark):
+    """Held-out accuracy does not fall where many n-grams share a place."""
+    rows = table(spark, "/root/testdata/sf0.01", "documents").where("lang is not null").select("text", "lang").collect()
+    by = {}
+    for r in rows:
+        by.setdefault(r["lang"], []).append(r["text"] or "")
+    train = [(t, lang) for lang, found in by.items() for t in found[::2][:60] if t]
+    model = language.Classifier.fit(train)
+    long = [(" ".join(found[1::2])[:2_000_000], lang) for lang, found in by.items()]
+    got, score = model.predict([t for t, _ in long])
+    assert got == [lang for _, lang in long] and (score > 0).all()
