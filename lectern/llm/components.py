@@ -17,7 +17,8 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     for _ in range(max_rounds):
         # large star: every neighbour above a node goes to the smallest in its neighbourhood
         both = e.select(F.col("hi").alias("u"), F.col("lo").alias("v")).union(e.select("lo", "hi"))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        # written, so that the join has an exchange on both sides and the rows of a hub can be split
+        low = written(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "low")
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).where("hi > lo")
         # small star: a node and its smaller neighbours go to the smallest of them
         low = large.groupBy("hi").agg(F.min("lo").alias("m"))

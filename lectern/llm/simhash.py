@@ -20,6 +20,8 @@ SHINGLE = 4
 BITS, RADIUS = 64, 4
 #: Fingerprints in one shard beyond which it is divided again.
 MAX_SHARD = 20_000
+#: Lanes over which the look-up of a component's smallest doc_id is dealt.
+LANES = 16
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _SPACE = b"\x20\x09\x0a\x0b\x0c\x0d"
 _TO_SPACE = bytes(32 if b in _SPACE else _LOWER[b] for b in range(256))
@@ -250,8 +252,12 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGL
     fps = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
     tree = components(links(fps.select("fp"), radius, max_shard))
     reached = fps.join(tree, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    lowest = reached.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = written(reached.join(lowest, "root").select(F.col("fp").alias("k"), "component_id", "root"), "named")
+    # only components of several fingerprints need a look-up; it is dealt by lanes, so that a giant one is not one task
+    lowest = reached.groupBy("root").agg(F.min("least").alias("lowest"), F.count("*").alias("n")).where("n > 1").drop("n")
+    lowest = lowest.withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(LANES - 1))))
+    laned = written(reached.withColumn("lane", F.pmod(F.xxhash64("fp"), F.lit(LANES)).cast("int")), "reached")
+    named = laned.join(lowest, ["root", "lane"], "left").select(F.col("fp").alias("k"), F.coalesce("lowest", "least").alias("component_id"), "root")
+    named = written(named, "named")
     return rows.join(named, F.col("fp") == F.col("k")).select("doc_id", "fp", "component_id", "root", *carry)
 
 
