@@ -12,8 +12,6 @@ from lectern.llm.common import table, written
 
 #: (host, path, verdict)
 RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block"))
-#: Levels of the tree; what lies deeper is one wildcard.
-DEPTH = 8
 #: A literal segment has at least this many URLs, and this share of its parent's.
 LEAST_COUNT, LEAST_SHARE = 5, 0.01
 #: Weight of the overall block rate in a template's rate, and the rate from which it is rejected.
@@ -50,21 +48,31 @@ def shape_of(path: Column) -> Column:
     return F.regexp_replace(numbers, r"(?<=/)(?=[0-9a-fA-F-]*\d)[0-9a-fA-F-]{8,}(?=$|/|\.[A-Za-z]{1,5}$)", "{x}")
 
 
-def templates(counts: DataFrame, depth: int = DEPTH, least_count: int = LEAST_COUNT, least_share: float = LEAST_SHARE) -> DataFrame:
-    """counts (host, shape, n, ...) with a column `template`: the shape with rare segments as `*`."""
-    p = counts.withColumns({"segments": F.slice(F.split("shape", "/"), 2, 1 << 30), "template": F.lit("")})
-    p = written(p, "paths")
-    most = p.agg(F.max(F.size("segments"))).first()[0] or 0
-    for i in range(min(depth, most)):
-        here = p.withColumn("segment", F.get("segments", F.lit(i)))
+def templates(counts: DataFrame, least_count: int = LEAST_COUNT, least_share: float = LEAST_SHARE) -> DataFrame:
+    """counts (host, shape, n, ...) with a column `template`: the shape with rare segments as `*`.
+
+    The tree grows a level at a time, to the longest path. A branch with fewer than least_count URLs can have no literal
+    below it, so that its paths are finished at once; there are as many rounds as the deepest branch of more URLs has levels.
+    """
+    p = written(counts.withColumns({"segments": F.slice(F.split("shape", "/"), 2, 1 << 30), "template": F.lit("")}), "paths")
+    done, level = None, 0
+    while True:
+        here = p.withColumn("segment", F.get("segments", F.lit(level)))
         kids = here.where("segment is not null").groupBy("host", "template", "segment").agg(F.sum("n").alias("kid"))
         total = kids.groupBy("host", "template").agg(F.sum("kid").alias("total"))
-        literal = kids.join(total, ["host", "template"]).where((F.col("kid") >= least_count) & (F.col("kid") >= F.col("total") * least_share))
-        here = here.join(literal.select("host", "template", "segment", F.lit(True).alias("literal")), ["host", "template", "segment"], "left")
+        kids = kids.join(total, ["host", "template"]).withColumn("literal", (F.col("kid") >= least_count) & (F.col("kid") >= F.col("total") * least_share))
+        here = here.join(kids.select("host", "template", "segment", "total", "literal"), ["host", "template", "segment"], "left")
+        small = F.col("total") < least_count
+        rest = F.concat("template", F.repeat(F.lit("/*"), F.size("segments") - level))
         name = F.concat("template", F.lit("/"), F.when(F.col("literal"), F.col("segment")).otherwise(F.lit("*")))
-        p = written(here.withColumn("template", F.when(F.col("segment").isNull(), F.col("template")).otherwise(name)).drop("segment", "literal"), "paths")
-    deeper = F.when(F.size("segments") > depth, F.concat("template", F.lit("/**"))).otherwise(F.col("template"))
-    return p.withColumn("template", deeper).drop("segments")
+        ended = F.col("segment").isNull()
+        here = here.withColumns({"template": F.when(ended, F.col("template")).when(small, rest).otherwise(name), "open": ~(ended | F.coalesce(small, F.lit(False)))})
+        here = written(here.drop("segment", "literal", "total"), "paths")
+        closed = here.where("not open").drop("segments", "open")
+        done = closed if done is None else done.unionByName(closed)
+        p, level = here.where("open").drop("open"), level + 1
+        if p.isEmpty():
+            return done
 
 
 def judged(leaves: DataFrame, smoothing: float = SMOOTHING, reject: float = REJECT) -> DataFrame:

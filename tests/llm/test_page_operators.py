@@ -114,6 +114,80 @@ def test_templates_learn_from_labels(spark):
     assert url_filter.filter_urls(df.limit(0), rules=(), label="label").count() == 0
 
 
+def plain_verdicts(urls):
+    """(rule, verdict) of each url by the rules and a plain template tree."""
+    rules = {"com/": "allow", "example.com/en/": "block", "www.example.com/en/": "allow", "net/es/": "block", "net/fr/": "block"}
+
+    def parts(url):
+        rest = url.split("://", 1)[1] if url and "://" in url else ""
+        host = re.match(r"[^/?#]*", rest)[0]
+        path = re.match(r"[^?#]*", rest[len(host) :])[0]
+        return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in host), path
+
+    def rule(host, path):
+        fits = [r for r in rules if (host == (h := r.split("/")[0]) or host.endswith("." + h)) and path.startswith(r[len(h) :])]
+        return max(fits, key=len, default=None)
+
+    def segments(path):
+        ending = r"(?=$|\.[A-Za-z]{1,5}$)"
+        out = []
+        for x in path.split("/")[1:]:
+            x = re.sub(r"^\d+" + ending, "{n}", x)
+            out.append(re.sub(r"^(?=[0-9a-fA-F-]*\d)[0-9a-fA-F-]{8,}" + ending, "{x}", x))
+        return out
+
+    found = [(*parts(u), rule(*parts(u))) for u in urls]
+    paths = [[host, segments(path), ""] for host, path, _ in found]
+    for level in range(max((len(s) for _, s, _ in paths), default=0)):
+        kid, total = Counter(), Counter()
+        for host, seg, t in paths:
+            if level < len(seg):
+                kid[host, t, seg[level]] += 1
+                total[host, t] += 1
+        for x in paths:
+            if level < len(x[1]):
+                n = kid[x[0], x[2], x[1][level]]
+                x[2] += "/" + (x[1][level] if n >= 5 and n >= total[x[0], x[2]] * 0.01 else "*")
+    leaf = defaultdict(lambda: [0, 0])
+    for (host, _, t), (_, _, r) in zip(paths, found):
+        leaf[host, t][0] += r is not None
+        leaf[host, t][1] += r is not None and rules[r] == "block"
+    overall = (sum(b for _, b in leaf.values()) + 1) / (sum(n for n, _ in leaf.values()) + 2)
+    forms = defaultdict(list)
+    for (host, t), (n, b) in leaf.items():
+        if n:
+            forms[host, re.sub(r"(?<=/)(?!\*|\{)[^/]+", "_", t)].append((b / n, t, n, b))
+    rejected = set()
+    for (host, _), branches in forms.items():
+        groups, last = [], None
+        for rate, t, n, b in sorted(branches):
+            if last is not None:
+                pool = (b + last[3]) / (n + last[2])
+                apart = rate - last[0] > 1.96 * math.sqrt(pool * (1 - pool) * (1 / n + 1 / last[2]))
+            if last is None or apart:
+                groups.append([])
+            groups[-1].append((t, n, b))
+            last = (rate, t, n, b)
+        for g in groups:
+            if (sum(b for _, _, b in g) + 10 * overall) / (sum(n for _, n, _ in g) + 10) >= 0.8:
+                rejected |= {(host, t) for t, _, _ in g}
+    return [(r, rules[r] if r else "block" if (host, t) in rejected else "allow") for (host, _, t), (_, _, r) in zip(paths, found)]
+
+
+def test_verdicts_as_plain(spark, tmp_path):
+    """Every verdict of the table, and of deep paths, ties and repeated rows, against a plain tree."""
+    urls = [r["url"] for r in table(spark, "/root/testdata/sf0.01", "pages").collect()]
+    r = np.random.default_rng(2)
+    deep = "/".join(["a"] * 14)
+    urls += [f"http://X.net/es/{k}/{i}" for k in ("one", "two") for i in range(20)] + [f"http://x.net/{k}/{i}" for k in ("one", "two", "es2") for i in range(9)]
+    urls += [f"https://d.org/{deep}/{r.choice(['x', 'y', 'z'])}/{i}?q" for i in range(30)] + [f"https://d.org/{deep}"] * 3 + [None, "no scheme", "http://", "http://h.net", "http://h.net/fr/#x/y", "ftp://h.net/fr//"]
+    urls += [f"http://q.net/{k}/{i}/{d}" for i in range(40) for k, d in (("fr", "deadbeef01"), (r.choice(["p", "fr"]), "news.html"))]
+    spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = {x["page_id"]: (x["rule"], x["verdict"]) for x in url_filter.query(spark, str(tmp_path)).collect()}
+    assert [got[i] for i in range(len(urls))] == plain_verdicts(urls)
+    assert {v for _, v in got.values()} == {"allow", "block"}
+
+
 def plain_targets(sizes):
     names = sorted(sizes, key=lambda s: (s is None, s or ""))
     weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(names)}
