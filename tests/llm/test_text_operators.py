@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -10,6 +11,7 @@ from collections import Counter
 import numpy as np
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 
 from lectern.llm import bpe, fingerprints, language, token_counts
 from lectern.llm.common import table
@@ -106,21 +108,56 @@ def test_token_counts_query(spark, sf_dir, plain):
         assert (r["edited_chars"], r["edited_tokens"]) == (len(e), len(plain.encode_ordinary(e)))
 
 
-def test_fingerprints_query(spark, sf_dir):
-    docs = sorted(((r["doc_id"], r["text"] or "") for r in table(spark, sf_dir, "documents").collect()), reverse=True)
-    got = {r["doc_id"]: r for r in fingerprints.query(spark, sf_dir).collect()}
-    assert len(got) == len(docs)
-    near = apart = 0
-    for (i, t), (_, nxt) in zip(docs, docs[1:] + docs[:1]):
-        r, half = got[i], len(t) // 2
+def plain_digest(data):
+    """Counts of hashed triplets, one by one; quartile codes by rank in the sorted counts."""
+    counts = [0] * 128
+    tables = [[int(x) for x in t] for t in fingerprints._TABLE]
+    for salt, (i, j, k) in enumerate([(0, 1, 2), (0, 1, 3), (0, 2, 3), (0, 1, 4), (0, 2, 4), (0, 3, 4)]):
+        for at in range(len(data) - k):
+            h = tables[0][data[at + i]] + 3 * tables[1][data[at + j]] + 7 * tables[2][data[at + k]] + 331 * salt
+            counts[(h * 0x9E3779B1 & 0xFFFFFFFF) >> 25] += 1
+    ranked = sorted(counts)
+    codes = [sum(c > ranked[q] for q in (31, 63, 95)) for c in counts]
+    packed = bytes(codes[i] + 4 * codes[i + 1] + 16 * codes[i + 2] + 64 * codes[i + 3] for i in range(0, 128, 4))
+    return f"{min(255, round(8 * math.log2(len(data) + 1))):02x}" + packed.hex()
+
+
+def plain_likeness(a, b):
+    codes = lambda d: [x >> s & 3 for x in bytes.fromhex(d)[1:] for s in (0, 2, 4, 6)]
+    apart = sum(abs(x - y) for x, y in zip(codes(a), codes(b)))
+    far = max(0, abs(int(a[:2], 16) - int(b[:2], 16)) - 1)
+    return max(0.0, 1 - (apart + min(24, 2 * far)) / 160)
+
+
+def check_fingerprints(got, rows):
+    """got rows against rows (doc_id, text) in order, by a plain digest and likeness."""
+    want = Counter()
+    for (i, t), (_, nxt) in zip(rows, rows[1:] + rows[:1]):
+        half = len(t) // 2
         edited = t[: len(t) - half] + nxt[:half]
-        assert r["n_chars"] == len(t)
-        assert r["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
-        assert r["fingerprint"] == fingerprints.digest(t.encode())
-        assert r["edited_fingerprint"] == fingerprints.digest(edited.encode())
-        assert 0 <= r["near_edited"] <= 1 and 0 <= r["near_next"] <= 1
-        near, apart = near + r["near_edited"], apart + r["near_next"]
-    assert near > apart
+        a, b, c = (plain_digest(x.encode()) for x in (t, edited, nxt))
+        want[i, len(t), hashlib.sha256(edited.encode()).hexdigest(), a, b, round(plain_likeness(a, b), 9), round(plain_likeness(a, c), 9)] += 1
+    assert Counter((r["doc_id"], r["n_chars"], r["edited_sha256"], r["fingerprint"], r["edited_fingerprint"], round(r["near_edited"], 9), round(r["near_next"], 9)) for r in got) == want
+
+
+def test_fingerprints_query(spark, tmp_path):
+    docs = [(r["doc_id"], r["text"] or "") for r in table(spark, "/root/testdata/sf0.001", "documents").collect()]
+    docs = [(i, t[:1500]) for i, t in docs]
+    docs += [(90_000 + i, t) for i, t in enumerate(["", "a", "ab", "abc", "漢字" * 30, "x" * 4000])]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = fingerprints.query(spark, str(tmp_path)).collect()
+    check_fingerprints(got, sorted(docs, reverse=True))
+    assert sum(r["near_edited"] for r in got) > sum(r["near_next"] for r in got)
+
+
+@pytest.mark.parametrize("hot", [3, 1000])
+def test_fingerprints_of_hot_ids(spark, hot, monkeypatch):
+    """Many equal rows, many texts of one id and of null ids: every row is compared with the one after it."""
+    monkeypatch.setattr(fingerprints, "CHUNK", 7)
+    rows = [(5, "the same text every time")] * 60 + [(6, f"text number {i} of id six") for i in range(300)] + [(None, f"no id {i}") for i in range(150)] + [(None, "equal")] * 20 + [(i, f"w{i} " * i) for i in range(10, 30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    tie = {r["text"]: r["h"] for r in df.select("text", F.xxhash64("text").alias("h")).distinct().collect()}
+    check_fingerprints(fingerprints.compare_with_next(df, hot).collect(), sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), -tie[r[1]])))
 
 
 def test_fingerprints_edges(spark):
