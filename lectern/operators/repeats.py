@@ -5,7 +5,7 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import DoubleType, StringType
+from pyspark.sql.types import DoubleType
 
 from lectern.functions.text import norm_text
 from lectern.operators.intervals import BUCKET, interval_pairs
@@ -30,28 +30,27 @@ def best_phrase(coverage: DataFrame, least: int = LEAST_COUNT) -> DataFrame:
     return x.groupBy("doc_id").agg(F.max_by(F.struct("phrase", "count"), F.struct(F.col("count") * F.col("n"), -F.col("n"))).alias("b")).select("doc_id", "b.phrase", "b.count")
 
 
-@pandas_udf(StringType())
-def natural_phrase(text: pd.Series, phrase: pd.Series) -> pd.Series:
-    """The phrase at its shortest period, turned so that it comes doubled in the text and does not start with a mark."""
+def natural_phrase(text: Column, phrase: Column) -> Column:
+    """The phrase at its shortest period, turned so that it comes doubled in the text and does not start with a mark.
 
-    def one(t, p):
-        if not p:
-            return ""
-        n = next(k for k in range(1, len(p) + 1) if all(p[i] == p[i % k] for i in range(len(p))))
-        turns = [p[i:n] + p[:i] for i in range(n)]
-        fit = [r for r in turns if r[0] not in PUNCTUATION and r + r in t]
-        if fit:
-            fit = [r for r in fit if r[-1] in PUNCTUATION] or fit
-            return min(fit, key=lambda r: t.find(r + r)).strip(PUNCTUATION)
-        return p[:n].strip(PUNCTUATION)
-
-    return pd.Series([one(t or "", p) for t, p in zip(text, phrase)])
+    Of several turns one that ends with a mark is preferred, then the one that comes doubled first; without any the period
+    stands as it is. Marks at both ends go. An empty phrase stays empty.
+    """
+    n = F.length(phrase)
+    period = F.get(F.filter(F.sequence(F.lit(1), n), lambda k: F.substr(phrase, k + 1) == F.substr(phrase, F.lit(1), n - k)), F.lit(0))
+    unit = F.substr(phrase, F.lit(1), period)
+    turns = F.transform(F.sequence(F.lit(0), period - 1), lambda i: F.concat(F.substr(unit, i + 1), F.substr(unit, F.lit(1), i)))
+    mark = lambda c: F.contains(F.lit(PUNCTUATION), c)
+    # the least of (no mark at the end, place, turn) among the turns that come doubled
+    ranked = F.transform(turns, lambda t: F.struct((~mark(F.right(t, F.lit(1)))).alias("open"), F.instr(F.coalesce(text, F.lit("")), F.concat(t, t)).alias("at"), t.alias("turn")))
+    best = F.array_min(F.filter(ranked, lambda r: (r["at"] > 0) & ~mark(F.left(r["turn"], F.lit(1)))))
+    return F.when(F.coalesce(n, F.lit(0)) == 0, F.lit("")).otherwise(F.btrim(F.coalesce(best["turn"], unit), F.lit(PUNCTUATION)))
 
 
 def repeated_phrases(texts: DataFrame) -> DataFrame:
     """(doc_id, phrase) of texts (doc_id, text) with a phrase that repeats often; others have no row."""
     best = best_phrase(ngram_coverage(texts, F.col("text")))
-    return texts.join(best, "doc_id").select("doc_id", natural_phrase("text", "phrase").alias("phrase"))
+    return texts.join(best, "doc_id").select("doc_id", natural_phrase(F.col("text"), F.col("phrase")).alias("phrase"))
 
 
 @pandas_udf(DoubleType())
