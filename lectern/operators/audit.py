@@ -27,11 +27,17 @@ def gap_notes(gaps: DataFrame, examples: int = 3, chars: int = 20) -> DataFrame:
 def absent_everywhere(needles: DataFrame, texts: DataFrame, anchor: int = 8) -> DataFrame:
     """needles (..., text) of `anchor` characters or more that no text of texts (text) contains; shorter ones are left out.
 
-    Texts meet needles on their first `anchor` characters, at every place of a text, and are compared there only; where
-    the needles are few Spark broadcasts them. Equal needles are looked for once.
+    Texts meet needles on their first `anchor` characters, at every place of a text, as rows of a digest and a place; only
+    texts with such a place are read again, once each, and compared there. Equal needles are looked for once.
     """
     wanted = needles.where(F.length("text") >= anchor).select("text").distinct().select(F.substring("text", 1, anchor).alias("_a"), F.col("text").alias("_n"))
-    places = F.transform(F.sequence(F.lit(1), F.length("text") - anchor + 1), lambda i: F.substring("text", i, anchor))
-    grams = texts.where(F.length("text") >= anchor).select("text", F.posexplode(places).alias("_at", "_a"))
-    found = grams.join(wanted, "_a").where(F.expr("substring(text, _at + 1, length(_n)) = _n")).select(F.col("_n").alias("text")).distinct()
+    # places of an array of characters, as a place of a string is found by walking to it
+    places = F.transform(F.sequence(F.lit(1), F.length("text") - anchor + 1), lambda i: F.array_join(F.slice("_c", i, F.lit(anchor)), ""))
+    digest = F.xxhash64("text", F.length("text")).alias("_d")
+    long = texts.where(F.length("text") >= anchor)
+    grams = long.withColumn("_c", F.split("text", "")).select(digest, F.posexplode(places).alias("_at", "_a"))
+    # a place found there is true of the text it is checked on, whatever text had the digest first
+    hits = grams.join(wanted, "_a").groupBy("_d", "_n").agg(F.collect_set("_at").alias("_ats")).groupBy("_d").agg(F.collect_list(F.struct("_n", "_ats")).alias("_hits"))
+    seen = long.select(digest, "text").join(hits, "_d").withColumn("_h", F.explode("_hits"))
+    found = seen.where(F.exists("_h._ats", lambda at: F.substr(F.col("text"), at + 1, F.length("_h._n")) == F.col("_h._n"))).select(F.col("_h._n").alias("text")).distinct()
     return needles.where(F.length("text") >= anchor).join(found, "text", "left_anti")

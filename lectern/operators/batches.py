@@ -3,6 +3,7 @@
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lectern.functions.text import clean_path, stem_of, suffix_of
+from lectern.operators.islands import running_sum
 
 MOST_FILES = 500
 
@@ -15,15 +16,17 @@ def scan(files: DataFrame, suffixes: list[str]) -> DataFrame:
     return files.where(~hidden & suffix_of(F.col("path")).isin(*suffixes)).orderBy(F.lower("path"))
 
 
-def validate(paths: DataFrame, suffixes: list[str], most: int = MOST_FILES) -> DataFrame:
+def validate(paths: DataFrame, suffixes: list[str], most: int | None = MOST_FILES) -> DataFrame:
     """paths (ord, path, exists) with `path` cleaned and `reason`: null if accepted, else repeated, missing, unsupported or too many.
 
-    A path that comes again in any case is a repetition; the first `most` accepted ones are taken.
+    A path that comes again in any case is a repetition; the first `most` accepted ones are taken, all if it is None. A
+    batch takes some hundred files; the first are found as the least of each task, then of those.
     """
     x = paths.withColumn("path", clean_path(F.col("path"))).where("path <> ''")
     nth = F.row_number().over(Window.partitionBy(F.lower("path")).orderBy("ord"))
     x = x.withColumn("reason", F.when(nth > 1, "repeated").when(~F.col("exists"), "missing").when(~suffix_of(F.col("path")).isin(*suffixes), "unsupported"))
-    # the place among the accepted: a running count in order of ord, within the few that can be taken
+    if most is None:
+        return x
     ok = x.where("reason is null").orderBy("ord").limit(most).select(F.col("ord").alias("_o"))
     x = x.join(ok, F.col("ord") == F.col("_o"), "left")
     return x.withColumn("reason", F.coalesce("reason", F.when(F.col("_o").isNull(), "too many"))).drop("_o")
@@ -61,10 +64,14 @@ def unique_names(files: DataFrame, keys: list[str], order: list) -> DataFrame:
     return files.withColumn("unique", F.when(nth == 1, F.col("name")).otherwise(F.concat(stem, F.lit("-"), nth.cast("string"), ending)))
 
 
-def asset_numbers(assets: DataFrame) -> DataFrame:
-    """assets (doc_id, pos, digest, suffix) with `file`: img-0001, ... by the first place of each digest in its document."""
+def asset_numbers(assets: DataFrame, slice_size: int = 100_000) -> DataFrame:
+    """assets (doc_id, pos, digest, suffix) with `file`: img-0001, ... by the first place of each digest in its document.
+
+    The images of a document are numbered in slices of `slice_size` places, side by side.
+    """
     first = assets.groupBy("doc_id", "digest").agg(F.min(F.struct("pos", "suffix")).alias("f"))
-    n = F.row_number().over(Window.partitionBy("doc_id").orderBy("f"))
+    first = running_sum(first.withColumn("_one", F.lit(1)), ["doc_id"], ["f"], "_one", F.floor(F.col("f.pos") / slice_size), "_n")
+    n = F.col("_n")
     named = first.select("doc_id", "digest", F.concat(F.lit("img-"), F.lpad(n.cast("string"), 4, "0"), F.col("f.suffix")).alias("file"))
     return assets.join(named, ["doc_id", "digest"]).select(*assets.columns, "file")
 
@@ -137,9 +144,9 @@ def parse_rules(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
 def referenced_images(images: DataFrame, referrers: DataFrame) -> DataFrame:
     """Images (path) that no referrer (path, content string) names by a relative or absolute path.
 
-    References are src, srcset and href values, Markdown targets and paths in back ticks of the first 4 MiB.
+    References are src, srcset and href values, Markdown targets and paths in back ticks.
     """
-    head = F.substring("content", 1, 4 << 20)
+    head = F.col("content")
     found = F.concat(
         F.regexp_extract_all(head, F.lit(r"""(?i)(?:src|href)\s*=\s*["']([^"']+)["']"""), F.lit(1)),
         F.flatten(F.transform(F.regexp_extract_all(head, F.lit(r"""(?i)srcset\s*=\s*["']([^"']+)["']"""), F.lit(1)), lambda s: F.transform(F.split(s, ","), lambda p: F.split(F.trim(p), r"\s+")[0]))),

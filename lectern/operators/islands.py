@@ -32,6 +32,35 @@ def sliced_islands(rows: DataFrame, keys: list[str], order: list[str], compare:
     return x.withColumn(name, running + F.col("_offset")).drop("_new", "_part", "_offset")
 
 
+def running_sum(rows: DataFrame, keys: list[str], order: list[str], value: str, part: Column, name: str = "running") -> DataFrame:
+    """rows with the sum of `value` up to each row of its key; a key's rows are spread over parts, which rise with order.
+
+    Each part is summed by itself; what came before it is a running sum over a table with a row for each part.
+    """
+    x = rows.withColumn("_part", part)
+    sums = x.groupBy(*keys, "_part").agg(F.sum(value).alias("_sum"))
+    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_part").alias("_p"), F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_ahead"))
+    same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)] + [F.col("_part").eqNullSafe(F.col("_p"))]
+    within = Window.partitionBy(*keys, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    x = x.withColumn("_own", F.sum(value).over(within))
+    for condition in same[1:]:
+        same[0] = same[0] & condition
+    return x.join(sums, same[0]).withColumn(name, F.col("_own") + F.col("_ahead")).select(*rows.columns, name)
+
+
+def element_at_place(rows: DataFrame, keys: list[str], value: str, place, name: str) -> DataFrame:
+    """(keys, name): the element at place(n), from 0, of each key's n values in order; null values are left out.
+
+    Equal values are counted first, so that a key is a row for each different value, of which the shuffle keeps none in an array.
+    """
+    counts = rows.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_c"))
+    w = Window.partitionBy(*keys)
+    up_to = w.orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    x = counts.withColumns({"_upto": F.sum("_c").over(up_to), "_n": F.sum("_c").over(w)})
+    return x.where((place(F.col("_n")) < F.col("_upto")) & (place(F.col("_n")) >= F.col("_upto") - F.col("_c"))).select(*keys, F.col(value).alias(name))
+
+
 def speech_blocks(spoken: DataFrame, part: Column | None = None) -> DataFrame:
     """(rec_id, block, speaker, start, end, text, is_marker, segments) from spoken (rec_id, seq, start, end, speaker, text).
 
@@ -81,16 +110,14 @@ def nth_occurrence(rows: DataFrame, keys: list[str], order: list, name: str = "n
     return rows.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
 
 
-def upper_median(values: Column) -> Column:
-    """Element n // 2 of the sorted values of a group; for groups of bounded size."""
-    v = F.sort_array(F.collect_list(values))
-    return F.get(v, F.floor(F.size(v) / 2).cast("int"))
+def upper_median(rows: DataFrame, keys: list[str], value: str, name: str = "upper_median") -> DataFrame:
+    """(keys, name): element n // 2 of each key's values in order."""
+    return element_at_place(rows, keys, value, lambda n: F.floor(n / 2), name)
 
 
-def floor_percentile(values: Column, q: float) -> Column:
-    """Element min(n - 1, int(n * q)) of the sorted values of a group; for groups of bounded size."""
-    v = F.sort_array(F.collect_list(values))
-    return F.get(v, F.least(F.size(v) - 1, F.floor(F.size(v) * q)).cast("int"))
+def floor_percentile(rows: DataFrame, keys: list[str], value: str, q: float, name: str = "percentile") -> DataFrame:
+    """(keys, name): element min(n - 1, int(n * q)) of each key's values in order."""
+    return element_at_place(rows, keys, value, lambda n: F.least(n - 1, F.floor(n * F.lit(q))), name)
 
 
 def quietest(samples: DataFrame, keys: list[str], window: str) -> DataFrame:

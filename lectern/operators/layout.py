@@ -41,11 +41,19 @@ def template_boxes(boxes: DataFrame, keys: list[str], pages: int = 3, area: floa
     return x.groupBy(*keys, "box").agg(F.countDistinct("page").alias("pages")).where(F.col("pages") >= pages)
 
 
-def outside_tables(blocks: DataFrame, tables: DataFrame, most: float = 0.5) -> DataFrame:
-    """Text blocks (page, at, x0, y0, x1, y1, ...) of which no table (page, x0, y0, x1, y1) of their page covers more than `most`."""
-    t = tables.select("page", *[F.col(c).alias(f"t{c}") for c in ("x0", "y0", "x1", "y1")])
+def outside_tables(blocks: DataFrame, tables: DataFrame, most: float = 0.5, cell: float = 50.0) -> DataFrame:
+    """Text blocks (page, at, x0, y0, x1, y1, ...) of which no table (page, x0, y0, x1, y1) of their page covers more than `most`.
+
+    Blocks meet tables in cells of a grid. A table that covers more than half of a block covers its middle, so that the
+    block is in the cell of its middle only and meets few tables; with `most` under a half it is in all its cells.
+    """
+    number = lambda a, b: F.sequence(F.floor(F.col(a) / cell), F.floor(F.col(b) / cell))
+    cells = lambda df: df.withColumn("_gx", F.explode(number("x0", "x1"))).withColumn("_gy", F.explode(number("y0", "y1")))
+    t = cells(tables).select("page", "_gx", "_gy", *[F.col(c).alias(f"t{c}") for c in ("x0", "y0", "x1", "y1")])
+    middle = lambda a, b: F.floor((F.col(a) + F.col(b)) / 2 / cell)
+    placed = blocks.withColumns({"_gx": middle("x0", "x1"), "_gy": middle("y0", "y1")}) if most >= 0.5 else cells(blocks)
     share = overlap_share(*[F.col(c) for c in ("x0", "y0", "x1", "y1")], *[F.col(f"t{c}") for c in ("x0", "y0", "x1", "y1")])
-    covered = blocks.join(t, "page").where(share > most).select("page", "at").distinct()
+    covered = placed.join(t, ["page", "_gx", "_gy"]).where(share > most).select("page", "at").distinct()
     return blocks.join(covered, ["page", "at"], "left_anti")
 
 

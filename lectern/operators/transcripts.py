@@ -6,7 +6,7 @@ from lectern.functions.labels import DIAGNOSTICS_TITLE, TRANSCRIPT_TITLE, UNKNOW
 from lectern.functions.text import is_marker, lines, rename_at_once, speaker_label
 from lectern.functions.times import hms
 from lectern.operators.intervals import label_blocks
-from lectern.operators.islands import first_appearance, islands, speech_blocks
+from lectern.operators.islands import first_appearance, islands, speech_blocks, upper_median
 
 #: A speaker's line (fixed pattern).
 LABEL_LINE = r"^\*\*(.+?)\*\* \((\d+):([0-5]\d):([0-5]\d)\)\s*$"
@@ -48,11 +48,9 @@ def check_first(quality: DataFrame, gap: float = 0.10, most: int = 3, least_spea
 
 
 def unknown_stats(spoken: DataFrame) -> DataFrame:
-    """(rec_id, segments, seconds, upper_median) of the unknown speaker's segments; ranked in the shuffle, not gathered."""
+    """(rec_id, segments, seconds, upper_median) of the unknown speaker's segments; the median is taken from counts of equal lengths."""
     x = spoken.where(F.col("speaker") == UNKNOWN_SPEAKER).select("rec_id", (F.col("end") - F.col("start")).alias("d"))
-    w = Window.partitionBy("rec_id")
-    x = x.withColumns({"n": F.count("*").over(w), "nth": F.row_number().over(w.orderBy("d")) - 1})
-    return x.groupBy("rec_id").agg(F.count("*").alias("segments"), F.sum("d").alias("seconds"), F.max(F.when(F.col("nth") == F.floor(F.col("n") / 2), F.col("d"))).alias("upper_median"))
+    return x.groupBy("rec_id").agg(F.count("*").alias("segments"), F.sum("d").alias("seconds")).join(upper_median(x, ["rec_id"], "d"), "rec_id", "left")
 
 
 def render_transcript(spoken: DataFrame, title: Column, quality: DataFrame | None = None) -> DataFrame:

@@ -1,9 +1,10 @@
 """Texts, pages and blocks."""
 
-from pyspark.sql import Window, functions as F
+from pyspark.sql import functions as F
 
 from lectern.functions import markdown, text as x
 from lectern.operators import audit, batches, layout, repeats
+from lectern.operators.islands import running_sum
 from lectern.sources import html, texts
 from lectern.sources.tables import seconds, table
 
@@ -166,8 +167,13 @@ _WIDE = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag",
 select doc_id, string_agg('### 第 ' || i || ' 筆(共 ' || n || ' 筆)' || chr(10) || chr(10) || body, chr(10) || chr(10) order by i) as md from r group by doc_id""")
 def md_records(spark, sf_dir):
     l = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
-    g = l.groupBy(F.col("l_orderkey").alias("doc_id")).agg(F.array_sort(F.collect_list(F.struct("l_linenumber", F.array(*[F.col(c).cast("string") for c in _WIDE]).alias("v")))).alias("r"))
-    return g.select("doc_id", markdown.records_markdown(F.array(*[F.lit(c) for c in _WIDE]), F.transform("r", lambda s: s["v"]), F.lit("")).alias("md"))
+    # typed columns go through the shuffle, each once; they become text behind it
+    kept = ["l_linenumber", "p", "s", *[c for c in dict.fromkeys(_WIDE) if c not in ("l_linenumber", "l_orderkey")]]
+    l = l.withColumns({"p": F.col("l_partkey").cast("string"), "s": F.col("l_suppkey").cast("string")})
+    order = F.struct("l_linenumber", "p", "s", "l_returnflag", "l_linestatus").alias("o")
+    g = l.groupBy(F.col("l_orderkey").alias("doc_id")).agg(F.array_sort(F.collect_list(F.struct(order, *[c for c in kept if c not in ("p", "s", "l_linenumber", "l_returnflag", "l_linestatus")]))).alias("r"))
+    value = lambda s, c: F.col("doc_id") if c == "l_orderkey" else s["o"][c] if c in ("l_linenumber", "l_returnflag", "l_linestatus") else s[c]
+    return g.select("doc_id", markdown.records_markdown(F.array(*[F.lit(c) for c in _WIDE]), F.transform("r", lambda s: F.array(*[value(s, c).cast("string") for c in _WIDE])), F.lit("")).alias("md"))
 
 
 @query("""with k as (select user_id doc_id, event_type kind, min(event_id) i from events where event_type <> 'view' group by all)
@@ -300,5 +306,5 @@ def csv_rows(spark, sf_dir):
 
 @query("select doc_id, sum(n) over (partition by lang order by doc_id rows unbounded preceding)::bigint as running from (select doc_id, lang, length(text) n from documents where text is not null)")
 def running_chars(spark, sf_dir):
-    w = Window.partitionBy("lang").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return _docs(spark, sf_dir).where("text is not null").select("doc_id", F.sum(F.length("text")).over(w).alias("running"))
+    d = _docs(spark, sf_dir).where("text is not null").select("doc_id", "lang", F.length("text").alias("n"))
+    return running_sum(d, ["lang"], ["doc_id"], "n", F.floor(F.col("doc_id") / 50_000)).select("doc_id", "running")

@@ -1,6 +1,6 @@
 """Paths, names, sheets and rectangles."""
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from lectern.functions import text as x
 from lectern.operators import batches, islands, layout, rosters
@@ -34,10 +34,11 @@ def scan_paths(spark, sf_dir):
 
 
 @query(f"""with {_PATHS}, f as (select *, row_number() over (partition by lower(path) order by page_id) n from p)
-select page_id, case when n > 1 then 'repeated' when page_id % 13 = 0 then 'missing' when path not like '%.html' then 'unsupported' end reason from f""")
+select page_id, case when reason is null and row_number() over (partition by reason is null order by page_id) > 150 then 'too many' else reason end reason from
+(select page_id, case when n > 1 then 'repeated' when page_id % 13 = 0 then 'missing' when path not like '%.html' then 'unsupported' end reason from f)""")
 def validate_batch(spark, sf_dir):
     p = _paths(spark, sf_dir).select(F.col("page_id").alias("ord"), "path", (F.col("page_id") % 13 != 0).alias("exists"))
-    return batches.validate(p, [".html"], 1 << 30).select(F.col("ord").alias("page_id"), "reason")
+    return batches.validate(p, [".html"], 150).select(F.col("ord").alias("page_id"), "reason")
 
 
 @query(f"""with {_PATHS}, d as (select distinct regexp_replace(path, '/[^/]*$', '') path from p union select distinct regexp_replace(path, '^(/[^/]*).*$', '\\1') from p where page_id % 2 = 0)
@@ -126,14 +127,25 @@ def owned_counts(spark, sf_dir):
     return owned(e, F.lit(86410.0), 21600.0, 1200.0).withColumn("seconds", F.round("seconds", 3))
 
 
-@query()
+@query("""with e as (select user_id rec_id, event_id i, event_type in ('view', 'click') zero from events),
+f as (select *, row_number() over (partition by rec_id order by i) - row_number() over (partition by rec_id, zero order by i) g from e),
+r as (select rec_id, g, count(*) n, min(i) "first" from f where zero group by all having count(*) > 1),
+t as (select *, greatest(0, least(n - 1, 10 - sum(n - 1) over (partition by rec_id order by n desc, "first" rows unbounded preceding) + n - 1)) cut from r),
+k as (select f.*, t.n, t.cut, row_number() over (partition by f.rec_id, f.zero, f.g order by i) nth from f left join t on f.zero and f.rec_id = t.rec_id and f.g = t.g)
+select rec_id, i, case when zero then 0 else 1 end as "sample" from k where not zero or cut is null or nth <= n - cut""")
 def trim_silence(spark, sf_dir):
-    """Events as samples, signups as silence, of which ten are cut for each user; the choice of runs goes longest first."""
-    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("rec_id"), F.col("event_id").alias("i"), F.when(F.col("event_type").isin("view", "click"), 0).otherwise(1).alias("sample"))
-    return islands.trim_zero_runs(e, e.select("rec_id").distinct().withColumn("want", F.lit(10)), keep=1)
-
-
-@query()
+    """Views and clicks as silence, of which ten samples are cut for each user; the longest runs give first."""
+    w = Window.partitionBy("user_id").orderBy("event_id")
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("rec_id"), F.row_number().over(w).cast("long").alias("i"), "event_id", F.when(F.col("event_type").isin("view", "click"), 0).otherwise(1).alias("sample"))
+    kept = islands.trim_zero_runs(e.drop("event_id"), e.select("rec_id").distinct().withColumn("want", F.lit(10)), keep=1)
+    return kept.join(e.select("rec_id", "i", "event_id"), ["rec_id", "i"]).select("rec_id", F.col("event_id").alias("i"), "sample")
+
+
+@query("""with recursive c as (select conv_id mail_id, turn, length(text)::bigint size, row_number() over (partition by conv_id order by turn) k from conversations),
+s as (select mail_id, turn, size, k, 0::bigint n, 0::bigint used, false admitted, 0::bigint k2 from c where k = 1
+ union all
+ select c.mail_id, c.turn, c.size, c.k, s.n + case when s.n < 4 and s.size <= 1500 and s.used + s.size <= 2000 then 1 else 0 end, s.used + case when s.n < 4 and s.size <= 1500 and s.used + s.size <= 2000 then s.size else 0 end, false, c.k from s join c on c.mail_id = s.mail_id and c.k = s.k + 1)
+select mail_id, turn as ord, size, n < 4 and size <= 1500 and used + size <= 2000 as admitted from s""")
 def mail_budget(spark, sf_dir):
     """Turns as attachments of a conversation; admission depends on what was admitted before."""
     c = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("mail_id"), F.col("turn").alias("ord"), F.length("text").cast("long").alias("size"))

@@ -175,7 +175,8 @@ def eta_window(spark, sf_dir):
 
 @query("select user_id, list_sort(list(value))[least(count(*) - 1, floor(count(*) * 0.95))::int + 1] p95, list_sort(list(value))[count(*) // 2 + 1] upper_median from events group by user_id")
 def pct_floor(spark, sf_dir):
-    return table(spark, sf_dir, "events").groupBy("user_id").agg(islands.floor_percentile(F.col("value"), 0.95).alias("p95"), islands.upper_median(F.col("value")).alias("upper_median"))
+    e = table(spark, sf_dir, "events").select("user_id", "value")
+    return islands.floor_percentile(e, ["user_id"], "value", 0.95, "p95").join(islands.upper_median(e, ["user_id"], "value"), "user_id")
 
 
 @query("select user_id, event_id, last_value(case when event_type = 'signup' then props end ignore nulls) over (partition by user_id order by event_id rows unbounded preceding) title from events")

@@ -12,17 +12,16 @@ def seconds(ts: str = "ts") -> Column:
     return F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', {ts}) / 1000000.0D")
 
 
-def segments(spark, sf_dir, kind: str = "view", length: float = 1800.0) -> DataFrame:
-    """(rec_id, seq, start, end, text): events of a kind as segments of `length` seconds; the user is the recording."""
+def segments(spark, sf_dir, kind: str = "view", length: float = 1800.0, *more: str) -> DataFrame:
+    """(rec_id, seq, start, end, text, more): events of a kind as segments of `length` seconds; the user is the recording."""
     s = seconds()
-    return table(spark, sf_dir, "events").where(F.col("event_type") == kind).select(F.col("user_id").alias("rec_id"), F.col("event_id").alias("seq"), s.alias("start"), (s + length).alias("end"), F.col("props").alias("text"))
+    return table(spark, sf_dir, "events").where(F.col("event_type") == kind).select(F.col("user_id").alias("rec_id"), F.col("event_id").alias("seq"), s.alias("start"), (s + length).alias("end"), F.col("props").alias("text"), *more)
 
 
 def turns(spark, sf_dir, kind: str = "purchase", length: float = 1800.0) -> DataFrame:
     """(rec_id, idx, start, end, speaker, conf) of events; the speaker is event_id % 5, conf is value / 100, 0 for each seventh."""
-    x = segments(spark, sf_dir, kind, length).withColumnRenamed("seq", "idx").drop("text")
-    v = table(spark, sf_dir, "events").select(F.col("event_id").alias("idx"), "value")
-    return x.join(v, "idx").select("rec_id", "idx", "start", "end", (F.col("idx") % 5).cast("int").alias("speaker"), F.when(F.col("idx") % 7 == 0, 0.0).otherwise(F.col("value") / 100).alias("conf"))
+    x = segments(spark, sf_dir, kind, length, "value").withColumnRenamed("seq", "idx")
+    return x.select("rec_id", "idx", "start", "end", (F.col("idx") % 5).cast("int").alias("speaker"), F.when(F.col("idx") % 7 == 0, 0.0).otherwise(F.col("value") / 100).alias("conf"))
 
 
 def spoken(spark, sf_dir) -> DataFrame:
