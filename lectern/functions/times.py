@@ -24,3 +24,8 @@ def exif_date(raw: Column) -> Column:
 def gps_decimal(degrees: Column, minutes: Column, seconds: Column, ref: Column) -> Column:
     """Degrees with fractions; south and west are negative."""
     return (degrees + minutes / 60 + seconds / 3600) * F.when(F.upper(ref).isin("S", "W"), -1).otherwise(1)
+
+
+def log_name(when: Column) -> Column:
+    """Name of the log of a run that began then."""
+    return F.concat(F.date_format(when, "yyyy-MM-dd_HHmmss"), F.lit(".log"))

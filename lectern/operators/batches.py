@@ -141,6 +141,19 @@ def parse_rules(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     return good, x.where(F.size("_t") < 2).select("ord", "line")
 
 
+def _resolved(path: Column) -> Column:
+    """A path without ./ and folder/../ steps, the shortest pairs first, until none is left."""
+    parts = F.filter(F.split(path, "/"), lambda p, i: (p != ".") & ((p != "") | (i == 0)))
+    up = lambda acc, p: F.when((p == "..") & (F.size(acc) > 1), F.slice(acc, 1, F.size(acc) - 1)).when(p == "..", acc).otherwise(F.array_append(acc, p))
+    return F.array_join(F.aggregate(parts, F.array().cast("array<string>"), up), "/")
+
+
+def local_target(folder: Column, reference: Column) -> Column:
+    """Path of a reference relative to folder, decoded and without query and fragment; null for URLs and what cannot be decoded."""
+    clean = F.regexp_replace(F.try_url_decode(F.replace(reference, F.lit("+"), F.lit("%2B"))), r"[?#].*$", "")
+    return F.when(~clean.rlike("^[a-zA-Z][a-zA-Z0-9+.-]*:"), _resolved(F.when(clean.startswith("/"), clean).otherwise(F.concat(folder, clean))))
+
+
 def referenced_images(images: DataFrame, referrers: DataFrame) -> DataFrame:
     """Images (path) that no referrer (path, content string) names by a relative or absolute path.
 
@@ -153,12 +166,58 @@ def referenced_images(images: DataFrame, referrers: DataFrame) -> DataFrame:
         F.regexp_extract_all(head, F.lit(r"\]\(<?([^)>\s]+)"), F.lit(1)),
         F.regexp_extract_all(head, F.lit(r"`([^`\n]+\.[A-Za-z]{2,5})`"), F.lit(1)),
     )
+    refs = referrers.select(F.regexp_replace("path", r"[^/]*$", "").alias("folder"), F.explode(found).alias("ref"))
+    named = refs.select(F.lower(local_target(F.col("folder"), F.col("ref"))).alias("_p")).where("_p is not null").distinct()
+    return images.join(named, F.lower("path") == F.col("_p"), "left_anti")
+
+
+#: An image in Markdown: before the target, the target, behind it.
+_IMAGE = r"(!\[[^\]\n]*\]\(<?)([^)>\s]+)"
+
+
+def copied_images(docs: DataFrame, images: DataFrame) -> DataFrame:
+    """docs (doc_id, path, text, ...) with local image targets of the text replaced by images' (path, link), and `failed`: how many are not there.
+
+    URLs and absolute paths stay. A target without an image stays too and counts as failed.
+    """
     folder = F.regexp_replace("path", r"[^/]*$", "")
-    refs = referrers.select(folder.alias("folder"), F.explode(found).alias("ref")).withColumn("ref", F.regexp_replace(F.regexp_replace(F.try_url_decode(F.replace("ref", F.lit("+"), F.lit("%2B"))), r"[?#].*$", ""), r"^(\./)+", ""))
-    named = refs.where(F.col("ref").isNotNull() & ~F.col("ref").rlike("^[a-zA-Z][a-zA-Z0-9+.-]*:")).select(F.when(F.col("ref").startswith("/"), F.col("ref")).otherwise(F.concat("folder", "ref")).alias("path"))
-    for _ in range(8):  # a/../ steps
-        named = named.withColumn("path", F.regexp_replace("path", r"(?<=/)(?!\.\./)[^/]+/\.\./", ""))
-    return images.join(named.select(F.lower("path").alias("_p")).distinct(), F.lower("path") == F.col("_p"), "left_anti")
+    x = docs.withColumns({"_before": F.regexp_extract_all("text", F.lit(_IMAGE), F.lit(1)), "_targets": F.regexp_extract_all("text", F.lit(_IMAGE), F.lit(2)), "_between": F.split("text", _IMAGE)})
+    asked = x.select("doc_id", folder.alias("folder"), F.explode(F.array_distinct("_targets")).alias("target"))
+    local = ~F.col("target").rlike(r"^([a-zA-Z][\w+.-]*:|/|\\\\|[a-zA-Z]:[\\/])")
+    asked = asked.where(local).withColumn("_p", F.lower(local_target(F.col("folder"), F.col("target"))))
+    found = asked.join(images.select(F.lower("path").alias("_p"), "link").dropDuplicates(["_p"]), "_p", "left")
+    links = found.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("target", "link"))).alias("_links"))
+    x = x.join(links, "doc_id", "left").withColumn("_links", F.coalesce("_links", F.create_map().cast("map<string,string>")))
+    link = lambda t: F.coalesce(F.try_element_at("_links", t), t)
+    images_of = F.zip_with("_before", "_targets", lambda b, t: F.concat(b, link(t)))
+    failed = F.size(F.filter("_targets", lambda t: F.map_contains_key("_links", t) & F.try_element_at("_links", t).isNull()))
+    text = F.array_join(F.zip_with("_between", images_of, lambda a, b: F.concat(F.coalesce(a, F.lit("")), F.coalesce(b, F.lit("")))), "")
+    return x.withColumns({"text": F.coalesce(text, F.col("text")), "failed": failed}).select(*docs.columns, "failed")
+
+
+def same_stem(files: DataFrame, others: DataFrame, endings: list[str]) -> DataFrame:
+    """files (path) with `found`: the path of others (path) in the same folder with the same stem; endings earlier in the list come first.
+
+    Endings begin with a dot and may have several (.x.npz). A file without one has a null.
+    """
+    base = lambda p: F.regexp_replace(p, r"(?<=[^/\\])\.[^./\\]*$", "")
+    ranked = F.array(*[F.struct(F.lit(i).alias("rank"), F.lit(e).alias("ending")) for i, e in enumerate(endings)])
+    fit = others.select(F.col("path").alias("other"), F.explode(F.filter(ranked, lambda r: F.endswith(F.lower("path"), r["ending"]))).alias("r"))
+    fit = fit.select("other", "r.rank", F.expr("substring(other, 1, length(other) - length(r.ending))").alias("_base"))
+    first = fit.groupBy("_base").agg(F.min(F.struct("rank", "other"))["other"].alias("found"))
+    return files.join(first, base(F.col("path")) == F.col("_base"), "left").select(*files.columns, "found")
+
+
+def batch_outputs(converted: DataFrame, skipped: DataFrame, existing: DataFrame, supported: list[str]) -> DataFrame:
+    """(path): outputs to read, each once in any case: those of converted (ord, out), then of skipped (ord, src, out) with a supported ending whose output is in existing (path)."""
+    there = skipped.where(suffix_of(F.col("src")).isin(*supported)).join(existing.select(F.lower("path").alias("_e")).distinct(), F.lower("out") == F.col("_e"), "left_semi")
+    both = converted.select(F.lit(0).alias("from"), "ord", F.col("out").alias("path")).unionByName(there.select(F.lit(1).alias("from"), "ord", F.col("out").alias("path")))
+    return both.groupBy(F.lower("path").alias("_k")).agg(F.min(F.struct("from", "ord", "path")).alias("f")).select(F.col("f.from").alias("from"), "f.ord", "f.path")
+
+
+def missing_defaults(defaults: DataFrame, present: DataFrame) -> DataFrame:
+    """Default files (name, ...) to be put in place: those that are not there yet; nothing is replaced."""
+    return defaults.join(present.select("name").distinct(), "name", "left_anti")
 
 
 def mail_budget(attachments: DataFrame, most: int = 200, most_bytes: int = 2 << 30, most_one: int = 512 << 20):

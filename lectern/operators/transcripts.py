@@ -2,7 +2,7 @@
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from lectern.functions.labels import DIAGNOSTICS_TITLE, TRANSCRIPT_TITLE, UNKNOWN_SPEAKER
+from lectern.functions.labels import DIAGNOSTICS_TITLE, TRANSCRIPT_TITLE, UNKNOWN, UNKNOWN_SPEAKER
 from lectern.functions.text import is_marker, lines, rename_at_once, speaker_label
 from lectern.functions.times import hms
 from lectern.operators.intervals import label_blocks
@@ -92,6 +92,20 @@ def parse_transcripts(transcripts: DataFrame) -> DataFrame:
     return x.groupBy("rec_id", "seq").agg(F.max("name").alias("name"), F.max("start").alias("start"), text.alias("text"))
 
 
+def labels_in(transcripts: DataFrame) -> DataFrame:
+    """(rec_id, number, name): the names of a transcript's lines, from 1 in order of appearance; the unknown one has UNKNOWN_SPEAKER."""
+    first = parse_transcripts(transcripts).groupBy("rec_id", "name").agg(F.min("seq").alias("at"))
+    known = F.col("name") != UNKNOWN
+    nth = F.sum(known.cast("int")).over(Window.partitionBy("rec_id").orderBy("at"))
+    return first.select("rec_id", F.when(known, nth).otherwise(UNKNOWN_SPEAKER).cast("int").alias("number"), "name")
+
+
+def renamed_in(names: Column, old: str, new: str) -> Column:
+    """A map of names with the value old replaced by new."""
+    old, new = old.strip(), new.strip()
+    return F.transform_values(names, lambda k, v: F.when(v == old, F.lit(new)).otherwise(v)) if old and new and old != new else names
+
+
 def _joined(x: DataFrame) -> DataFrame:
     return x.groupBy("rec_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "line"))), lambda s: s["line"]), "\n").alias("md"))
 

@@ -6,16 +6,18 @@ import zipfile
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from lectern.functions.labels import CHART_NOTE
 from lectern.functions.text import has_content
 
 OLE_MAGIC = "D0CF11E0A1B11AE1"
+#: A member that unpacks to more is taken for a bomb.
 HUGE_PART = 512 << 20
 
 
-def parts(files: DataFrame, wanted: str = r"\.(xml|rels|xhtml|html?|opf|ncx)$") -> DataFrame:
-    """(doc_id, part, content, error) of zip files (doc_id, content): a row for each member whose name matches.
+def parts(files: DataFrame, wanted: str = r"\.(xml|rels|xhtml|html?|opf|ncx)$", most_bytes: int = HUGE_PART) -> DataFrame:
+    """(doc_id, part, content, error) of zip files (doc_id, content): a row for each member; content where its name matches.
 
-    A file that is no zip, a broken member and a member above HUGE_PART give a row with an error.
+    A file that is no zip, a broken member and a member above most_bytes give a row with an error.
     """
     import re
 
@@ -31,7 +33,7 @@ def parts(files: DataFrame, wanted: str = r"\.(xml|rels|xhtml|html?|opf|ncx)$")
                         for info in z.infolist():
                             if not match.search(info.filename):
                                 out.append((doc_id, info.filename, None, None))
-                            elif info.file_size > HUGE_PART:
+                            elif info.file_size > most_bytes:
                                 out.append((doc_id, info.filename, None, "too large"))
                             else:
                                 try:
@@ -93,17 +95,81 @@ def docx_blocks(files: DataFrame) -> DataFrame:
     return x.select("doc_id", (F.row_number().over(Window.partitionBy("doc_id").orderBy("at")) - 1).alias("pos"), "kind", "level", "text", "rows", "has_header")
 
 
+_TABLE = r"(?s)(<a:tbl>.*?</a:tbl>)"
+_PARA = r"(?s)<a:p>.*?</a:p>|<a:p [^>]*>.*?</a:p>"
+
+
+def bullet_kind(paragraph: Column, inherits: Column) -> Column:
+    """num or bullet of a slide's paragraph (its markup), null without one: its own mark, then its depth, then what it inherits."""
+    own = F.regexp_extract(paragraph, r"(?s)<a:pPr\b(?:[^>]*/>|.*?</a:pPr>)", 0)
+    deep = F.regexp_extract(own, r'^<a:pPr\b[^>]*?\blvl="(\d+)"', 1)
+    return F.when(F.contains(own, F.lit("<a:buNone")), None).when(F.contains(own, F.lit("<a:buAutoNum")), "num").when(F.contains(own, F.lit("<a:buChar")) | ~deep.isin("", "0"), "bullet").when(inherits, "bullet")
+
+
 def pptx_blocks(files: DataFrame) -> DataFrame:
-    """(doc_id, pos, kind, level, text) of slides in number order: a heading for each, its paragraphs, then its notes."""
+    """(doc_id, pos, kind, level, text, rows, has_header) of slides in number order: a heading for each, its paragraphs and tables, then its notes."""
     p = parts(files, r"^ppt/(slides/slide|notesSlides/notesSlide)\d+\.xml$").where("content is not null")
     p = p.withColumns({"slide": F.regexp_extract("part", r"(\d+)\.xml$", 1).cast("int"), "side": F.when(F.contains("part", F.lit("notesSlides")), 2).otherwise(1)})
-    heads = p.where("side = 1").select("doc_id", "slide", F.lit(0).alias("side"), F.lit(0).alias("at"), F.lit("heading").alias("kind"), F.lit(1).alias("level"), F.concat(F.lit("第 "), F.col("slide").cast("string"), F.lit(" 頁")).alias("text"))
-    paras = p.select("doc_id", "slide", "side", F.posexplode(F.regexp_extract_all("content", F.lit(r"(?s)<a:p>.*?</a:p>|<a:p [^>]*>.*?</a:p>"), F.lit(0))).alias("at", "xml"))
+    no_rows, no_flag = F.lit(None).cast("array<array<string>>").alias("rows"), F.lit(None).cast("boolean").alias("has_header")
+    heads = p.where("side = 1").select("doc_id", "slide", F.lit(0).alias("side"), F.lit(0).alias("cut"), F.lit(0).alias("at"), F.lit("heading").alias("kind"), F.lit(1).alias("level"), F.concat(F.lit("第 "), F.col("slide").cast("string"), F.lit(" 頁")).alias("text"), no_rows, no_flag)
+    cuts = p.select("doc_id", "slide", "side", F.posexplode(F.split(F.regexp_replace("content", _TABLE, "\ue000$1\ue000"), "\ue000")).alias("cut", "xml"))
+    texts_of = lambda xml: F.trim(_texts(xml, "a:t", "a:br"))
+    cells = lambda r: F.transform(F.regexp_extract_all(r, F.lit(r"(?s)<a:tc\b[^>]*>(.*?)</a:tc>"), F.lit(1)), lambda c: texts_of(F.regexp_replace(c, r"</a:p>(?=.*<a:p\b)", "<a:t>\n</a:t>")))
+    rows = F.transform(F.regexp_extract_all("xml", F.lit(r"(?s)<a:tr\b[^>]*>.*?</a:tr>"), F.lit(0)), cells)
+    tables = cuts.where(F.col("xml").startswith("<a:tbl>")).select("doc_id", "slide", "side", "cut", F.lit(0).alias("at"), F.lit("table").alias("kind"), F.lit(None).cast("int").alias("level"), F.lit(None).cast("string").alias("text"), rows.alias("rows"), F.lit(True).alias("has_header"))
+    paras = cuts.where(~F.col("xml").startswith("<a:tbl>")).select("doc_id", "slide", "side", "cut", F.posexplode(F.regexp_extract_all("xml", F.lit(_PARA), F.lit(0))).alias("at", "xml"))
     deep = F.coalesce(F.expr("try_cast(nullif(regexp_extract(xml, 'lvl=\"(\\\\d)\"', 1), '') as int)"), F.lit(0))
-    body = F.trim(_texts(F.col("xml"), "a:t", "a:br"))
-    paras = paras.select("doc_id", "slide", "side", "at", F.lit("para").alias("kind"), F.lit(None).cast("int").alias("level"), F.when(body != "", F.concat(F.repeat(F.lit("  "), deep), body)).alias("text")).where("text is not null")
-    x = heads.unionByName(paras)
-    return x.select("doc_id", (F.row_number().over(Window.partitionBy("doc_id").orderBy("slide", "side", "at")) - 1).alias("pos"), "kind", "level", "text")
+    body = texts_of(F.col("xml"))
+    paras = paras.select("doc_id", "slide", "side", "cut", "at", F.lit("para").alias("kind"), F.lit(None).cast("int").alias("level"), F.when(body != "", F.concat(F.repeat(F.lit("  "), deep), body)).alias("text"), no_rows, no_flag).where("text is not null")
+    x = heads.unionByName(paras).unionByName(tables)
+    return x.select("doc_id", (F.row_number().over(Window.partitionBy("doc_id").orderBy("slide", "side", "cut", "at")) - 1).alias("pos"), "kind", "level", "text", "rows", "has_header")
+
+
+def lost_bullets(files: DataFrame) -> DataFrame:
+    """(doc_id, bullets): paragraphs of slides that are list items within a table, where Markdown has no place for lists."""
+    p = parts(files, r"^ppt/slides/slide\d+\.xml$").where("content is not null")
+    tables = p.select("doc_id", F.explode_outer(F.regexp_extract_all("content", F.lit(_TABLE), F.lit(1))).alias("xml"))
+    items = F.filter(F.regexp_extract_all("xml", F.lit(_PARA), F.lit(0)), lambda x: (F.trim(_texts(x, "a:t")) != "") & bullet_kind(x, F.lit(False)).isNotNull())
+    return tables.groupBy("doc_id").agg(F.coalesce(F.sum(F.size(items)), F.lit(0)).alias("bullets"))
+
+
+def numbered_paragraphs(files: DataFrame) -> DataFrame:
+    """(doc_id, numbered): paragraphs of Word files that are numbered by themselves or by their style."""
+    p = parts(files, r"^word/(document|styles)\.xml$").where("content is not null")
+    styles = F.filter(F.regexp_extract_all("content", F.lit(r"(?s)<w:style\s.*?</w:style>"), F.lit(0)), lambda x: F.contains(x, F.lit("<w:numPr")))
+    named = p.where("part = 'word/styles.xml'").select("doc_id", F.transform(styles, lambda x: F.regexp_extract(x, r'\bw:styleId="([^"]*)"', 1)).alias("styles"))
+    body = p.where("part = 'word/document.xml'").select("doc_id", F.transform(F.regexp_extract_all("content", F.lit(r"(?s)<w:p[ >].*?</w:p>"), F.lit(0)), lambda x: F.regexp_extract(x, r"(?s)<w:pPr>.*?</w:pPr>", 0)).alias("own"))
+    by_style = lambda x: F.coalesce(F.array_contains(F.coalesce("styles", F.array().cast("array<string>")), F.nullif(F.regexp_extract(x, r'<w:pStyle w:val="([^"]*)"', 1), F.lit(""))), F.lit(False))
+    return body.join(named, "doc_id", "left").select("doc_id", F.size(F.filter("own", lambda x: F.contains(x, F.lit("<w:numPr")) | by_style(x))).alias("numbered"))
+
+
+def chart_notes(files: DataFrame, most: int = 5) -> DataFrame:
+    """(doc_id, part, text): a note for each chart of a workbook, with its title and the ranges that its series show."""
+    p = parts(files, r"^xl/charts/chart\d+\.xml$").where("content is not null")
+    title = xml_text(F.regexp_extract("content", r"(?s)<c:title>.*?<a:t>(.*?)</a:t>.*?</c:title>", 1))
+    refs = F.transform(F.regexp_extract_all("content", F.lit(r"(?s)<c:val>\s*<c:numRef>\s*<c:f>(.*?)</c:f>"), F.lit(1)), xml_text)
+    before, about, from_, between, after = CHART_NOTE
+    shown = F.concat(F.lit(before), F.when(title != "", F.concat(F.lit(about), title)).otherwise(""), F.when(F.size(refs) > 0, F.concat(F.lit(from_), F.array_join(F.slice(refs, 1, most), between))).otherwise(""), F.lit(after))
+    return p.select("doc_id", "part", shown.alias("text"))
+
+
+def packed(members: DataFrame) -> DataFrame:
+    """(doc_id, content): a zip file for each doc_id of members (doc_id, part, content string), in order of part; for tests and exports."""
+    rows = members.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("part", "content"))).alias("parts"))
+    schema = pa.schema([("doc_id", pa.int64()), ("content", pa.binary())])
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for found in batch.column("parts").to_pylist():
+                buffer = io.BytesIO()
+                with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as z:
+                    for x in found:
+                        z.writestr(x["part"], x["content"] or "")
+                out.append(buffer.getvalue())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.binary())], schema=schema)
+
+    return rows.select(F.col("doc_id").cast("long"), "parts").mapInArrow(run, "doc_id long, content binary")
 
 
 def column_number(ref: Column) -> Column:
@@ -142,9 +208,10 @@ def unrecalculated(cells: DataFrame) -> DataFrame:
     return cells.where("formula <> '' and trim(coalesce(value, '')) = ''")
 
 
-def merged_cells(ranges: DataFrame, most: int = 100_000) -> DataFrame:
-    """(doc_id, sheet, row, col, row0, col0) for each cell of merged ranges (doc_id, sheet, row0, col0, row1, col1) of at most `most` cells."""
-    x = ranges.where(((F.col("row1") - F.col("row0") + 1) * (F.col("col1") - F.col("col0") + 1)) <= most)
+def merged_cells(ranges: DataFrame, most: int | None = None) -> DataFrame:
+    """(doc_id, sheet, row, col, row0, col0) for each cell of merged ranges (doc_id, sheet, row0, col0, row1, col1); with `most`, of those of at most so many cells."""
+    cells = (F.col("row1") - F.col("row0") + 1).cast("long") * (F.col("col1") - F.col("col0") + 1)
+    x = ranges if most is None else ranges.where(cells <= most)
     x = x.withColumn("row", F.explode(F.sequence("row0", "row1")))
     return x.withColumn("col", F.explode(F.sequence("col0", "col1"))).select("doc_id", "sheet", "row", "col", "row0", "col0")
 
@@ -186,10 +253,10 @@ def is_page_furniture(text: Column) -> Column:
 
 
 def header_footer_blocks(files: DataFrame) -> DataFrame:
-    """(doc_id, pos, kind, text) of Word headers and footers, each text once and without page numbers."""
+    """(doc_id, pos, kind, text) of Word headers, then footers, each text once and without page numbers."""
     p = parts(files, r"^word/(header|footer)\d*\.xml$").where("content is not null")
     x = p.select("doc_id", "part", F.posexplode(F.regexp_extract_all("content", F.lit(r"(?s)<w:p[ >].*?</w:p>"), F.lit(0))).alias("at", "xml"))
-    x = x.select("doc_id", F.struct("part", "at").alias("at"), F.trim(_texts(F.col("xml"), "w:t", "w:br|w:tab")).alias("text")).where(~is_page_furniture(F.col("text")))
+    x = x.select("doc_id", F.struct(F.contains("part", F.lit("footer")).alias("f"), "part", "at").alias("at"), F.trim(_texts(F.col("xml"), "w:t", "w:br|w:tab")).alias("text")).where(~is_page_furniture(F.col("text")))
     first = x.groupBy("doc_id", F.regexp_replace("text", r"(?U)\s+", "").alias("key")).agg(F.min(F.struct("at", "text")).alias("f"))
     return first.select("doc_id", (F.row_number().over(Window.partitionBy("doc_id").orderBy("f.at")) - 1).alias("pos"), F.lit("para").alias("kind"), "f.text")
 

@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.functions import pandas_udf
 
+from lectern.functions.labels import ENCODING_NOTE
 from lectern.functions.text import demote_headings, drop_blank_rows, paragraphs, sniff_delimiter
 
 #: Byte-order marks, longest first (fixed values).
@@ -60,6 +61,11 @@ def decoded(files: DataFrame, content: str = "content") -> DataFrame:
     return files.withColumn("_d", of(F.col(content))).select(*[c for c in files.columns if c not in ("text", "encoding", "sure")], "_d.*")
 
 
+def encoding_note(sure: Column) -> Column:
+    """The note for a text whose encoding is a guess; null where it is sure."""
+    return F.when(~F.coalesce(sure, F.lit(False)), F.lit(ENCODING_NOTE))
+
+
 def text_blocks(texts: DataFrame) -> DataFrame:
     """Paragraph blocks (doc_id, pos, kind, text) of (doc_id, text)."""
     return texts.select("doc_id", F.posexplode(paragraphs(F.col("text"))).alias("pos", "text")).withColumn("kind", F.lit("para"))
