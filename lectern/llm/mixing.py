@@ -118,7 +118,8 @@ def mix(docs: DataFrame, share: float = SHARE, weights: tuple = WEIGHTS, most: f
     x = x.withColumn("open", (F.col("size") > 0) & (F.col("whole") < most))
     ranked = written(x.select("doc_id", "source", "s", "size", "source_size", "target", "h", "nth", "whole", "odds", "tie", "place", "open"), "ranked")
     state = ranked.groupBy("s").agg((F.first("target") - F.sum(F.col("size") * F.col("whole"))).alias("room"))
-    state = state.where("room >= 1").withColumn("after", F.lit(None).cast("struct<odds double, tie bigint>"))
+    # written, so that its size is known and the ranked rows stay where they are
+    state = written(state.where("room >= 1").withColumn("after", F.lit(None).cast("struct<odds double, tie bigint>")), "state")
     steps = None
     for _ in range(rounds):
         step = written(_first_over(ranked, state), "step")
