@@ -99,3 +99,9 @@ def progress(updates: DataFrame) -> DataFrame:
 def drain(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:
     """Everything that is there goes to Parquet at path; what a former run has written is not read again."""
     stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True).start().awaitTermination()
+
+
+def latest(stream: DataFrame, path: str, checkpoint: str) -> None:
+    """The state of an aggregation once everything that is there has been read goes to Parquet at path."""
+    whole = lambda rows, _: rows.write.mode("overwrite").parquet(path)
+    stream.writeStream.foreachBatch(whole).option("checkpointLocation", checkpoint).outputMode("complete").trigger(availableNow=True).start().awaitTermination()
