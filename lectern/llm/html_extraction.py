@@ -183,6 +183,12 @@ class Extractor:
         return out
 
 
+@lru_cache(maxsize=4)
+def fitted(practice: int = PRACTICE) -> Extractor:
+    """The extractor fitted on so many generated pages; it is the same each time, so a driver fits it once."""
+    return Extractor(practice)
+
+
 def extract_text(pages: DataFrame, html: str = "html", practice: int = PRACTICE) -> DataFrame:
     """pages with columns text (the main text, empty if there is none) and n_chars (its code points).
 
@@ -190,7 +196,7 @@ def extract_text(pages: DataFrame, html: str = "html", practice: int = PRACTICE)
     space. Other columns stay; columns of these names are replaced. The extractor is fitted on `practice` generated
     pages and broadcast (its size does not depend on the data).
     """
-    extractor = pages.sparkSession.sparkContext.broadcast(Extractor(practice))
+    extractor = pages.sparkSession.sparkContext.broadcast(fitted(practice))
     keep = [f for f in pages.schema.fields if f.name not in ("text", "n_chars") or f.name == html]
     out = StructType([*[f for f in keep if f.name != html], StructField("text", StringType()), StructField("n_chars", LongType())])
 

@@ -12,6 +12,7 @@ import corpus_pipeline
 from lectern.llm import html_extraction, language, mixing, practice_pages, url_filter
 from lectern.llm.common import table
 from lectern.llm.dom import Tree
+from tests.llm.handwritten_pages import PAGES
 from tests.llm.test_dedup_operators import plain_components, plain_fingerprint, removed_plainly
 
 
@@ -54,6 +55,16 @@ def test_extraction_of_a_page(extractor):
     assert got == "Café & more First para with boldtext, and a line. Next line, which goes on for a while. Second “para” <b> has words, and some more of them. One thing, in a list. Two things, in a list."
 
 
+def test_extraction_of_handwritten_pages():
+    """Layouts that the generator did not make; word by word."""
+    got = html_extraction.fitted().extract([p for p, _ in PAGES])
+    for a, (_, want) in zip(got, PAGES):
+        x, y = Counter(a.split()), Counter(want.split())
+        f1 = 2 * sum((x & y).values()) / (sum(x.values()) + sum(y.values()))
+        assert f1 > 0.9, (a, want)
+    assert sum(a == want for a, (_, want) in zip(got, PAGES)) >= 4
+
+
 def test_dropped_nodes_hold_nothing_that_is_kept(extractor):
     for p in practice_pages.practice_pages(30, seed=77):
         tree = Tree(p)
