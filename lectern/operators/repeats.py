@@ -17,9 +17,12 @@ PUNCTUATION = ",。、?!;:.!?;: "
 
 def ngram_coverage(texts: DataFrame, text: Column, sizes: range = range(2, 7)) -> DataFrame:
     """(doc_id, n, phrase, count): for each length the n-gram that comes most often, the first seen of equals; overlaps count."""
+    # places of an array of characters, as a place of a string is found by walking to it
+    most = max(sizes)
     x = texts.select("doc_id", text.alias("t")).where(F.length("t") >= min(sizes))
-    x = x.select("doc_id", "t", F.explode(F.array(*[F.lit(n) for n in sizes])).alias("n")).where(F.length("t") >= F.col("n"))
-    grams = x.select("doc_id", "n", F.posexplode(F.transform(F.sequence(F.lit(1), F.length("t") - F.col("n") + 1), lambda i: F.substring("t", i, F.col("n")))).alias("at", "phrase"))
+    x = x.select("doc_id", F.split("t", "").alias("c")).select("doc_id", F.posexplode(F.transform(F.sequence(F.lit(1), F.size("c")), lambda i: F.array_join(F.slice("c", i, F.lit(most)), ""))).alias("at", "longest"))
+    grams = x.select("doc_id", "at", F.explode(F.array(*[F.struct(F.lit(n).alias("n"), F.substring("longest", 1, n).alias("phrase")) for n in sizes])).alias("g"))
+    grams = grams.where(F.length("g.phrase") == F.col("g.n")).select("doc_id", "at", "g.*")
     counts = grams.groupBy("doc_id", "n", "phrase").agg(F.count("*").alias("count"), F.min("at").alias("at"))
     return counts.groupBy("doc_id", "n").agg(F.max_by(F.struct("phrase", "count"), F.struct("count", -F.col("at"))).alias("b")).select("doc_id", "n", "b.phrase", "b.count")
 

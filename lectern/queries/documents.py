@@ -99,17 +99,26 @@ def repeated_phrase_top(spark, sf_dir):
     return repeats.best_phrase(repeats.ngram_coverage(_chants(table(spark, sf_dir, "events")), F.col("text")))
 
 
-@query("select event_id as doc_id, event_type as phrase from events where length(event_type) <= 6")
+@query("select event_id as doc_id, substr(event_type, 1, 6) as phrase from events")
 def repeated_phrase_turned(spark, sf_dir):
-    """Phrases of the short texts, whose period fits an n-gram."""
-    e = table(spark, sf_dir, "events").where(F.length("event_type") <= 6)
-    return repeats.repeated_phrases(_chants(e))
+    """Phrases of texts that say a word nine times; of a word longer than an n-gram, the n-gram that comes first."""
+    return repeats.repeated_phrases(_chants(table(spark, sf_dir, "events")))
 
 
 @query()
 def repeated_phrase_all(spark, sf_dir):
-    """Phrases of all texts; the SQL of long ones would be the operator's steps again."""
-    return repeats.repeated_phrases(_chants(table(spark, sf_dir, "events")))
+    """Phrases of the documents that compress too well; SQL has no zlib to find them."""
+    d = _docs(spark, sf_dir).where(F.coalesce(x.is_degenerate(F.col("text")), F.lit(False)))
+    return repeats.repeated_phrases(d.select("doc_id", "text"))
+
+
+@query("""with n as (select item_id, regexp_replace(text, '[\\s\\\\]+', '', 'g') s from benchmark), d as (select regexp_replace(text, '[\\s\\\\]+', '', 'g') s from documents)
+select item_id from n where length(s) >= 8 and exists (select 1 from d where contains(d.s, n.s))""")
+def echo_dup(spark, sf_dir):
+    """Benchmark items that stand in a document."""
+    squashed = F.regexp_replace("text", r"[\s\\]+", "").alias("text")
+    items = table(spark, sf_dir, "benchmark").select("item_id", squashed).where(F.length("text") >= 8)
+    return items.join(audit.absent_everywhere(items, _docs(spark, sf_dir).select(squashed)), "item_id", "left_anti").select("item_id")
 
 
 def _tracks(spark, sf_dir):
@@ -296,12 +305,18 @@ def page_kinds(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", layout.page_kind(n % 200, n % 7 / 10, F.col("doc_id") % 100).alias("kind"))
 
 
-@query("select doc_id, 3::bigint as cells from documents where text is not null")
+@query("""with l as (select doc_id, unnest(string_split(translate(text, ',|' || chr(9), '...'), chr(10))) line, generate_subscripts(string_split(text, chr(10)), 1) n from documents where text is not null)
+select doc_id, count(*) * 3 as cells, sha256(string_agg(n || chr(1) || line || ';"' || chr(10) || n || chr(1) || line, chr(2) order by n)) as digest from l group by doc_id""")
 def csv_rows(spark, sf_dir):
-    """Cells of a delimited text that is made of each document's numbers."""
-    d = _docs(spark, sf_dir).where("text is not null").select("doc_id", F.concat(F.lit('a;"b;""'), F.col("doc_id").cast("string"), F.lit('";c\n\n')).alias("text"))
-    rows = texts.delimited_blocks(d).select("doc_id", F.explode("rows").alias("r"))
-    return rows.groupBy("doc_id").agg(F.sum(F.size("r")).alias("cells"))
+    """Each line of a document as a row: its number, a quoted cell with the line, a delimiter, a quote and a line end, and the line again."""
+    plain = F.translate("text", ",|\t", "...")
+    quoted = lambda t: F.replace(t, F.lit('"'), F.lit('""'))
+    row = lambda t, i: F.concat((i + 1).cast("string"), F.lit(';"'), quoted(t), F.lit(';""\n'), (i + 1).cast("string"), F.lit('";"'), quoted(t), F.lit('"'))
+    d = _docs(spark, sf_dir).where("text is not null").select("doc_id", F.concat(F.array_join(F.transform(F.split(plain, "\n"), row), "\r\n"), F.lit("\n\n")).alias("text"))
+    b = texts.delimited_blocks(d)
+    cells = F.aggregate("rows", F.lit(0).cast("long"), lambda n, r: n + F.size(r))
+    line = lambda r: F.concat(r[0], F.lit("\x01"), F.substring_index(r[1], ';"\n', 1), F.lit(';"\n'), r[0], F.lit("\x01"), r[2])
+    return b.select("doc_id", cells.alias("cells"), F.sha2(F.array_join(F.transform("rows", line), "\x02"), 256).alias("digest"))
 
 
 @query("select doc_id, sum(n) over (partition by lang order by doc_id rows unbounded preceding)::bigint as running from (select doc_id, lang, length(text) n from documents where text is not null)")

@@ -80,7 +80,9 @@ def delimited_rows(text: Column, delimiter: Column) -> Column:
     cell_end, row_end = "\ue000", "\ue001"
     t = F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), "^\ufeff", ""), "\r\n?", "\n")
     parts = F.split(t, '"')
-    marked = F.transform(parts, lambda p, i: F.when(i % 2 == 0, F.replace(F.replace(p, delimiter, F.lit(cell_end)), F.lit("\n"), F.lit(row_end))).otherwise(p))
+    # the delimiter goes along as an array: an expression from outside would be worked out again for each part
+    pairs = F.arrays_zip(parts, F.array_repeat(delimiter, F.size(parts)))
+    marked = F.transform(pairs, lambda p, i: F.when(i % 2 == 0, F.replace(F.replace(p["0"], p["1"], F.lit(cell_end)), F.lit("\n"), F.lit(row_end))).otherwise(p["0"]))
     joined = F.replace(F.array_join(marked, "\ue002"), F.lit("\ue002\ue002"), F.lit('"'))
     rows = F.split(F.replace(joined, F.lit("\ue002"), F.lit("")), row_end)
     return drop_blank_rows(F.transform(rows, lambda r: F.split(r, cell_end)))

@@ -1,10 +1,19 @@
-"""Registered queries without SQL against plain versions on small tables."""
+"""Registered queries: those with SQL against it, the others against plain versions on small tables."""
 
+import math
 import re
+import zlib
 from datetime import datetime, timedelta
 from difflib import SequenceMatcher
+from pathlib import Path
 
-from lectern.queries import documents
+import duckdb
+import numpy as np
+import pandas as pd
+import pytest
+
+from lectern.operators import cluster
+from lectern.queries import ORACLES, QUERIES, documents
 
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
@@ -57,11 +66,97 @@ def plain_phrase(text):
     return (min(fit, key=lambda r: text.find(r * 2)) if fit else p[:n]).strip(marks)
 
 
-def test_repeated_phrase_all(spark, tmp_path):
+def test_repeated_phrases(spark, tmp_path):
     kinds = ["view", "purchase", "signup", "a", "no, ", "error", "purchase", "annotation", "x"]
     sf, all_ = events(spark, tmp_path, [(i, i, k, "") for i, k in enumerate(kinds * 3)])
     want = {i: p for i, _, _, k, *_ in all_ if (p := plain_phrase(k * 9 + str(i % 10))) is not None}
-    assert {tuple(r) for r in documents.QUERIES["repeated_phrase_all"](spark, sf).collect()} == set(want.items())
+    assert {tuple(r) for r in documents.QUERIES["repeated_phrase_turned"](spark, sf).collect()} == set(want.items())
     assert all(i in want for i, k in enumerate(kinds * 3) if k == "purchase") and want[1] == "purcha"
-    turned = {tuple(r) for r in documents.QUERIES["repeated_phrase_turned"](spark, sf).collect()}
-    assert turned == {(i, p) for i, p in want.items() if len(all_[i][3]) <= 6}
+
+
+def test_documents_that_repeat_themselves(spark, tmp_path):
+    """Which documents compress too well, and what they repeat, by zlib and a plain search."""
+    texts = ["", None, "short", "one two three " * 40, "ha, " * 100, "哈囉," * 60, "a b c d e f g h i j k l m n o p q r s t u v w x y z 0 1 2 3 4 5 6 7 8 9 A B C D E F G H I J K L", "x" * 79, "x" * 80, "so it goes. " * 30 + "and then it ends"]
+    rows = [(i, t) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    bad = {i: bool(t) and len(t) >= 80 and len(t.encode()) / len(zlib.compress(t.encode(), 9)) >= 2.2 for i, t in rows}
+    assert {r["doc_id"]: r["degenerate"] for r in documents.QUERIES["degenerate_docs"](spark, str(tmp_path)).collect()} == bad
+    want = {i: p for i, t in rows if bad[i] and (p := plain_phrase(t)) is not None}
+    assert {r["doc_id"]: r["phrase"] for r in documents.QUERIES["repeated_phrase_all"](spark, str(tmp_path)).collect()} == want
+    assert set(bad.values()) == {True, False} and len(want) >= 4
+
+
+def plain_clusters(vecs, seconds, blocks, speakers):
+    """Clusters of spans by merging the nearest two of all pairs, again and again, as the rules say."""
+    unit = lambda v: v / max(np.linalg.norm(v), 1e-12)
+    x = np.array([unit(v) for v in vecs - np.average(vecs, axis=0, weights=seconds)])
+    groups = [[i for i in range(len(x)) if blocks[i] == b] for b in sorted(set(blocks))]
+    if speakers == 1 or len(groups) == 1:
+        return [list(range(len(x)))]
+    centre = lambda g: unit(sum(seconds[i] * x[i] for i in g))
+    length = lambda g: sum(seconds[i] for i in g)
+    cos = lambda a, b: float(centre(a) @ centre(b))
+
+    def join(a, b):
+        groups.remove(a)
+        groups.remove(b)
+        groups.append(a + b)
+
+    def best():
+        return max(((cos(a, b), a, b) for i, a in enumerate(groups) for b in groups[:i]), key=lambda t: t[0])
+
+    while len(groups) > max(1, speakers):
+        c, a, b = best()
+        if speakers <= 0 and c < 0.60:
+            break
+        join(a, b)
+    if speakers <= 0:
+        while len(groups) > 1 and (tiny := sorted((g for g in groups if length(g) < 20), key=min)):
+            join(tiny[0], max((g for g in groups if g is not tiny[0]), key=lambda g: cos(g, tiny[0])))
+        while (minor := [g for g in groups if length(g) < 60]) and len(minor) < len(groups):
+            c, a, b = max(((cos(a, b), a, b) for a in minor for b in groups if length(b) >= 60), key=lambda t: t[0])
+            if c < 0.30:
+                break
+            join(a, b)
+        while len(groups) > 30:
+            join(*best()[1:])
+    return groups
+
+
+def test_merging_as_plain():
+    r = np.random.default_rng(3)
+    for _ in range(60):
+        n, k = int(r.integers(2, 40)), int(r.integers(1, 5))
+        vecs = r.normal(size=(k, 6))[r.integers(0, k, n)] + r.normal(size=(n, 6)) * r.choice([0.1, 0.5])
+        seconds, blocks = r.uniform(1, r.choice([5, 40]), n), np.unique(np.sort(r.integers(0, n, n)), return_inverse=True)[1]
+        for speakers in (0, 1, 2):
+            got, conf = cluster.merge_blocks(vecs, seconds, blocks, speakers)
+            want = plain_clusters(vecs, seconds, blocks.tolist(), speakers)
+            assert {frozenset(np.flatnonzero(got == c).tolist()) for c in set(got.tolist())} == {frozenset(g) for g in want}
+            assert ((-1 - 1e-9 <= conf) & (conf <= 1 + 1e-9)).all()
+
+
+@pytest.fixture(scope="module")
+def tables(sf_dir):
+    con = duckdb.connect()
+    for p in Path(sf_dir).glob("*.parquet"):
+        con.execute(f"create view {p.stem} as select * from '{p}'")
+    return con
+
+
+def plain(v):
+    if v is None or v is pd.NA or v is pd.NaT or isinstance(v, float) and math.isnan(v):
+        return None
+    if isinstance(v, float):
+        return round(v, 6)
+    if hasattr(v, "tolist"):
+        v = v.tolist()
+    return tuple(plain(x) for x in v) if isinstance(v, (list, tuple)) else v.isoformat() if hasattr(v, "isoformat") else v
+
+
+@pytest.mark.parametrize("name", sorted(ORACLES))
+def test_query_as_sql(spark, sf_dir, tables, name):
+    rows = lambda df: sorted((tuple(plain(x) for x in r) for r in df[sorted(df.columns)].itertuples(index=False)), key=str)
+    got, want = QUERIES[name](spark, sf_dir).toPandas(), tables.sql(ORACLES[name]).df()
+    assert sorted(got.columns) == sorted(want.columns)
+    assert rows(got) == rows(want)
