@@ -110,6 +110,9 @@ def nearest(index: DataFrame, queries: DataFrame, k: int = TOP) -> DataFrame:
     Order is by distance, then id; a query that is itself in the index finds itself. Rows without a code or an id are
     left out; repeated ids keep their rows, repeated query ids are one query for each different code. An empty index
     gives no rows.
+
+    The index is dealt once; a row is sent for each query and shard, so what is sent grows as queries times index rows
+    over SHARD_CODES. Within a shard a query looks up some thousand values instead of all codes.
     """
     spark = index.sparkSession
     by_id = Window.partitionBy("code").orderBy("id")

@@ -14,13 +14,13 @@ from lectern.llm.bpe import Vocabulary, default_vocabulary
 from lectern.llm.common import record_batch, slices, table, texts
 
 LEAF = 64
-#: Code points behind a pre-token that its match can look at.
+#: Code points behind a pre-token that its match can look at, in the public pattern.
 REACH = 2
 
 
 class TokenTree:
-    def __init__(self, text: str, vocabulary: Vocabulary):
-        self.v = vocabulary
+    def __init__(self, text: str, vocabulary: Vocabulary, reach: int = REACH):
+        self.v, self.reach = vocabulary, reach
         pieces = vocabulary.findall(text)
         counts = list(map(len, map(vocabulary.known().__getitem__, pieces)))
         sizes = list(map(len, pieces))
@@ -73,10 +73,10 @@ class TokenTree:
         delete = max(0, min(delete, self.n_chars - pos))
         if not delete and not insert:
             return 0
-        k, start = self._leaf_at(max(0, min(pos - REACH, self.n_chars - 1)))
+        k, start = self._leaf_at(max(0, min(pos - self.reach, self.n_chars - 1)))
         first, head = k, []
         for p in self.leaves[k]:
-            if start + len(p) > pos - REACH:
+            if start + len(p) > pos - self.reach:
                 break
             head.append(p)
             start += len(p)
@@ -89,12 +89,12 @@ class TokenTree:
                 at += len(p)
                 ends.add(at)
             final = k + 1 >= len(self.leaves)
-            if final or at >= pos - start + delete + REACH:
+            if final or at >= pos - start + delete + self.reach:
                 raw = "".join(old)
                 new = raw[: pos - start] + insert + raw[pos - start + delete :]
                 done, stop, shift = [], 0, delete - len(insert)
                 for p in self.v.findall(new):
-                    if not final and stop + len(p) + REACH > len(new):
+                    if not final and stop + len(p) + self.reach > len(new):
                         break
                     done.append(p)
                     stop += len(p)
@@ -117,14 +117,18 @@ class TokenTree:
         return stop
 
 
-def edited_counts(docs: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
+def edited_counts(docs: DataFrame, path: str | None = None, pattern: str | None = None, reach: int | None = None) -> DataFrame:
     """docs: doc_id, text, edits array<struct<pos int, removed int, added string>>, applied in order, each to
     the text that the one before left. Returns doc_id, n_chars, n_tokens of the text, edited_chars,
     edited_tokens after all edits, and reencoded_chars (what was split and encoded again for the edits).
 
-    A null text counts as empty; null edits as none; a place outside the text is moved to its end.
+    A null text counts as empty; null edits as none; a place outside the text is moved to its end. Another pattern than
+    the public one needs its reach: how many code points behind a pre-token its match can look at.
     """
     known = default_vocabulary()
+    if reach is None and pattern not in (None, known[1]):
+        raise ValueError("a pattern other than the public one needs its reach")
+    reach = REACH if reach is None else reach
     vocabulary = docs.sparkSession.sparkContext.broadcast(Vocabulary(path or known[0], pattern or known[1]))
     schema = pa.schema([(n, pa.int64()) for n in ("doc_id", "n_chars", "n_tokens", "edited_chars", "edited_tokens", "reencoded_chars")])
 
@@ -133,7 +137,7 @@ def edited_counts(docs: DataFrame, path: str | None = None, pattern: str | None
         for batch in slices(batches, "text"):
             rows = []
             for text, edits in zip(texts(batch), batch.column("edits").to_pylist()):
-                tree = TokenTree(text, v)
+                tree = TokenTree(text, v, reach)
                 before = (tree.n_chars, tree.n_tokens)
                 again = sum(tree.edit(e["pos"] or 0, e["removed"] or 0, e["added"] or "") for e in edits or [] if e)
                 rows.append((*before, tree.n_chars, tree.n_tokens, again))

@@ -96,6 +96,13 @@ def test_edited_counts_edges(spark, plain):
     assert [g[3] for g in got if g[0] == 1] == [2]
 
 
+def test_other_patterns_need_their_reach(spark):
+    rows = spark.createDataFrame([(1, "a  b", [{"pos": 2, "removed": 1, "added": "c"}])], "doc_id long, text string, edits array<struct<pos int, removed int, added string>>")
+    with pytest.raises(ValueError):
+        token_counts.edited_counts(rows, pattern=r"\w+|\W+")
+    assert token_counts.edited_counts(rows, pattern=r"\w+|\W+", reach=1).first()["edited_chars"] == 4
+
+
 def test_token_counts_query(spark, sf_dir, plain):
     want = {r["doc_id"]: r["text"] or "" for r in table(spark, sf_dir, "documents").collect()}
     for r in token_counts.query(spark, sf_dir).collect():
