@@ -22,7 +22,7 @@ from pyspark.sql.types import BinaryType, LongType, StringType, StructField, Str
 from lectern.llm.common import flat_bytes, mix64, partitions, record_batch, slices, table, written
 
 LENGTH, ANCHOR = 400, 64
-MAX_GROUP = 2000
+MAX_GROUP = 250
 GRIDS = (64, 16, 4, 1)
 #: Bytes of pieces in one suffix array, unless one group has more.
 SHARD_BYTES = 400_000
