@@ -282,6 +282,22 @@ def mail_attachments(spark, sf_dir):
     return a.select("mail_id", F.array_join(F.transform("path", lambda i: i.cast("string")), ".").alias("path"), "depth", "name", "digest")
 
 
+@query("""with t as (select conv_id d, row_number() over (partition by conv_id order by turn) - 1 i, 't' || turn || '.txt' as n, role, regexp_replace(text, '^\\s+|\\s+$', '', 'g') as text from conversations),
+m as (select d, count(*) k, arg_min(role, i) r from t group by d),
+b as (select d, -1 i, 0 s, 'para' kind, null::int as level, '- from:' || r || '@x.org' || chr(10) || '- to:all@x.org' || chr(10) || '- subject:Talk ' || d as text from m
+ union all select d, -1, 1, 'para', null, 'Body of ' || r from m
+ union all select d, i, 0, 'heading', 2, '附件:' || n from t union all select d, i, 1, 'para', null, '[' || n || '](assets/' || n || ')' from t
+ union all select d, i, 2, case when text = '' then 'note' else 'para' end, null, case when text = '' then '附件「' || n || '」不是可轉換的格式,已原樣存放' else text end from t
+ union all select d, k, unnest([0, 1, 2, 3, 4, 5, 6]), unnest(['heading', 'para', 'para', 'para', 'heading', 'para', 'para']), unnest([2, null, null, null, 4, null, null]),
+  unnest(['附件:inner.eml', '[inner.eml](assets/inner.eml)', '- from:inner@x.org' || chr(10) || '- to:all@x.org' || chr(10) || '- subject:Talk ' || d, 'inside', '附件:deep.txt', '[deep.txt](assets/deep.txt)', r]) from m)
+select d as doc_id, (row_number() over (partition by d order by i, s) - 1)::int as pos, kind, level, text from b""")
+def mail_documents(spark, sf_dir):
+    """Mails with their attachments read in place, an inner mail and its attachment too."""
+    from lectern.plans.documents import ROUTES
+
+    return ROUTES[".eml"](_mails(spark, sf_dir)).select("doc_id", "pos", "kind", "level", "text")
+
+
 @query("select page_id doc_id, sha256(html) as digest, 2::int as resources from pages where html is not null and html <> ''")
 def web_archive_pages(spark, sf_dir):
     """Pages saved with an image by location and by content id."""

@@ -7,6 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from lectern.operators.batches import mail_budget
+from lectern.sources.shared import stored
 
 DEPTH = 3
 HEADERS = ("from", "to", "cc", "date", "subject")
@@ -54,7 +55,8 @@ def attachments(files: DataFrame, depth: int = DEPTH) -> DataFrame:
     """(mail_id, path array<int>, depth, name, data, digest, reason) of all attachments, those of attached messages included.
 
     reason is null for what is taken, else `cycle` (the same content as a message above it), `budget` or `depth`. A round
-    opens the messages of one level, so there are at most `depth` rounds.
+    opens the messages of one level and stores what was attached, so there are at most `depth` rounds and each message is
+    opened once.
     """
     from lectern.operators.batches import suffix_of
 
@@ -66,8 +68,11 @@ def attachments(files: DataFrame, depth: int = DEPTH) -> DataFrame:
         x = keyed.drop("content").join(found, "doc_id").select("mail_id", F.concat("path", F.array(F.col("i").cast("int"))).alias("path"), "above", F.col("a.name").alias("name"), F.col("a.data").alias("data"), F.sha2("a.data", 256).alias("digest"))
         reason = F.when(F.array_contains("above", F.col("digest")), "cycle")
         x = x.select("mail_id", "path", F.lit(level).alias("depth"), "name", "data", "digest", reason.alias("reason"), "above")
+        x = stored(x, "attached")
         out = x if out is None else out.unionByName(x)
         front = x.where((suffix_of(F.col("name")) == ".eml") & F.col("reason").isNull()).select("mail_id", "path", F.concat("above", F.array("digest")).alias("above"), F.col("data").alias("content"))
+        if front.isEmpty():
+            break
     sized = out.select("mail_id", F.array_join(F.transform("path", lambda p: F.lpad(p.cast("string"), 6, "0")), ".").alias("ord"), F.length("data").cast("long").alias("size"), "path", "depth", "name", "data", "digest", "reason")
     admitted = mail_budget(sized.where("reason is null"))
     kept = admitted.withColumn("reason", F.when(~F.col("admitted"), "budget")).drop("admitted")

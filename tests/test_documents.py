@@ -230,7 +230,7 @@ def test_entry(spark):
 
 def test_parts_of_office_files(spark):
     files = spark.createDataFrame([(1, zipped(**{"word__header1.xml": "<w:p><w:r><w:t>Secret plan</w:t></w:r></w:p><w:p><w:r><w:t>Page 3 of 9</w:t></w:r></w:p>", "word__footer1.xml": "<w:p ><w:r><w:t>Secret  plan</w:t></w:r></w:p>", "word___rels__document.xml.rels": '<Relationship Id="r1" Target="http://x/?a=1&amp;b" TargetMode="External"/><Relationship Id="r2" Target="media/i.png"/>', "word__diagrams__data1.xml": "<a:p><a:r><a:t>Box</a:t></a:r></a:p><a:p><a:r><a:t>Box</a:t></a:r></a:p>", "word__document.xml": "<w:p><w:r><w:t>A</w:t></w:r><w:r><w:t>B</w:t></w:r></w:p>"}))], "doc_id long, content binary")
-    assert [r["text"] for r in archives.header_footer_blocks(files).collect()] == ["Secret  plan"]
+    assert [r["text"] for r in archives.header_footer_blocks(files).collect()] == ["Secret plan"]
     assert [tuple(r)[2:] for r in archives.relations(files).collect()] == [("r1", "http://x/?a=1&b")]
     assert [tuple(r)[2:] for r in archives.relations(files, external=False).collect()] == [("r2", "media/i.png")]
     assert archives.diagram_texts(files).first()["texts"] == ["Box"]
