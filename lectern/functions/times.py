@@ -29,3 +29,10 @@ def gps_decimal(degrees: Column, minutes: Column, seconds: Column, ref: Column)
 def log_name(when: Column) -> Column:
     """Name of the log of a run that began then."""
     return F.concat(F.date_format(when, "yyyy-MM-dd_HHmmss"), F.lit(".log"))
+
+
+def between_anchors(value: Column, low: tuple[float, float], high: tuple[float, float]) -> Column:
+    """The straight line through two points (value, result), cut off beyond them, as a whole number; the lower result for null."""
+    (a, x), (b, y) = low, high
+    line = F.lit(x) + (value - F.lit(a)) * F.lit((y - x) / (b - a))
+    return F.least(F.greatest(F.coalesce(line, F.lit(x)), F.lit(x)), F.lit(y)).cast("int")

@@ -105,3 +105,8 @@ def latest(stream: DataFrame, path: str, checkpoint: str) -> None:
     """The state of an aggregation once everything that is there has been read goes to Parquet at path."""
     whole = lambda rows, _: rows.write.mode("overwrite").parquet(path)
     stream.writeStream.foreachBatch(whole).option("checkpointLocation", checkpoint).outputMode("complete").trigger(availableNow=True).start().awaitTermination()
+
+
+def done_seconds(chunk: Column, step: float, overlap: float = 30.0) -> Column:
+    """Seconds that are settled when the next chunk is number `chunk`: those that it does not own any more."""
+    return F.when(chunk <= 0, F.lit(0.0)).otherwise(chunk * F.lit(step) + F.lit(overlap / 2))

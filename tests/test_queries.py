@@ -86,6 +86,22 @@ def test_documents_that_repeat_themselves(spark, tmp_path):
     assert set(bad.values()) == {True, False} and len(want) >= 4
 
 
+def test_spoken_words(spark, tmp_path):
+    """Punctuation and tokens by expressions that look behind, one text at a time."""
+    texts = ["Well, v1.2 is out; see a/b-c!", "3:45, 10-12. end.", "。你好,世界!A-1、B", "", "a . b : c", "--x--", "1,000 a.b.c ."]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+
+    def stripped(t):
+        inside = lambda i: 0 < i < len(t) - 1 and t[i] in ".-:/" and all(c.isascii() and c.isalnum() for c in (t[i - 1], t[i + 1]))
+        return "".join(c for i, c in enumerate(t) if c not in ",.!?;:，。、！？；：-/" or inside(i))
+
+    def glued(t):
+        return re.sub(r"(?<=[0-9A-Za-z])\s*([.\-:/])\s*(?=[0-9A-Za-z])", r"\1", re.sub(r"([.\-:/])", r" \1 ", t))
+
+    got = {r["doc_id"]: (r["plain"], r["glued"]) for r in QUERIES["spoken_words"](spark, str(tmp_path)).collect()}
+    assert got == {i: (stripped(t), glued(t)) for i, t in enumerate(texts)}
+
+
 def plain_clusters(vecs, seconds, blocks, speakers):
     """Clusters of spans by merging the nearest two of all pairs, again and again, as the rules say."""
     unit = lambda v: v / max(np.linalg.norm(v), 1e-12)
