@@ -4,13 +4,17 @@ Rows are (rec_id, start, end, ...) with times in seconds. Interval pairs meet on
 (rec_id, bucket): each interval lies in the time buckets that it touches, and a pair is
 taken only in the first bucket that both touch, so that it comes once and a long
 recording is spread over many tasks. Nearest turns come from running extremes over
-one sorted pass of both tables.
+both tables in order, a part of the recording in a task.
 """
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from lectern.operators.islands import running_extremes
+
 #: Seconds in a bucket; about the length of the intervals that are joined.
 BUCKET = 1800.0
+#: Seconds in a part of a long recording whose rows are sorted in one task.
+PART = 604800.0
 
 
 def overlap(a_start: Column, a_end: Column, b_start: Column, b_end: Column) -> Column:
@@ -48,10 +52,10 @@ def assign_speakers(segments: DataFrame, turns: DataFrame, bucket: float = BUCKE
     lone = x.where("by_overlap is null").select("rec_id", "seq", ((F.col("start") + F.col("end")) / 2).alias("at"), F.lit(0).alias("side"), F.lit(None).cast(_turn(turns)).alias("t"))
     turn = F.struct(F.col("end").alias("e"), (-F.col("idx")).alias("i"), F.col("speaker").alias("s"), F.col("start").alias("b"))
     both = lone.unionByName(turns.select("rec_id", F.lit(None).cast(segments.schema["seq"].dataType).alias("seq"), F.col("start").alias("at"), F.lit(1).alias("side"), turn.alias("t")))
-    up = Window.partitionBy("rec_id").orderBy("at", "side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    down = Window.partitionBy("rec_id").orderBy(F.desc("at"), F.desc("side")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    day = F.floor(F.col("at") / PART)
     first = F.struct(F.col("t.b").alias("b"), (-F.col("t.i")).alias("i"), F.col("t.s").alias("s"))
-    near = both.withColumns({"left": F.max("t").over(up), "right": F.min(F.when(F.col("t").isNotNull(), first)).over(down)}).where("side = 0")
+    right = F.when(F.col("t").isNotNull(), first)
+    near = running_extremes(both, ["rec_id"], day, left=(F.col("t"), ["at", "side"], F.max, False), right=(right, [F.desc("at"), F.desc("side")], F.min, True)).where("side = 0")
     before = F.when(F.col("left").isNotNull(), F.struct((F.col("at") - F.col("left.e")).alias("d"), (-F.col("left.i")).alias("i"), F.col("left.s").alias("s")))
     after = F.when(F.col("right").isNotNull(), F.struct((F.col("right.b") - F.col("at")).alias("d"), F.col("right.i").alias("i"), F.col("right.s").alias("s")))
     near = near.select("rec_id", "seq", F.least(before, after)["s"].alias("by_distance"))
@@ -88,8 +92,10 @@ def label_blocks(blocks: DataFrame, turns: DataFrame, bucket: float = BUCKET) ->
     pairs = interval_pairs(blocks.select("rec_id", "seq", "start", "end"), middles, bucket, touching=True).where("r_start >= l_start and r_start < l_end")
     sums = pairs.groupBy("rec_id", F.col("l_seq").alias("seq"), F.col("r_speaker").alias("s")).agg(F.sum("r_seconds").alias("n"), F.min("r_idx").alias("i"))
     own = sums.groupBy("rec_id", "seq").agg(F.max(F.struct("n", (-F.col("i")).alias("i"), "s"))["s"].alias("own"))
-    before = Window.partitionBy("rec_id").orderBy("start", "seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    x = blocks.join(own, ["rec_id", "seq"], "left").withColumn("label", F.coalesce(F.last("own", ignorenulls=True).over(before), F.lit(0)))
+    x = blocks.join(own, ["rec_id", "seq"], "left")
+    known = F.when(F.col("own").isNotNull(), F.struct("start", "seq", "own"))
+    x = running_extremes(x, ["rec_id"], F.floor(F.col("start") / PART), _last=(known, ["start", "seq"], F.max, False))
+    x = x.withColumn("label", F.coalesce("_last.own", F.lit(0)))
     return x.select(*blocks.columns, "label")
 
 

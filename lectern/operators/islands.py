@@ -49,6 +49,24 @@ def running_sum(rows: DataFrame, keys: list[str], order: list[str], value: str,
     return x.join(sums, same[0]).withColumn(name, F.col("_own") + F.col("_ahead")).select(*rows.columns, name)
 
 
+def running_extremes(rows: DataFrame, keys: list[str], part: Column, **wanted) -> DataFrame:
+    """rows with a column for each of `wanted`, name=(value, order, how, backwards): the greatest (how=F.max) or least (F.min)
+    value up to each row of its key, from the end if backwards; null values are skipped.
+
+    A key's rows are spread over parts, which rise with order, or fall with it if backwards. What the parts before a part
+    hold comes from a table with a row for each part.
+    """
+    x = rows.withColumn("_part", part).withColumns({f"_v_{n}": value for n, (value, *_) in wanted.items()})
+    tops = x.groupBy(*keys, "_part").agg(*[how(f"_v_{n}").alias(f"_c_{n}") for n, (_, _, how, _) in wanted.items()])
+    ahead = lambda back: Window.partitionBy(*keys).orderBy(F.desc("_part") if back else F.asc("_part")).rowsBetween(Window.unboundedPreceding, -1)
+    tops = tops.select(*keys, "_part", *[how(f"_c_{n}").over(ahead(back)).alias(f"_c_{n}") for n, (_, _, how, back) in wanted.items()])
+    x = x.join(tops, [*keys, "_part"], "left")
+    for n, (_, order, how, _) in wanted.items():
+        within = Window.partitionBy(*keys, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        x = x.withColumn(n, (F.greatest if how is F.max else F.least)(how(f"_v_{n}").over(within), f"_c_{n}"))
+    return x.select(*rows.columns, *wanted)
+
+
 def element_at_place(rows: DataFrame, keys: list[str], value: str, place, name: str) -> DataFrame:
     """(keys, name): the element at place(n), from 0, of each key's n values in order; null values are left out.
 
