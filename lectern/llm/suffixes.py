@@ -260,8 +260,9 @@ def repeats(docs: DataFrame, length: int = LENGTH, max_group: int = MAX_GROUP) -
     raw = docs.select("rid", F.col("text").cast("binary").alias("text"))
     cuts = written(raw.mapInArrow(cut, "rid long, start int, n int, k long, p long, shift int"), "pieces")
     kinds = cuts.groupBy("k", "p").agg(F.count("*").alias("copies"))
-    keys = kinds.groupBy("k").agg(F.count("*").alias("kinds"), F.sum("copies").alias("total")).where("total > 1")
-    # one join on (k, p), whose large groups can be split; a join on k alone would meet a frequent anchor's pieces in one task
+    # written, so that the join has an exchange on both sides and a frequent anchor's kinds can be split; the members then
+    # join on (k, p), as on k alone a frequent anchor's pieces would meet in one task
+    keys = written(kinds.groupBy("k").agg(F.count("*").alias("kinds"), F.sum("copies").alias("total")).where("total > 1"), "keys")
     live = written(kinds.join(keys, "k").select("k", "p", "kinds", "copies"), "live")
     members = written(cuts.join(live, ["k", "p"]).select("rid", "start", "n", "k", "p", "shift", "kinds", "copies"), "members")
     # equal wholes of an anchor with no other piece: every start repeats
@@ -277,7 +278,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, max_group: int = MAX_GROUP) -
             break
         finer = written(_finer(hot, grid, length), "finer")
         kinds = finer.groupBy("k", "p").agg(F.sum("copies").alias("copies"), F.min(F.struct("k0", "p0", "off")).alias("one"))
-        keys = kinds.groupBy("k").agg(F.count("*").alias("kinds"), F.sum("copies").alias("total")).where("total > 1")
+        keys = written(kinds.groupBy("k").agg(F.count("*").alias("kinds"), F.sum("copies").alias("total")).where("total > 1"), "keys")
         live_cuts = written(kinds.join(keys, "k"), "live")
         chosen = live_cuts.select("k", "p", "kinds", F.col("copies").alias("sum"), "one.*").hint("shuffle_hash")
         ones = finer.drop("copies").join(chosen, ["k", "p", "k0", "p0", "off"]).withColumnRenamed("sum", "copies")
