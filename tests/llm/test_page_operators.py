@@ -333,3 +333,21 @@ def test_pipeline_stages(spark, tmp_path):
         else:
             assert len(after) == len(before) and set(docs.columns) >= {"doc_id", "n_tokens"}
     assert kept[0] >= kept[1] >= kept[2] > 0
+
+
+def test_pipeline_drops_repeated_passages(spark, tmp_path):
+    """Passages of 51 words that several documents share go; documents that share nothing stay as they are, very long ones too."""
+    r = np.random.default_rng(17)
+    word = lambda: "".join(r.choice(list("abcdefghijklmnop"), r.integers(3, 9)))
+    prose = lambda n: " ".join(word() for _ in range(n))
+    passages = [prose(51) for _ in range(6)]
+    clean = {i: prose(120) for i in range(40)} | {40: prose(20_000), 41: "", 42: None}
+    shared = {100 + i: f"{prose(70)} {passages[i % 6]} {prose(70)}" for i in range(24)}
+    rows = [(i, t, "en", "s", len(t or "")) for i, t in (clean | shared).items()]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "d"))
+    got = {x["doc_id"]: x["text"] for x in corpus_pipeline.suffix_dedup(spark, spark.read.parquet(str(tmp_path / "d")), str(tmp_path)).collect()}
+    assert {i: t for i, t in got.items() if i < 100} == {i: t for i, t in clean.items() if t}
+    assert got.keys() >= shared.keys() and not any(p in t for p in passages for t in got.values())
+    for i, t in shared.items():
+        before, after = t.split(passages[i % 6])
+        assert got[i].startswith(before.strip()[:-8]) and got[i].endswith(after.strip()[8:])
