@@ -1,6 +1,6 @@
 """Queries of this subpackage and the SQL that gives the same rows where SQL can."""
 
-from lectern.llm import bpe, fill_middle, fingerprints, hamming, html_extraction, language, mixing, simhash, spelling, suffixes, token_counts, url_filter
+from lectern.llm import bpe, fill_middle, fingerprints, hamming, html_extraction, language, mixing, simhash, spelling, suffixes, token_counts, toxicity, url_filter
 
 QUERIES = {
     "op1_token_counts": token_counts.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op9_topk_search": hamming.query,
     "op10_language_id": language.query,
     "op11_spelling_variants": spelling.query,
+    "op12_toxicity": toxicity.query,
     "op13_fill_in_middle": fill_middle.query,
 }
 
