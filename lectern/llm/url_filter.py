@@ -2,11 +2,12 @@
 
 The tree grows level by level from counts of distinct paths. A segment that looks
 like a number or a hex string, or that few of its parent's URLs have, becomes a
-wildcard. Branches of one shape whose labelled block rates do not differ are merged,
-and a template is rejected if the smoothed share of block labels is high enough.
+wildcard. Branches of one shape whose labelled block rates do not differ from the
+pooled rate of those before are merged, a template is rejected if the
+smoothed share of block labels is high enough.
 """
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from lectern.llm.common import table, written
 
@@ -18,6 +19,8 @@ LEAST_COUNT, LEAST_SHARE = 5, 0.01
 SMOOTHING, REJECT = 10.0, 0.8
 #: Two block rates differ if they are so many standard errors apart.
 DIFFER = 1.96
+#: Steps into which a block rate is cut when branches are put in order.
+RATES = 1000
 
 
 def _rest(url: Column) -> Column:
@@ -75,27 +78,44 @@ def templates(counts: DataFrame, least_count: int = LEAST_COUNT, least_share: fl
             return done
 
 
+def _cuts(rates: Column) -> Column:
+    """The rates at which a group begins, from the sorted rates (step, l, b) of the branches of one form.
+
+    In order of rate a branch joins the group before it unless its rate is above the pooled rate of all in that group by
+    more than chance; so a ladder of small steps does not end in one group.
+    """
+    start = F.struct(F.lit(0).cast("long").alias("l"), F.lit(0).cast("long").alias("b"), F.array().cast("array<int>").alias("cuts"))
+
+    def step(s, x):
+        pool = (s["b"] + x["b"]) / (s["l"] + x["l"])
+        error = F.sqrt(pool * (1 - pool) * (1 / s["l"] + 1 / x["l"]))
+        apart = (s["l"] == 0) | (x["b"] / x["l"] - s["b"] / s["l"] > F.lit(DIFFER) * error)
+        return F.when(apart, F.struct(x["l"].alias("l"), x["b"].alias("b"), F.concat(s["cuts"], F.array(x["step"])).alias("cuts"))).otherwise(F.struct((s["l"] + x["l"]).alias("l"), (s["b"] + x["b"]).alias("b"), s["cuts"].alias("cuts")))
+
+    return F.aggregate(rates, start, step, lambda s: s["cuts"])
+
+
 def judged(leaves: DataFrame, smoothing: float = SMOOTHING, reject: float = REJECT) -> DataFrame:
     """(host, template, branch, purity, rejected) from leaves (host, template, labelled, blocked).
 
     Templates of a host whose literals stand in the same places are branches that can merge: in order of their block
-    rate, a branch joins the one before it unless the rates differ by more than chance. Branches without labels merge
-    with each other only, and have the overall rate. A host has few templates of one form, as literals are bounded by
-    their least share.
+    rate, a branch joins the group before it unless its rate differs from the group's pooled one by more than chance.
+    Rates are told apart by steps of 1 / RATES, so that a form has at most RATES + 1 of them. Branches without labels
+    merge with each other only, and have the overall rate.
     """
     labelled, blocked = leaves.agg(F.coalesce(F.sum("labelled"), F.lit(0)), F.coalesce(F.sum("blocked"), F.lit(0))).first()
     overall = (blocked + 1) / (labelled + 2)
     form = F.regexp_replace("template", r"(?<=/)(?!\*|\{)[^/]+", "_")
-    x = leaves.withColumns({"form": form, "known": F.col("labelled") > 0, "rate": F.when(F.col("labelled") > 0, F.col("blocked") / F.col("labelled")).otherwise(0.0)})
-    row = Window.partitionBy("host", "form", "known").orderBy("rate", "template")
-    pool = (F.col("blocked") + F.lag("blocked").over(row)) / F.greatest(F.lit(1), F.col("labelled") + F.lag("labelled").over(row))
-    error = F.sqrt(pool * (1 - pool) * (1 / F.greatest(F.lit(1), F.col("labelled")) + 1 / F.greatest(F.lit(1), F.lag("labelled").over(row))))
-    apart = F.coalesce(F.col("rate") - F.lag("rate").over(row) > F.lit(DIFFER) * error, F.lit(False))
-    x = x.withColumn("branch", F.sum(apart.cast("int")).over(row))
-    merged = x.groupBy("host", "form", "known", "branch").agg(F.sum("labelled").alias("l"), F.sum("blocked").alias("b"))
-    x = x.join(merged, ["host", "form", "known", "branch"])
+    known = F.col("labelled") > 0
+    x = leaves.withColumns({"form": form, "step": F.when(known, F.floor(F.col("blocked") * RATES / F.col("labelled"))).otherwise(-1).cast("int")})
+    rates = written(x.groupBy("host", "form", "step").agg(F.sum("labelled").alias("l"), F.sum("blocked").alias("b")), "rates")
+    # a form without labels has no cuts
+    cuts = rates.where("l > 0").groupBy("host", "form").agg(_cuts(F.sort_array(F.collect_list(F.struct("step", "l", "b")))).alias("cuts"))
+    groups = rates.join(cuts, ["host", "form"], "left").withColumn("branch", F.coalesce(F.size(F.filter("cuts", lambda c: c <= F.col("step"))), F.lit(0)))
+    pooled = groups.groupBy("host", "form", "branch").agg(F.sum("l").alias("l"), F.sum("b").alias("b"), F.collect_list("step").alias("steps"))
     purity = (F.col("b") + F.lit(smoothing * overall)) / (F.col("l") + F.lit(smoothing))
-    return x.select("host", "template", F.concat_ws("#", "form", "branch").alias("branch"), purity.alias("purity"), (F.col("known") & (purity >= reject)).alias("rejected"))
+    pooled = pooled.select("host", "form", "branch", F.explode("steps").alias("step"), purity.alias("purity"), ((F.col("l") > 0) & (purity >= reject)).alias("rejected"))
+    return x.join(pooled, ["host", "form", "step"]).select("host", "template", F.concat_ws("#", "form", "branch").alias("branch"), "purity", "rejected")
 
 
 def filter_urls(pages: DataFrame, url: str = "url", rules=RULES, label: str | None = None) -> DataFrame:

@@ -125,6 +125,34 @@ def test_templates_learn_from_labels(spark):
     assert url_filter.filter_urls(df.limit(0), rules=(), label="label").count() == 0
 
 
+def differ(a, b):
+    """Whether the block rates of two sets of (template, labelled, blocked) are 1.96 standard errors apart."""
+    (n, x), (m, y) = ((sum(k[1] for k in g), sum(k[2] for k in g)) for g in (a, b))
+    p = (x + y) / (n + m)
+    return abs(y / m - x / n) > 1.96 * math.sqrt(p * (1 - p) * (1 / n + 1 / m))
+
+
+@pytest.mark.parametrize("counts", [[(30, 3 * k) for k in range(11)], [(400, 10 * k) for k in range(41)], [(5, k % 6) for k in range(40)], [(1, 0), (1, 1), (0, 0), (3000, 2990)]])
+def test_merged_branches_by_their_meaning(stored, counts):
+    """No branch differs from the group it joined, groups next to each other differ, and a ladder does not become one group."""
+    leaves = [("h", f"/k{i:02}", n, b) for i, (n, b) in enumerate(counts)]
+    got = {r["template"]: r for r in url_filter.judged(stored(leaves, "host string, template string, labelled long, blocked long")).collect()}
+    assert len(got) == len(leaves)
+    groups = defaultdict(list)
+    for _, t, n, b in sorted(leaves, key=lambda x: (x[3] / max(x[2], 1), x[1])):
+        if n:
+            groups[got[t]["branch"]].append((t, n, b))
+        else:
+            assert not got[t]["rejected"]
+    ordered = list(groups.values())
+    assert [t for g in ordered for t, _, _ in g] == [t for _, t, n, b in sorted(leaves, key=lambda x: (x[3] / max(x[2], 1), x[1])) if n], "groups are runs of rates"
+    assert all(differ(a, b) for a, b in zip(ordered, ordered[1:]))
+    if len(counts) in (11, 41):
+        first, last = ordered[0][0][0], ordered[-1][-1][0]
+        assert got[first]["branch"] != got[last]["branch"] and not got[first]["rejected"] and got[last]["rejected"]
+        assert all(not differ(g[:-1], g[-1:]) for g in ordered if len(g) > 1)
+
+
 def plain_verdicts(urls):
     """(rule, verdict) of each url by the rules and a plain template tree."""
     rules = {"com/": "allow", "example.com/en/": "block", "www.example.com/en/": "allow", "net/es/": "block", "net/fr/": "block"}
@@ -170,15 +198,13 @@ def plain_verdicts(urls):
             forms[host, re.sub(r"(?<=/)(?!\*|\{)[^/]+", "_", t)].append((b / n, t, n, b))
     rejected = set()
     for (host, _), branches in forms.items():
-        groups, last = [], None
-        for rate, t, n, b in sorted(branches):
-            if last is not None:
-                pool = (b + last[3]) / (n + last[2])
-                apart = rate - last[0] > 1.96 * math.sqrt(pool * (1 - pool) * (1 / n + 1 / last[2]))
-            if last is None or apart:
-                groups.append([])
-            groups[-1].append((t, n, b))
-            last = (rate, t, n, b)
+        groups = []
+        for step in sorted({b * 1000 // n for _, _, n, b in branches}):
+            these = [(t, n, b) for _, t, n, b in branches if b * 1000 // n == step]
+            if groups and not differ(groups[-1], these):
+                groups[-1] += these
+            else:
+                groups.append(these)
         for g in groups:
             if (sum(b for _, _, b in g) + 10 * overall) / (sum(n for _, n, _ in g) + 10) >= 0.8:
                 rejected |= {(host, t) for t, _, _ in g}
