@@ -12,7 +12,7 @@ def scan(files: DataFrame, suffixes: list[str]) -> DataFrame:
     """files (path, ...) with one of the suffixes, without those in hidden or .assets folders and lock files; ordered by lower-cased path."""
     folder = F.regexp_replace("path", r"[^/\\]*$", "")
     name = F.regexp_replace("path", r"^.*[/\\]", "")
-    hidden = folder.rlike(r"(^|[/\\])\.[^/\\.][^/\\]*[/\\]|\.assets[/\\]") | name.startswith("~$")
+    hidden = folder.rlike(r"(?i)(^|[/\\])\.[^/\\.][^/\\]*[/\\]|\.assets[/\\]") | name.startswith("~$")
     return files.where(~hidden & suffix_of(F.col("path")).isin(*suffixes)).orderBy(F.lower("path"))
 
 

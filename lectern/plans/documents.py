@@ -117,7 +117,11 @@ def to_markdown(files: DataFrame, converted_at: str, convert=None) -> DataFrame:
     return render(blocks, meta)
 
 
-def batch_report(results: DataFrame) -> DataFrame:
-    """(state, files, names) of results (path, error, skipped): failed, skipped and converted ones."""
+def batch_report(results: DataFrame, most: int = 20) -> DataFrame:
+    """(state, files, names) of results (path, error, skipped): failed, skipped and converted ones, with the first `most` different paths of each."""
     state = F.when(F.col("error").isNotNull(), "failed").when(F.col("skipped").isNotNull(), "skipped").otherwise("converted")
-    return results.groupBy(state.alias("state")).agg(F.count("*").alias("files"), F.slice(F.sort_array(F.collect_set("path")), 1, 20).alias("names"))
+    x = results.select("path", state.alias("state"))
+    # tasks keep the first of their own before the shuffle
+    first = x.where("path is not null").distinct().withColumn("nth", F.row_number().over(Window.partitionBy("state").orderBy("path"))).where(F.col("nth") <= most)
+    names = first.groupBy("state").agg(F.sort_array(F.collect_list("path")).alias("names"))
+    return x.groupBy("state").agg(F.count("*").alias("files")).join(names, "state", "left").select("state", "files", F.coalesce("names", F.array().cast("array<string>")).alias("names"))

@@ -10,8 +10,8 @@ RATE, HEADER = 16000, 44
 
 
 def available_seconds(length: Column) -> Column:
-    """Seconds in a file of so many bytes, header not counted; a growing file's header is not to be trusted."""
-    return F.greatest(F.lit(0.0), (length - HEADER) / (2 * RATE))
+    """Seconds of whole samples in a file of so many bytes, header not counted; a growing file's header is not to be trusted."""
+    return F.greatest(F.lit(0), F.floor((length - HEADER) / 2)) / RATE
 
 
 @pandas_udf(ArrayType(ShortType()))
