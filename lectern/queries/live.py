@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from lectern.sources.shared import shared_path
 from lectern.sources.tables import table
-from lectern.streaming import live
+from lectern.streaming import live, tracks
 
 QUERIES, ORACLES = {}, {}
 
@@ -66,3 +66,64 @@ def live_progress(spark, sf_dir):
     path = shared_path(spark, "progress")
     live.latest(p, path, shared_path(spark, "progress-state"))
     return spark.read.schema(p.schema).parquet(path)
+
+
+#: Windows of half a second in a track.
+_TRACK = 5000
+_LEVELS = f"""lv as (select event_id // {_TRACK} as track, (event_id % {_TRACK}) * 0.5::double as "at", 200 + value * 10 as rms from events), ln as (select track, max("at") + 0.5 as whole from lv group by track)"""
+
+
+@query(f"""with recursive {_LEVELS},
+c as (select track, 0::bigint as step, 0.0::double as "start", 0.0::double as "end", false as flush from ln
+ union all
+ select track, step + 1, done, case when n < 2 then "at" + 0.5 else best + 0.25 end, false from (
+  select *, row_number() over (partition by track order by "at") nth from (
+   select *, min("at") over (partition by track) as tried from (
+    select c.track, c.step, c."end" as done, l."at", l."at" + 0.5 - c."end" as gone, case when c."end" = 0 then 60 else 300 end as least, count(*) over w n, min(rms) over w low, arg_min(l."at", rms) over w best, median(rms) over w mid
+    from c join lv l on l.track = c.track and l."at" >= c."end" + case when c."end" = 0 then 30 else 270 end
+    window w as (partition by c.track order by l."at" rows unbounded preceding))
+   where gone >= least and (gone >= least + 300 or n >= 2 and low <= greatest(300, 0.3 * mid)))
+  where floor(done)::bigint % 2 = 0 or "at" >= tried + 60) where nth = 1),
+last as (select c.track, max(step) step, max("end") "end", any_value(whole) whole from c join ln using (track) group by c.track),
+f as (select track, step, "end" as "start", "end", whole from last
+ union all
+ select track, step + 1, "end", case when whole - cut > 1 and quiet is not null then quiet + 0.25 else cut end, whole from (
+  select f.*, least(f."end" + 300, whole) as cut, (select case when count(*) >= 2 then arg_min(l."at", rms) end from lv l where l.track = f.track and l."at" >= greatest(f."end", least(f."end" + 300, whole) - 30) and l."at" + 0.5 <= least(f."end" + 300, whole)) as quiet
+  from f where f."end" < whole - 0.05))
+select track, step - 1 as step, "start" as span_start, "end" as span_end, 'from ' || floor("start")::bigint as text from (select track, step, "start", "end" from c where step > 0 union all select track, step, "start", "end" from f where "end" > "start")""")
+def live_segments(spark, sf_dir):
+    """Spans of tracks as an engine would get them that fails at first wherever a span begins at an odd second."""
+    last = table(spark, sf_dir, "events").agg(F.max("event_id")).first()[0]
+    e = F.col("event_id")
+    x = _events(spark, sf_dir).select(F.floor(e / _TRACK).cast("string").alias("track"), F.timestamp_millis((e + 1) * 500).alias("ts"), ((e % _TRACK) * 0.5).alias("at"), (200 + F.col("value") * 10).alias("rms"), ((e % _TRACK == _TRACK - 1) | (e == F.lit(last))).alias("ends"))
+    # the last level of a track is followed by the row that ends it
+    rows = F.when(F.col("ends"), F.array(F.struct("at", "rms"), F.struct((F.col("at") + live.WINDOW).alias("at"), F.lit(None).cast("double").alias("rms")))).otherwise(F.array(F.struct("at", "rms")))
+    levels = x.select("track", "ts", F.explode(rows).alias("r")).select("track", "ts", "r.at", "r.rms")
+
+    def engine(track: str, start: float, end: float, attempt: int):
+        if int(start) % 2 and not attempt:
+            raise TimeoutError
+        return [(0.0, end - start, f"from {int(start)}")]
+
+    with tracks.state_in_rocksdb(spark):
+        found = _drained(tracks.transcribed(levels, engine), "live-segments")
+    return found.select(F.col("track").cast("long").alias("track"), "step", "span_start", "span_end", "text")
+
+
+@query(f"""with {_LEVELS}, k as (select track, whole, greatest(1, ceil((whole - 30) / 270.0))::bigint n, greatest(0, floor((whole - 300) / 270.0) + 1)::bigint filled from ln),
+d as (select *, case when track % 3 = 1 then least(filled, 2) else filled end as alive from k),
+c as (select track, whole, n, alive, unnest(range(0, greatest(n, alive + (whole > alive * 270 + 15)::int))) as chunk from d)
+select track, chunk, chunk * 270.0::double as "start", least(chunk * 270.0 + 300, whole)::double as "end", (case when chunk = 0 then 0 else chunk * 270 + 15 end)::double as own_from, (case when chunk >= greatest(n - 1, alive) then whole else chunk * 270 + 285 end)::double as own_to, chunk < alive as live from c""")
+def live_chunks(spark, sf_dir):
+    """Chunks of tracks that are analysed while the tracks run; a third of the tracks fail at the third chunk and wait for the end."""
+    last = table(spark, sf_dir, "events").agg(F.max("event_id")).first()[0]
+    e = F.col("event_id")
+    lengths = _events(spark, sf_dir).select(F.floor(e / _TRACK).cast("string").alias("track"), ((e % _TRACK + 1) * 0.5).alias("seconds"), ((e % _TRACK == _TRACK - 1) | (e == F.lit(last))).alias("ended"))
+
+    def analyse(track: str, chunk: int) -> None:
+        if int(track) % 3 == 1 and chunk == 2:
+            raise MemoryError
+
+    with tracks.state_in_rocksdb(spark):
+        found = _drained(tracks.chunked(lengths, analyse), "live-chunks")
+    return found.withColumn("track", F.col("track").cast("long"))
