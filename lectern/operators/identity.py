@@ -10,6 +10,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
+from lectern.operators import neighbours
+from lectern.sources.shared import stored
+
 THRESHOLD, MARGIN, RIVALS = 0.62, 0.10, 3
 MOST_SAMPLES = 8
 MISFILED, LONE, DUPLICATE, CONSISTENT = 0.20, 0.08, 0.999, 0.45
@@ -133,22 +136,63 @@ def wholly_suspect(found: DataFrame, library: DataFrame) -> DataFrame:
     return n.join(found.groupBy("name").agg(F.count("*").alias("suspects")), "name").withColumn("whole", F.col("samples") == F.col("suspects"))
 
 
-def duplicates(library: DataFrame, least: float = DUPLICATE) -> DataFrame:
-    """(seq, name, of_seq): samples as good as equal to an earlier kept one of their name. A name has few samples (see retain)."""
-
-    def task(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("seq")
-        kept, out = [], []
-        for r in rows.itertuples():
-            v = np.asarray(r.vec, float)
-            of = next((s for s, u in kept if len(u) == len(v) and float(u @ v) >= least), None)
-            if of is None:
-                kept.append((r.seq, v))
+def _first_kept(rows: pd.DataFrame, least: float) -> list[tuple]:
+    """(seq, name, of_seq) of rows in order of seq that are near an earlier one that is kept."""
+    out = []
+    for _, same in rows.groupby(rows["vec"].map(len)):
+        same = same.sort_values("seq")
+        m, seq = np.stack(same["vec"].to_list()).astype(float), same["seq"].to_numpy()
+        kept = np.zeros(len(m), bool)
+        for i in range(len(m)):
+            near = np.flatnonzero(kept[:i] & (m[:i] @ m[i] >= least))
+            if len(near):
+                out.append((seq[i], rows["name"].iloc[0], seq[near[0]]))
             else:
-                out.append((r.seq, r.name, of))
-        return pd.DataFrame(out, columns=["seq", "name", "of_seq"])
+                kept[i] = True
+    return out
 
-    return library.where("vec is not null").select("seq", "name", "vec").groupBy("name").applyInPandas(task, "seq long, name string, of_seq long")
+
+def duplicates(library: DataFrame, least: float = DUPLICATE, size: int | None = None) -> DataFrame:
+    """(seq, name, of_seq): samples near the first earlier one of their name that is kept; a sample is kept if there is none.
+
+    A name of up to `size` samples is one task. Larger ones go in rounds over pairs of cells (see neighbours): a sample
+    without an earlier open one near it is kept, and what is near a kept one is dropped. Equal vectors count once in that.
+    """
+    size = size or neighbours.CELL
+    rows = library.where("vec is not null").select("seq", "name", "vec")
+    counts = rows.groupBy("name").agg((F.count("*") > size).alias("large"))
+    rows = stored(rows.join(counts, "name"), "samples")
+
+    def task(group: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame(_first_kept(group, least), columns=["seq", "name", "of_seq"])
+
+    found = rows.where("not large").drop("large").groupBy("name").applyInPandas(task, "seq long, name string, of_seq long")
+    large = rows.where("large").select("seq", "name", "vec")
+    if large.isEmpty():
+        return found
+    # equal vectors go with the first of them; shorter ones than `least` are not near themselves
+    alike = F.when(F.aggregate("vec", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")) < least, F.col("seq"))
+    keyed = large.withColumn("alike", alike)
+    firsts = keyed.groupBy("name", "vec", "alike").agg(F.min("seq").alias("first"))
+    same = (F.col("name") == F.col("n")) & (F.col("vec") == F.col("v")) & F.col("alike").eqNullSafe(F.col("k"))
+    copies = stored(keyed.join(firsts.toDF("n", "v", "k", "first"), same).select("seq", "name", "first"), "copies")
+    every = stored(firsts.select(F.col("first").alias("seq"), "name", "vec"), "distinct")
+    roles = lambda df, asks, answers: df.withColumns({"asks": F.lit(asks), "answers": F.lit(answers)})
+    open_, kept = every, None
+    while not open_.isEmpty():
+        waits = stored(neighbours.earliest(roles(open_, True, True), least, size), "waits")
+        now = stored(open_.join(waits, "seq", "left_anti"), "kept")
+        rest = stored(open_.join(waits, "seq", "left_semi"), "rest")
+        kept = now if kept is None else kept.unionByName(now)
+        if rest.isEmpty():
+            break
+        gone = neighbours.earliest(roles(rest, True, False).unionByName(roles(now, False, True)), least, size)
+        open_ = stored(rest.join(gone, "seq", "left_anti"), "open")
+    dropped = every.join(kept.select("seq"), "seq", "left_anti")
+    of = stored(neighbours.earliest(roles(dropped, True, False).unionByName(roles(kept, False, True)), least, size), "of")
+    # a copy of a kept sample is its duplicate, that of a dropped one goes with it
+    more = copies.join(of.withColumnRenamed("seq", "first"), "first", "left").where("of is not null or seq <> first").select("seq", "name", F.coalesce("of", "first").alias("of_seq"))
+    return found.unionByName(more)
 
 
 def margin_sweep(library: DataFrame, margins: list[float], threshold: float = THRESHOLD) -> DataFrame:
