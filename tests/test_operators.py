@@ -346,3 +346,16 @@ def test_titles_over_columns(spark):
     titles = spark.createDataFrame([("s", 0, 0, 1, "A"), ("s", 4, 0, 0, "B")], "sheet string, row int, lo int, hi int, title string")
     got = {(r["row"], r["col"]): r["title"] for r in layout.titled_cells(cells, titles).collect()}
     assert got == {(1, 0): "A", (1, 1): "A", (1, 2): None, (2, 0): "A", (2, 1): "A", (2, 2): None, (5, 0): "B", (5, 1): "A", (5, 2): None}
+
+
+@pytest.mark.parametrize("shard_chars, part_bytes", [(1_000_000, 1 << 20), (40, 200), (1, 50)])
+def test_contained_needles_in_one_or_many_shards(stored, shard_chars, part_bytes):
+    from lectern.operators import audit
+
+    r = random.Random(6)
+    texts = ["".join(r.choices("abé😀", k=r.randint(0, 60))) for _ in range(60)] + [None, "", "abab" * 500]
+    needles = ["".join(r.choices("abé😀", k=r.randint(1, 5))) for _ in range(80)] + ["abababab", "é" * 30, "", None, "ab", "ab"]
+    n, t = stored([(i, x) for i, x in enumerate(needles)], "k long, text string"), stored([(x, 1) for x in texts], "text string, k int")
+    got = [x["text"] for x in audit.contained(n, t, shard_chars, part_bytes).collect()]
+    assert sorted(got) == sorted({x for x in needles if x and any(y and x in y for y in texts)})
+    assert audit.contained(n.limit(0), t).count() == 0 and audit.contained(n, t.limit(0)).count() == 0
