@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from lectern.operators import cluster, sampling
+from lectern.operators import cluster, packing, sampling
 from lectern.sources.tables import segments, table, voices
 
 
@@ -35,7 +35,7 @@ def pack_speech(spark, sf_dir):
     base = s.groupBy("rec_id").agg(F.min("start").alias("t0"), F.max("end").alias("t1"))
     x = s.join(base, "rec_id").select("rec_id", ((F.col("start") - F.col("t0")) / 2000).alias("start"), ((F.col("end") - F.col("t0")) / 2000 + 3).alias("end"))
     total = base.select("rec_id", ((F.col("t1") - F.col("t0")) / 2000 + 3).alias("total"))
-    return cluster.pack_speech(x, total).select("rec_id", "chunk", F.round("start", 6).alias("start"), F.round("end", 6).alias("end"))
+    return packing.pack_speech(x, total).select("rec_id", "chunk", F.round("start", 6).alias("start"), F.round("end", 6).alias("end"))
 
 
 def audit_plan_budget(spark, sf_dir):

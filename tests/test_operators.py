@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lectern.operators import audit, batches, cluster, identity, intervals, islands, layout, repeats, sampling, transcripts
+from lectern.operators import audit, batches, cluster, identity, intervals, islands, layout, packing, repeats, sampling, transcripts
 
 SEGMENTS = "rec_id long, seq long, start double, end double, text string"
 TURNS = "rec_id long, idx long, start double, end double, speaker int, conf double"
@@ -290,7 +290,7 @@ def test_clusters(spark):
 
 def test_packing_and_boxes(spark):
     speech = spark.createDataFrame([(1, 1.0, 5.0), (1, 7.0, 20.0), (1, 23.0, 40.0), (1, 41.0, 60.0), (1, 80.0, 81.0)], "rec_id long, start double, end double")
-    got = [(round(r["start"], 3), round(r["end"], 3)) for r in cluster.pack_speech(speech, spark.createDataFrame([(1, 80.5)], "rec_id long, total double")).orderBy("chunk").collect()]
+    got = [(round(r["start"], 3), round(r["end"], 3)) for r in packing.pack_speech(speech, spark.createDataFrame([(1, 80.5)], "rec_id long, total double")).orderBy("chunk").collect()]
     assert got == [(0.8, 20.2), (22.8, 40.2), (40.8, 60.2), (79.8, 80.5)]
     chunks = spark.createDataFrame([(1, 0, 0.0, 60.0), (1, 1, 60.0, 70.0)], "rec_id long, chunk int, start double, end double")
     levels = spark.createDataFrame([(1, i / 2, 5.0 if i in (50, 90) else 50.0) for i in range(140)], "rec_id long, at double, rms double")
