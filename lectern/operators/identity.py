@@ -1,9 +1,9 @@
 """Voices by name: nearest samples with margins, suspects, duplicates, retention.
 
 A library is (seq, name, vec) with seq as age. Vectors have unit length. Queries and
-library meet in shards of the library, dealt by sample so that a name of any size is
-spread; each task multiplies matrices and returns the names near the top, so that rows
-do not grow with all pairs.
+library meet in shards of the library, so that a name of any size is spread; each task
+multiplies matrices and returns the names near the top, so that rows do not grow with
+all pairs. A query goes to the shards that can hold a name that counts for it.
 """
 
 import numpy as np
@@ -18,62 +18,213 @@ MOST_SAMPLES = 8
 MISFILED, LONE, DUPLICATE, CONSISTENT = 0.20, 0.08, 0.999, 0.45
 #: Library rows in a shard; queries that meet it in one task.
 SHARD, ASKED = 50_000, 20_000
+#: Shards of a library at most, and samples that all tasks know.
+PIVOTS = 1024
 
 
-def name_scores(queries: DataFrame, library: DataFrame, margin: float = MARGIN, least_names: int = 3, shard: int = SHARD) -> DataFrame:
-    """(query, name, score, first_seq): the best cosine of each query (query, vec[, own_seq, own_name]) with a name's samples.
+def _doubles(v: str = "vec"):
+    return F.transform(v, lambda x: x.cast("double"))
+
+
+class _Routes:
+    """Where a query may find names that count: shards are the samples nearest to a few pivots, with the widest angle to theirs.
 
-    Each shard returns the names within `margin` of its best one for the query, at least `least_names` of them and the
-    query's own name, so that what is within the margin of the best of all is complete; a name's shards are then put
-    together. A name that comes back from some of its shards only is neither near the best nor among the first. A sample with seq own_seq is
-    skipped. Vectors of other lengths than the query's, and null vectors, are left out.
+    A dot product with a sample of a shard is at most that of the lengths times the cosine of the angle to the pivot less the
+    shard's widest. What a query asks for at least comes from the pivots' own names at first, then from its nearest shard.
     """
-    own = [c for c in ("own_seq", "own_name") if c in queries.columns]
-    shards = max(1, -(-library.count() // shard))
-    null = lambda kind: F.lit(None).cast(kind)
-    deal = F.pmod(F.xxhash64("name", "seq"), F.lit(shards)).cast("int")
-    held = library.where("vec is not null").select(deal.alias("shard"), null("long").alias("query"), null("long").alias("own_seq"), null("string").alias("own_name"), "name", "seq", F.transform("vec", lambda x: x.cast("double")).alias("vec"))
-    sent = queries.where("vec is not null").select(
-        F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.col("query").cast("long"), F.col("own_seq").cast("long") if "own_seq" in own else null("long").alias("own_seq"), F.col("own_name") if "own_name" in own else null("string").alias("own_name"), null("string").alias("name"), null("long").alias("seq"), F.transform("vec", lambda x: x.cast("double")).alias("vec")
-    )
-    n = max(shards, int(library.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    # queries of a shard go to several tasks, the shard to each of them
-    parts = max(1, n // shards, -(-queries.count() // ASKED))
-    held = held.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    sent = sent.withColumn("part", F.pmod(F.xxhash64("query"), F.lit(parts)).cast("int"))
-    both = held.unionByName(sent)
+
+    def __init__(self, pivots: np.ndarray, seqs: np.ndarray, names: np.ndarray, margin: float, least_names: int):
+        self.seqs, self.names, self.margin, self.least = seqs, names, margin, least_names
+        self.pivots = pivots
+        self.unit = pivots / np.maximum(np.linalg.norm(pivots, axis=1, keepdims=True), 1e-12)
+        self.width, self.longest, self.shortest = np.zeros(0), np.zeros(0), np.zeros(0)
+
+    def angles(self, v: np.ndarray) -> np.ndarray:
+        return np.arccos(np.clip(v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12) @ self.unit[: self.shards].T, -1, 1))
+
+    def floor(self, scores: np.ndarray, names: np.ndarray) -> float:
+        """What a name must reach to count, if these are some of the names' scores."""
+        best: dict[str, float] = {}
+        for n, x in zip(names, scores):
+            if x > best.get(n, -np.inf):
+                best[n] = x
+        top = sorted(best.values(), reverse=True)
+        return min(top[0] - self.margin, top[self.least - 1]) - 1e-9 if len(top) >= self.least else -np.inf
+
+    def bounds(self, v: np.ndarray) -> np.ndarray:
+        cos = np.cos(np.maximum(self.angles(v) - self.width - 1e-7, 0.0))
+        return np.linalg.norm(v, axis=1, keepdims=True) * np.where(cos > 0, cos * self.longest, cos * self.shortest) + 1e-9
+
+
+def _shard_task(margin: float, least_names: int):
+    """The names of a shard that may count for each query, from rows of samples (query is null) and of queries."""
 
     def task(rows: pd.DataFrame) -> pd.DataFrame:
         lib, asked = rows[rows["query"].isna()].sort_values("seq"), rows[rows["query"].notna()]
         out = []
-        for dim, group in asked.groupby(asked["vec"].map(len)):
-            mine = lib[lib["vec"].map(len) == dim]
-            if not len(mine):
-                continue
-            names, at = np.unique(mine["name"].to_numpy(str), return_inverse=True)
+        if len(lib) and len(asked):
+            names, at = np.unique(lib["name"].to_numpy(str), return_inverse=True)
             order = np.argsort(at, kind="stable")
             starts = np.flatnonzero(np.diff(np.concatenate([[-1], at[order]])))
-            m, seq = np.stack(mine["vec"].to_list())[order], mine["seq"].to_numpy(np.int64)[order]
-            for a in range(0, len(group), 512):
-                g = group.iloc[a : a + 512]
+            m, seq = np.stack(lib["vec"].to_list())[order], lib["seq"].to_numpy(np.int64)[order]
+            for a in range(0, len(asked), 512):
+                g = asked.iloc[a : a + 512]
                 s = np.stack(g["vec"].to_list()) @ m.T
-                own_seq = g["own_seq"].to_numpy(float)
-                s[own_seq[:, None] == seq[None, :]] = -np.inf
+                s[g["own_seq"].to_numpy(float)[:, None] == seq[None, :]] = -np.inf
                 best = np.maximum.reduceat(s, starts, axis=1)
                 top = np.sort(best, axis=1)[:, ::-1]
-                floor = np.minimum(top[:, 0] - margin - 1e-9, top[:, min(least_names, len(names)) - 1])
-                keep = (best >= floor[:, None]) | (g["own_name"].to_numpy(object)[:, None] == names[None, :])
+                low = np.minimum(top[:, 0] - margin - 1e-9, top[:, min(least_names, len(names)) - 1])
+                keep = (best >= low[:, None]) | (g["own_name"].to_numpy(object)[:, None] == names[None, :])
                 q, c = np.nonzero(keep & np.isfinite(best))
                 where = np.where(s == np.repeat(best, np.diff(np.append(starts, s.shape[1])), axis=1), seq[None, :], np.iinfo(np.int64).max)
                 first = np.minimum.reduceat(where, starts, axis=1)
                 out.append(pd.DataFrame({"query": g["query"].to_numpy(np.int64)[q], "name": names[c], "score": best[q, c], "first_seq": first[q, c]}))
         return pd.concat(out) if out else pd.DataFrame({"query": pd.Series(dtype="int64"), "name": pd.Series(dtype=str), "score": pd.Series(dtype=float), "first_seq": pd.Series(dtype="int64")})
 
-    found = both.groupBy("shard", "part").applyInPandas(task, "query long, name string, score double, first_seq long")
+    return task
+
+
+def _meet(held: DataFrame, sent: DataFrame, task, parts: int) -> DataFrame:
+    """task over each shard's samples (shard, part, ...) and the queries sent to it, in `parts` groups that each have all samples of a part."""
+    null = lambda kind: F.lit(None).cast(kind)
+    spread = F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("lane")
+    left = held.select("dim", "shard", "part", spread, null("long").alias("query"), null("long").alias("own_seq"), null("string").alias("own_name"), "name", "seq", "vec")
+    right = sent.select("dim", "shard", "part", F.pmod(F.xxhash64("query"), F.lit(parts)).cast("int").alias("lane"), "query", "own_seq", "own_name", null("string").alias("name"), null("long").alias("seq"), "vec")
+    found = left.unionByName(right).groupBy("dim", "shard", "part", "lane").applyInPandas(task, "query long, name string, score double, first_seq long")
     best = F.max(F.struct("score", (-F.col("first_seq")).alias("at"))).alias("b")
     return found.groupBy("query", "name").agg(best).select("query", "name", "b.score", (-F.col("b.at")).alias("first_seq"))
 
 
+def name_scores(queries: DataFrame, library: DataFrame, margin: float = MARGIN, least_names: int = 3, shard: int = SHARD, sent: list | None = None) -> DataFrame:
+    """(query, name, score, first_seq): the best cosine of each query (query, vec[, own_seq, own_name]) with a name's samples.
+
+    What is within `margin` of a query's best name is complete, and so are at least `least_names` names and its own; a name
+    that comes back from some of its shards only is neither. A sample with seq own_seq is skipped. Vectors of other lengths
+    than the query's, and null vectors, are left out.
+
+    A library of up to `shard` samples is one shard. A larger one is cut around pivots; a query goes to its nearest shard
+    first, then to those that by their bounds can hold a name that counts beside what it found there, and to those of its
+    own name. `sent` gets the numbers of rows sent in both rounds.
+    """
+    own = [c for c in ("own_seq", "own_name") if c in queries.columns]
+    null = lambda kind: F.lit(None).cast(kind)
+    lib = library.where("vec is not null").select(F.size("vec").alias("dim"), "name", F.col("seq").cast("long").alias("seq"), _doubles().alias("vec"))
+    asked = queries.where("vec is not null").select(F.size("vec").alias("dim"), F.col("query").cast("long").alias("query"), F.col("own_seq").cast("long").alias("own_seq") if "own_seq" in own else null("long").alias("own_seq"), F.col("own_name") if "own_name" in own else null("string").alias("own_name"), _doubles().alias("vec"))
+    task, count = _shard_task(margin, least_names), lib.count()
+    n = int(library.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if count <= shard:
+        one = lambda df: df.withColumns({"shard": F.lit(0), "part": F.lit(0)})
+        return _meet(one(lib), one(asked), task, max(1, n, -(-asked.count() // ASKED)))
+    shards = min(PIVOTS, -(-count // shard))
+    routes = _pivoted(lib, shards, margin, least_names)
+    width = F.element_at(F.col("r"), 2)
+    placed = stored(lib.withColumn("r", _nearest(routes)("vec")).withColumns({"shard": F.element_at("r", 1).cast("int"), "angle": width, "length": F.sqrt(F.aggregate("vec", F.lit(0.0), lambda s, x: s + x * x))}).drop("r"), "shards")
+    extent = placed.groupBy("dim", "shard").agg(F.max("angle").alias("width"), F.max("length").alias("longest"), F.min("length").alias("shortest"), F.ceil(F.count("*") / shard).cast("int").alias("parts")).collect()  # PIVOTS rows for each length of vectors at most
+    for r in extent:
+        _extend(routes[r["dim"]], r)
+    parts = library.sparkSession.createDataFrame([(r["dim"], r["shard"], r["parts"]) for r in extent], "dim int, shard int, parts int")
+    held = placed.join(F.broadcast(parts), ["dim", "shard"]).withColumn("part", F.pmod(F.xxhash64("seq"), F.col("parts")).cast("int"))
+    lanes = max(1, n // shards)
+    each = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")
+    to = lambda df: df.join(F.broadcast(parts), ["dim", "shard"]).select(*df.columns, each)
+    known = asked.withColumn("r", _first_round(routes)("vec", "own_seq"))
+    known = stored(known.select("dim", "query", "own_seq", "own_name", "vec", F.element_at("r", 1).cast("int").alias("shard"), F.element_at("r", 2).alias("floor")), "asked")
+    near = stored(_meet(held, to(known.drop("floor")), task, lanes), "near")
+    # what the first round found raises what a name must reach
+    top = F.slice(F.reverse(F.array_sort(F.collect_list("score"))), 1, least_names)
+    reached = near.groupBy("query").agg(top.alias("top")).select("query", F.when(F.size("top") >= least_names, F.least(F.get("top", F.lit(0)) - margin, F.get("top", F.lit(least_names - 1))) - 1e-9).otherwise(-1e308).alias("reached"))
+    again = known.join(reached, "query", "left").withColumn("floor", F.greatest("floor", F.coalesce("reached", F.lit(-1e308))))
+    more = again.withColumn("to", F.explode(_second_round(routes)("vec", "floor"))).where("to <> shard")
+    more = more.select("dim", "query", "own_seq", "own_name", "vec", F.col("to").alias("shard"))
+    if "own_name" in own:
+        homes = held.select("dim", F.col("name").alias("own_name"), F.col("shard").alias("to")).distinct()
+        mine = known.join(homes, ["dim", "own_name"]).where("to <> shard").select("dim", "query", "own_seq", "own_name", "vec", F.col("to").alias("shard"))
+        more = more.unionByName(mine).dropDuplicates(["query", "shard"])
+    more = stored(more, "sent")
+    if sent is not None:
+        sent += [known.count(), more.count()]
+    best = F.max(F.struct("score", (-F.col("first_seq")).alias("at"))).alias("b")
+    both = near.unionByName(_meet(held, to(more), task, lanes))
+    return both.groupBy("query", "name").agg(best).select("query", "name", "b.score", (-F.col("b.at")).alias("first_seq"))
+
+
+def _pivoted(lib: DataFrame, shards: int, margin: float, least_names: int) -> dict[int, _Routes]:
+    """For each length of vectors up to PIVOTS samples, chosen by hash; the first `shards` of them are the pivots of shards."""
+    nth = F.row_number().over(Window.partitionBy("dim").orderBy(F.xxhash64("seq"), "seq"))
+    rows = lib.withColumn("nth", nth).where(F.col("nth") <= PIVOTS).orderBy("dim", "nth").collect()
+    out = {}
+    for dim in sorted({r["dim"] for r in rows}):
+        of = [r for r in rows if r["dim"] == dim]
+        out[dim] = _Routes(np.array([r["vec"] for r in of]).reshape(len(of), dim), np.array([r["seq"] for r in of]), np.array([r["name"] for r in of], object), margin, least_names)
+        out[dim].shards = min(shards, len(of))
+        out[dim].width, out[dim].longest, out[dim].shortest = np.zeros(out[dim].shards), np.zeros(out[dim].shards), np.zeros(out[dim].shards)
+    return out
+
+
+def _extend(r: _Routes, row) -> None:
+    r.width[row["shard"]], r.longest[row["shard"]], r.shortest[row["shard"]] = row["width"], row["longest"], row["shortest"]
+
+
+def _by_length(v: pd.Series):
+    """(dim, places, matrix) of the vectors of each length."""
+    sizes = v.map(len).to_numpy()
+    for dim in np.unique(sizes).tolist():
+        at = np.flatnonzero(sizes == dim)
+        yield dim, at, np.stack(v.iloc[at].to_list()).astype(float).reshape(len(at), dim)
+
+
+def _nearest(routes: dict[int, _Routes]):
+    """[shard, angle] of a sample."""
+
+    @F.pandas_udf("array<double>")
+    def run(v: pd.Series) -> pd.Series:
+        out = [None] * len(v)
+        for dim, at, m in _by_length(v):
+            angle = routes[dim].angles(m)
+            near = angle.argmin(axis=1)
+            for i, k in zip(at, zip(near.tolist(), angle[np.arange(len(m)), near].tolist())):
+                out[i] = list(k)
+        return pd.Series(out)
+
+    return run
+
+
+def _first_round(routes: dict[int, _Routes]):
+    """[shard, floor] of a query: its nearest pivot's shard, and what the pivots' names say that a name must reach. -1 without samples of its length."""
+
+    @F.pandas_udf("array<double>")
+    def run(v: pd.Series, own: pd.Series) -> pd.Series:
+        out = [[-1.0, -1e308]] * len(v)
+        for dim, at, m in _by_length(v):
+            if dim not in routes:
+                continue
+            r = routes[dim]
+            s = m @ r.pivots.T
+            s[own.iloc[at].to_numpy(float)[:, None] == r.seqs[None, :]] = -np.inf
+            near = r.angles(m).argmin(axis=1)
+            for i, k, row in zip(at, near.tolist(), s):
+                out[i] = [float(k), max(r.floor(row[np.isfinite(row)], r.names[np.isfinite(row)]), -1e308)]
+        return pd.Series(out)
+
+    return run
+
+
+def _second_round(routes: dict[int, _Routes]):
+    """The shards of a query that can hold a name that reaches the floor."""
+
+    @F.pandas_udf("array<int>")
+    def run(v: pd.Series, floor: pd.Series) -> pd.Series:
+        out = [[]] * len(v)
+        for dim, at, m in _by_length(v):
+            if dim in routes:
+                can = routes[dim].bounds(m) >= floor.iloc[at].to_numpy()[:, None]
+                for i, row in zip(at, can):
+                    out[i] = np.flatnonzero(row).tolist()
+        return pd.Series(out)
+
+    return run
+
+
 def ranked(scores: DataFrame) -> DataFrame:
     """scores with `rank` for each query: best first, the name with the earlier best sample among equals."""
     return scores.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "first_seq", "name")))
