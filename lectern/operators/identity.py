@@ -389,9 +389,12 @@ def delete_samples(library: DataFrame, items: DataFrame) -> DataFrame:
     return x.join(items.select("name", "nth").distinct(), ["name", "nth"], "left_anti").select(*library.columns)
 
 
-def inconsistent(library: DataFrame, new: DataFrame, least: float = CONSISTENT) -> DataFrame:
-    """(query, name, score): new samples (query, name, vec) whose best cosine with their own name's is below `least`."""
-    pairs = new.select("query", "name", F.col("vec").alias("v")).join(library.select("name", "vec"), "name")
+def inconsistent(library: DataFrame, new: DataFrame, least: float = CONSISTENT, most: int = MOST_SAMPLES) -> DataFrame:
+    """(query, name, score): new samples (query, name, vec) whose best cosine with the samples that their name keeps is below `least`.
+
+    A name keeps its youngest `most` samples (see retain), so a new sample meets as many rows.
+    """
     from lectern.functions.vectors import dot
 
+    pairs = new.select("query", "name", F.col("vec").alias("v")).join(retain(library, most).select("name", "vec"), "name")
     return pairs.groupBy("query", "name").agg(F.max(dot(F.col("v"), F.col("vec"))).alias("score")).where(F.col("score") < least)

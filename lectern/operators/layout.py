@@ -57,9 +57,9 @@ def outside_tables(blocks: DataFrame, tables: DataFrame, most: float = 0.5, cell
     return blocks.join(covered, ["page", "at"], "left_anti")
 
 
-def reading_order(blocks: DataFrame, keys: list[str]) -> DataFrame:
-    """blocks with `place` by top, then left edge, rounded to a tenth."""
-    return blocks.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy(F.round("y0", 1), F.round("x0", 1))) - 1)
+def reading_order(blocks: DataFrame, keys: list[str], ties: tuple[str, ...] = ()) -> DataFrame:
+    """blocks with `place` by top, then left edge, rounded to a tenth; equal ones go by the columns `ties`."""
+    return blocks.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy(F.round("y0", 1), F.round("x0", 1), *ties)) - 1)
 
 
 def titled_cells(cells: DataFrame, titles: DataFrame) -> DataFrame:

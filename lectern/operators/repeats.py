@@ -1,5 +1,6 @@
 """Texts that repeat themselves, and echoes of one track in another."""
 
+from collections import Counter
 from difflib import SequenceMatcher
 
 import pandas as pd
@@ -56,10 +57,19 @@ def repeated_phrases(texts: DataFrame) -> DataFrame:
     return texts.join(best, "doc_id").select("doc_id", natural_phrase(F.col("text"), F.col("phrase")).alias("phrase"))
 
 
-@pandas_udf(DoubleType())
-def match_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Ratcliff-Obershelp likeness of two texts."""
-    return pd.Series([SequenceMatcher(None, x, y).ratio() if x and y else 0.0 for x, y in zip(a, b)])
+def match_ratio(least: float):
+    """Ratcliff-Obershelp likeness of two texts, or an upper bound of it that is below `least` already."""
+
+    @pandas_udf(DoubleType())
+    def of(a: pd.Series, b: pd.Series) -> pd.Series:
+        out = []
+        for x, y in zip(a, b):
+            # letters that both have, as often as both have them, bound the letters of common blocks
+            shared = 2 * sum((Counter(x) & Counter(y)).values()) / (len(x) + len(y)) if x and y else 0.0
+            out.append(SequenceMatcher(None, x, y).ratio() if shared >= least and shared else shared)
+        return pd.Series(out)
+
+    return of
 
 
 def echoes(mic: DataFrame, system: DataFrame, tolerance: float = 2.0, ratio: float = 0.66, least: int = 4, bucket: float = BUCKET) -> DataFrame:
@@ -75,7 +85,7 @@ def echoes(mic: DataFrame, system: DataFrame, tolerance: float = 2.0, ratio: flo
     long = (F.length("l_text") >= least) | (F.length("r_text") >= least)
     # a cheap bound first: the ratio cannot pass 2 * shorter / both
     bound = 2 * F.least(F.length("l_text"), F.length("r_text")) / (F.length("l_text") + F.length("r_text"))
-    alike = near.where(long & (bound >= ratio)).withColumn("m", match_ratio("l_text", "r_text")).where(F.col("m") >= ratio).select("rec_id", F.col("l_seq").alias("seq"))
+    alike = near.where(long & (bound >= ratio)).withColumn("m", match_ratio(ratio)("l_text", "r_text")).where(F.col("m") >= ratio).select("rec_id", F.col("l_seq").alias("seq"))
     said = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r_start", "r_seq", "r_text"))), lambda s: s["r_text"]), "")
     inside = near.groupBy("rec_id", "l_seq").agg(F.first("l_text").alias("mine"), said.alias("said")).where((F.length("mine") >= least) & F.contains("said", "mine")).select("rec_id", F.col("l_seq").alias("seq"))
     return alike.union(inside).distinct()

@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from lectern.sources.shared import shared_path
 from lectern.sources.tables import table
-from lectern.streaming import live, tracks
+from lectern.streaming import live, progress, tracks
 
 QUERIES, ORACLES = {}, {}
 
@@ -127,3 +127,22 @@ def live_chunks(spark, sf_dir):
     with tracks.state_in_rocksdb(spark):
         found = _drained(tracks.chunked(lengths, analyse), "live-chunks")
     return found.withColumn("track", F.col("track").cast("long"))
+
+
+@query("""with recursive e as (select event_id // 1000 as job, event_id % 1000 as i, (event_id % 1000) * 3.0::double + (event_id * 7 % 5) * 0.4::double as t, case when event_id % 1000 < 400 then (event_id % 1000) / 500.0::double else (event_id % 1000 - 400) / 600.0::double end as done from events),
+r as (select job, i, t, done, t as t0, [{'t': t, 'd': done}] as s from e where i = 0
+ union all
+ select job, i, t, done, t0, list_filter(s, lambda x: x.t >= coalesce(list_max(list_transform(list_filter(s, lambda y: y.t <= past), lambda y: y.t)), -1e9)) from (
+  select e.job, e.i, e.t, e.done, r.t0, e.t - least(greatest((e.t - r.t0) * 0.25, 120), 300) as past,
+   case when e.done < r.s[-1].d then [{'t': e.t, 'd': e.done}] when e.t - r.s[-1].t >= 5 then list_append(r.s, {'t': e.t, 'd': e.done}) else r.s end as s
+  from r join e on e.job = r.job and e.i = r.i + 1))
+select job, i, done, case when done >= 0.1 and done < 1 and t - s[1].t >= 30 and done > s[1].d then round((1 - done) * (t - s[1].t) / (done - s[1].d), 6) end as "left" from r""")
+def progress_left(spark, sf_dir):
+    """Jobs of a thousand marks that fall back once, with what is left at each."""
+    e = F.col("event_id")
+    i = e % 1000
+    done = F.when(i < 400, i / 500).otherwise((i - 400) / 600)
+    marks = _events(spark, sf_dir).select(F.floor(e / 1000).cast("string").alias("job"), (i * F.lit(3.0) + (e * 7 % 5) * F.lit(0.4)).alias("t"), done.alias("done"))
+    with tracks.state_in_rocksdb(spark):
+        found = _drained(progress.remaining(marks), "progress-left")
+    return found.select(F.col("job").cast("long").alias("job"), F.round(F.col("t") / 3 - 0.2).cast("long").alias("i"), "done", F.round("left", 6).alias("left"))

@@ -132,6 +132,22 @@ def pptx_blocks(spark, sf_dir):
     return archives.pptx_blocks(_pptx(spark, sf_dir)).select("doc_id", "pos", "kind", "level", "text", _flat(F.col("rows")).alias("cells"))
 
 
+@query("""with t as (select conv_id, turn, case when turn % 5 = 0 then null when turn % 5 in (1, 3) then 'num' else 'bullet' end as kind, case when turn % 5 = 0 then 0 else turn % 3 end as level, role || case when turn % 4 = 0 then chr(10) || 'more' else '' end as text from conversations),
+g as (select *, sum((kind is null)::int) over (partition by conv_id order by turn) as run, lag(kind) over (partition by conv_id order by turn) is null as first, lag(turn) over (partition by conv_id order by turn) is not null as later from t),
+n as (select *, (select count(*) from g h where h.conv_id = g.conv_id and h.run = g.run and h.turn <= g.turn and h.kind = 'num' and h.level = g.level and h.turn > coalesce((select max(b.turn) from g b where b.conv_id = g.conv_id and b.run = g.run and b.turn < g.turn and b.kind is not null and b.level < g.level), -1)) as number from g),
+l as (select conv_id, turn, case when later and (kind is null) <> first then chr(10) else '' end || case when kind is null then text else repeat('  ', level::int) || p || replace(text, chr(10), chr(10) || repeat(' ', (2 * level + length(p))::int)) end as line from (select *, case when kind = 'num' then number || '. ' else '- ' end as p from n))
+select conv_id doc_id, 1::int as slide, string_agg(line, chr(10) order by turn) as text from l group by conv_id""")
+def slide_lists(spark, sf_dir):
+    """Conversations as one frame each: plain paragraphs, numbers and bullets of three levels, some of two lines."""
+    t = _turns(spark, sf_dir)
+    kind = F.when(F.col("turn") % 5 == 0, F.lit("<a:pPr/>")).when((F.col("turn") % 5).isin(1, 3), F.concat(F.lit('<a:pPr marL="1" lvl="'), (F.col("turn") % 3).cast("string"), F.lit('"><a:buFont/><a:buAutoNum type="arabicPeriod"/></a:pPr>')))
+    kind = kind.otherwise(F.concat(F.lit('<a:pPr lvl="'), (F.col("turn") % 3).cast("string"), F.lit('"><a:buChar char="&#8226;"/></a:pPr>')))
+    second = F.when(F.col("turn") % 4 == 0, "<a:br/><a:r><a:t>more</a:t></a:r>").otherwise("")
+    paras = _joined(t, F.concat(F.lit('<a:p>'), kind, F.lit('<a:r><a:rPr lang="en"/><a:t>'), _xml(F.col("role")), F.lit("</a:t></a:r>"), second, F.lit("</a:p>")))
+    frame = F.concat(F.lit('<p:sp id="2"><p:nvSpPr><p:nvPr><p:ph type="body"/></p:nvPr></p:nvSpPr><p:txBody><a:bodyPr/><a:lstStyle/>'), "xml", F.lit("</p:txBody></p:sp>"))
+    return archives.pptx_frames(archives.packed(_part(paras, "ppt/slides/slide1.xml", _slide(frame)))).select("doc_id", "slide", "text")
+
+
 @query("select conv_id doc_id, count(*) filter (turn % 2 = 0)::bigint bullets from conversations group by conv_id")
 def pptx_lost_bullets(spark, sf_dir):
     return archives.lost_bullets(_pptx(spark, sf_dir))

@@ -1,6 +1,6 @@
 """More of transcripts, names and small texts; inputs are made from the tables, SQL has the rows."""
 
-from pyspark.sql import Window, functions as F
+from pyspark.sql import functions as F
 
 from lectern.functions import labels, text as x
 from lectern.functions.times import between_anchors, exif_date, gps_decimal
@@ -101,7 +101,7 @@ def inconsistent_samples(spark, sf_dir):
     """New samples that are unlike the samples that their name keeps."""
     v = voices(spark, sf_dir)
     new = v.where("seq % 7 = 0").select(F.col("seq").alias("query"), "name", "vec")
-    return identity.inconsistent(identity.retain(v.where("seq % 7 <> 0")), new, 0.2).withColumn("score", F.round("score", 6))
+    return identity.inconsistent(v.where("seq % 7 <> 0"), new, 0.2).withColumn("score", F.round("score", 6))
 
 
 @query("""with v as (select vec_id seq, 'n' || label as name, embedding::double[] v from embeddings), x as (select seq, name from v union all select seq + 1000000000, 'm' || seq % 5 from v where seq % 10 = 0)
@@ -246,11 +246,7 @@ def page_places(spark, sf_dir):
     """Places in reading order, and pictures behind a page's text."""
     p = table(spark, sf_dir, "part").withColumns({"y0": F.col("p_retailprice") % 100, "x0": (F.col("p_partkey") % 50).cast("double") + F.col("p_partkey") * 1e-9})
     share, chars = F.when(F.col("p_size") % 7 >= 5, 0.95).otherwise(0.9), F.when(F.col("p_size") * 10 >= 300, 400).otherwise(399)
-    placed = p.withColumn("place", F.row_number().over(Window.partitionBy("p_brand").orderBy(F.round("y0", 1), F.round("x0", 1), "p_partkey")) - 1)
-    ordered = layout.reading_order(p, ["p_brand"])
-    # equal places are told apart by key here, so that both sides agree
-    same = ordered.groupBy("p_brand").agg(F.sum("place").alias("sum")).join(placed.groupBy("p_brand").agg(F.sum("place").alias("other")), "p_brand").where("sum = other").select("p_brand")
-    return placed.join(same, "p_brand").select("p_partkey", layout.is_backdrop(share, chars).alias("backdrop"), "place")
+    return layout.reading_order(p, ["p_brand"], ("p_partkey",)).select("p_partkey", layout.is_backdrop(share, chars).alias("backdrop"), "place")
 
 
 @query("""with c as (select 's' || l_suppkey % 10 as sheet, l_orderkey::int * 8 + l_linenumber as r, (l_partkey % 5)::int col, l_returnflag = 'R' as title, l_orderkey || '-' || l_linenumber v from lineitem),

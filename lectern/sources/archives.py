@@ -106,6 +106,58 @@ def bullet_kind(paragraph: Column, inherits: Column) -> Column:
     return F.when(F.contains(own, F.lit("<a:buNone")), None).when(F.contains(own, F.lit("<a:buAutoNum")), "num").when(F.contains(own, F.lit("<a:buChar")) | ~deep.isin("", "0"), "bullet").when(inherits, "bullet")
 
 
+#: The deepest level of a list.
+DEEPEST = 8
+
+
+def list_markdown(paragraphs: Column) -> Column:
+    """Markdown of a frame's paragraphs (text, kind, level): list items nested by two spaces a level, the rest as it stands.
+
+    Numbered items have their number within their level; a number starts anew behind an item of a lower level and behind a
+    paragraph that is no item. Lists have an empty line before and behind. Later lines of an item are indented to its text.
+    """
+    zeros = F.array_repeat(F.lit(0), DEEPEST + 1)
+    begin = F.struct(F.array().cast("array<string>").alias("lines"), zeros.alias("counts"), F.lit(False).alias("item"))
+
+    def step(s, p):
+        level = F.least(F.greatest(F.coalesce(p["level"], F.lit(0)), F.lit(0)), F.lit(DEEPEST))
+        numbered = p["kind"] == "num"
+        counts = F.transform(s["counts"], lambda n, i: F.when(i > level, F.lit(0)).when((i == level) & numbered, n + 1).otherwise(n))
+        mark = F.when(numbered, F.concat(F.element_at(counts, level + 1).cast("string"), F.lit("."))).otherwise(F.lit("-"))
+        prefix = F.concat(F.repeat(F.lit("  "), level), mark, F.lit(" "))
+        item = F.concat(prefix, F.replace(p["text"], F.lit("\n"), F.concat(F.lit("\n"), F.repeat(F.lit(" "), F.length(prefix)))))
+        gap = lambda on: F.when(on, F.array(F.lit(""))).otherwise(F.array().cast("array<string>"))
+        plain = F.struct(F.concat(s["lines"], gap(s["item"]), F.array(p["text"])).alias("lines"), zeros.alias("counts"), F.lit(False).alias("item"))
+        listed = F.struct(F.concat(s["lines"], gap(~s["item"] & (F.size(s["lines"]) > 0)), F.array(item)).alias("lines"), counts.alias("counts"), F.lit(True).alias("item"))
+        return F.when(p["kind"].isNull(), plain).otherwise(listed)
+
+    said = F.filter(paragraphs, lambda p: F.coalesce(p["text"], F.lit("")) != "")
+    return F.btrim(F.array_join(F.aggregate(said, begin, step, lambda s: s["lines"]), "\n"), F.lit(" \n\t"))
+
+
+def pptx_frames(files: DataFrame, master_bullets: bool = False) -> DataFrame:
+    """(doc_id, slide, frame, text): the Markdown of each text frame of the slides, empty ones left out.
+
+    A frame of two paragraphs or more hands its bullets down if its list style defines some, or if it is a body placeholder
+    and the master's body has bullets.
+    """
+    p = parts(files, r"^ppt/slides/slide\d+\.xml$").where("content is not null")
+    shapes = F.posexplode(F.regexp_extract_all("content", F.lit(r"(?s)<p:sp\b[^>]*>.*?</p:sp>"), F.lit(0))).alias("frame", "xml")
+    x = p.select("doc_id", F.regexp_extract("part", r"(\d+)\.xml$", 1).cast("int").alias("slide"), shapes)
+    style = F.regexp_extract("xml", r"(?s)<a:lstStyle\b.*?</a:lstStyle>", 0)
+    holder = F.regexp_extract("xml", r"<p:ph\b[^>]*>", 0)
+    body = (holder != "") & ~F.contains(F.lower(F.regexp_extract(holder, r'\btype="([^"]*)"', 1)), F.lit("title"))
+    marks = F.regexp_extract_all("xml", F.lit(_PARA), F.lit(0))
+    text = lambda m: F.btrim(_texts(m, "a:t", "a:br"), F.lit(" \n\t\r\x0b"))
+    several = F.size(F.filter(marks, lambda m: text(m) != "")) >= 2
+    inherits = several & (style.rlike("<a:bu(?:Char|AutoNum|Blip)") | (body & F.lit(master_bullets)))
+    x = x.withColumns({"inherits": inherits, "marks": marks})
+    own = lambda m: F.regexp_extract(m, r"(?s)<a:pPr\b(?:[^>]*/>|.*?</a:pPr>)", 0)
+    deep = lambda m: F.coalesce(F.regexp_extract(own(m), r'^<a:pPr\b[^>]*?\blvl="(\d{1,2})"', 1).try_cast("int"), F.lit(0))
+    paras = F.transform("marks", lambda m: F.struct(text(m).alias("text"), bullet_kind(m, F.col("inherits")).alias("kind"), deep(m).alias("level")))
+    return x.select("doc_id", "slide", "frame", list_markdown(paras).alias("text")).where("text <> ''")
+
+
 def pptx_blocks(files: DataFrame) -> DataFrame:
     """(doc_id, pos, kind, level, text, rows, has_header) of slides in number order: a heading for each, its paragraphs and tables, then its notes."""
     p = parts(files, r"^ppt/(slides/slide|notesSlides/notesSlide)\d+\.xml$").where("content is not null")

@@ -1,6 +1,8 @@
 """Text files: bytes to text, delimited tables, Markdown, RTF."""
 
 import re
+import unicodedata
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -16,39 +18,47 @@ MARKS = ((b"\xff\xfe\x00\x00", "utf-32"), (b"\x00\x00\xfe\xff", "utf-32"), (b"\x
 OLDER = ("cp950", "gb18030", "cp1252")
 
 
+@lru_cache(maxsize=1)
+def _weights() -> np.ndarray:
+    """What each code point says for or against a text (fixed values): common CJK 1, rare CJK -1, control, private and unassigned characters -3, U+FFFD -5, others 0."""
+    w = np.zeros(0x110000, np.int8)
+    w[[c for c in range(0x110000) if unicodedata.category(chr(c)) in ("Cc", "Cn", "Co", "Cs")]] = -3
+    w[[9, 10, 13]] = 0
+    w[0x3400:0x4DC0] = w[0x20000:] = -1
+    w[0x4E00:0xA000] = 1
+    w[0xE000:0xF900] = -3
+    w[0xFFFD] = -5
+    return w
+
+
 def plausibility(text: str) -> float:
-    """Mean over characters: common CJK and its marks 1, rare CJK -1, control and private characters -3, U+FFFD -5, others 0."""
-    if not text:
-        return 0.0
-    c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    inside = lambda a, b: (c >= a) & (c <= b)
-    good = inside(0x4E00, 0x9FFF) | inside(0x3000, 0x303F) | inside(0xFF00, 0xFFEF)
-    control = (c < 32) & ~np.isin(c, (9, 10, 13)) | inside(0x7F, 0x9F)
-    score = good * 1.0 - inside(0x3400, 0x4DBF) - 3.0 * inside(0xE000, 0xF8FF) - 3.0 * control - 5.0 * (c == 0xFFFD)
-    return float(score.mean())
+    """Mean of the weights of a text's characters; 0 for an empty one."""
+    return float(_weights()[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)].mean()) if text else 0.0
 
 
-def decode(data: bytes) -> tuple[str, str, bool]:
-    """(text, encoding, sure): by byte-order mark, then strict UTF-8, then the most plausible older encoding."""
-    for mark, name in MARKS:
-        if data.startswith(mark):
-            return data.decode(name, "replace"), name, True
+def _fits(data: bytes, encoding: str) -> str | None:
     try:
-        return data.decode("utf-8"), "utf-8", True
+        return data.decode(encoding)
     except UnicodeDecodeError:
-        pass
-    best = None
-    for name in OLDER:
-        try:
-            text = data.decode(name)
-        except UnicodeDecodeError:
-            continue
-        score = plausibility(text)
-        if best is None or score > best[0]:
-            best = (score, text, name)
-    if best:
-        return best[1], best[2], best[0] >= 0
-    return data.decode("utf-8", "replace"), "utf-8", False
+        return None
+
+
+def decode(data: bytes) -> tuple[str, str, bool]:
+    """(text, encoding, sure): by a byte-order mark whose encoding fits, then UTF-8 if it fits, then the most plausible of the older ones.
+
+    Of equally plausible ones the first counts; it is a guess below 0. If none fits, the first of them is taken with marks
+    for what it cannot read.
+    """
+    marked = [name for mark, name in MARKS if data.startswith(mark)][:1]
+    for name in [*marked, "utf-8"]:
+        if (text := _fits(data, name)) is not None:
+            return text, name, True
+    told = {name: text for name in OLDER if (text := _fits(data, name)) is not None}
+    if not told:
+        return data.decode(OLDER[0], "replace"), OLDER[0], False
+    # max() keeps the first of equals
+    name = max(told, key=lambda n: plausibility(told[n]))
+    return told[name], name, plausibility(told[name]) >= 0
 
 
 def decoded(files: DataFrame, content: str = "content") -> DataFrame:

@@ -359,3 +359,15 @@ def test_contained_needles_in_one_or_many_shards(stored, shard_chars, part_bytes
     got = [x["text"] for x in audit.contained(n, t, shard_chars, part_bytes).collect()]
     assert sorted(got) == sorted({x for x in needles if x and any(y and x in y for y in texts)})
     assert audit.contained(n.limit(0), t).count() == 0 and audit.contained(n, t.limit(0)).count() == 0
+
+
+def test_ratio_bound_loses_no_echo(spark):
+    from difflib import SequenceMatcher
+
+    r = random.Random(1)
+    texts = ["".join(r.choices("abcdeé ", k=r.randint(0, 30))) for _ in range(60)]
+    pairs = [(a, b) for a in texts for b in texts[::3]] + [(a, a[::-1]) for a in texts]
+    got = spark.createDataFrame(pairs, "a string, b string").select("a", "b", repeats.match_ratio(0.66)("a", "b").alias("m")).collect()
+    for a, b, m in got:
+        want = SequenceMatcher(None, a, b).ratio() if a and b else 0.0
+        assert m == want or want <= m < 0.66

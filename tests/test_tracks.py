@@ -155,3 +155,47 @@ def test_chunks_own_each_second_once(spark, tmp_path, seconds, fails):
     assert got[0][4] == 0 and got[-1][5] == seconds and all(a[5] == b[4] for a, b in zip(got, got[1:]))
     assert all(g[2] <= g[4] and g[5] <= g[3] and g[3] - g[2] <= 300 for g in got)
     assert [g[6] for g in got] == [c * 270 + 300 <= seconds and (fails is None or c < fails) for c in range(len(got))]
+
+
+def left_plainly(marks):
+    began, held, out = marks[0][0], [], []
+    for t, d in marks:
+        if held and d < held[-1][1]:
+            held = []
+        if not held or t - held[-1][0] >= 5:
+            held.append((t, d))
+        window = min(max((t - began) / 4, 120), 300)
+        inside = [k for k, s in enumerate(held) if s[0] <= t - window]
+        held = held[max(inside, default=0) :]
+        span, gained = t - held[0][0], d - held[0][1]
+        out.append((t, d, (1 - d) * span / gained if 0.1 <= d < 1 and span >= 30 and gained > 0 else None))
+    return out
+
+
+def test_progress_is_the_same_in_any_batches(spark, tmp_path):
+    from lectern.streaming import progress
+
+    r = np.random.default_rng(3)
+    jobs = {}
+    for job in "ab":
+        t = np.cumsum(r.choice([0.5, 2.0, 20.0, 90.0], 300))
+        d = np.minimum(np.cumsum(r.random(300) * 0.008), 1.0)
+        d[150:] = np.minimum(np.cumsum(r.random(150) * 0.015), 1.0)
+        jobs[job] = list(zip(t.tolist(), d.tolist()))
+    folder = tmp_path / "marks"
+    for i, cut in enumerate(np.array_split(np.arange(300), [1, 40, 41, 200])):
+        rows = [(j, *m[k]) for j, m in jobs.items() for k in cut]
+        spark.createDataFrame(rows, "job string, t double, done double").coalesce(1).write.parquet(str(tmp_path / f"p{i}"))
+        part = next(f for f in os.listdir(tmp_path / f"p{i}") if f.startswith("part-"))
+        folder.mkdir(exist_ok=True)
+        shutil.copy(tmp_path / f"p{i}" / part, folder / f"{i}.parquet")
+        os.utime(folder / f"{i}.parquet", (1_700_000_000 + i, 1_700_000_000 + i))
+    stream = progress.remaining(spark.readStream.schema("job string, t double, done double").option("maxFilesPerTrigger", 1).parquet(str(folder)))
+    with tracks.state_in_rocksdb(spark):
+        live.drain(stream, str(tmp_path / "out"), str(tmp_path / "state"))
+    got = spark.read.schema(progress.SCHEMA).parquet(str(tmp_path / "out")).collect()
+    for job, marks in jobs.items():
+        mine = sorted((x["t"], x["done"], x["left"]) for x in got if x["job"] == job)
+        want = left_plainly(marks)
+        assert [m[:2] for m in mine] == [w[:2] for w in want]
+        assert [m[2] for m in mine] == [w[2] if w[2] is None else pytest.approx(w[2]) for w in want] and any(w[2] for w in want)
