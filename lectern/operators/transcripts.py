@@ -2,7 +2,7 @@
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from lectern.functions.labels import DIAGNOSTICS_TITLE, TRANSCRIPT_TITLE, UNKNOWN, UNKNOWN_SPEAKER
+from lectern.functions.labels import DIAGNOSTICS_TITLE, REASSIGNED_ENTRY, REASSIGNED_NOBODY, REASSIGNED_NOTE, TRANSCRIPT_TITLE, UNKNOWN, UNKNOWN_SPEAKER
 from lectern.functions.text import is_marker, lines, rename_at_once, speaker_label
 from lectern.functions.times import hms
 from lectern.operators.intervals import label_blocks
@@ -66,10 +66,16 @@ def render_transcript(spoken: DataFrame, title: Column, quality: DataFrame | Non
     if quality is None:
         return body.select("rec_id", md.alias("md"))
     turns = blocks.where(F.col("speaker") != UNKNOWN_SPEAKER).groupBy("rec_id", "speaker").agg(F.count("*").alias("turns"))
+    noted = body.join(speaker_notes(quality, turns), "rec_id", "left")
+    return noted.select("rec_id", F.concat(md, F.coalesce(F.concat(F.lit("\n"), "notes"), F.lit(""))).alias("md"))
+
+
+def speaker_notes(quality: DataFrame, turns: DataFrame) -> DataFrame:
+    """(rec_id, notes): the table of the speakers' numbers (quality) and of how often each has the word (turns: rec_id, speaker, turns)."""
     row = F.concat(F.lit("| "), speaker_label(F.col("speaker")), F.lit(" | "), F.coalesce("turns", F.lit(0)).cast("string"), F.lit(" | "), hms(F.col("seconds")), F.lit(" | "), F.format_string("%.2f", F.col("cohesion")), F.lit(" |"))
-    table = quality.join(turns, ["rec_id", "speaker"], "left").groupBy("rec_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("speaker", row.alias("r")))), lambda s: s["r"]), "\n").alias("rows"))
-    notes = F.when(F.col("rows").isNotNull(), F.concat(F.lit(f"\n{DIAGNOSTICS_TITLE}\n\n| 講者 | 發言輪次 | 總時長 | 群內一致性 |\n| --- | ---: | ---: | ---: |\n"), F.col("rows"), F.lit("\n"))).otherwise("")
-    return body.join(table, "rec_id", "left").select("rec_id", F.concat(md, notes).alias("md"))
+    rows = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("speaker", row.alias("r")))), lambda s: s["r"]), "\n")
+    head = f"{DIAGNOSTICS_TITLE}\n\n| 講者 | 發言輪次 | 總時長 | 群內一致性 |\n| --- | ---: | ---: | ---: |\n"
+    return quality.join(turns, ["rec_id", "speaker"], "left").groupBy("rec_id").agg(F.concat(F.lit(head), rows, F.lit("\n")).alias("notes"))
 
 
 def transcript_lines(transcripts: DataFrame) -> DataFrame:
@@ -149,6 +155,48 @@ def relabel_blocks(parsed: DataFrame, turns: DataFrame) -> DataFrame:
     return numbered.drop("label", "end")
 
 
+def recluster(transcripts: DataFrame, turns: DataFrame, quality: DataFrame) -> DataFrame:
+    """(rec_id, md): transcripts (rec_id, md) with the speakers of new turns in their lines, and the notes made anew from quality.
+
+    No other line changes, and no two lines of one speaker are put together, so that it can be done again with other turns.
+    Speakers are numbered by first appearance, in the notes too; those of quality without a line are left out there. A
+    transcript without turns has one speaker; one without speakers' lines keeps its text.
+    """
+    from lectern.operators.intervals import block_bounds
+
+    blocks = label_blocks(block_bounds(parse_transcripts(transcripts)), turns)
+    blocks = first_appearance(blocks, ["rec_id"], F.col("seq"), "label", "speaker", UNKNOWN_SPEAKER).select("rec_id", "seq", "label", "speaker")
+    turn = F.coalesce(F.col("speaker") != F.lag("speaker").over(Window.partitionBy("rec_id").orderBy("seq")), F.lit(True))
+    said = blocks.withColumn("turn", turn).groupBy("rec_id", "speaker").agg(F.count_if("turn").alias("turns")).where(F.col("speaker") != UNKNOWN_SPEAKER)
+    numbered = quality.withColumnRenamed("speaker", "label").join(blocks.select("rec_id", "label", "speaker").distinct(), ["rec_id", "label"]).where(F.col("speaker") != UNKNOWN_SPEAKER).drop("label")
+    x = islands(transcript_lines(transcripts).where("not in_notes"), ["rec_id"], ["at"], F.col("name").isNotNull(), "seq").join(blocks, ["rec_id", "seq"], "left")
+    line = F.when(F.col("name").isNotNull(), F.concat(F.lit("**"), speaker_label(F.col("speaker")), F.lit("** ("), F.regexp_extract("line", r"\((\d+:[0-5]\d:[0-5]\d)\)\s*$", 1), F.lit(")"))).otherwise(F.col("line"))
+    body = _joined(x.withColumn("line", line)).join(speaker_notes(numbered, said), "rec_id", "left")
+    return body.select("rec_id", F.concat(F.regexp_replace("md", r"\n+$", ""), F.coalesce(F.concat(F.lit("\n\n"), "notes"), F.lit("\n"))).alias("md"))
+
+
+def note_reassigned(md: Column, names: Column, new_name: Column, moved: Column) -> Column:
+    """md with an entry below the title of its notes that says how many lines of names (an array) went to new_name by hand.
+
+    Entries stand below one heading in the order in which they came. A text without notes, and one of which nothing was
+    moved, stays as it is.
+    """
+    rows = F.split(F.regexp_replace(md, r"\n$", ""), "\n")
+    at = F.array_position(F.transform(rows, lambda r: F.trim(r).startswith(DIAGNOSTICS_TITLE)), True)
+    who = F.when(F.coalesce(F.size(names), F.lit(0)) > 0, F.array_join(F.transform(names, lambda n: F.concat(F.lit("「"), n, F.lit("」"))), "、")).otherwise(F.lit(REASSIGNED_NOBODY))
+    before, of, to, end = REASSIGNED_ENTRY
+    entry = F.concat(F.lit(before), who, F.lit(of), moved.cast("string"), F.lit(to), new_name, F.lit(end))
+    some = lambda start, length=None: F.slice(rows, start, F.greatest(F.lit(0), length if length is not None else F.size(rows))).cast("array<string>")
+    head = F.array_position(F.transform(rows, lambda r, i: (r == REASSIGNED_NOTE) & (i >= at)), True)
+    # entries of before end where a line is none
+    other = F.array_position(F.transform(rows, lambda r, i: (i >= head) & ~r.startswith("> ")), True)
+    last = F.when(other > 0, other - 1).otherwise(F.size(rows)).cast("int")
+    first_time = F.concat(some(F.lit(1), at.cast("int")), F.array(F.lit(""), F.lit(REASSIGNED_NOTE), entry), some(at.cast("int") + 1))
+    again = F.concat(some(F.lit(1), last), F.array(entry), some(last + 1))
+    noted = F.concat(F.array_join(F.when(head > 0, again).otherwise(first_time), "\n"), F.when(md.endswith("\n"), "\n").otherwise(""))
+    return F.when((F.coalesce(moved, F.lit(0)) > 0) & (at > 0), noted).otherwise(md)
+
+
 def speakers_after(parsed: DataFrame, turns: DataFrame) -> DataFrame:
     """(rec_id, speakers): how many known speakers a transcript would have with new turns."""
     x = relabel_blocks(parsed, turns)

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from lectern.functions import labels, text as x
-from lectern.functions.times import between_anchors, exif_date, gps_decimal
+from lectern.functions.times import between_anchors, exif_date, gps_decimal, hms
 from lectern.functions.vectors import normalized
 from lectern.operators import audit, batches, cluster, identity, intervals, layout, packing, rosters, transcripts
 from lectern.plans.documents import batch_report
@@ -156,6 +156,31 @@ def relabelled_blocks(spark, sf_dir):
     return r.join(transcripts.speakers_after(parsed, turns), "rec_id")
 
 
+_CLOCK = lambda c: f"printf('%02d:%02d:%02d', ({c} // 3600)::int, ({c} % 3600 // 60)::int, ({c} % 60)::int)"
+
+
+@query(f"""with {_TALK}, b as (select rec_id, turn, role, s, coalesce(lead(s) over (partition by rec_id order by s, turn), s + 30) e from t),
+n as (select b.rec_id, turn, speaker, sum(z - a) n, min(idx) i from b join u on u.rec_id = b.rec_id and (a + z) / 2 >= s and (a + z) / 2 < e group by all),
+o as (select rec_id, turn, speaker from (select *, row_number() over (partition by rec_id, turn order by n desc, i) k from n) where k = 1),
+l as (select b.rec_id, b.turn, coalesce(last_value(o.speaker ignore nulls) over (partition by b.rec_id order by b.turn rows unbounded preceding), 0) as label from b left join o on o.rec_id = b.rec_id and o.turn = b.turn),
+f as (select rec_id, label, row_number() over (partition by rec_id order by min(turn)) as k from l group by rec_id, label),
+x as (select l.rec_id, l.turn, l.label, k, k is distinct from lag(k) over (partition by l.rec_id order by l.turn) as starts from l join f on f.rec_id = l.rec_id and f.label = l.label),
+q as (select rec_id, speaker as label, sum(z - a)::bigint sec from u group by all),
+d as (select q.rec_id, string_agg('| 講者 ' || k || ' | ' || (select count(*) from x where x.rec_id = q.rec_id and x.k = f.k and starts) || ' | ' || {_CLOCK("sec")} || ' | 0.75 |' || chr(10), '' order by k) as rows from q join f using (rec_id, label) group by q.rec_id),
+m as (select rec_id, '# talk' || chr(10) || chr(10) || string_agg('**講者 ' || k || '** (' || {_CLOCK("turn * 10")} || ')' || chr(10) || '**講者 9** says ' || turn, chr(10) || chr(10) order by turn) as body from x group by rec_id)
+select rec_id, body || case when rows is null then chr(10) else chr(10) || chr(10) || '## 講者辨識診斷' || chr(10) || chr(10) || '> ⚠️ **這份逐字稿人工改掛過**,所以下面的數字與排序是**機器分群當下**的結果,與內文已經對不上:' || chr(10) || '> - 「講者 1」、「b」的 3 段已改掛給「Zoe」' || chr(10) || '> - 這一群的 1 段已改掛給「Ann」' || chr(10) || chr(10) || '| 講者 | 發言輪次 | 總時長 | 群內一致性 |' || chr(10) || '| --- | ---: | ---: | ---: |' || chr(10) || rows end as md from m left join d using (rec_id)""")
+def reclustered(spark, sf_dir):
+    """Transcripts with the speakers of new turns and new notes, in which what was moved by hand is entered twice."""
+    c = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("rec_id"), "turn", "role")
+    line = F.concat(F.lit("**"), "role", F.lit("** ("), hms(F.col("turn") * 10), F.lit(")  \n**講者 9** says "), F.col("turn").cast("string"))
+    md = c.groupBy("rec_id").agg(F.concat(F.lit("# talk\n\n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", line.alias("l")))), lambda s: s["l"]), "\n\n"), F.lit("\n\n## 講者辨識診斷\n\n| old | notes |\n")).alias("md"))
+    k = F.col("o_orderkey") % 60
+    turns = table(spark, sf_dir, "orders").select((F.col("o_custkey") % 100).alias("rec_id"), F.col("o_orderkey").alias("idx"), k.cast("double").alias("start"), (k + 4).cast("double").alias("end"), (F.col("o_orderkey") % 4).cast("int").alias("speaker"), F.lit(0.75).alias("conf"))
+    new = transcripts.recluster(md, turns, transcripts.speaker_quality(turns))
+    once = transcripts.note_reassigned(F.col("md"), F.array(F.lit("講者 1"), F.lit("b")), F.lit("Zoe"), F.lit(3))
+    return new.withColumn("md", once).withColumn("md", transcripts.note_reassigned(F.col("md"), F.array().cast("array<string>"), F.lit("Ann"), F.lit(1)))
+
+
 @query("""select conv_id rec_id, string_agg('**' || case when role = 'user' and n = 1 then 'Zoe' else role end || '** (00:00:0' || turn % 10 || ')' || chr(10) || turn, chr(10) || chr(10) order by turn) as md, sum(case when role = 'user' and n = 1 then 1 else 0 end)::bigint moved
 from (select *, row_number() over (partition by conv_id, role order by turn) n from conversations) group by conv_id""")
 def reassigned_lines(spark, sf_dir):
