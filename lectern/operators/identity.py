@@ -16,6 +16,7 @@ from lectern.sources.shared import stored
 THRESHOLD, MARGIN, RIVALS = 0.62, 0.10, 3
 MOST_SAMPLES = 8
 MISFILED, LONE, DUPLICATE, CONSISTENT = 0.20, 0.08, 0.999, 0.45
+UNLIKE, AGAINST = 0.40, 0.50
 #: Library rows in a shard; queries that meet it in one task.
 SHARD, ASKED = 50_000, 20_000
 #: Shards of a library at most, and samples that all tasks know.
@@ -398,3 +399,46 @@ def inconsistent(library: DataFrame, new: DataFrame, least: float = CONSISTENT,
 
     pairs = new.select("query", "name", F.col("vec").alias("v")).join(retain(library, most).select("name", "vec"), "name")
     return pairs.groupBy("query", "name").agg(F.max(dot(F.col("v"), F.col("vec"))).alias("score")).where(F.col("score") < least)
+
+
+def unlike(library: DataFrame, least: float = UNLIKE, most: int = MOST_SAMPLES) -> DataFrame:
+    """(name, score): names whose kept samples (the youngest `most`) have a pair below `least`, with the lowest cosine.
+
+    That makes a name doubtful, not wrong; which sample is another's voice is told by suspects() or against().
+    """
+    from lectern.functions.vectors import dot
+
+    kept = retain(library.where("vec is not null"), most).select("name", "seq", "vec")
+    pairs = kept.join(kept.select("name", F.col("seq").alias("seq2"), F.col("vec").alias("vec2")), "name").where((F.col("seq") < F.col("seq2")) & (F.size("vec") == F.size("vec2")))
+    return pairs.groupBy("name").agg(F.min(dot(F.col("vec"), F.col("vec2"))).alias("score")).where(F.col("score") < least)
+
+
+def against(library: DataFrame, known: DataFrame, least: float = AGAINST) -> DataFrame:
+    """(name, seq, label, score): for each sample the nearest voice of a meeting in which all are known (known: seq, label, vec).
+
+    Names of which no sample is as near as `least` to any have no rows: they were not there.
+    """
+    q = library.select(F.col("seq").alias("query"), "vec")
+    near = ranked(name_scores(q, known.withColumnRenamed("label", "name"))).where("rank = 1").select(F.col("query").alias("seq"), F.col("name").alias("label"), "score")
+    x = near.join(library.select("seq", "name"), "seq")
+    there = x.groupBy("name").agg(F.max("score").alias("top")).where(F.col("top") >= least).select("name")
+    return x.join(there, "name", "left_semi").select("name", "seq", "label", "score")
+
+
+def health_report(library: DataFrame, margin: float = MISFILED, lone: float = LONE, least: float = UNLIKE) -> DataFrame:
+    """(kind, name, seq, other, score) of a library: what may be deleted, and what someone should listen to.
+
+    duplicate: seq is as good as the sample other; misfiled: seq is nearer to the name other, by score; whole: every sample
+    of the name is misfiled, so that it would go with them; unlike: the lowest cosine of the name's samples is below `least`.
+    """
+    text, null = lambda c: F.col(c).cast("string"), lambda kind: F.lit(None).cast(kind)
+    found = stored(suspects(library, margin, lone), "suspects")
+    row = lambda df, kind, seq, other, score: df.select(F.lit(kind).alias("kind"), "name", seq.alias("seq"), other.alias("other"), score.alias("score"))
+    whole = wholly_suspect(found, library).where("whole")
+    parts = [
+        row(duplicates(library), "duplicate", F.col("seq"), text("of_seq"), null("double")),
+        row(found, "misfiled", F.col("seq"), F.col("other"), F.col("gap")),
+        row(whole, "whole", null("long"), null("string"), null("double")),
+        row(unlike(library, least), "unlike", null("long"), null("string"), F.col("score")),
+    ]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])

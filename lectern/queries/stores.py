@@ -5,7 +5,7 @@ import struct
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from lectern.sources import audio, folders, recordings, writers
+from lectern.sources import audio, folders, images, recordings, writers
 from lectern.sources.shared import shared_path
 from lectern.sources.tables import table
 
@@ -98,3 +98,32 @@ def folder_files(spark, sf_dir):
     folder = shared_path(spark, "folder")
     writers.write_files(table(spark, sf_dir, "pages").select(F.concat(place, name).alias("path"), content.alias("content")), folder)
     return folders.expanded(spark, folder, [".html", ".png", ".txt"]).select("path", "bytes")
+
+
+@query("""with p as (select page_id d, page_id % 5 k, url from pages), i as (
+ select d, 0 as nth, 'a&b ' || d as alt, 'data' as kind, 'png ' || k as content, '.svg' as suffix from p
+ union all select d, 1, '圖片', 'data', 'x y+z' || k, '.gif' from p
+ union all select d, 2, 'c', 'resource', 'part ' || k, '.png' from p
+ union all select d, 3, 'd', case when k = 4 then 'missing' else 'local' end, case when k <> 4 then 'file ' || k end, '.jpg' from p
+ union all select d, 4, 'e', 'remote', null, '.png' from p
+ union all select d, 5, 'f', 'data', 'png ' || k, '.png' from p
+ union all select d, 6, '圖片', 'data', null, '.png' from p),
+n as (select *, dense_rank() over (partition by d order by first) n from (select *, min(nth) over (partition by d, content) as first from i where content is not null))
+select i.d as doc_id, i.nth, i.kind, i.content, i.suffix, case when i.content is not null then '![' || i.alt || '](p%20' || i.d || '.assets/img-' || lpad(n.n::varchar, 4, '0') || (select suffix from i j where j.d = i.d and j.nth = n.first) || ')' end as md from i left join n on n.d = i.d and n.nth = i.nth""")
+def page_pictures(spark, sf_dir):
+    """Images of pages from data URIs, parts of an archive and files beside the page, with links to the files that they become."""
+    k = F.col("page_id") % 5
+    n = k.cast("string")
+    d = F.col("page_id").cast("string")
+    html = F.concat(
+        F.lit('<!-- <img src="no.png"> --><script>"<img src=no.png>"</script><IMG class="a > b" data-src="x" SRC="data:image/svg+xml;base64,'), F.base64(F.concat(F.lit("png "), n).cast("binary")), F.lit('" alt="a&amp;b '), d,
+        F.lit("\"><img src='data:image/gif,x%20y+z"), n, F.lit("' alt=''><img alt=c src=cid:part"), n, F.lit('><svg><image xlink:href="img/%66'), n, F.lit('.jpg?v=1" alt="d"/></svg>'),
+        F.lit('<img alt="e" src=" http://example.org/e.png "><img src="data:;base64,'), F.base64(F.concat(F.lit("png "), n).cast("binary")), F.lit('" alt="f"><img src="data:;base64,A"><img alt="none">'),
+    )
+    p = table(spark, sf_dir, "pages")
+    pages = p.select(F.col("page_id").alias("doc_id"), F.lit("site/a/index.html").alias("path"), html.alias("html"))
+    parts = p.select(F.col("page_id").alias("doc_id"), F.concat(F.lit("cid:part"), n).alias("name"), F.concat(F.lit("part "), n).cast("binary").alias("content"))
+    beside = spark.range(4).select(F.concat(F.lit("site/a/img/f"), F.col("id").cast("string"), F.lit(".jpg")).alias("path"), F.concat(F.lit("file "), F.col("id").cast("string")).cast("binary").alias("content"))
+    found = images.page_images(pages, parts, beside)
+    blocks, _ = images.image_blocks(found, F.concat(F.lit("p "), F.col("doc_id").cast("string"), F.lit(".assets")))
+    return found.join(blocks, ["doc_id", "nth"], "left").select("doc_id", "nth", "kind", F.decode("content", "UTF-8").alias("content"), "suffix", "md")

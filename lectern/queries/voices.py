@@ -120,3 +120,20 @@ def rename_plan(spark, sf_dir):
 @query("select vec_id seq, 'n' || label as name from (select *, row_number() over (partition by label order by vec_id) - 1 n from embeddings) where not (label = 1 and n in (0, 4))")
 def delete_samples(spark, sf_dir):
     return identity.delete_samples(voices(spark, sf_dir), spark.createDataFrame([("n1", 0), ("n1", 4)], "name string, nth int")).select("seq", "name")
+
+
+@query("""with e as (select vec_id seq, 'n' || label as name, embedding::double[] v from embeddings union all select vec_id + 1000000000, case when vec_id % 6 = 0 then 'twin' else 'n' || label end, embedding::double[] from embeddings where vec_id % 3 = 0),
+p as (select a.seq, a.name own_name, b.name, b.seq of_seq, list_inner_product(a.v, b.v) score from e a join e b on a.seq <> b.seq),
+s as (select seq, own_name, name, max(score) score, arg_min(of_seq, -score * 1e12 + of_seq / 1e10) first_seq from p group by all), own as (select seq, score own from s where name = own_name),
+o as (select *, row_number() over (partition by seq order by score desc, first_seq) n, lead(score) over (partition by seq order by score desc, first_seq) nxt from s where name <> own_name),
+m as (select o.seq, own_name as name, o.name other, score - own gap from o join own using (seq) where n = 1 and score - own >= 0.2 and (nxt is null or score - nxt >= 0.08)),
+k as (select *, row_number() over (partition by name order by seq desc) n from e), c as (select name, count(*) n from e group by name)
+select 'duplicate' as kind, own_name as name, seq, min(of_seq)::varchar as other, null::double as score from p where own_name = name and of_seq < seq and score >= 0.999 group by all
+union all select 'misfiled', name, seq, other, round(gap, 6) from m
+union all select 'whole', name, null, null, null from (select name, count(*) s from m group by name) join c using (name) where s = c.n
+union all select 'unlike', name, null, null, round(min(list_inner_product(a.v, b.v)), 6) from k a join k b using (name) where a.n <= 8 and b.n <= 8 and a.seq < b.seq group by name having min(list_inner_product(a.v, b.v)) < 0.4""")
+def library_health(spark, sf_dir):
+    """A library in which every third sample comes twice, half of these under another name: duplicates, misfiled samples, names without one to trust."""
+    v = voices(spark, sf_dir)
+    again = v.where("seq % 3 = 0").select((F.col("seq") + 1_000_000_000).alias("seq"), F.when(F.col("seq") % 6 == 0, "twin").otherwise(F.col("name")).alias("name"), "vec")
+    return identity.health_report(v.unionByName(again)).withColumn("score", F.round("score", 6))
