@@ -24,6 +24,11 @@ def _events(spark, sf_dir) -> DataFrame:
     return spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parq*")
 
 
+def _documents(spark, sf_dir) -> DataFrame:
+    """Numbers and sizes of the documents, which come by number, as a recording's windows or a job's marks would."""
+    return spark.readStream.schema(table(spark, sf_dir, "documents").schema).parquet(f"{sf_dir}/documents.parq*").select("doc_id", "n_chars")
+
+
 def _drained(stream: DataFrame, name: str) -> DataFrame:
     """What the stream gives when everything there is has been read."""
     spark, path = stream.sparkSession, shared_path(stream.sparkSession, name)
@@ -69,8 +74,8 @@ def live_progress(spark, sf_dir):
 
 
 #: Windows of half a second in a track.
-_TRACK = 5000
-_LEVELS = f"""lv as (select event_id // {_TRACK} as track, (event_id % {_TRACK}) * 0.5::double as "at", 200 + value * 10 as rms from events), ln as (select track, max("at") + 0.5 as whole from lv group by track)"""
+_TRACK = 1000
+_LEVELS = f"""lv as (select doc_id // {_TRACK} as track, (doc_id % {_TRACK}) * 0.5::double as "at", (200 + n_chars % 4000)::double as rms from documents), ln as (select track, max("at") + 0.5 as whole from lv group by track)"""
 
 
 @query(f"""with recursive {_LEVELS},
@@ -93,9 +98,9 @@ f as (select track, step, "end" as "start", "end", whole from last
 select track, step - 1 as step, "start" as span_start, "end" as span_end, 'from ' || floor("start")::bigint as text from (select track, step, "start", "end" from c where step > 0 union all select track, step, "start", "end" from f where "end" > "start")""")
 def live_segments(spark, sf_dir):
     """Spans of tracks as an engine would get them that fails at first wherever a span begins at an odd second."""
-    last = table(spark, sf_dir, "events").agg(F.max("event_id")).first()[0]
-    e = F.col("event_id")
-    x = _events(spark, sf_dir).select(F.floor(e / _TRACK).cast("string").alias("track"), F.timestamp_millis((e + 1) * 500).alias("ts"), ((e % _TRACK) * 0.5).alias("at"), (200 + F.col("value") * 10).alias("rms"), ((e % _TRACK == _TRACK - 1) | (e == F.lit(last))).alias("ends"))
+    last = table(spark, sf_dir, "documents").agg(F.max("doc_id")).first()[0]
+    e = F.col("doc_id")
+    x = _documents(spark, sf_dir).select(F.floor(e / _TRACK).cast("string").alias("track"), F.timestamp_millis((e + 1) * 500).alias("ts"), ((e % _TRACK) * 0.5).alias("at"), (200 + F.col("n_chars") % 4000).cast("double").alias("rms"), ((e % _TRACK == _TRACK - 1) | (e == F.lit(last))).alias("ends"))
     # the last level of a track is followed by the row that ends it
     rows = F.when(F.col("ends"), F.array(F.struct("at", "rms"), F.struct((F.col("at") + live.WINDOW).alias("at"), F.lit(None).cast("double").alias("rms")))).otherwise(F.array(F.struct("at", "rms")))
     levels = x.select("track", "ts", F.explode(rows).alias("r")).select("track", "ts", "r.at", "r.rms")
@@ -116,9 +121,9 @@ c as (select track, whole, n, alive, unnest(range(0, greatest(n, alive + (whole
 select track, chunk, chunk * 270.0::double as "start", least(chunk * 270.0 + 300, whole)::double as "end", (case when chunk = 0 then 0 else chunk * 270 + 15 end)::double as own_from, (case when chunk >= greatest(n - 1, alive) then whole else chunk * 270 + 285 end)::double as own_to, chunk < alive as live from c""")
 def live_chunks(spark, sf_dir):
     """Chunks of tracks that are analysed while the tracks run; a third of the tracks fail at the third chunk and wait for the end."""
-    last = table(spark, sf_dir, "events").agg(F.max("event_id")).first()[0]
-    e = F.col("event_id")
-    lengths = _events(spark, sf_dir).select(F.floor(e / _TRACK).cast("string").alias("track"), ((e % _TRACK + 1) * 0.5).alias("seconds"), ((e % _TRACK == _TRACK - 1) | (e == F.lit(last))).alias("ended"))
+    last = table(spark, sf_dir, "documents").agg(F.max("doc_id")).first()[0]
+    e = F.col("doc_id")
+    lengths = _documents(spark, sf_dir).select(F.floor(e / _TRACK).cast("string").alias("track"), ((e % _TRACK + 1) * 0.5).alias("seconds"), ((e % _TRACK == _TRACK - 1) | (e == F.lit(last))).alias("ended"))
 
     def analyse(track: str, chunk: int) -> None:
         if int(track) % 3 == 1 and chunk == 2:
@@ -129,7 +134,7 @@ def live_chunks(spark, sf_dir):
     return found.withColumn("track", F.col("track").cast("long"))
 
 
-@query("""with recursive e as (select event_id // 1000 as job, event_id % 1000 as i, (event_id % 1000) * 3.0::double + (event_id * 7 % 5) * 0.4::double as t, case when event_id % 1000 < 400 then (event_id % 1000) / 500.0::double else (event_id % 1000 - 400) / 600.0::double end as done from events),
+@query("""with recursive e as (select doc_id // 1000 as job, doc_id % 1000 as i, (doc_id % 1000) * 3.0::double + (doc_id * 7 % 5) * 0.4::double as t, case when doc_id % 1000 < 400 then (doc_id % 1000) / 500.0::double else (doc_id % 1000 - 400) / 600.0::double end as done from documents),
 r as (select job, i, t, done, t as t0, [{'t': t, 'd': done}] as s from e where i = 0
  union all
  select job, i, t, done, t0, list_filter(s, lambda x: x.t >= coalesce(list_max(list_transform(list_filter(s, lambda y: y.t <= past), lambda y: y.t)), -1e9)) from (
@@ -139,10 +144,10 @@ r as (select job, i, t, done, t as t0, [{'t': t, 'd': done}] as s from e where i
 select job, i, done, case when done >= 0.1 and done < 1 and t - s[1].t >= 30 and done > s[1].d then round((1 - done) * (t - s[1].t) / (done - s[1].d), 6) end as "left" from r""")
 def progress_left(spark, sf_dir):
     """Jobs of a thousand marks that fall back once, with what is left at each."""
-    e = F.col("event_id")
+    e = F.col("doc_id")
     i = e % 1000
     done = F.when(i < 400, i / 500).otherwise((i - 400) / 600)
-    marks = _events(spark, sf_dir).select(F.floor(e / 1000).cast("string").alias("job"), (i * F.lit(3.0) + (e * 7 % 5) * F.lit(0.4)).alias("t"), done.alias("done"))
+    marks = _documents(spark, sf_dir).select(F.floor(e / 1000).cast("string").alias("job"), (i * F.lit(3.0) + (e * 7 % 5) * F.lit(0.4)).alias("t"), done.alias("done"))
     with tracks.state_in_rocksdb(spark):
         found = _drained(progress.remaining(marks), "progress-left")
     return found.select(F.col("job").cast("long").alias("job"), F.round(F.col("t") / 3 - 0.2).cast("long").alias("i"), "done", F.round("left", 6).alias("left"))

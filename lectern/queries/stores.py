@@ -26,35 +26,34 @@ def query(sql: str | None = None):
 _HEADER = b"RIFF" + struct.pack("<I", 36) + b"WAVEfmt " + struct.pack("<IHHIIHH", 16, 1, 1, audio.RATE, 2 * audio.RATE, 2, 16) + b"data" + struct.pack("<I", 0)
 
 
-def _recorded(orders: DataFrame, tail: str) -> DataFrame:
-    """(path, content): a file for each hundred customers, a sample for each of its orders by key, and bytes behind them."""
-    v = F.pmod(F.col("o_orderkey") % 60000 - 30000, F.lit(65536))
+def _recorded(docs: DataFrame, tail: str) -> DataFrame:
+    """(path, content): a file for each hundred documents, a sample for each of them by id, and bytes behind them."""
+    v = F.pmod((F.col("doc_id") + F.col("n_chars")) % 60000 - 30000, F.lit(65536))
     sample = F.concat(F.lpad(F.hex(v % 256), 2, "0"), F.lpad(F.hex(F.floor(v / 256)), 2, "0"))
-    pcm = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", sample.alias("s")))), lambda x: x["s"]), "")
-    track = F.floor(F.col("o_custkey") / 100).cast("string")
-    files = orders.groupBy(track.alias("track")).agg(pcm.alias("pcm"))
+    pcm = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", sample.alias("s")))), lambda x: x["s"]), "")
+    track = F.floor(F.col("doc_id") / 100).cast("string")
+    files = docs.groupBy(track.alias("track")).agg(pcm.alias("pcm"))
     header = F.unbase64(F.lit(base64.b64encode(_HEADER).decode()))
     return files.select(F.concat("track", F.lit(".wav")).alias("path"), F.concat(header, F.unhex("pcm"), F.unhex(F.lit(tail))).alias("content"))
 
 
-@query("""with o as (select o_custkey // 100 as track, o_orderkey % 60000 - 30000 as s, o_orderkey k from orders)
-select track, count(*) samples, sum(s)::bigint total, (count(*) / 16000.0)::double as seconds, count(*) filter (k * 2 <= (select max(k) from o)) as early from o group by track""")
+@query("""with o as (select doc_id // 100 as track, (doc_id + n_chars) % 60000 - 30000 as s, doc_id % 100 k from documents)
+select track, count(*) samples, sum(s)::bigint total, (count(*) / 16000.0)::double as seconds, count(*) filter (k < 40 + track % 7) as early from o group by track""")
 def growing_samples(spark, sf_dir):
-    """Recordings that are read while they grow: once with the earlier half of the orders and one byte of the next sample, again when all is there."""
-    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
-    most = orders.agg(F.max("o_orderkey").alias("m"))
+    """Recordings that are read while they grow: once with their first forty samples or a few more and one byte of the next, again when all is there."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "n_chars")
     folder, out, state = (shared_path(spark, n) for n in ("recordings", "samples", "samples-state"))
 
     def read_on() -> None:
         stream = recordings.read_stream(spark, folder, 1 << 16)
         stream.writeStream.format("parquet").option("checkpointLocation", state).trigger(availableNow=True).start(out).awaitTermination()
 
-    early = orders.join(F.broadcast(most), F.col("o_orderkey") * 2 <= F.col("m")).drop("m")
+    early = docs.where(F.col("doc_id") % 100 < 40 + F.floor(F.col("doc_id") / 100) % 7)
     writers.write_files(_recorded(early, "7F"), folder, foreign=writers.REPLACE)
     read_on()
     first = spark.read.schema(recordings.SCHEMA).parquet(out).groupBy("path").agg(F.sum(F.size("pcm")).alias("early"))
     first = first.select(_track().alias("track"), "early").collect()  # a row for each file, as many as the stream's offset has
-    writers.write_files(_recorded(orders, ""), folder, foreign=writers.REPLACE)
+    writers.write_files(_recorded(docs, ""), folder, foreign=writers.REPLACE)
     read_on()
     read_on()  # nothing new
     total = F.aggregate("pcm", F.lit(0).cast("long"), lambda s, x: s + x)

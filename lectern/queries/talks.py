@@ -37,23 +37,23 @@ def long_chunks(spark, sf_dir):
     return cluster.split_long(chunks, levels)
 
 
-@query("""with recursive s as (select event_id // 20000 as r, event_id % 20000 as i, (event_id * 7919 % 2001 + floor(value)::bigint) // (1 + event_id // 37 % 5) as v from events),
-c as (select r, i, coalesce(sum(v * v) over (partition by r order by i rows between unbounded preceding and 1 preceding), 0) c from s), e as (select x.r, x.i, y.c - x.c as e from c x join c y on y.r = x.r and y.i = x.i + 20),
+@query("""with recursive s as (select doc_id // 2000 as r, doc_id % 2000 as i, (doc_id * 7919 % 2001 + n_chars % 100) // (1 + doc_id // 37 % 5) as v from documents),
+c as (select r, i, coalesce(sum(v * v) over (partition by r order by i rows between unbounded preceding and 1 preceding), 0) c from s), e as (select x.r, x.i, y.c - x.c as e from c x join c y on y.r = x.r and y.i = x.i + 4),
 n as (select r, count(*) n from s group by r),
-p as (select r, n, 0 as part, 0.37::double a, n / 100.0::double - 0.61::double z from n
+p as (select r, n, 0 as part, 0.37::double a, n / 20.0::double - 0.61::double z from n
  union all
- select p.r, p.n, p.part + 1, coalesce(p.a + 28.0::double - 10.0::double + (q.i - floor((p.a + 28.0::double - 10.0::double) * 100)::bigint + 10.0::double) / 100.0::double, (p.a + 28.0::double - 10.0::double + p.a + 28.0::double) / 2), p.z
- from p left join lateral (select arg_min(e.i, e.e * 100000 + e.i) i from e where e.r = p.r and e.i >= floor((p.a + 28.0::double - 10.0::double) * 100) and (e.i - floor((p.a + 28.0::double - 10.0::double) * 100)::bigint) % 5 = 0
-  and e.i + 20 < least(floor((p.a + 28.0::double) * 100), p.n)) q on true where p.z - p.a > 28)
+ select p.r, p.n, p.part + 1, coalesce(p.a + 28.0::double - 10.0::double + (q.i - floor((p.a + 28.0::double - 10.0::double) * 20)::bigint + 2.0::double) / 20.0::double, (p.a + 28.0::double - 10.0::double + p.a + 28.0::double) / 2), p.z
+ from p left join lateral (select arg_min(e.i, e.e * 100000 + e.i) i from e where e.r = p.r and e.i >= floor((p.a + 28.0::double - 10.0::double) * 20)
+  and e.i + 4 < least(floor((p.a + 28.0::double) * 20), p.n)) q on true where p.z - p.a > 28)
 select r as rec_id, part, round(a, 9) as "start", round(coalesce(lead(a) over (partition by r order by part), z), 9) as "end" from p""")
 def quiet_cuts(spark, sf_dir):
-    """Recordings of a hundred samples a second, each one long chunk, cut where the samples are quietest."""
-    e = F.col("event_id")
-    v = F.floor((e * 7919 % 2001 + F.floor("value")) / (1 + F.floor(e / 37) % 5))
-    x = table(spark, sf_dir, "events").select(F.floor(e / 20000).alias("rec_id"), (e % 20000).alias("i"), v.cast("smallint").alias("v"))
-    pcm = x.groupBy("rec_id", (F.floor(F.col("i") / 100) * 100).alias("first")).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda s: s["v"]).alias("pcm"))
-    chunks = x.groupBy("rec_id").agg((F.count("*") / 100 - 0.61).alias("end")).select("rec_id", F.lit(0).alias("chunk"), F.lit(0.37).alias("start"), "end")
-    return packing.split_long(chunks, pcm, rate=100).select("rec_id", "part", F.round("start", 9).alias("start"), F.round("end", 9).alias("end"))
+    """Recordings of twenty samples a second, each one long chunk, cut where the samples are quietest."""
+    e = F.col("doc_id")
+    v = F.floor((e * 7919 % 2001 + F.col("n_chars") % 100) / (1 + F.floor(e / 37) % 5))
+    x = table(spark, sf_dir, "documents").select(F.floor(e / 2000).alias("rec_id"), (e % 2000).alias("i"), v.cast("smallint").alias("v"))
+    pcm = x.groupBy("rec_id", (F.floor(F.col("i") / 20) * 20).alias("first")).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda s: s["v"]).alias("pcm"))
+    chunks = x.groupBy("rec_id").agg((F.count("*") / 20 - 0.61).alias("end")).select("rec_id", F.lit(0).alias("chunk"), F.lit(0.37).alias("start"), "end")
+    return packing.split_long(chunks, pcm, rate=20).select("rec_id", "part", F.round("start", 9).alias("start"), F.round("end", 9).alias("end"))
 
 
 _NAMES = "n as (select n_nationkey pos, 'n' || n_nationkey % 7 as name, n_regionkey from nation)"
