@@ -68,34 +68,36 @@ def _track() -> Column:
 
 
 MARKER = "converter: lectern"
-_FOREIGN = "page_id % 9 = 4"
+_FOREIGN = "k % 9 = 4"
 
 
-@query("""select page_id % 50 || '/p' || page_id || '.md' as path, case when page_id % 9 = 4 then 'a note' else '---' || chr(10) || 'converter: lectern' || chr(10) || '---' || chr(10) || url || chr(10) end as content from pages where url is not null or page_id % 9 = 4""")
+@query("""select k % 50 || '/p' || k || '.md' as path, case when k % 9 = 4 then 'a note' else '---' || chr(10) || 'converter: lectern' || chr(10) || '---' || chr(10) || urls || chr(10) end as content from (select page_id // 5 as k, string_agg(url, chr(10) order by page_id) as urls from pages group by page_id // 5)""")
 def written_files(spark, sf_dir):
-    """A Markdown file for each page, written twice over each other; notes that stand at some of the names stay."""
-    p = table(spark, sf_dir, "pages")
-    path = F.concat((F.col("page_id") % 50).cast("string"), F.lit("/p"), F.col("page_id").cast("string"), F.lit(".md"))
+    """A Markdown file for each five pages, written twice over each other; notes that stand at some of the names stay."""
+    urls = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_id", "url"))), lambda s: s["url"]), "\n")
+    p = table(spark, sf_dir, "pages").groupBy(F.floor(F.col("page_id") / 5).alias("k")).agg(urls.alias("urls"))
+    path = F.concat((F.col("k") % 50).cast("string"), F.lit("/p"), F.col("k").cast("string"), F.lit(".md"))
     folder = shared_path(spark, "written")
     writers.write_files(p.where(_FOREIGN).select(path.alias("path"), F.lit("a note").alias("content")), folder)
     for _ in range(2):
-        writers.write_files(p.select(path.alias("path"), F.concat(F.lit(f"---\n{MARKER}\n---\n"), "url", F.lit("\n")).alias("content")), folder, MARKER)
+        writers.write_files(p.select(path.alias("path"), F.concat(F.lit(f"---\n{MARKER}\n---\n"), "urls", F.lit("\n")).alias("content")), folder, MARKER)
     return folders.contents(spark, folder, [".md"]).select("path", F.decode("content", "UTF-8").alias("content"))
 
 
-@query("""with f as (select page_id k, case page_id % 8 when 0 then '.git/' when 1 then 'a/b.ASSETS/' when 2 then 'd' || page_id % 30 || '/x y/' else 'd' || page_id % 30 || '/' end as folder, case when page_id % 11 = 5 then '~$' else '' end as lock, page_id % 3 as kind from pages)
-select folder || lock || 'f' || k || case kind when 0 then '.HTML' when 1 then '.png' else '.txt' end as path, case kind when 1 then 3 when 2 then length(k::varchar) else length('<img src=' || chr(34) || './f' || k + 1 || '.png' || chr(34) || '>') end as bytes from f
-where k % 8 not in (0, 1) and k % 11 <> 5 and not (kind = 1 and exists (select 1 from f g where g.k = f.k - 1 and g.kind = 0 and g.k % 8 not in (0, 1) and g.k % 11 <> 5 and g.folder = f.folder and f.lock = ''))""")
+@query("""with f as (select distinct page_id // 5 as k from pages), g as (select k, case k % 8 when 0 then '.git/' when 1 then 'a/b.ASSETS/' when 2 then 'd' || k % 30 || '/x y/' else 'd' || k % 30 || '/' end as folder, case when k % 11 = 5 then '~$' else '' end as lock, k % 3 as kind from f)
+select folder || lock || 'f' || k || case kind when 0 then '.HTML' when 1 then '.png' else '.txt' end as path, case kind when 1 then 3 when 2 then length(k::varchar) else length('<img src=' || chr(34) || './f' || k + 1 || '.png' || chr(34) || '>') end as bytes from g
+where k % 8 not in (0, 1) and k % 11 <> 5 and not (kind = 1 and exists (select 1 from g h where h.k = g.k - 1 and h.kind = 0 and h.k % 8 not in (0, 1) and h.k % 11 <> 5 and h.folder = g.folder and g.lock = ''))""")
 def folder_files(spark, sf_dir):
     """What a batch takes from a folder: no hidden or asset folders, no lock files, no images that a page beside them shows."""
-    k = F.col("page_id")
+    k = F.col("k")
     text = k.cast("string")
     own = F.concat(F.lit("d"), (k % 30).cast("string"), F.lit("/"))
     place = F.when(k % 8 == 0, ".git/").when(k % 8 == 1, "a/b.ASSETS/").when(k % 8 == 2, F.concat(own, F.lit("x y/"))).otherwise(own)
     name = F.concat(F.when(k % 11 == 5, "~$").otherwise(""), F.lit("f"), text, F.when(k % 3 == 0, ".HTML").when(k % 3 == 1, ".png").otherwise(".txt"))
     content = F.when(k % 3 == 0, F.concat(F.lit('<img src="./f'), (k + 1).cast("string"), F.lit('.png">'))).when(k % 3 == 1, "png").otherwise(text)
     folder = shared_path(spark, "folder")
-    writers.write_files(table(spark, sf_dir, "pages").select(F.concat(place, name).alias("path"), content.alias("content")), folder)
+    made = table(spark, sf_dir, "pages").select(F.floor(F.col("page_id") / 5).alias("k")).distinct()
+    writers.write_files(made.select(F.concat(place, name).alias("path"), content.alias("content")), folder)
     return folders.expanded(spark, folder, [".html", ".png", ".txt"]).select("path", "bytes")
 
 
