@@ -16,7 +16,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from lectern.llm.common import partitions, record_batch, table, written
 
-BITS = 64
+#: Bits of a word; a code has as many words as it needs.
+WORD = 64
 TOP = 10
 #: Codes in a shard at most, on average; small inputs are dealt to LEAST_SHARDS for parallel work.
 SHARD_CODES, LEAST_SHARDS = 1 << 20, 16
@@ -25,28 +26,45 @@ _LOOKUPS = 1 << 19
 
 
 def sign_codes(vectors: DataFrame, vector: str = "embedding") -> DataFrame:
-    """vectors with a long column `code`: bit i is 1 if element i (of the first 64) is above zero.
+    """vectors with a long column `code`: bit i is 1 if element i (of the first 64) is above zero. See sign_words() for longer vectors.
 
     NaN and null elements count as not above zero; a null or empty vector has a null code.
     """
     bits = F.aggregate(
-        F.transform(F.slice(F.col(vector), 1, BITS), lambda x, i: F.when((x > 0) & ~F.isnan(x), F.expr("1L")).otherwise(F.expr("0L")) * F.element_at(F.array(*[F.lit(1 << j if j < 63 else -(1 << 63)).cast("long") for j in range(BITS)]), i + 1)),
+        F.transform(F.slice(F.col(vector), 1, WORD), lambda x, i: F.when((x > 0) & ~F.isnan(x), F.expr("1L")).otherwise(F.expr("0L")) * F.element_at(F.array(*[F.lit(1 << j if j < 63 else -(1 << 63)).cast("long") for j in range(WORD)]), i + 1)),
         F.lit(0).cast("long"),
         lambda a, b: a.bitwiseOR(b),
     )
     return vectors.withColumn("code", F.when(F.size(vector) > 0, bits))
 
 
+def sign_words(vectors: DataFrame, vector: str = "embedding") -> DataFrame:
+    """vectors with a column `code`, an array of longs: bit i of word w is 1 if element 64 * w + i is above zero.
+
+    NaN and null elements count as not above zero; a null or empty vector has a null code.
+    """
+    powers = F.array(*[F.lit(1 << j if j < 63 else -(1 << 63)).cast("long") for j in range(WORD)])
+
+    def word(w):
+        bits = F.transform(F.slice(F.col(vector), w * WORD + 1, F.lit(WORD)), lambda x, i: F.when((x > 0) & ~F.isnan(x), F.element_at(powers, i + 1)).otherwise(F.lit(0).cast("long")))
+        return F.aggregate(bits, F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(b))
+
+    words = F.sequence(F.lit(0), F.floor((F.size(vector) - 1) / WORD).cast("int"))
+    return vectors.withColumn("code", F.when(F.size(vector) > 0, F.transform(words, word)))
+
+
 class MultiIndex:
-    """Segment indexes over distinct 64-bit codes."""
+    """Segment indexes over distinct codes, a row of 64-bit words each; every segment lies within a word."""
 
     def __init__(self, codes: np.ndarray, weight: np.ndarray):
-        n = len(codes)
-        self.codes, self.weight = codes, weight
-        self.m = int(np.clip(round(BITS / max(4.0, np.log2(max(n, 2)))), 4, 16))
-        cuts = [BITS * i // self.m for i in range(self.m + 1)]
-        self.low = [np.uint64(a) for a in cuts[:-1]]
-        self.width = [b - a for a, b in zip(cuts, cuts[1:])]
+        n, words = codes.shape
+        self.codes, self.weight, self.bits = codes, weight, WORD * words
+        each = int(np.clip(round(WORD / max(4.0, np.log2(max(n, 2)))), 4, 16))
+        self.m = each * words
+        cuts = [WORD * i // each for i in range(each + 1)]
+        self.word = [w for w in range(words) for _ in range(each)]
+        self.low = [np.uint64(a) for a in cuts[:-1]] * words
+        self.width = [b - a for a, b in zip(cuts, cuts[1:])] * words
         self.order, self.first = [], []
         for s in range(self.m):
             value = self.segment(codes, s)
@@ -55,7 +73,7 @@ class MultiIndex:
         self._masks: dict[tuple[int, int], np.ndarray] = {}
 
     def segment(self, codes: np.ndarray, s: int) -> np.ndarray:
-        return ((codes >> self.low[s]) & np.uint64((1 << self.width[s]) - 1)).astype(np.int64)
+        return ((codes[:, self.word[s]] >> self.low[s]) & np.uint64((1 << self.width[s]) - 1)).astype(np.int64)
 
     def masks(self, width: int, radius: int) -> np.ndarray:
         if (width, radius) not in self._masks:
@@ -80,12 +98,12 @@ class MultiIndex:
                 if t != s:
                     d = np.bitwise_count(self.segment(x, t))
                     fresh &= d > r if t < s else d >= r
-            yield owner[fresh], code[fresh], np.bitwise_count(x[fresh]).astype(np.int64)
+            yield owner[fresh], code[fresh], np.bitwise_count(x[fresh]).sum(axis=1, dtype=np.int64)
 
     def search(self, queries: np.ndarray, k: int):
         """(query index, code index, distance): the nearest codes that hold k rows, and all as near as the last of them."""
         n = len(queries)
-        seen = np.zeros((n, BITS + 1), np.int64)
+        seen = np.zeros((n, self.bits + 1), np.int64)
         live, found = np.arange(n), []
         for r in range(max(self.width) + 1):
             for s in range(self.m):
@@ -94,7 +112,7 @@ class MultiIndex:
                 for owner, code, d in self._step(queries, live, s, r):
                     np.add.at(seen, (owner, d), self.weight[code])
                     found.append((owner, code, d))
-                covered = min(BITS, self.m * r + s)
+                covered = min(self.bits, self.m * r + s)
                 live = live[seen[live, : covered + 1].sum(axis=1) < k]
         if not found:
             return (np.zeros(0, np.int64),) * 3
@@ -107,6 +125,8 @@ class MultiIndex:
 def nearest(index: DataFrame, queries: DataFrame, k: int = TOP) -> DataFrame:
     """query_id, rank (from 1), id, distance: the k rows of index (id, code) nearest to each row of queries (query_id, code).
 
+    Codes are longs or arrays of longs; shorter ones count as if zeros followed.
+
     Order is by distance, then id; a query that is itself in the index finds itself. Rows without a code or an id are
     left out; repeated ids keep their rows, repeated query ids are one query for each different code. An empty index
     gives no rows.
@@ -115,6 +135,12 @@ def nearest(index: DataFrame, queries: DataFrame, k: int = TOP) -> DataFrame:
     over SHARD_CODES. Within a shard a query looks up some thousand values instead of all codes.
     """
     spark = index.sparkSession
+    words_of = lambda df: df if dict(df.dtypes)["code"].startswith("array") else df.withColumn("code", F.when(F.col("code").isNotNull(), F.array(F.col("code").cast("long"))))
+    index, queries = words_of(index), words_of(queries)
+    most = lambda df: df.agg(F.coalesce(F.max(F.size("code")), F.lit(1))).first()[0]
+    words = max(1, most(index), most(queries))
+    whole = F.concat("code", F.array_repeat(F.lit(0).cast("long"), F.lit(words) - F.size("code")))
+    index, queries = index.withColumn("code", whole), queries.withColumn("code", whole)
     by_id = Window.partitionBy("code").orderBy("id")
     # of equal codes only the first k ids can be among the nearest
     kept = index.select("id", "code").where("id is not null and code is not null").withColumn("nth", F.row_number().over(by_id)).where(F.col("nth") <= k)
@@ -124,10 +150,10 @@ def nearest(index: DataFrame, queries: DataFrame, k: int = TOP) -> DataFrame:
     sent = asked.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), "query_id", "code", F.lit(None).cast("array<bigint>").alias("ids"))
     held = codes.select(F.pmod(F.xxhash64("code"), F.lit(shards)).cast("int").alias("shard"), F.lit(None).cast("long").alias("query_id"), "code", "ids")
     dealt = held.unionByName(sent).repartition(max(shards, partitions(spark)), "shard").sortWithinPartitions("shard", F.col("query_id").asc_nulls_first(), "code")
-    schema = pa.schema([("query_id", pa.int64()), ("code", pa.int64()), ("distance", pa.int32()), ("id", pa.int64())])
+    schema = pa.schema([("query_id", pa.int64()), ("code", pa.list_(pa.int64())), ("distance", pa.int32()), ("id", pa.int64())])
 
     def answers(tree, ids, query_id, code):
-        owner, at, d = tree.search(code.view(np.uint64), k)
+        owner, at, d = tree.search(code, k)
         order = np.lexsort((d, owner))
         owner, at, d = owner[order], at[order], d[order]
         rows = [(int(o), int(x), i) for o, c, x in zip(owner, at, d) for i in ids[c]]
@@ -137,10 +163,13 @@ def nearest(index: DataFrame, queries: DataFrame, k: int = TOP) -> DataFrame:
             n = n + 1 if o == last else 1
             last = o
             if n <= k:
-                out.append((query_id[o], code[o], x, i))
+                out.append((query_id[o], code[o].view(np.int64), x, i))
         if out:
             yield record_batch(schema, *map(list, zip(*out)))
 
+    def matrix(column) -> np.ndarray:
+        return column.flatten().to_numpy().view(np.uint64).reshape(-1, words)
+
     def run(batches):
         shard, codes, ids, tree = None, [], [], None
         for batch in batches:
@@ -154,18 +183,18 @@ def nearest(index: DataFrame, queries: DataFrame, k: int = TOP) -> DataFrame:
                     shard, codes, ids, tree = at[a], [], [], None
                 own = part.column("query_id").null_count
                 if own:
-                    codes.append(part.column("code").slice(0, own).to_numpy())
+                    codes.append(matrix(part.column("code").slice(0, own)))
                     ids += part.column("ids").slice(0, own).to_pylist()
                 asked = part.slice(own)
                 if not asked.num_rows or not ids:
                     continue
                 if tree is None:
-                    tree = MultiIndex(np.concatenate(codes).view(np.uint64), np.array([len(i) for i in ids]))
+                    tree = MultiIndex(np.concatenate(codes), np.array([len(i) for i in ids]))
                 for c in range(0, asked.num_rows, 256):
                     q = asked.slice(c, 256)
-                    yield from answers(tree, ids, q.column("query_id").to_numpy(), np.ascontiguousarray(q.column("code").to_numpy()))
+                    yield from answers(tree, ids, q.column("query_id").to_numpy(), matrix(q.column("code")))
 
-    near = dealt.mapInArrow(run, "query_id long, code long, distance int, id long")
+    near = dealt.mapInArrow(run, "query_id long, code array<bigint>, distance int, id long")
     best = Window.partitionBy("query_id", "code").orderBy("distance", "id")
     ranked = near.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "id", "distance")
@@ -187,5 +216,5 @@ select query_id, rank, id, distance from ranked where rank <= 10
 
 def query(spark, sf_dir):
     """The ten nearest of all vectors for every vector whose id is divisible by 50."""
-    codes = sign_codes(table(spark, sf_dir, "embeddings").select("vec_id", "embedding")).select(F.col("vec_id").alias("id"), "code")
+    codes = sign_words(table(spark, sf_dir, "embeddings").select("vec_id", "embedding")).select(F.col("vec_id").alias("id"), "code")
     return nearest(codes, codes.where("id % 50 = 0").withColumnRenamed("id", "query_id"))

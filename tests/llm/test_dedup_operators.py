@@ -215,6 +215,26 @@ def test_sign_codes_edges(spark):
     assert [r["code"] for r in hamming.sign_codes(v).collect()] == [0b10001, None, None, -1]
 
 
+def test_vectors_of_any_length(stored):
+    """All elements count, also behind the 64th; shorter vectors are as if zeros followed."""
+    r = np.random.default_rng(4)
+    sizes = [70, 200, 200, 200, 130, 64, 1, 0]
+    vectors = [r.normal(size=sizes[i % len(sizes)]).tolist() for i in range(400)]
+    vectors[20:60] = [vectors[1][:64] + r.normal(size=136).tolist() for _ in range(40)]  # alike in the first 64
+    vectors[60] = vectors[1]
+    codes = hamming.sign_words(stored([(i, v) for i, v in enumerate(vectors)], "id long, embedding array<double>")).select("id", "code")
+    bits = np.zeros((len(vectors), 256), bool)
+    for i, v in enumerate(vectors):
+        bits[i, : len(v)] = np.array(v) > 0
+    ids = [i for i, v in enumerate(vectors) if v]
+    got = {}
+    for x in hamming.nearest(codes, codes.where("id % 9 = 1").withColumnRenamed("id", "query_id"), 7).collect():
+        got.setdefault(x["query_id"], {})[x["rank"]] = (x["distance"], x["id"])
+    for q in [i for i in ids if i % 9 == 1]:
+        want = sorted((int((bits[q] ^ bits[i]).sum()), i) for i in ids)[:7]
+        assert [got[q][k] for k in range(1, 8)] == want, q
+
+
 def test_near_dedup_null_and_repeated_ids(spark, tmp_path):
     """A null or repeated id drops no other component's document, and each component keeps one row."""
     r = random.Random(7)
