@@ -1,7 +1,7 @@
 """Pairs of near vectors of one name, exactly, without a name being one task.
 
-Rows of a name are dealt to cells by their distances to two pivots, in steps of the
-radius, so that near rows lie in one cell or in adjoining ones; a cell with too many
+Rows of a name are dealt to cells by their distances to two pivots, in steps of at least
+the radius, so that near rows lie in one cell or in adjoining ones; a cell with too many
 rows is cut by hash. Cells whose distances to a third pivot are further apart than the
 radius do not meet either. A task gets two cells and multiplies their matrices; what
 comes back is a row for each row, not for each pair. The radius follows from the least
@@ -16,8 +16,9 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from lectern.sources.shared import stored
 
-#: Rows in a cell; a task holds two.
+#: Rows in a cell; a task holds two. Cells that rows could be spread over for each that they would fill.
 CELL = 4_000
+FILLED = 4
 PIVOTS = 3
 
 
@@ -41,7 +42,13 @@ def dealt(rows: DataFrame, least: float, size: int = CELL) -> tuple[DataFrame, D
     known = some.join(longest, key).select(*key, "pivots", radius.alias("radius"))
     far = [_distance(F.col("vec"), F.element_at("pivots", F.least(F.lit(i + 1), F.size("pivots")))) for i in range(PIVOTS)]
     x = x.join(known, key).withColumns({f"d{i}": d for i, d in enumerate(far)})
-    x = stored(x.withColumns({"b0": F.floor(F.col("d0") / F.col("radius")), "b1": F.floor(F.col("d1") / F.col("radius"))}).drop("pivots", "d0", "d1"), "placed")
+    x = stored(x.drop("pivots"), "placed")
+    # steps of the radius or more, so that cells are neither too large nor, where rows are few, many small ones
+    spans = x.groupBy(*key).agg(F.count("*").alias("rows"), *[f(f"d{i}").alias(f"{n}{i}") for i in (0, 1) for n, f in (("least", F.min), ("most", F.max))])
+    steps = F.ceil(F.sqrt(FILLED * F.col("rows") / size))
+    spans = spans.select(*key, *[c for i in (0, 1) for c in (f"least{i}", ((F.col(f"most{i}") - F.col(f"least{i}")) / steps).alias(f"share{i}"))])
+    place_of = lambda i: F.floor((F.col(f"d{i}") - F.col(f"least{i}")) / F.greatest("radius", f"share{i}"))
+    x = x.join(spans, key).withColumns({f"b{i}": place_of(i) for i in (0, 1)}).drop("d0", "d1", "least0", "least1", "share0", "share1")
     place = [*key, "b0", "b1"]
     parts = x.groupBy(*place).agg(F.ceil(F.count("*") / size).cast("int").alias("parts"))
     x = x.join(parts, place).withColumn("part", F.pmod(F.xxhash64("seq"), F.col("parts")).cast("int"))
