@@ -96,7 +96,7 @@ def _meet(held: DataFrame, sent: DataFrame, task, parts: int) -> DataFrame:
     return found.groupBy("query", "name").agg(best).select("query", "name", "b.score", (-F.col("b.at")).alias("first_seq"))
 
 
-def name_scores(queries: DataFrame, library: DataFrame, margin: float = MARGIN, least_names: int = 3, shard: int = SHARD, sent: list | None = None) -> DataFrame:
+def name_scores(queries: DataFrame, library: DataFrame, margin: float = MARGIN, least_names: int = 3, shard: int = SHARD, *, sent: list | None = None) -> DataFrame:
     """(query, name, score, first_seq): the best cosine of each query (query, vec[, own_seq, own_name]) with a name's samples.
 
     What is within `margin` of a query's best name is complete, and so are at least `least_names` names and its own; a name
@@ -124,7 +124,7 @@ def name_scores(queries: DataFrame, library: DataFrame, margin: float = MARGIN,
     for r in extent:
         _extend(routes[r["dim"]], r)
     parts = library.sparkSession.createDataFrame([(r["dim"], r["shard"], r["parts"]) for r in extent], "dim int, shard int, parts int")
-    held = placed.join(F.broadcast(parts), ["dim", "shard"]).withColumn("part", F.pmod(F.xxhash64("seq"), F.col("parts")).cast("int"))
+    held = placed.join(F.broadcast(parts), ["dim", "shard"]).withColumn("part", F.pmod(F.xxhash64("name", "seq"), F.col("parts")).cast("int"))
     lanes = max(1, n // shards)
     each = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")
     to = lambda df: df.join(F.broadcast(parts), ["dim", "shard"]).select(*df.columns, each)
