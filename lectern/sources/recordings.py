@@ -3,9 +3,12 @@
 What a file holds is told by its size, as the length in its header lags behind. A task
 reads one range of bytes, so that a long recording is spread over tasks. The stream's
 offset is the number of complete samples of each file; a sample of which one byte has
-been written waits for the next batch.
+been written waits for the next batch. Short recordings share a task.
 """
 
+from collections.abc import Iterable
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -21,11 +24,20 @@ _ARROW = pa.schema([("path", pa.string()), ("first", pa.int64()), ("pcm", pa.lis
 RANGE_BYTES, BLOCK = 8 << 20, RATE
 
 
-class Range(InputPartition):
+@dataclass(frozen=True)
+class Range:
     """Samples [first, last) of a file."""
 
-    def __init__(self, path: str, first: int, last: int):
-        self.path, self.first, self.last = path, first, last
+    path: str
+    first: int
+    last: int
+
+
+class Ranges(InputPartition):
+    """What one task reads: a range of a long recording, or those of several short ones."""
+
+    def __init__(self, parts: tuple[Range, ...]):
+        self.parts = parts
 
 
 def ranges(path: str, first: int, last: int, range_bytes: int) -> list[Range]:
@@ -35,6 +47,19 @@ def ranges(path: str, first: int, last: int, range_bytes: int) -> list[Range]:
     return [Range(path, a, b) for a, b in zip(cuts, cuts[1:]) if a < b]
 
 
+def dealt(parts: Iterable[Range], range_bytes: int) -> list[Ranges]:
+    """Ranges put together to about range_bytes for a task, in order."""
+    out, held, size = [], [], 0
+    for r in parts:
+        n = (r.last - r.first) * WIDTH
+        if held and size + n > range_bytes:
+            out.append(Ranges(tuple(held)))
+            held, size = [], 0
+        held.append(r)
+        size += n
+    return [*out, Ranges(tuple(held))] if held or not out else out
+
+
 def complete(size: int) -> int:
     """Whole samples in a file of so many bytes."""
     return max(0, size - HEADER) // WIDTH
@@ -61,12 +86,12 @@ class RangeReader(DataSourceReader):
         self.path, self.suffix = options["path"], options.get("suffix", ".wav")
         self.bytes = int(options.get("range_bytes", RANGE_BYTES))
 
-    def partitions(self) -> list[Range]:
-        return [r for path, size in files_below(self.path, self.suffix) for r in ranges(path, 0, complete(size), self.bytes)] or [Range("", 0, 0)]
+    def partitions(self) -> list[Ranges]:
+        return dealt((r for path, size in files_below(self.path, self.suffix) for r in ranges(path, 0, complete(size), self.bytes)), self.bytes)
 
-    def read(self, partition: Range):
-        if partition.path:
-            yield from read_range(partition)
+    def read(self, partition: Ranges):
+        for part in partition.parts:
+            yield from read_range(part)
 
 
 class GrowingReader(DataSourceStreamReader):
@@ -89,14 +114,15 @@ class GrowingReader(DataSourceStreamReader):
             self.seen[path] = max(self.seen.get(path, 0), complete(size))
         return dict(self.seen)
 
-    def partitions(self, start: dict, end: dict) -> list[Range]:
+    def partitions(self, start: dict, end: dict) -> list[Ranges]:
         for offset in (start, end):
             for path, n in offset.items():
                 self.seen[path] = max(self.seen.get(path, 0), n)
-        return [r for path, last in sorted(end.items()) for r in ranges(path, start.get(path, 0), last, self.bytes)]
+        return dealt((r for path, last in sorted(end.items()) for r in ranges(path, start.get(path, 0), last, self.bytes)), self.bytes)
 
-    def read(self, partition: Range):
-        yield from read_range(partition)
+    def read(self, partition: Ranges):
+        for part in partition.parts:
+            yield from read_range(part)
 
     def commit(self, end: dict) -> None:
         pass
