@@ -3,6 +3,7 @@
 from collections import Counter
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.functions import pandas_udf
@@ -12,26 +13,70 @@ from lectern.functions.text import norm_text
 from lectern.operators.intervals import BUCKET, interval_pairs
 
 LEAST_COUNT = 8
+#: Characters of texts whose n-grams are counted at once; a longer text goes by itself.
+CHARACTERS = 1 << 20
 #: Marks that are stripped from a phrase (fixed value).
 PUNCTUATION = ",。、?!;:.!?;: "
 
 
+def _counted(texts: list[str], sizes: range) -> list[list[dict]]:
+    """most_frequent_grams() of some texts: n-grams are numbers, made of that of the n-gram one shorter and the next character."""
+    lengths = np.array([len(t) for t in texts], np.int64)
+    ends = np.cumsum(lengths)
+    row = np.repeat(np.arange(len(texts)), lengths)
+    known, letter = np.unique(np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32), return_inverse=True)
+    gram, at = row * len(known) + letter, np.arange(len(letter))
+    out: list[list[dict]] = [[] for _ in texts]
+    for n in range(2, max(sizes) + 1):
+        at = at[at + n <= ends[row[at]]]
+        _, first, number, count = np.unique(gram[at] * len(known) + letter[at + n - 1], return_index=True, return_inverse=True, return_counts=True)
+        gram[at] = number
+        if n in sizes:
+            start = at[first]
+            order = np.lexsort((start, -count, row[start]))
+            best = order[np.diff(row[start][order], prepend=-1) > 0]
+            for r, s, c in zip(row[start[best]].tolist(), start[best].tolist(), count[best].tolist()):
+                s -= int(ends[r] - lengths[r])
+                out[r].append({"n": n, "phrase": texts[r][s : s + n], "count": c})
+    return out
+
+
+def most_frequent_grams(sizes: range = range(2, 7)):
+    """[(n, phrase, count)] of a text: for each length (2 or more) the n-gram that comes most often, the first seen of equals; overlaps count.
+
+    A text's n-grams are counted where the text is, and only the most frequent ones leave the task.
+    """
+
+    @pandas_udf("array<struct<n:int,phrase:string,count:long>>")
+    def of(texts: pd.Series) -> pd.Series:
+        out, some, size = [], [], 0
+        for t in texts.fillna(""):
+            some.append(t)
+            size += len(t)
+            if size >= CHARACTERS:
+                out += _counted(some, sizes)
+                some, size = [], 0
+        return pd.Series(out + _counted(some, sizes), index=texts.index, dtype=object)
+
+    return of
+
+
 def ngram_coverage(texts: DataFrame, text: Column, sizes: range = range(2, 7)) -> DataFrame:
-    """(doc_id, n, phrase, count): for each length the n-gram that comes most often, the first seen of equals; overlaps count."""
-    # places of an array of characters, as a place of a string is found by walking to it
-    most = max(sizes)
-    x = texts.select("doc_id", text.alias("t")).where(F.length("t") >= min(sizes))
-    x = x.select("doc_id", F.split("t", "").alias("c")).select("doc_id", F.posexplode(F.transform(F.sequence(F.lit(1), F.size("c")), lambda i: F.array_join(F.slice("c", i, F.lit(most)), ""))).alias("at", "longest"))
-    grams = x.select("doc_id", "at", F.explode(F.array(*[F.struct(F.lit(n).alias("n"), F.substring("longest", 1, n).alias("phrase")) for n in sizes])).alias("g"))
-    grams = grams.where(F.length("g.phrase") == F.col("g.n")).select("doc_id", "at", "g.*")
-    counts = grams.groupBy("doc_id", "n", "phrase").agg(F.count("*").alias("count"), F.min("at").alias("at"))
-    return counts.groupBy("doc_id", "n").agg(F.max_by(F.struct("phrase", "count"), F.struct("count", -F.col("at"))).alias("b")).select("doc_id", "n", "b.phrase", "b.count")
+    """(doc_id, n, phrase, count): most_frequent_grams() of each text, a row for each length."""
+    return texts.select("doc_id", F.explode(most_frequent_grams(sizes)(text)).alias("g")).select("doc_id", "g.*")
+
+
+def best_phrase(grams: Column, least: int = LEAST_COUNT) -> Column:
+    """(phrase, count): of most_frequent_grams() the one with the greatest count * n, the shorter of equals, if it comes `least` times; else null."""
+    often = F.filter(grams, lambda g: g["count"] >= least)
+    best = F.array_max(F.transform(often, lambda g: F.struct((g["count"] * g["n"]).alias("covered"), (-g["n"]).alias("short"), g["phrase"].alias("phrase"), g["count"].alias("count"))))
+    return F.when(best.isNotNull(), F.struct(best["phrase"].alias("phrase"), best["count"].alias("count")))
 
 
-def best_phrase(coverage: DataFrame, least: int = LEAST_COUNT) -> DataFrame:
-    """(doc_id, phrase, count): the n-gram with the greatest count * n, the shorter of equals, if it comes `least` times."""
-    x = coverage.where(F.col("count") >= least)
-    return x.groupBy("doc_id").agg(F.max_by(F.struct("phrase", "count"), F.struct(F.col("count") * F.col("n"), -F.col("n"))).alias("b")).select("doc_id", "b.phrase", "b.count")
+def best_phrases(texts: DataFrame, text: Column) -> DataFrame:
+    """texts with `best` (see best_phrase); those without one have no row."""
+    # a filter on the result would be pushed down and count all n-grams a second time
+    return texts.select("*", F.explode(F.array_compact(F.array(best_phrase(most_frequent_grams()(text))))).alias("best"))
 
 
 def natural_phrase(text: Column, phrase: Column) -> Column:
@@ -53,8 +98,7 @@ def natural_phrase(text: Column, phrase: Column) -> Column:
 
 def repeated_phrases(texts: DataFrame) -> DataFrame:
     """(doc_id, phrase) of texts (doc_id, text) with a phrase that repeats often; others have no row."""
-    best = best_phrase(ngram_coverage(texts, F.col("text")))
-    return texts.join(best, "doc_id").select("doc_id", natural_phrase(F.col("text"), F.col("phrase")).alias("phrase"))
+    return best_phrases(texts, F.col("text")).select("doc_id", natural_phrase(F.col("text"), F.col("best.phrase")).alias("phrase"))
 
 
 def match_ratio(least: float):

@@ -371,3 +371,14 @@ def test_ratio_bound_loses_no_echo(spark):
     for a, b, m in got:
         want = SequenceMatcher(None, a, b).ratio() if a and b else 0.0
         assert m == want or want <= m < 0.66
+
+
+def test_repeated_phrases_stay_where_their_text_is(stored):
+    """Counts of n-grams are not dealt: a shuffle of them was hundreds of times the texts."""
+    rows = [(1, "go on, " * 9), (2, None), (3, ""), (4, "a"), (5, "ab" * 8), (6, "abc\U0001d11e" * 12), (7, "word by word")]
+    t = stored(rows, "doc_id long, text string")
+    found = repeats.repeated_phrases(t)
+    assert {tuple(r) for r in found.collect()} == {(1, "go on"), (5, "ab"), (6, "abc\U0001d11e")}
+    assert "Exchange" not in found._jdf.queryExecution().toString()
+    got = {tuple(r) for r in repeats.ngram_coverage(t, F.col("text")).where("doc_id in (4, 5)").collect()}
+    assert got == {(5, 2, "ab", 8), (5, 3, "aba", 7), (5, 4, "abab", 7), (5, 5, "ababa", 6), (5, 6, "ababab", 6)}
