@@ -55,10 +55,10 @@ def records_markdown(header: Column, rows: Column, context: Column) -> Column:
     return F.when(total > 0, F.array_join(F.transform(kept, record), "\n\n")).otherwise("")
 
 
-def block_markdown() -> Column:
-    """Text of a block; empty if there is nothing to write."""
+def block_markdown(blank: str = r"\s") -> Column:
+    """Text of a block; empty if there is nothing to write. Characters of `blank` (a class of a regular expression) at the ends of texts go."""
     text, kind = F.coalesce(F.col("text"), F.lit("")), F.col("kind")
-    stripped = F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    stripped = F.regexp_replace(text, rf"(?U)^{blank}+|{blank}+\z", "")
     rows = F.col("rows")
     wide = (width_of(rows) > WIDE) & (F.size(rows) > 1)
     head = F.when(F.col("has_header"), F.get(rows, F.lit(0))).otherwise(F.array().cast("array<string>"))
@@ -72,7 +72,7 @@ def block_markdown() -> Column:
         .when(kind == "records", records_markdown(F.get(rows, F.lit(0)), F.slice(rows, 2, 1 << 30), caption))
         .when(kind == "image", F.concat(F.lit("!["), F.when(text != "", text).otherwise(IMAGE_ALT), F.lit("]("), F.coalesce("rel_path", F.lit("")), F.lit(")")))
         .when(kind == "note", F.concat(F.lit(NOTE_OPEN), text, F.lit(NOTE_CLOSE)))
-        .when(kind == "raw", F.when(stripped != "", F.regexp_replace(text, r"(?U)\s+$", "")).otherwise(""))
+        .when(kind == "raw", F.when(stripped != "", F.regexp_replace(text, rf"(?U){blank}+\z", "")).otherwise(""))
         .otherwise("")
     )
 
@@ -86,13 +86,14 @@ def front_matter(blocks: DataFrame) -> DataFrame:
     return counts.join(kinds, "doc_id", "left").select("doc_id", "lossy", F.coalesce("lossy_kinds", F.array().cast("array<string>")).alias("lossy_kinds"))
 
 
-def render(blocks: DataFrame, meta: DataFrame) -> DataFrame:
+def render(blocks: DataFrame, meta: DataFrame, blank: str = r"\s") -> DataFrame:
     """(doc_id, md): front matter, one title, the blocks in order of pos, and one line end at the end.
 
     meta: doc_id, title, source_file, source_type, converted_at, ocr_used. Headings are one level below the title, 6 at
-    most. A document without blocks has front matter and title only.
+    most. A document without blocks has front matter and title only. What `blank` matches goes from the ends of texts and
+    of the document, all white space unless told otherwise.
     """
-    parts = blocks.withColumn("_md", block_markdown()).where("_md <> ''").groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "_md"))), lambda s: s["_md"]).alias("parts"))
+    parts = blocks.withColumn("_md", block_markdown(blank)).where("_md <> ''").groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "_md"))), lambda s: s["_md"]).alias("parts"))
     x = meta.join(front_matter(blocks), "doc_id", "left").join(parts, "doc_id", "left")
     kinds = F.array_join(F.coalesce("lossy_kinds", F.array().cast("array<string>")), ", ")
     head = F.concat_ws(
@@ -107,7 +108,7 @@ def render(blocks: DataFrame, meta: DataFrame) -> DataFrame:
         F.lit("---"),
     )
     body = F.array_join(F.concat(F.array(F.concat(F.lit("# "), F.coalesce("title", F.lit("")))), F.coalesce("parts", F.array().cast("array<string>"))), "\n\n")
-    return x.select("doc_id", F.concat(head, F.lit("\n\n"), F.regexp_replace(body, r"(?U)\s+$", ""), F.lit("\n")).alias("md"))
+    return x.select("doc_id", F.concat(head, F.lit("\n\n"), F.regexp_replace(body, rf"(?U){blank}+\z", ""), F.lit("\n")).alias("md"))
 
 
 def block_text() -> Column:
