@@ -21,6 +21,11 @@ def normalized(v: Column, floor: float = 0.0) -> Column:
     return F.when(n > 0, F.transform(v, lambda x: x.cast("double") / n)).otherwise(doubles(v))
 
 
+def rounded(v: Column, places: int) -> Column:
+    """Elements to so many places; what rounds to zero keeps its sign, as in SQL."""
+    return F.transform(v, lambda x: F.signum(x) * F.abs(F.round(x, places)))
+
+
 def weighted_sum(df: DataFrame, keys: list[str], vector: str, weight: Column | None = None, name: str = "vector") -> DataFrame:
     """keys and the sum of weight * vector for each group, element by element.
 

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions import labels, text as x
 from lectern.functions.times import between_anchors, exif_date, gps_decimal, hms
-from lectern.functions.vectors import normalized
+from lectern.functions.vectors import normalized, rounded
 from lectern.operators import audit, batches, cluster, identity, intervals, layout, packing, rosters, transcripts
 from lectern.plans.documents import batch_report
 from lectern.sources import archives, audio, html
@@ -135,7 +135,7 @@ def block_vectors(spark, sf_dir):
     spans = v.select(F.floor(F.col("seq") / 50).alias("rec_id"), at.alias("start"), (at + d).alias("end"), "vec")
     blocks = spans.select("rec_id").distinct().withColumn("seq", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(7).cast("long"))))
     blocks = blocks.withColumns({"start": F.col("seq") * 25.0, "end": F.col("seq") * 25.0 + 25.0})
-    return intervals.block_vectors(spans, blocks).select("rec_id", "seq", F.transform("vector", lambda e: F.round(e, 5)).alias("vector"))
+    return intervals.block_vectors(spans, blocks).select("rec_id", "seq", rounded(F.col("vector"), 5).alias("vector"))
 
 
 _TALK = "t as (select conv_id rec_id, turn, role, (turn * 10)::double s from conversations), u as (select o_custkey % 100 rec_id, o_orderkey idx, (o_orderkey % 60)::double a, (o_orderkey % 60 + 4)::double z, (o_orderkey % 4)::int speaker from orders)"

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from lectern.functions.vectors import dot, normalized, weighted_sum
+from lectern.functions.vectors import dot, normalized, rounded, weighted_sum
 from lectern.operators import identity
 from lectern.sources.tables import voices
 
@@ -89,7 +89,7 @@ def label_centroids(spark, sf_dir):
     from lectern.sources.tables import table
 
     x = weighted_sum(table(spark, sf_dir, "embeddings"), ["label"], "embedding")
-    return x.select("label", F.transform(normalized(F.col("vector")), lambda v: F.round(v, 5)).alias("vector"))
+    return x.select("label", rounded(normalized(F.col("vector")), 5).alias("vector"))
 
 
 @query(f"""with {_DIMS}, v as (select label, list(x / n order by i) u from c join z using (label) group by label)

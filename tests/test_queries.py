@@ -176,3 +176,25 @@ def test_query_as_sql(spark, sf_dir, tables, name):
     got, want = QUERIES[name](spark, sf_dir).toPandas(), tables.sql(ORACLES[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
     assert rows(got) == rows(want)
+
+
+def as_sql(spark, tmp_path, name, table, rows, schema):
+    """Rows of a query and of its SQL on a folder with one table, as texts, so that -0.0 is not 0.0."""
+    path = f"{tmp_path}/{table}.parquet"
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(path)
+    con = duckdb.connect()
+    con.execute(f"create view {table} as select * from '{path}/*.parquet'")
+    want = con.sql(ORACLES[name])
+    return [sorted(map(str, r)) for r in ([tuple(x) for x in QUERIES[name](spark, str(tmp_path)).select(*want.columns).collect()], want.fetchall())]
+
+
+@pytest.mark.parametrize("name", ["block_vectors", "label_centroids"])
+def test_vectors_that_round_to_zero_keep_their_sign(spark, tmp_path, name):
+    got, want = as_sql(spark, tmp_path, name, "embeddings", [(1, 3, [-1e-7, 1.0, 1e-7]), (60, 4, [0.0, -1.0, -1e-7])], "vec_id long, label long, embedding array<float>")
+    assert got == want and any("-0.0" in r for r in got)
+
+
+def test_rendered_texts_are_cut_where_sql_cuts_them(spark, tmp_path):
+    turns = [(1, 0, "user", "Nineteen letters ab\nand more"), (1, 1, "bot", " \n a paragraph\n"), (1, 2, "user", "ab\ncd"), (2, 0, "user", " ends with a break\n\n"), (3, 1, "bot", "\tx\n\n")]
+    got, want = as_sql(spark, tmp_path, "md_render_document", "conversations", turns, "conv_id long, turn long, role string, text string")
+    assert got == want
