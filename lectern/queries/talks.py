@@ -31,7 +31,8 @@ p as (select c_custkey r, 0 part, 0.0::double a, (20 + c_custkey % 190)::double
 select r as rec_id, 0 as chunk, part, a as "start", coalesce(lead(a) over (partition by r order by part), z) as "end" from p""")
 def long_chunks(spark, sf_dir):
     """Chunks of 20 to 209 seconds cut at the quietest place before each limit."""
-    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("rec_id"))
+    # a small file is one task, its levels are 600 times as many
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("rec_id")).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "rec_id")
     chunks = c.select("rec_id", F.lit(0).alias("chunk"), F.lit(0.0).alias("start"), (20 + F.col("rec_id") % 190).cast("double").alias("end"))
     levels = c.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(599)))).select("rec_id", (F.col("k") / 2).alias("at"), ((F.col("k") * 37 + F.col("rec_id")) % 101).cast("double").alias("rms"))
     return cluster.split_long(chunks, levels)

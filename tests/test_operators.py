@@ -382,3 +382,22 @@ def test_repeated_phrases_stay_where_their_text_is(stored):
     assert "Exchange" not in found._jdf.queryExecution().toString()
     got = {tuple(r) for r in repeats.ngram_coverage(t, F.col("text")).where("doc_id in (4, 5)").collect()}
     assert got == {(5, 2, "ab", 8), (5, 3, "aba", 7), (5, 4, "abab", 7), (5, 5, "ababa", 6), (5, 6, "ababab", 6)}
+
+
+def test_levels_of_a_minute_move_as_one_row(stored):
+    """600 levels of a chunk were 600 rows of two shuffles."""
+    rows = [(r, i / 2, float((i * 37 + r) % 101)) for r in range(3) for i in range(500)]
+    levels = stored(rows, "rec_id long, at double, rms double")
+    assert cluster._by_minute(levels).count() <= 3 * 5 + 8  # a minute may be cut between two files or batches
+    chunks = stored([(r, 0, 0.0, 100.0 + 70 * r) for r in range(3)], "rec_id long, chunk int, start double, end double")
+    want = []
+    for r in range(3):
+        a, part, end = 0.0, 0, 100.0 + 70 * r
+        while end - a > 28:
+            cut = min((x for x in rows if x[0] == r and a + 18 <= x[1] <= a + 28), key=lambda x: (x[2], x[1]))[1]
+            want.append((r, 0, part, a, cut))
+            a, part = cut, part + 1
+        want.append((r, 0, part, a, end))
+    shuffled = levels.orderBy(F.xxhash64("at"))
+    for given in (levels, shuffled):
+        assert sorted(tuple(x) for x in cluster.split_long(chunks, given).collect()) == want
