@@ -8,6 +8,8 @@ all pairs. A query goes to the shards that can hold a name that counts for it.
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
 from lectern.operators import neighbours
@@ -21,6 +23,9 @@ UNLIKE, AGAINST = 0.40, 0.50
 SHARD, ASKED = 50_000, 20_000
 #: Shards of a library at most, and samples that all tasks know.
 PIVOTS = 1024
+#: Cosines that a task holds at once.
+PRODUCTS = 1 << 20
+_LAST = np.iinfo(np.int64).max
 
 
 def _doubles(v: str = "vec"):
@@ -57,30 +62,58 @@ class _Routes:
         return np.linalg.norm(v, axis=1, keepdims=True) * np.where(cos > 0, cos * self.longest, cos * self.shortest) + 1e-9
 
 
+def _tops(asked: np.ndarray, own: np.ndarray, m: np.ndarray, seq: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each query and name (samples m lie name by name, a name from each of `starts`) the best cosine and the first sample that has it.
+
+    Names are taken some at a time, and a large one in pieces, so that no more than PRODUCTS cosines are there at once.
+    """
+    best, first = np.full((len(asked), len(starts)), -np.inf), np.full((len(asked), len(starts)), _LAST)
+    step, ends = max(1, PRODUCTS // max(1, len(asked))), np.append(starts, len(m))[1:]
+    for a in range(0, len(m), step):
+        b = min(len(m), a + step)
+        s = asked @ m[a:b].T
+        s[own[:, None] == seq[None, a:b]] = -np.inf
+        names = np.arange(np.searchsorted(ends, a, "right"), np.searchsorted(starts, b, "left"))
+        at = np.maximum(starts[names], a) - a
+        top = np.maximum.reduceat(s, at, axis=1)
+        where = np.minimum.reduceat(np.where(s == np.repeat(top, np.diff(np.append(at, b - a)), axis=1), seq[None, a:b], _LAST), at, axis=1)
+        had, at_ = best[:, names], first[:, names]
+        first[:, names] = np.where(top > had, where, np.where(top == had, np.minimum(where, at_), at_))
+        best[:, names] = np.maximum(top, had)
+    return best, first
+
+
+def _matrix(vectors: pa.Array) -> np.ndarray:
+    """Vectors of one length as rows."""
+    flat = vectors.flatten().to_numpy(zero_copy_only=False)
+    return flat.reshape(len(vectors), -1) if len(vectors) else flat.reshape(0, 0)
+
+
 def _shard_task(margin: float, least_names: int):
     """The names of a shard that may count for each query, from rows of samples (query is null) and of queries."""
+    schema = pa.schema([("query", pa.int64()), ("name", pa.string()), ("score", pa.float64()), ("first_seq", pa.int64())])
 
-    def task(rows: pd.DataFrame) -> pd.DataFrame:
-        lib, asked = rows[rows["query"].isna()].sort_values("seq"), rows[rows["query"].notna()]
+    def task(rows: pa.Table) -> pa.Table:
+        sample = pc.is_null(rows.column("query"))
+        lib, asked = (rows.filter(keep).combine_chunks() for keep in (sample, pc.invert(sample)))
         out = []
-        if len(lib) and len(asked):
-            names, at = np.unique(lib["name"].to_numpy(str), return_inverse=True)
-            order = np.argsort(at, kind="stable")
+        if lib.num_rows and asked.num_rows:
+            names, at = np.unique(lib.column("name").to_numpy().astype(str), return_inverse=True)
+            seq = lib.column("seq").to_numpy()
+            order = np.lexsort((seq, at))
             starts = np.flatnonzero(np.diff(np.concatenate([[-1], at[order]])))
-            m, seq = np.stack(lib["vec"].to_list())[order], lib["seq"].to_numpy(np.int64)[order]
-            for a in range(0, len(asked), 512):
-                g = asked.iloc[a : a + 512]
-                s = np.stack(g["vec"].to_list()) @ m.T
-                s[g["own_seq"].to_numpy(float)[:, None] == seq[None, :]] = -np.inf
-                best = np.maximum.reduceat(s, starts, axis=1)
-                top = np.sort(best, axis=1)[:, ::-1]
-                low = np.minimum(top[:, 0] - margin - 1e-9, top[:, min(least_names, len(names)) - 1])
-                keep = (best >= low[:, None]) | (g["own_name"].to_numpy(object)[:, None] == names[None, :])
+            m, seq = _matrix(lib.column("vec").combine_chunks())[order], seq[order]
+            some = max(1, min(512, PRODUCTS // len(names)))
+            for a in range(0, asked.num_rows, some):
+                g = asked.slice(a, some)
+                best, first = _tops(_matrix(g.column("vec").combine_chunks()), g.column("own_seq").to_numpy().astype(float), m, seq, starts)
+                nth = min(least_names, len(names))
+                top = -np.partition(-best, nth - 1, axis=1)[:, :nth]
+                low = np.minimum(top.max(axis=1) - margin - 1e-9, top.min(axis=1))
+                keep = (best >= low[:, None]) | (g.column("own_name").to_numpy()[:, None] == names[None, :])
                 q, c = np.nonzero(keep & np.isfinite(best))
-                where = np.where(s == np.repeat(best, np.diff(np.append(starts, s.shape[1])), axis=1), seq[None, :], np.iinfo(np.int64).max)
-                first = np.minimum.reduceat(where, starts, axis=1)
-                out.append(pd.DataFrame({"query": g["query"].to_numpy(np.int64)[q], "name": names[c], "score": best[q, c], "first_seq": first[q, c]}))
-        return pd.concat(out) if out else pd.DataFrame({"query": pd.Series(dtype="int64"), "name": pd.Series(dtype=str), "score": pd.Series(dtype=float), "first_seq": pd.Series(dtype="int64")})
+                out.append(pa.table([pa.array(g.column("query").to_numpy()[q]), pa.array(names[c].astype(object), pa.string()), pa.array(best[q, c]), pa.array(first[q, c])], schema=schema))
+        return pa.concat_tables(out) if out else schema.empty_table()
 
     return task
 
@@ -91,7 +124,7 @@ def _meet(held: DataFrame, sent: DataFrame, task, parts: int) -> DataFrame:
     spread = F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("lane")
     left = held.select("dim", "shard", "part", spread, null("long").alias("query"), null("long").alias("own_seq"), null("string").alias("own_name"), "name", "seq", "vec")
     right = sent.select("dim", "shard", "part", F.pmod(F.xxhash64("query"), F.lit(parts)).cast("int").alias("lane"), "query", "own_seq", "own_name", null("string").alias("name"), null("long").alias("seq"), "vec")
-    found = left.unionByName(right).groupBy("dim", "shard", "part", "lane").applyInPandas(task, "query long, name string, score double, first_seq long")
+    found = left.unionByName(right).groupBy("dim", "shard", "part", "lane").applyInArrow(task, "query long, name string, score double, first_seq long")
     best = F.max(F.struct("score", (-F.col("first_seq")).alias("at"))).alias("b")
     return found.groupBy("query", "name").agg(best).select("query", "name", "b.score", (-F.col("b.at")).alias("first_seq"))
 
@@ -125,12 +158,17 @@ def name_scores(queries: DataFrame, library: DataFrame, margin: float = MARGIN,
         _extend(routes[r["dim"]], r)
     parts = library.sparkSession.createDataFrame([(r["dim"], r["shard"], r["parts"]) for r in extent], "dim int, shard int, parts int")
     held = placed.join(F.broadcast(parts), ["dim", "shard"]).withColumn("part", F.pmod(F.xxhash64("name", "seq"), F.col("parts")).cast("int"))
-    lanes = max(1, n // shards)
+
+    def lanes(queries: DataFrame) -> int:
+        """Groups of a shard's queries, so that no task has more than about ASKED of them."""
+        most = queries.groupBy("dim", "shard").count().agg(F.max("count")).first()[0] or 0
+        return max(1, n // shards, -(-most // ASKED))
+
     each = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")
     to = lambda df: df.join(F.broadcast(parts), ["dim", "shard"]).select(*df.columns, each)
     known = asked.withColumn("r", _first_round(routes)("vec", "own_seq"))
     known = stored(known.select("dim", "query", "own_seq", "own_name", "vec", F.element_at("r", 1).cast("int").alias("shard"), F.element_at("r", 2).alias("floor")), "asked")
-    near = stored(_meet(held, to(known.drop("floor")), task, lanes), "near")
+    near = stored(_meet(held, to(known.drop("floor")), task, lanes(known)), "near")
     # what the first round found raises what a name must reach
     top = F.slice(F.reverse(F.array_sort(F.collect_list("score"))), 1, least_names)
     reached = near.groupBy("query").agg(top.alias("top")).select("query", F.when(F.size("top") >= least_names, F.least(F.get("top", F.lit(0)) - margin, F.get("top", F.lit(least_names - 1))) - 1e-9).otherwise(-1e308).alias("reached"))
@@ -145,7 +183,7 @@ def name_scores(queries: DataFrame, library: DataFrame, margin: float = MARGIN,
     if sent is not None:
         sent += [known.count(), more.count()]
     best = F.max(F.struct("score", (-F.col("first_seq")).alias("at"))).alias("b")
-    both = near.unionByName(_meet(held, to(more), task, lanes))
+    both = near.unionByName(_meet(held, to(more), task, lanes(more)))
     return both.groupBy("query", "name").agg(best).select("query", "name", "b.score", (-F.col("b.at")).alias("first_seq"))
 
 

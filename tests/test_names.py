@@ -56,3 +56,21 @@ def test_few_rows_are_sent_where_voices_are_apart(stored):
     identity.name_scores(asked.drop("own_name"), lib, shard=40, sent=sent)
     shards = 50
     assert sent[0] == 500 and sent[0] + sent[1] < 0.5 * 500 * shards
+
+
+def test_cosines_are_held_a_few_at_a_time(monkeypatch):
+    """Memory of a task was five times all cosines of 512 queries with a shard."""
+    r = np.random.default_rng(5)
+    names, dim = np.sort(r.integers(0, 6, 400)), 8
+    m = r.integers(-2, 3, (400, dim)).astype(float)  # many ties
+    seq, asked = r.permutation(400), m[r.integers(0, 400, 30)]
+    own = np.where(r.random(30) < 0.5, r.integers(0, 400, 30), np.nan)
+    starts = np.unique(names, return_index=True)[1]
+    s = asked @ m.T
+    s[own[:, None] == seq[None, :]] = -np.inf
+    want = np.stack([s[:, names == k].max(axis=1) for k in np.unique(names)], axis=1)
+    firsts = np.stack([[seq[(names == k) & (row == row[names == k].max())].min() for row in s] for k in np.unique(names)], axis=1)
+    for products in (30, 210, 5000, 1 << 20):
+        monkeypatch.setattr(identity, "PRODUCTS", products)
+        best, first = identity._tops(asked, own, m, seq, starts)
+        assert (best == want).all() and (first == firsts).all()
