@@ -49,12 +49,15 @@ def outside_tables(blocks: DataFrame, tables: DataFrame, most: float = 0.5, cell
     """
     number = lambda a, b: F.sequence(F.floor(F.col(a) / cell), F.floor(F.col(b) / cell))
     cells = lambda df: df.withColumn("_gx", F.explode(number("x0", "x1"))).withColumn("_gy", F.explode(number("y0", "y1")))
-    t = cells(tables).select("page", "_gx", "_gy", *[F.col(c).alias(f"t{c}") for c in ("x0", "y0", "x1", "y1")])
+    box = ["x0", "y0", "x1", "y1"]
+    # equal boxes of a page, as pages of one form have, meet once
+    t = cells(tables.select("page", *box).distinct()).select("page", "_gx", "_gy", *[F.col(c).alias(f"t{c}") for c in box])
+    different = blocks.select("page", *box).distinct()
     middle = lambda a, b: F.floor((F.col(a) + F.col(b)) / 2 / cell)
-    placed = blocks.withColumns({"_gx": middle("x0", "x1"), "_gy": middle("y0", "y1")}) if most >= 0.5 else cells(blocks)
-    share = overlap_share(*[F.col(c) for c in ("x0", "y0", "x1", "y1")], *[F.col(f"t{c}") for c in ("x0", "y0", "x1", "y1")])
-    covered = placed.join(t, ["page", "_gx", "_gy"]).where(share > most).select("page", "at").distinct()
-    return blocks.join(covered, ["page", "at"], "left_anti")
+    placed = different.withColumns({"_gx": middle("x0", "x1"), "_gy": middle("y0", "y1")}) if most >= 0.5 else cells(different)
+    share = overlap_share(*[F.col(c) for c in box], *[F.col(f"t{c}") for c in box])
+    covered = placed.join(t, ["page", "_gx", "_gy"]).where(share > most).select("page", *box).distinct()
+    return blocks.join(covered, ["page", *box], "left_anti")
 
 
 def reading_order(blocks: DataFrame, keys: list[str], ties: tuple[str, ...] = ()) -> DataFrame:
