@@ -8,7 +8,7 @@ from lectern.functions.vectors import normalized, rounded
 from lectern.operators import audit, batches, cluster, identity, intervals, layout, packing, rosters, transcripts
 from lectern.plans.documents import batch_report
 from lectern.sources import archives, audio, html
-from lectern.sources.tables import table, voices
+from lectern.sources.tables import spread, table, voices
 from lectern.streaming import live
 
 QUERIES, ORACLES = {}, {}
@@ -308,7 +308,7 @@ def html_inline(spark, sf_dir):
 def audio_clips(spark, sf_dir):
     """Two tracks of a recording side by side, samples as fractions, and clips with silence between them."""
     n = F.col("p_size").cast("smallint")
-    p = table(spark, sf_dir, "part").select("p_partkey", F.array(n, n, F.lit(5).cast("smallint")).alias("l"), F.array(n).alias("r"))
+    p = spread(table(spark, sf_dir, "part").select("p_partkey", "p_size")).select("p_partkey", F.array(n, n, F.lit(5).cast("smallint")).alias("l"), F.array(n).alias("r"))
     both = audio.merge_stereo(F.col("l"), F.col("r"))
     total = lambda a, c: F.aggregate(a, F.lit(0).cast("long"), lambda s, v: s + v[c])
     one = lambda a, b: F.struct(F.lit(a / audio.RATE).alias("start"), F.lit(b / audio.RATE).alias("end"))
