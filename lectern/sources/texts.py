@@ -109,7 +109,7 @@ def markdown_blocks(texts: DataFrame) -> DataFrame:
     return texts.select("doc_id", F.lit(0).alias("pos"), F.lit("raw").alias("kind"), demote_headings(F.col("text")).alias("text"))
 
 
-_RTF = re.compile(r"\\([a-z]{1,32})(-?\d{1,10})? ?|\\'([0-9a-fA-F]{2})|\\([^a-z])|([{}])|[\r\n]+|(.)", re.I | re.S)
+_RTF = re.compile(r"\\([a-z]{1,32})(-?\d{1,10})? ?|\\'([0-9a-fA-F]{2})|\\([^a-z])|([{}])|[\r\n]+|([^\\{}\r\n]+|.)", re.I | re.S)
 #: Groups that hold no text, and words that stand for characters (fixed values).
 _RTF_SKIP = frozenset("fonttbl colortbl stylesheet info pict object header footer headerl headerr footerl footerr generator themedata datastore listtable listoverridetable".split())
 _RTF_CHARS = {"par": "\n", "line": "\n", "tab": "\t", "sect": "\n\n", "page": "\n\n", "emdash": "—", "endash": "–", "bullet": "•", "lquote": "‘", "rquote": "’", "ldblquote": "“", "rdblquote": "”", "cell": "\t", "row": "\n"}
@@ -125,7 +125,7 @@ def rtf_text(data: str, encoding: str = "cp1252") -> str:
             after.clear()
 
     for m in _RTF.finditer(data):
-        word, number, byte, sign, brace, char = m.groups()
+        word, number, byte, sign, brace, run = m.groups()
         if byte is None:
             flush()
         if brace == "{":
@@ -149,12 +149,15 @@ def rtf_text(data: str, encoding: str = "cp1252") -> str:
                 pending = wide
             elif not skip and word in _RTF_CHARS:
                 out.append(_RTF_CHARS[word])
-        elif pending and (byte or char):
+        elif pending and byte:
             pending -= 1
         elif byte and not skip:
             after.append(int(byte, 16))
-        elif char and not skip:
-            out.append(char)
+        elif run:
+            told = min(pending, len(run))
+            pending -= told
+            if not skip:
+                out.append(run[told:])
     flush()
     return "".join(out)
 
