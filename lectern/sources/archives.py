@@ -14,6 +14,19 @@ OLE_MAGIC = "D0CF11E0A1B11AE1"
 HUGE_PART = 512 << 20
 
 
+def in_batches(rows, schema: pa.Schema, most_bytes: int = 4 << 20):
+    """Batches of (row, bytes): each ends when its rows have so many bytes or are a thousand."""
+    held, size = [], 0
+    for row, n in rows:
+        held.append(row)
+        size += n
+        if size >= most_bytes or len(held) >= 1000:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), schema)], schema=schema)
+            held, size = [], 0
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), schema)], schema=schema)
+
+
 def parts(files: DataFrame, wanted: str = r"\.(xml|rels|xhtml|html?|opf|ncx)$", most_bytes: int = HUGE_PART) -> DataFrame:
     """(doc_id, part, content, error) of zip files (doc_id, content): a row for each member; content where its name matches.
 
@@ -24,26 +37,27 @@ def parts(files: DataFrame, wanted: str = r"\.(xml|rels|xhtml|html?|opf|ncx)$",
     schema = pa.schema([("doc_id", pa.int64()), ("part", pa.string()), ("content", pa.string()), ("error", pa.string())])
     match = re.compile(wanted, re.I)
 
+    def members(batch):
+        for doc_id, content in zip(batch.column("doc_id").to_pylist(), batch.column("content")):
+            try:
+                with zipfile.ZipFile(io.BytesIO(content.as_py() or b"")) as z:
+                    for info in z.infolist():
+                        if not match.search(info.filename):
+                            yield (doc_id, info.filename, None, None), 0
+                        elif info.file_size > most_bytes:
+                            yield (doc_id, info.filename, None, "too large"), 0
+                        else:
+                            try:
+                                text, error = z.read(info).decode("utf-8-sig", "replace"), None
+                            except Exception as e:  # a broken member leaves the others
+                                text, error = None, str(e)
+                            yield (doc_id, info.filename, text, error), len(text or "")
+            except zipfile.BadZipFile as e:
+                yield (doc_id, None, None, str(e)), 0
+
     def run(batches):
         for batch in batches:
-            for doc_id, content in zip(batch.column("doc_id").to_pylist(), batch.column("content")):
-                out = []
-                try:
-                    with zipfile.ZipFile(io.BytesIO(content.as_py() or b"")) as z:
-                        for info in z.infolist():
-                            if not match.search(info.filename):
-                                out.append((doc_id, info.filename, None, None))
-                            elif info.file_size > most_bytes:
-                                out.append((doc_id, info.filename, None, "too large"))
-                            else:
-                                try:
-                                    out.append((doc_id, info.filename, z.read(info).decode("utf-8-sig", "replace"), None))
-                                except Exception as e:  # a broken member leaves the others
-                                    out.append((doc_id, info.filename, None, str(e)))
-                except zipfile.BadZipFile as e:
-                    out.append((doc_id, None, None, str(e)))
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
+            yield from in_batches(members(batch), schema)
 
     return files.select(F.col("doc_id").cast("long"), "content").mapInArrow(run, "doc_id long, part string, content string, error string")
 
@@ -210,16 +224,17 @@ def packed(members: DataFrame) -> DataFrame:
     rows = members.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("part", "content"))).alias("parts"))
     schema = pa.schema([("doc_id", pa.int64()), ("content", pa.binary())])
 
+    def zipped(batch):
+        for doc_id, found in zip(batch.column("doc_id").to_pylist(), batch.column("parts")):
+            buffer = io.BytesIO()
+            with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as z:
+                for x in found:
+                    z.writestr(x["part"].as_py(), x["content"].as_py() or "")
+            yield (doc_id, buffer.getvalue()), buffer.tell()
+
     def run(batches):
         for batch in batches:
-            out = []
-            for found in batch.column("parts").to_pylist():
-                buffer = io.BytesIO()
-                with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as z:
-                    for x in found:
-                        z.writestr(x["part"], x["content"] or "")
-                out.append(buffer.getvalue())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.binary())], schema=schema)
+            yield from in_batches(zipped(batch), schema)
 
     return rows.select(F.col("doc_id").cast("long"), "parts").mapInArrow(run, "doc_id long, content binary")
 
