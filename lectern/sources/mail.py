@@ -7,6 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from lectern.operators.batches import mail_budget
+from lectern.sources.archives import in_batches
 from lectern.sources.shared import stored
 
 DEPTH = 3
@@ -42,11 +43,15 @@ def mail_parts(files: DataFrame) -> DataFrame:
         heads = {h: str(message[h]) for h in HEADERS if message[h]}
         return heads, plain if plain is not None else page or "", plain is None and page is not None, attached
 
+    def read(batch):
+        for doc_id, content in zip(batch.column("doc_id").to_pylist(), batch.column("content")):
+            raw = content.as_py() or b""
+            heads, body, is_html, attached = one(raw)
+            yield (doc_id, list(heads.items()), body, is_html, attached), len(raw)
+
     def run(batches):
         for batch in batches:
-            for doc_id, content in zip(batch.column("doc_id").to_pylist(), batch.column("content")):
-                heads, body, is_html, attached = one(content.as_py() or b"")
-                yield pa.RecordBatch.from_arrays([pa.array([doc_id], pa.int64()), pa.array([list(heads.items())], schema.field("headers").type), pa.array([body]), pa.array([is_html]), pa.array([attached], kind)], schema=schema)
+            yield from in_batches(read(batch), schema)
 
     return files.select(F.col("doc_id").cast("long"), "content").mapInArrow(run, "doc_id long, headers map<string,string>, body string, is_html boolean, attachments array<struct<name string, data binary>>")
 
