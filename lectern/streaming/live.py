@@ -41,19 +41,29 @@ def next_cut(done: float, at: np.ndarray, rms: np.ndarray, window: float = WINDO
 def cuts(levels: DataFrame) -> DataFrame:
     """(track, start, end): spans to transcribe, from a stream of levels (track, at, rms) in order of at for each track.
 
-    State is the end of the last span and the levels behind it: ten minutes of them and a little more at most.
+    State is the end of the last span and the levels behind it: ten minutes of them and a little more at most. A level is
+    tried only once enough has passed, against the levels that a cut can lie at, so that time is linear in the levels.
     """
 
     def step(key, batches, state: GroupState):
         done, at, rms = state.get if state.exists else (0.0, [], [])
-        new = pd.concat(list(batches)).sort_values("at")
-        at, rms = np.array([*at, *new["at"]], float), np.array([*rms, *new["rms"]], float)
+        seen = len(at)
+        new = [(b["at"].to_numpy(float), b["rms"].to_numpy(float)) for b in batches]
+        at, rms = np.concatenate([at, *(a for a, _ in new)]), np.concatenate([rms, *(r for _, r in new)])
+        order = at.argsort(kind="stable")
+        at, rms = at[order], rms[order]
         out = []
         # levels one after the other, so that how they are dealt to batches makes no difference
-        seen = len(at) - len(new)
-        for i in range(seen + 1, len(at) + 1):
-            behind = at[:i] >= done
-            cut = next_cut(done, at[:i][behind], rms[:i][behind]) if at[i - 1] + WINDOW - done >= FIRST else None
+        i = seen
+        while i < len(at):
+            least = FIRST if done == 0 else LATER
+            # a little early: next_cut() has the exact bounds
+            i = max(i, int(at.searchsorted(done + least - WINDOW - 1e-6)))
+            first = int(at.searchsorted(max(done, done + least - SEARCH - 1e-6)))
+            cut = None
+            while i < len(at) and cut is None:
+                i += 1
+                cut = next_cut(done, at[first:i], rms[first:i])
             if cut is not None:
                 out.append((key[0], done, cut))
                 done = cut
