@@ -87,21 +87,34 @@ def delimited_rows(text: Column, delimiter: Column) -> Column:
     Quoted parts are the odd ones between quotes, so cells end at delimiters and line ends of the even ones only; those
     are marked with private characters first.
     """
-    cell_end, row_end = "\ue000", "\ue001"
+    return _rows_of(_quoted_parts(text), delimiter)
+
+
+def _quoted_parts(text: Column) -> Column:
+    """What lies between quotes: of the parts, counted from 0, the odd ones are quoted."""
     t = F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), "^\ufeff", ""), "\r\n?", "\n")
-    parts = F.split(t, '"')
+    return F.split(t, '"')
+
+
+def _rows_of(parts: Column, delimiter: Column) -> Column:
+    cell_end, row_end = "\ue000", "\ue001"
     # the delimiter goes along as an array: an expression from outside would be worked out again for each part
-    pairs = F.arrays_zip(parts, F.array_repeat(delimiter, F.size(parts)))
-    marked = F.transform(pairs, lambda p, i: F.when(i % 2 == 0, F.replace(F.replace(p["0"], p["1"], F.lit(cell_end)), F.lit("\n"), F.lit(row_end))).otherwise(p["0"]))
+    pairs = F.zip_with(parts, F.array_repeat(delimiter, F.size(parts)), lambda p, d: F.struct(p.alias("p"), d.alias("d")))
+    marked = F.transform(pairs, lambda s, i: F.when(i % 2 == 0, F.replace(F.replace(s["p"], s["d"], F.lit(cell_end)), F.lit("\n"), F.lit(row_end))).otherwise(s["p"]))
     joined = F.replace(F.array_join(marked, "\ue002"), F.lit("\ue002\ue002"), F.lit('"'))
     rows = F.split(F.replace(joined, F.lit("\ue002"), F.lit("")), row_end)
     return drop_blank_rows(F.transform(rows, lambda r: F.split(r, cell_end)))
 
 
 def delimited_blocks(texts: DataFrame) -> DataFrame:
-    """One table block (doc_id, pos, kind, rows, has_header) for each text; the delimiter is found in its first lines."""
-    d = sniff_delimiter(F.col("text"))
-    return texts.select("doc_id", F.lit(0).alias("pos"), F.lit("table").alias("kind"), delimited_rows(F.col("text"), d).alias("rows"), F.lit(True).alias("has_header")).where(F.size("rows") > 0)
+    """One table block (doc_id, pos, kind, rows, has_header) for each text; the delimiter is found in its first lines.
+
+    The rows leave a text by explode(): a filter on them would be moved in front of it and split the text anew, with
+    whatever made the text.
+    """
+    x = texts.select("doc_id", sniff_delimiter(F.col("text")).alias("delimiter"), _quoted_parts(F.col("text")).alias("parts"))
+    filled = F.filter(F.array(_rows_of(F.col("parts"), F.col("delimiter"))), lambda rows: F.size(rows) > 0)
+    return x.select("doc_id", F.posexplode(filled).alias("pos", "rows")).select("doc_id", "pos", F.lit("table").alias("kind"), "rows", F.lit(True).alias("has_header"))
 
 
 def markdown_blocks(texts: DataFrame) -> DataFrame:
