@@ -35,24 +35,30 @@ def table_markdown(rows: Column, has_header: Column, caption: Column) -> Column:
     return F.when(F.size(rows) > 0, F.concat(title, F.array_join(lines, "\n"))).otherwise("")
 
 
+def _once(value: Column, body) -> Column:
+    """body(value), with value worked out once: within a lambda an expression from outside would be worked out for each element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def records_markdown(header: Column, rows: Column, context: Column) -> Column:
     """A heading and a list of name:value for each row that has content; blank cells are left out."""
-    kept = drop_blank_rows(rows)
-    total = F.size(kept)
     prefix = F.when(F.coalesce(context, F.lit("")) != "", F.concat(context, F.lit(" · "))).otherwise("")
-
-    def record(row: Column, i: Column) -> Column:
-        def item(value: Column, j: Column) -> Column:
-            name = F.trim(F.coalesce(F.get(header, j), F.lit("")))
-            name = F.when(name != "", name).otherwise(F.concat(F.lit(COLUMN), (j + 1).cast("string")))
-            return F.when(F.trim(F.coalesce(value, F.lit(""))) != "", F.concat(F.lit("- "), name, F.lit(":"), F.trim(value)))
-
-        before, after = RECORD.split("{}")
-        of, behind = RECORDS_OF.split("{}")
-        title = F.concat(F.lit("### "), prefix, F.lit(before), (i + 1).cast("string"), F.lit(after + of), total.cast("string"), F.lit(behind))
-        return F.concat(title, F.lit("\n\n"), F.array_join(F.filter(F.transform(row, item), lambda x: x.isNotNull()), "\n"))
-
-    return F.when(total > 0, F.array_join(F.transform(kept, record), "\n\n")).otherwise("")
+    before, after = RECORD.split("{}")
+    of, behind = RECORDS_OF.split("{}")
+    unnamed = lambda j: F.concat(F.lit("- " + COLUMN), (j + 1).cast("string"), F.lit(":"))
+    named = lambda name, j: F.when(F.trim(F.coalesce(name, F.lit(""))) != "", F.concat(F.lit("- "), F.trim(name), F.lit(":"))).otherwise(unnamed(j))
+
+    def records(kept: Column, names: Column, title: Column) -> Column:
+        # a null item is left out by array_join
+        item = lambda value, j: F.when(F.trim(value) != "", F.concat(F.coalesce(F.get(names, j), unnamed(j)), F.trim(value)))
+        end = lambda: F.concat(F.lit(after + of), F.size(kept).cast("string"), F.lit(behind + "\n\n"))
+        record = lambda row, i: F.concat(title, (i + 1).cast("string"), end(), F.array_join(F.transform(row, item), "\n"))
+        return F.array_join(F.transform(kept, record), "\n\n")
+
+    title = F.concat(F.lit("### "), prefix, F.lit(before))
+    text = _once(drop_blank_rows(rows), lambda kept: _once(F.transform(header, named), lambda names: _once(title, lambda t: records(kept, names, t))))
+    # null rows or a null header leave no records or no names
+    return F.coalesce(text, F.lit(""))
 
 
 def block_markdown(blank: str = r"\s") -> Column:
