@@ -13,6 +13,8 @@ from lectern.operators.islands import running_extremes
 
 #: Seconds in a bucket; about the length of the intervals that are joined.
 BUCKET = 1800.0
+#: Lengths of buckets, each four times the one before, that blocks of different lengths lie in.
+LENGTHS = 6
 #: Seconds in a part of a long recording whose rows are sorted in one task.
 PART = 604800.0
 
@@ -38,6 +40,23 @@ def interval_pairs(left: DataFrame, right: DataFrame, bucket: float = BUCKET, pa
     return pairs.drop("bucket", "l_first", "r_first", "l_lo", "l_hi")
 
 
+def points_within(blocks: DataFrame, points: DataFrame, bucket: float = BUCKET) -> DataFrame:
+    """Pairs of blocks (rec_id, start, end, ...) and points (rec_id, at, ...) with start <= at < end; columns as l_* and r_*.
+
+    A block lies in buckets about as long as itself, so in two or three of them however long it is; a point is dealt to
+    its bucket of each length. Only blocks above the longest bucket (3 weeks with the default) lie in more.
+    """
+    sizes = [bucket * 4**k for k in range(LENGTHS)]
+    length = F.col("end") - F.col("start")
+    level = sum((F.when(length > x, 1).otherwise(0) for x in sizes[:-1]), F.lit(0))
+    at = lambda t, size: F.floor(t / size).cast("long")
+    size = F.get(F.array(*map(F.lit, sizes)), F.col("level"))
+    lefts = blocks.where(length > 0).withColumn("level", level).withColumn("bucket", F.explode(F.sequence(at(F.col("start"), size), at(F.col("end"), size))))
+    lefts = lefts.select("rec_id", "level", "bucket", *[F.col(c).alias(f"l_{c}") for c in blocks.columns if c != "rec_id"])
+    rights = points.where("at is not null").select("rec_id", F.posexplode(F.array(*[at(F.col("at"), x) for x in sizes])).alias("level", "bucket"), *[F.col(c).alias(f"r_{c}") for c in points.columns if c != "rec_id"])
+    return lefts.join(rights, ["rec_id", "level", "bucket"]).where("r_at >= l_start and r_at < l_end").drop("level", "bucket")
+
+
 def assign_speakers(segments: DataFrame, turns: DataFrame, bucket: float = BUCKET) -> DataFrame:
     """segments (rec_id, seq, start, end, ...) with a column `speaker` from turns (rec_id, idx, start, end, speaker).
 
@@ -87,9 +106,8 @@ def label_blocks(blocks: DataFrame, turns: DataFrame, bucket: float = BUCKET) ->
 
     Ties go to the speaker seen first; a block without turns has the label of the one before it, 0 at the start.
     """
-    middles = turns.withColumn("mid", (F.col("start") + F.col("end")) / 2)
-    middles = middles.select("rec_id", "idx", "speaker", (F.col("end") - F.col("start")).alias("seconds"), F.col("mid").alias("start"), F.col("mid").alias("end"))
-    pairs = interval_pairs(blocks.select("rec_id", "seq", "start", "end"), middles, bucket, touching=True).where("r_start >= l_start and r_start < l_end")
+    middles = turns.select("rec_id", "idx", "speaker", (F.col("end") - F.col("start")).alias("seconds"), ((F.col("start") + F.col("end")) / 2).alias("at"))
+    pairs = points_within(blocks.select("rec_id", "seq", "start", "end"), middles, bucket)
     sums = pairs.groupBy("rec_id", F.col("l_seq").alias("seq"), F.col("r_speaker").alias("s")).agg(F.sum("r_seconds").alias("n"), F.min("r_idx").alias("i"))
     own = sums.groupBy("rec_id", "seq").agg(F.max(F.struct("n", (-F.col("i")).alias("i"), "s"))["s"].alias("own"))
     x = blocks.join(own, ["rec_id", "seq"], "left")

@@ -53,6 +53,19 @@ def test_assign_speakers(spark, seed, bucket):
         assert got[rec, seq] == plain_speaker(a, b, [t for t in turns if t[0] == rec]), (rec, seq)
 
 
+def test_points_within_blocks_of_all_lengths(spark):
+    """Blocks shorter than a bucket, as long as many and longer than the longest bucket; long ones do not lie in each of the short buckets."""
+    r = np.random.default_rng(5)
+    blocks = [(1, i, a, a + n) for i, (a, n) in enumerate((float(r.uniform(-50, 3000)), float(n)) for n in [0, 0.3, 1, 1, 3.9, 4, 17, 64, 300, 1023, 1024, 5000])] + [(1, 99, 5.0, 4.0), (1, 100, None, 9.0), (2, 0, 0.0, 1e9)]
+    points = [(1, i, float(a)) for i, a in enumerate([*r.uniform(-60, 4000, 300), *[b[2] for b in blocks[:12]], *[b[3] for b in blocks[:12]]])] + [(2, 0, 5e8), (2, 1, 1e9), (2, 2, None)]
+    b, p = spark.createDataFrame(blocks, "rec_id long, seq long, start double, end double"), spark.createDataFrame(points, "rec_id long, idx long, at double")
+    # a block of 1e9 seconds in buckets of 1800 would be 555,556 rows; with LENGTHS it is some 500
+    got = sorted((x["rec_id"], x["l_seq"], x["r_idx"]) for x in intervals.points_within(b.where("rec_id = 1"), p, 1.0).collect())
+    plain = lambda rec: sorted((q[0], x[1], q[1]) for x in blocks for q in points if x[0] == q[0] == rec and x[2] is not None and q[2] is not None and x[2] <= q[2] < x[3])
+    assert got == plain(1)
+    assert sorted((x["rec_id"], x["l_seq"], x["r_idx"]) for x in intervals.points_within(b.where("rec_id = 2"), p).collect()) == plain(2)
+
+
 def test_cohesion_and_labels(spark):
     segments, turns = recordings(3)
     s, t = spark.createDataFrame(segments, SEGMENTS), spark.createDataFrame(turns, TURNS)
