@@ -12,6 +12,8 @@ from lectern.functions.text import has_content
 OLE_MAGIC = "D0CF11E0A1B11AE1"
 #: A member that unpacks to more is taken for a bomb.
 HUGE_PART = 512 << 20
+#: A shorter member is stored as it is.
+SHORT_PART = 1024
 
 
 def in_batches(rows, schema: pa.Schema, most_bytes: int = 4 << 20):
@@ -64,9 +66,10 @@ def parts(files: DataFrame, wanted: str = r"\.(xml|rels|xhtml|html?|opf|ncx)$",
 
 def xml_text(x: Column) -> Column:
     """The five named references decoded."""
+    decoded = x
     for a, b in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&")):
-        x = F.replace(x, F.lit(a), F.lit(b))
-    return x
+        decoded = F.replace(decoded, F.lit(a), F.lit(b))
+    return F.when(F.contains(x, F.lit("&")), decoded).otherwise(x)
 
 
 def _texts(xml: Column, tag: str, breaks: str = "") -> Column:
@@ -229,7 +232,9 @@ def packed(members: DataFrame) -> DataFrame:
             buffer = io.BytesIO()
             with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as z:
                 for x in found:
-                    z.writestr(x["part"].as_py(), x["content"].as_py() or "")
+                    # a short member gains nothing by being deflated, which takes longer than all the rest
+                    content = (x["content"].as_py() or "").encode()
+                    z.writestr(x["part"].as_py(), content, zipfile.ZIP_STORED if len(content) < SHORT_PART else zipfile.ZIP_DEFLATED)
             yield (doc_id, buffer.getvalue()), buffer.tell()
 
     def run(batches):
@@ -248,26 +253,41 @@ def column_number(ref: Column) -> Column:
 def xlsx_cells(files: DataFrame) -> DataFrame:
     """(doc_id, sheet, row, col, value, formula) of the filled cells of workbooks; sheet is the part's number, row and col count from 0."""
     p = parts(files, r"^xl/(worksheets/sheet\d+|sharedStrings)\.xml$").where("content is not null")
-    shared = p.where("part = 'xl/sharedStrings.xml'").select("doc_id", F.posexplode(F.regexp_extract_all("content", F.lit(r"(?s)<si>(.*?)</si>|<si/>"), F.lit(1))).alias("i", "xml"))
-    shared = shared.select("doc_id", "i", _texts(F.regexp_replace("xml", r"(?s)<rPh\b.*?</rPh>", ""), "t").alias("shared"))
-    cells = p.where("part <> 'xl/sharedStrings.xml'").select("doc_id", F.regexp_extract("part", r"(\d+)\.xml$", 1).cast("int").alias("sheet"), F.explode(F.regexp_extract_all("content", F.lit(r"(?s)<c [^>]*?(?<!/)>.*?</c>"), F.lit(0))).alias("xml"))
-    ref, kind = F.regexp_extract("xml", r'^<c [^>]*\br="([A-Z]+\d+)"', 1), F.regexp_extract("xml", r'^<c [^>]*\bt="(\w+)"', 1)
-    raw = xml_text(F.regexp_extract("xml", r"(?s)<v[^>]*>(.*?)</v>", 1))
-    cells = cells.select("doc_id", "sheet", (F.regexp_extract(ref, r"(\d+)$", 1).cast("int") - 1).alias("row"), column_number(ref).alias("col"), kind.alias("kind"), raw.alias("raw"), _texts(F.col("xml"), "t").alias("inline"), xml_text(F.regexp_extract("xml", r"(?s)<f[^>]*>(.*?)</f>", 1)).alias("formula"))
-    cells = cells.withColumn("i", F.when(F.col("kind") == "s", F.expr("try_cast(raw as int)")))
-    x = cells.join(shared, ["doc_id", "i"], "left")
-    value = F.when(F.col("kind") == "s", F.col("shared")).when(F.col("kind") == "inlineStr", F.col("inline")).when(F.col("kind") == "b", F.when(F.col("raw") == "1", "TRUE").otherwise("FALSE")).otherwise(F.col("raw"))
+    # files are read once: shared strings (without a sheet) and cells are rows of one table
+    strings = F.col("part") == "xl/sharedStrings.xml"
+    found = F.when(strings, F.regexp_extract_all("content", F.lit(r"(?s)<si>(.*?)</si>|<si/>"), F.lit(1))).otherwise(F.regexp_extract_all("content", F.lit(r"(?s)<c [^>]*?(?<!/)>.*?</c>"), F.lit(0)))
+    x = p.select("doc_id", F.when(~strings, F.regexp_extract("part", r"(\d+)\.xml$", 1).cast("int")).alias("sheet"), F.posexplode(found).alias("at", "xml"))
+    # each part of a cell is taken out once; it is decoded in a step of its own
+    inner = lambda tag: F.regexp_extract("xml", rf"(?s)<{tag}[^>]*>(.*?)</{tag}>", 1)
+    x = x.select("doc_id", "sheet", "at", F.regexp_extract("xml", r'^<c [^>]*\br="([A-Z]+\d+)"', 1).alias("ref"), F.regexp_extract("xml", r'^<c [^>]*\bt="(\w+)"', 1).alias("kind"), inner("v").alias("raw"), inner("f").alias("formula"), F.when(F.contains("xml", F.lit("<t")), _texts(F.regexp_replace("xml", r"(?s)<rPh\b.*?</rPh>", ""), "t")).otherwise("").alias("text"))
+    kind = F.col("kind")
+    x = x.select("doc_id", "sheet", "at", (F.regexp_extract("ref", r"(\d+)$", 1).try_cast("int") - 1).alias("row"), column_number(F.col("ref")).alias("col"), "kind", xml_text(F.col("raw")).alias("raw"), "text", xml_text(F.col("formula")).alias("formula"))
+    # a cell meets the string of its number; cells without one are dealt by their row
+    number = F.when(F.col("sheet").isNull(), F.col("at")).when(kind == "s", F.expr("try_cast(raw as int)"))
+    x = x.withColumn("i", F.coalesce(number, -1 - F.col("row")))
+    strings_first = Window.partitionBy("doc_id", "i").orderBy(F.asc_nulls_first("sheet")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    x = x.withColumn("shared", F.max(F.when(F.col("sheet").isNull(), F.col("text"))).over(strings_first)).where("sheet is not null")
+    value = F.when(kind == "s", F.col("shared")).when(kind == "inlineStr", F.col("text")).when(kind == "b", F.when(F.col("raw") == "1", "TRUE").otherwise("FALSE")).otherwise(F.col("raw"))
     return x.select("doc_id", "sheet", "row", "col", value.alias("value"), "formula").where("coalesce(value, '') <> '' or formula <> ''")
 
 
 def sheet_blocks(cells: DataFrame) -> DataFrame:
     """One table block (doc_id, pos, kind, rows, has_header) for each sheet of cells (doc_id, sheet, row, col, value); blank rows go."""
-    filled = cells.where("trim(coalesce(value, '')) <> ''")
-    width = filled.groupBy("doc_id", "sheet").agg((F.max("col") + 1).alias("width"))
-    line = filled.groupBy("doc_id", "sheet", "row").agg(F.map_from_entries(F.collect_list(F.struct("col", "value"))).alias("m")).join(width, ["doc_id", "sheet"])
-    line = line.select("doc_id", "sheet", "row", F.transform(F.sequence(F.lit(0), F.col("width") - 1), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(""))).alias("cells"))
-    rows = F.transform(F.array_sort(F.collect_list(F.struct("row", "cells"))), lambda s: s["cells"])
-    return line.groupBy("doc_id", F.col("sheet").alias("pos")).agg(rows.alias("rows")).select("doc_id", "pos", F.lit("table").alias("kind"), "rows", F.lit(True).alias("has_header"))
+    filled = cells.where("trim(coalesce(value, '')) <> ''").repartition("doc_id", "sheet")
+    line = filled.groupBy("doc_id", "sheet", "row").agg(F.array_sort(F.collect_list(F.struct("col", "value"))).alias("c"), F.max("col").alias("last"))
+    blank = lambda n: F.array_repeat(F.lit(""), n)
+
+    def gaps(c):
+        """Blank cells up to each cell, and the cell; of cells at one place the first."""
+        before = lambda i: F.coalesce(F.get(c, i - 1)["col"], F.lit(-1))
+        return F.flatten(F.transform(c, lambda s, i: F.when(s["col"] == before(i), blank(F.lit(0))).otherwise(F.concat(blank(s["col"] - before(i) - 1), F.array(s["value"])))))
+
+    line = line.select("doc_id", "sheet", "row", "last", gaps(F.col("c")).alias("cells"))
+    sheet = line.groupBy("doc_id", "sheet").agg(F.array_sort(F.collect_list(F.struct("row", "last", "cells"))).alias("r"), F.max("last").alias("most"))
+    # the width goes along as an array, so that a sheet's rows need no second table
+    pairs = F.arrays_zip("r", F.array_repeat("most", F.size("r")))
+    rows = F.transform(pairs, lambda s: F.concat(s["r"]["cells"], blank(s["1"] - s["r"]["last"])))
+    return sheet.select("doc_id", F.col("sheet").alias("pos"), F.lit("table").alias("kind"), rows.alias("rows"), F.lit(True).alias("has_header"))
 
 
 def unrecalculated(cells: DataFrame) -> DataFrame:
