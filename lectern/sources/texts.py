@@ -81,29 +81,35 @@ def text_blocks(texts: DataFrame) -> DataFrame:
     return texts.select("doc_id", F.posexplode(paragraphs(F.col("text"))).alias("pos", "text")).withColumn("kind", F.lit("para"))
 
 
-def delimited_rows(text: Column, delimiter: Column) -> Column:
-    """Rows of cells of a delimited text; quoted cells hold delimiters, line ends and doubled quotes. Blank rows go, none is cut.
+#: Text in quotes; a doubled quote is part of it, and a last quote may be missing.
+_QUOTED = '"[^"]*+(?:""[^"]*+)*+'
 
-    Quoted parts are the odd ones between quotes, so cells end at delimiters and line ends of the even ones only; those
-    are marked with private characters first.
-    """
-    return _rows_of(_quoted_parts(text), delimiter)
 
+def _cell(value: Column) -> Column:
+    """A cell as written, without its quotes and with doubled ones single; what follows a closing quote stays as it is."""
+    inner = F.substring(value, F.lit(2), F.length(value) - 2)
+    plain = value.endswith('"') & (F.length(value) > 1) & ~F.replace(inner, F.lit('""'), F.lit("")).contains('"')
+    parts = f'(?s)^({_QUOTED})"?+(.*+)'
+    body = lambda t: F.replace(t, F.lit('""'), F.lit('"'))
+    rest = F.concat(body(F.substring(F.regexp_extract(value, parts, 1), 2, 1 << 30)), F.regexp_extract(value, parts, 2))
+    return F.when(~value.startswith('"'), value).when(plain, body(inner)).otherwise(rest)
 
-def _quoted_parts(text: Column) -> Column:
-    """What lies between quotes: of the parts, counted from 0, the odd ones are quoted."""
-    t = F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), "^\ufeff", ""), "\r\n?", "\n")
-    return F.split(t, '"')
 
+def delimited_rows(text: Column, delimiter: Column) -> Column:
+    """Rows of cells of a delimited text; quoted cells hold delimiters, line ends and doubled quotes. Blank rows go, none is cut.
 
-def _rows_of(parts: Column, delimiter: Column) -> Column:
-    cell_end, row_end = "\ue000", "\ue001"
-    # the delimiter goes along as an array: an expression from outside would be worked out again for each part
-    pairs = F.zip_with(parts, F.array_repeat(delimiter, F.size(parts)), lambda p, d: F.struct(p.alias("p"), d.alias("d")))
-    marked = F.transform(pairs, lambda s, i: F.when(i % 2 == 0, F.replace(F.replace(s["p"], s["d"], F.lit(cell_end)), F.lit("\n"), F.lit(row_end))).otherwise(s["p"]))
-    joined = F.replace(F.array_join(marked, "\ue002"), F.lit("\ue002\ue002"), F.lit('"'))
-    rows = F.split(F.replace(joined, F.lit("\ue002"), F.lit("")), row_end)
-    return drop_blank_rows(F.transform(rows, lambda r: F.split(r, cell_end)))
+    A cell is quoted if it begins with a quote; a quote further on is a character like others. Rows and cells are found by
+    what stands before them, as an empty one at the end would else be found twice. Their loops give nothing back, so a
+    long cell takes no stack.
+    """
+    sign = lambda s: F.concat(F.lit("["), s["delimiter"], F.lit("]"))
+    cell = lambda s: F.concat(F.lit(f'(?:{_QUOTED}(?:"[^\r\n'), s["delimiter"], F.lit(']*+)?+|[^\r\n'), s["delimiter"], F.lit("]*+)"))
+    row = lambda s: F.concat(F.lit("(?:\r\n?|\n)("), cell(s), F.lit("(?:"), sign(s), cell(s), F.lit(")*+)"))
+    # text and delimiter go along as an array: expressions from outside would be worked out again for each row
+    given = F.struct(F.regexp_replace(F.coalesce(text, F.lit("")), "^\ufeff", "").alias("text"), delimiter.alias("delimiter"))
+    found = F.transform(F.array(given), lambda s: F.struct(F.regexp_extract_all(F.concat(F.lit("\n"), s["text"]), row(s), F.lit(1)).alias("rows"), s["delimiter"].alias("delimiter"), F.concat(sign(s), F.lit("("), cell(s), F.lit(")")).alias("cell")))
+    cells = lambda s: F.transform(s["rows"], lambda r: F.transform(F.regexp_extract_all(F.concat(s["delimiter"], r), s["cell"], F.lit(1)), _cell))
+    return drop_blank_rows(F.get(F.transform(found, cells), F.lit(0)))
 
 
 def delimited_blocks(texts: DataFrame) -> DataFrame:
@@ -112,8 +118,8 @@ def delimited_blocks(texts: DataFrame) -> DataFrame:
     The rows leave a text by explode(): a filter on them would be moved in front of it and split the text anew, with
     whatever made the text.
     """
-    x = texts.select("doc_id", sniff_delimiter(F.col("text")).alias("delimiter"), _quoted_parts(F.col("text")).alias("parts"))
-    filled = F.filter(F.array(_rows_of(F.col("parts"), F.col("delimiter"))), lambda rows: F.size(rows) > 0)
+    x = texts.select("doc_id", sniff_delimiter(F.col("text")).alias("delimiter"), "text")
+    filled = F.filter(F.array(delimited_rows(F.col("text"), F.col("delimiter"))), lambda rows: F.size(rows) > 0)
     return x.select("doc_id", F.posexplode(filled).alias("pos", "rows")).select("doc_id", "pos", F.lit("table").alias("kind"), "rows", F.lit(True).alias("has_header"))
 
 
