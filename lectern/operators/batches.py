@@ -220,14 +220,17 @@ def missing_defaults(defaults: DataFrame, present: DataFrame) -> DataFrame:
     return defaults.join(present.select("name").distinct(), "name", "left_anti")
 
 
-def mail_budget(attachments: DataFrame, most: int = 200, most_bytes: int = 2 << 30, most_one: int = 512 << 20):
-    """attachments (mail_id, ord, size, ...) with `admitted`: in order, at most `most` and most_bytes of each mail.
+def mail_budget(attachments: DataFrame, most: int | None = 200, most_bytes: int = 2 << 30, most_one: int = 512 << 20):
+    """attachments (mail_id, ord, size, ...) with `admitted`: in order, at most `most` (None: any number) and most_bytes of each mail.
 
     One that is too large by itself, or that would pass the bytes, is rejected and does not count; the next may fit.
-    Because of that each mail's attachments (small rows without their bytes) meet in one task.
+    Because of that the attachments (small rows without their bytes) of a mail that is beyond a limit meet in one task;
+    those of a mail that keeps all limits are admitted as they are.
     """
     import pandas as pd
 
+    most = (1 << 62) if most is None else most
+
     def task(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("ord")
         n = used = 0
@@ -240,5 +243,11 @@ def mail_budget(attachments: DataFrame, most: int = 200, most_bytes: int = 2 <<
 
     from pyspark.sql.types import BooleanType, StructType
 
+    mail = Window.partitionBy("mail_id")
     slim = attachments.select("mail_id", "ord", "size")
-    return attachments.join(slim.groupBy("mail_id").applyInPandas(task, StructType(slim.schema.fields[:]).add("admitted", BooleanType())).drop("size"), ["mail_id", "ord"])
+    keeps = (F.count("*").over(mail) <= most) & (F.sum("size").over(mail) <= most_bytes) & (F.max("size").over(mail) <= most_one) & (F.count("size").over(mail) == F.count("*").over(mail))
+    slim = slim.withColumn("keeps", F.coalesce(keeps, F.lit(False)))
+    beyond = slim.where(~F.col("keeps")).drop("keeps")
+    told = beyond.groupBy("mail_id").applyInPandas(task, StructType(beyond.schema.fields[:]).add("admitted", BooleanType()))
+    told = slim.where("keeps").withColumn("admitted", F.lit(True)).drop("keeps").unionByName(told)
+    return attachments.join(told.drop("size"), ["mail_id", "ord"])

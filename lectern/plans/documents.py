@@ -26,27 +26,31 @@ def _book(files: DataFrame) -> DataFrame:
 
 def _message(files: DataFrame) -> DataFrame:
     """Header and body of mails."""
-    p = mail.mail_parts(files)
+    return _letter(mail.mail_parts(files))
+
+
+def _letter(p: DataFrame) -> DataFrame:
     body = F.when(F.col("is_html"), F.array_join(html.visible_texts(F.col("body")), "\n\n")).otherwise(F.col("body"))
     return texts.text_blocks(p.select("doc_id", F.concat(mail.header_lines(F.col("headers")), F.lit("\n\n"), body).alias("text")))
 
 
-def _mail(files: DataFrame, folder: str = "assets") -> DataFrame:
+def _mail(files: DataFrame, folder: str = "assets", most: int | None = 200) -> DataFrame:
     """Header and body of mails, then each attachment: a heading, a link, and what its reader gives, two headings lower.
 
     Attached mails are read like that too, within the depth and the budget of mail.attachments; what was not taken, or has
-    no reader, leaves a note.
+    no reader, leaves a note. Mails are opened once, and so are attachments: both are stored for their several uses.
     """
-    body = _shaped(_message(files))
-    if files.isEmpty():
+    opened = stored(mail.opened(files), "mails")
+    body = _shaped(_letter(opened))
+    if opened.isEmpty():
         return body
-    a = stored(mail.attachments(files), "attachments")
     key = F.xxhash64("mail_id", "path")
     order = F.array_join(F.transform("path", lambda i: F.lpad(i.cast("string"), 6, "0")), ".")
-    a = a.select("mail_id", "reason", "depth", "data", key.alias("key"), order.alias("ord"), sanitize_name(F.col("name"), ATTACHMENT).alias("name"))
+    # stored with their names, which are made in Python
+    a = stored(mail.attachments(opened, most=most).select("mail_id", "reason", "depth", "data", key.alias("key"), order.alias("ord"), sanitize_name(F.col("name"), ATTACHMENT).alias("name")), "attachments")
     taken = a.where("reason is null").withColumn("_suffix", suffix_of(F.col("name")))
     inner = _read(taken.select(F.col("key").alias("doc_id"), "_suffix", F.col("data").alias("content")), {**ROUTES, ".eml": _message})
-    inner = inner.withColumnRenamed("doc_id", "key").join(a.select("key", "mail_id", "depth", "ord"), "key")
+    inner = stored(inner, "inner").withColumnRenamed("doc_id", "key").join(a.select("key", "mail_id", "depth", "ord"), "key")
     inner = inner.withColumn("level", F.when(F.col("kind") == "heading", F.col("level") + 2 * F.col("depth")).otherwise(F.col("level")))
     places = ["_ord", "_step"]
     own = lambda source, step, columns: source.select(*[F.col("mail_id").alias("doc_id"), F.col("ord").alias("_ord"), F.lit(step).alias("_step"), *[(columns[c] if c in columns else F.lit(None)).cast(t).alias(c) for c, t in COLUMNS.items() if c != "doc_id"]])

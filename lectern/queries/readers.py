@@ -294,7 +294,7 @@ select mail_id, i::varchar as path, 1::int as depth, 't' || turn || '.txt' as na
 union all select mail_id, n::varchar || '.0', 2, 'deep.txt', sha256(arg_min(role, turn)) from a group by mail_id, n""")
 def mail_attachments(spark, sf_dir):
     """All attachments but the inner mails themselves, which the depth of what is in them shows."""
-    a = mail.attachments(_mails(spark, sf_dir)).where("reason is null and name <> 'inner.eml'")
+    a = mail.attachments(_mails(spark, sf_dir), most=None).where("reason is null and name <> 'inner.eml'")
     return a.select("mail_id", F.array_join(F.transform("path", lambda i: i.cast("string")), ".").alias("path"), "depth", "name", "digest")
 
 
@@ -311,7 +311,7 @@ def mail_documents(spark, sf_dir):
     """Mails with their attachments read in place, an inner mail and its attachment too."""
     from lectern.plans.documents import ROUTES
 
-    return ROUTES[".eml"](_mails(spark, sf_dir)).select("doc_id", "pos", "kind", "level", "text")
+    return ROUTES[".eml"](_mails(spark, sf_dir), most=None).select("doc_id", "pos", "kind", "level", "text")
 
 
 @query("select page_id doc_id, sha256(html) as digest, 2::int as resources from pages where html is not null and html <> ''")

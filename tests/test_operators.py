@@ -424,3 +424,20 @@ def test_levels_never_pass_the_driver(spark, stored):
     found = cluster.split_long(chunks, levels)
     assert found.where("part = 0").count() == 20
     assert "BroadcastExchange" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_mail_budget_asks_only_mails_beyond_a_limit(spark):
+    """Each mail's attachments met in a pandas group of their own, though all of them were admitted."""
+    rng = random.Random(5)
+    rows = [(m, i, rng.randint(0, 9)) for m in range(60) for i in range(rng.randint(1, 6))] + [(60, 0, 99), (61, 0, 5), (61, 1, 40)]
+    mails = spark.createDataFrame(rows, "mail_id long, ord int, size long")
+    for most in (4, None):
+        want, used = {}, defaultdict(lambda: [0, 0])
+        for m, i, size in rows:
+            u = used[m]
+            want[m, i] = (most is None or u[0] < most) and size <= 30 and u[1] + size <= 22
+            if want[m, i]:
+                u[:] = u[0] + 1, u[1] + size
+        assert {(r["mail_id"], r["ord"]): r["admitted"] for r in batches.mail_budget(mails, most, 22, 30).collect()} == want
+    asked = batches.mail_budget(mails)._jdf.queryExecution().executedPlan().toString()
+    assert "Window" in asked.split("FlatMapGroupsInPandas")[1]
